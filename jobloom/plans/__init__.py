@@ -1,6 +1,6 @@
 """Query registry: importing this package registers every named query."""
 
-from . import board  # noqa: F401
+from . import ats, board  # noqa: F401
 from .registry import ORACLE, QUERIES
 
 __all__ = ["QUERIES", "ORACLE"]

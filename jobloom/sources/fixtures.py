@@ -55,16 +55,27 @@ def ats_applicants(t: Tables) -> DataFrame:
                              F.concat(_s(years), F.lit(" years")).alias("experience"))
 
 
-def ats_applications(t: Tables) -> DataFrame:
+def _applications(t: Tables, with_ids: bool) -> DataFrame:
     o = t.orders.select("o_orderkey", "o_custkey", "o_orderdate")
     li = t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
     j = li.join(o, F.col("l_orderkey") == F.col("o_orderkey"))
+    cols = [F.col("o_custkey").alias("applicant_id"), F.col("l_partkey").alias("job_id"),
+            F.col("o_orderdate").alias("applied_date"),
+            F.split_part(F.lit(STATUSES_CSV), F.lit(","), (F.col("l_orderkey") % 7).cast("int") + 1).alias("status")]
+    if not with_ids:
+        return j.select(*cols)
     j = with_sequence(j, ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"],
                       "application_id")
-    return j.select("application_id", F.col("o_custkey").alias("applicant_id"),
-                    F.col("l_partkey").alias("job_id"), F.col("o_orderdate").alias("applied_date"),
-                    F.split_part(F.lit(STATUSES_CSV), F.lit(","),
-                                 (F.col("l_orderkey") % 7).cast("int") + 1).alias("status"))
+    return j.select("application_id", *cols)
+
+
+def ats_applications(t: Tables) -> DataFrame:
+    return _applications(t, True)
+
+
+def ats_application_rows(t: Tables) -> DataFrame:
+    """``ats_applications`` without the id column: no global numbering is planned."""
+    return _applications(t, False)
 
 
 def ats_job_skill(t: Tables) -> DataFrame:
@@ -149,6 +160,7 @@ def ats_resume_skills(t: Tables) -> DataFrame:
 
 BUILDERS = {
     "ats_jobs": ats_jobs, "ats_applicants": ats_applicants, "ats_applications": ats_applications,
+    "ats_application_rows": ats_application_rows,
     "ats_job_skill": ats_job_skill, "ats_user_skill": ats_user_skill, "ats_postings": ats_postings,
     "ats_resumes": ats_resumes, "ats_hits": ats_hits, "ats_skill_catalog": ats_skill_catalog,
     "ats_resume_skills": ats_resume_skills,
