@@ -7,11 +7,12 @@ of partitions (an explicit count, so AQE keeps the partitioning as planned and
 partition, and numbered as ``rows in earlier partitions + position in this
 partition``.  The per-partition counts are one row per partition, so the
 broadcast of the offsets is bounded by the partition count, not by the data.
+Requires a checkpoint directory (see :func:`jobloom.session.ensure_checkpoint_dir`).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -26,10 +27,14 @@ def with_sequence(df: DataFrame, order_by: list, name: str, start: int = 1,
     """Add ``name`` = 1-based (or ``start``-based) position of each row in ``order_by``."""
     cols = [F.col(c) if isinstance(c, str) else c for c in order_by]
     n = _num_partitions(df, num_partitions)
-    ranged = (df.repartitionByRange(n, *cols)
-                .sortWithinPartitions(*cols)
-                .withColumn("_seq_pid", F.spark_partition_id())
-                .withColumn("_seq_mid", F.monotonically_increasing_id()))
+    # Range bounds are sampled from the input, whose row order inside shuffle blocks can
+    # differ between evaluations; two evaluations could then disagree on which rows a
+    # partition holds.  A reliable checkpoint (to spark.checkpoint.dir) fixes the
+    # partitions once, so counts and numbering read the same data, and a lost executor
+    # re-reads the files instead of re-sampling.
+    ranged = df.repartitionByRange(n, *cols).sortWithinPartitions(*cols).checkpoint(eager=True)
+    ranged = (ranged.withColumn("_seq_pid", F.spark_partition_id())
+                    .withColumn("_seq_mid", F.monotonically_increasing_id()))
     counts = ranged.groupBy("_seq_pid").agg(F.count(F.lit(1)).alias("_seq_n"))
     before = Window.orderBy("_seq_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(
@@ -40,7 +45,3 @@ def with_sequence(df: DataFrame, order_by: list, name: str, start: int = 1,
                   .withColumn(name, (F.col("_seq_off") + local + F.lit(start)).cast("long"))
                   .drop("_seq_pid", "_seq_mid", "_seq_off"))
 
-
-def offset_after_max(existing: DataFrame, id_col: str) -> Column:
-    """Scalar ``max(id)`` of an existing table as a one-row frame column (0 if empty)."""
-    return F.coalesce(F.max(id_col), F.lit(0)).cast("long")

@@ -150,3 +150,147 @@ def q_score_pairs(spark, sf_dir):
     s = scored_pairs(a, a.ats_application_rows)
     return s.select("applicant_id", "job_id", F.round("skills_match", 6).alias("skills_match"),
                     F.round("experience_match", 6).alias("experience_match"), "match_score")
+
+
+# Scores of applied pairs, as a CTE named ``sp`` for the oracle.
+_SQL_SP = f"""
+sp as (select p.applicant_id, p.job_id,
+              round(({_SQL_SCORE}) * 0.6 + ({_SQL_EXP}) * 0.4, 2) as match_score
+       from (select distinct applicant_id, job_id from ats_applications) p
+       join jm on jm.job_id = p.job_id join am on am.applicant_id = p.applicant_id
+       left join hits h on h.applicant_id = p.applicant_id and h.job_id = p.job_id)"""
+
+
+def mean_score(c: str):
+    """Mean of 2-decimal scores, summed as exact integer hundredths so the result does
+    not depend on the order partial sums are combined in."""
+    return F.sum(F.round(F.col(c) * 100).cast("long")) / F.count(c) / 100.0
+
+
+def application_scores(a: Ats) -> DataFrame:
+    """Applications (with ids) and the match score of their (applicant, job) pair."""
+    s = scored_pairs(a, a.ats_application_rows).select("applicant_id", "job_id", "match_score")
+    return a.ats_applications.join(s, ["applicant_id", "job_id"])
+
+
+@register("job_applicants", sql=f"""
+with {_SQL_MODEL}, {_SQL_SP}
+select x.application_id, x.job_id, x.applicant_id, ap.name, x.status, sp.match_score
+from ats_applications x join ats_applicants ap on ap.applicant_id = x.applicant_id
+join sp on sp.applicant_id = x.applicant_id and sp.job_id = x.job_id""")
+def q_job_applicants(spark, sf_dir):
+    """Applicants of every job with their application's match score (sort by score desc per job)."""
+    a = Ats(spark, sf_dir)
+    apps = application_scores(a)
+    return (apps.join(a.ats_applicants.select("applicant_id", "name"), "applicant_id")
+                .select("application_id", "job_id", "applicant_id", "name", "status", "match_score")
+                .sortWithinPartitions("job_id", F.col("match_score").desc()))
+
+
+@register("applicant_jobs", sql="""
+select x.application_id, x.applicant_id, x.job_id, j.title, j.company,
+       x.status as application_status, j.status as job_status
+from ats_applications x join ats_jobs j on j.job_id = x.job_id""")
+def q_applicant_jobs(spark, sf_dir):
+    """Jobs each applicant applied to; both sides' status kept under explicit names."""
+    a = Ats(spark, sf_dir)
+    return (a.ats_applications.withColumnRenamed("status", "application_status")
+             .join(a.ats_jobs.select("job_id", "title", "company", F.col("status").alias("job_status")), "job_id")
+             .select("application_id", "applicant_id", "job_id", "title", "company",
+                     "application_status", "job_status"))
+
+
+UNAPPLIED_FOR = 7
+
+
+@register("unapplied_open_jobs", sql=f"""
+select j.job_id, j.title, j.company from ats_jobs j
+where j.status = 'Open' and j.job_id not in
+  (select job_id from ats_applications where applicant_id = {UNAPPLIED_FOR})""")
+def q_unapplied_open_jobs(spark, sf_dir, applicant_id: int = UNAPPLIED_FOR):
+    """Open jobs one applicant has not applied to (anti join on the applicant's applications)."""
+    a = Ats(spark, sf_dir)
+    applied = a.ats_application_rows.where(F.col("applicant_id") == applicant_id).select("job_id")
+    return (a.ats_jobs.where(F.col("status") == "Open")
+             .join(applied, "job_id", "left_anti").select("job_id", "title", "company"))
+
+
+@register("applications_per_job", sql="""
+select j.job_id, j.title, count(x.job_id) as n_applications
+from ats_jobs j left join ats_applications x on x.job_id = j.job_id group by j.job_id, j.title""")
+def q_applications_per_job(spark, sf_dir):
+    """Application count per job, zero for jobs nobody applied to (aggregate, then join)."""
+    a = Ats(spark, sf_dir)
+    counts = a.ats_application_rows.groupBy("job_id").agg(F.count(F.lit(1)).alias("n"))
+    return (a.ats_jobs.select("job_id", "title").join(counts, "job_id", "left")
+             .select("job_id", "title", F.coalesce("n", F.lit(0)).cast("long").alias("n_applications")))
+
+
+@register("status_counts", sql="""
+select job_id, status, count(*) as n from ats_applications group by job_id, status""")
+def q_status_counts(spark, sf_dir):
+    """Value counts of application status per job."""
+    a = Ats(spark, sf_dir)
+    return a.ats_application_rows.groupBy("job_id", "status").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("avg_match_score", sql=f"""
+with {_SQL_MODEL}, {_SQL_SP},
+per_app as (select x.job_id, sp.match_score from ats_applications x
+            join sp on sp.applicant_id = x.applicant_id and sp.job_id = x.job_id)
+select j.job_id, round(coalesce(sum(cast(round(per_app.match_score * 100) as bigint)) / count(per_app.match_score) / 100.0, 0.0), 6) as avg_match_score
+from ats_jobs j left join per_app on per_app.job_id = j.job_id group by j.job_id""")
+def q_avg_match_score(spark, sf_dir):
+    """Mean match score of each job's applications; 0 for jobs without applications."""
+    a = Ats(spark, sf_dir)
+    s = scored_pairs(a, a.ats_application_rows).select("applicant_id", "job_id", "match_score")
+    per_app = a.ats_application_rows.join(s, ["applicant_id", "job_id"])
+    avg = per_app.groupBy("job_id").agg(mean_score("match_score").alias("m"))
+    return (a.ats_jobs.select("job_id").join(avg, "job_id", "left")
+             .select("job_id", F.round(F.coalesce("m", F.lit(0.0)), 6).alias("avg_match_score")))
+
+
+def _status_summary(apps: DataFrame, key: str) -> DataFrame:
+    """"status:n" list per key, most frequent first.  One row per (key, status) is collected,
+    and statuses are an enumerated domain (7 values), so the list is bounded."""
+    sc = apps.groupBy(key, "status").agg(F.count(F.lit(1)).alias("n"))
+    lst = F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("neg"), F.col("status"), F.col("n"))))
+    return sc.groupBy(key).agg(
+        F.array_join(F.transform(lst, lambda s: F.concat(s["status"], F.lit(":"), s["n"].cast("string"))),
+                     ", ").alias("status_counts"),
+        F.sum("n").alias("total_applications"))
+
+
+@register("job_report", sql=f"""
+with {_SQL_MODEL}, {_SQL_SP},
+apps as (select x.application_id, x.job_id, x.applicant_id, x.status, sp.match_score from ats_applications x
+         join sp on sp.applicant_id = x.applicant_id and sp.job_id = x.job_id),
+sc as (select job_id, status, count(*) as n from apps group by job_id, status),
+scs as (select job_id, string_agg(status || ':' || cast(n as varchar), ', ' order by n desc, status) as status_counts
+        from sc group by job_id),
+agg as (select job_id, count(*) as total_applications,
+        sum(cast(round(match_score * 100) as bigint)) / count(match_score) / 100.0 as m from apps group by job_id),
+top as (select job_id, applicant_id, row_number() over (partition by job_id order by match_score desc, application_id) as r from apps),
+tops as (select job_id, string_agg(cast(applicant_id as varchar), ',' order by r) as top_candidates from top where r <= 5 group by job_id)
+select j.job_id, j.title as job_title, cast(j.date_posted as varchar) as date_posted,
+       coalesce(agg.total_applications, 0) as total_applications, coalesce(scs.status_counts, '') as status_counts,
+       round(coalesce(agg.m, 0.0), 6) as average_match_score, coalesce(tops.top_candidates, '') as top_candidates
+from ats_jobs j left join agg on agg.job_id = j.job_id left join scs on scs.job_id = j.job_id
+left join tops on tops.job_id = j.job_id""")
+def q_job_report(spark, sf_dir, top_n: int = 5):
+    """One row per job: application count, status counts, mean score, top-n applicants."""
+    a = Ats(spark, sf_dir)
+    apps = application_scores(a).cache()
+    summary = _status_summary(apps, "job_id")
+    mean = apps.groupBy("job_id").agg(mean_score("match_score").alias("m"))
+    top = top_k_per(apps, ["job_id"], [F.col("match_score").desc(), F.col("application_id")], top_n, "r")
+    tops = top.groupBy("job_id").agg(F.array_sort(F.collect_list(F.struct("r", "applicant_id"))).alias("t")).select(
+        "job_id", F.array_join(F.transform("t", lambda s: s["applicant_id"].cast("string")), ",").alias("top_candidates"))
+    return (a.ats_jobs.select("job_id", F.col("title").alias("job_title"),
+                              F.col("date_posted").cast("string").alias("date_posted"))
+             .join(summary, "job_id", "left").join(mean, "job_id", "left").join(tops, "job_id", "left")
+             .select("job_id", "job_title", "date_posted",
+                     F.coalesce("total_applications", F.lit(0)).cast("long").alias("total_applications"),
+                     F.coalesce("status_counts", F.lit("")).alias("status_counts"),
+                     F.round(F.coalesce("m", F.lit(0.0)), 6).alias("average_match_score"),
+                     F.coalesce("top_candidates", F.lit("")).alias("top_candidates")))
