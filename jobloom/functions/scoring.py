@@ -70,4 +70,4 @@ def binary_softmax(yes_logit, no_logit) -> Column:
 
 def match_bucket(pct) -> Column:
     p = _c(pct)
-    return F.when(p >= 70, "strong").when(p >= 40, "medium").otherwise("weak")
+    return F.when(p >= 70, "Strong Match").when(p >= 40, "Medium Match").otherwise("Weak Match")

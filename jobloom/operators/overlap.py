@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 def _pct(num: Column, den: Column) -> Column:
     # 0 when the job has no skills, like the reference's guard
-    return F.coalesce(F.try_divide(num.cast("double") * 100.0, den.cast("double")), F.lit(0.0))
+    return F.coalesce(F.try_divide(num.cast("double"), den.cast("double")) * 100.0, F.lit(0.0))
 
 
 def overlap_distinct(user_skill: DataFrame, job_skill: DataFrame) -> DataFrame:
@@ -42,18 +42,19 @@ def overlap_apply(pairs: DataFrame, user_skill: DataFrame, job_skill: DataFrame)
 
 
 def overlap_card(user_skill: DataFrame, job_skill: DataFrame, jobs: DataFrame | None = None) -> DataFrame:
-    """Card variant: job-skill rows (raw list, duplicates counted) that the user has, over the raw
-    list length.  ``jobs`` optionally restricts to a set of shown jobs (semi join)."""
+    """Card variant: entries of the user's skill list found in the job's list, over the raw
+    job list length (duplicates counted).  ``jobs`` optionally restricts to shown jobs."""
     js = job_skill.select("job_id", "skill_id")
     if jobs is not None:
         js = js.join(jobs.select("job_id"), "job_id", "left_semi")
-    us = user_skill.select("user_id", "skill_id").distinct()
+    us = user_skill.select("user_id", "skill_id")
     den = js.groupBy("job_id").agg(F.count(F.lit(1)).alias("n_job_skills"))
-    hits = js.join(us, "skill_id").groupBy("user_id", "job_id").agg(F.count(F.lit(1)).alias("n_hit"))
+    hits = (us.join(js.distinct(), "skill_id")
+              .groupBy("user_id", "job_id").agg(F.count(F.lit(1)).alias("n_hit")))
     return (hits.join(den, "job_id")
                 .select("user_id", "job_id", _pct(F.col("n_hit"), F.col("n_job_skills")).alias("overlap_pct")))
 
 
 def match_bucket(pct: Column) -> Column:
     """Strong / medium / weak label of a match percentage."""
-    return F.when(pct >= 70, "strong").when(pct >= 40, "medium").otherwise("weak")
+    return F.when(pct >= 70, "Strong Match").when(pct >= 40, "Medium Match").otherwise("Weak Match")

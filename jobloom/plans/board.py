@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import overlap as ov
-from ..operators.topk import top_k_per
+from ..operators.topk import first_wins, top_k_per
 from ..sources.fixtures import Ats
 from .registry import register
 
@@ -16,11 +16,11 @@ den as (select job_id, count(*) as n_job_skills from js group by job_id),
 hits as (select u.user_id, js.job_id, count(*) as n_common
          from ats_user_skill u join js on u.skill_id = js.skill_id group by u.user_id, js.job_id),
 p as (select h.user_id, h.job_id, h.n_common, d.n_job_skills,
-             h.n_common * 100.0 / d.n_job_skills as overlap_pct
+             cast(h.n_common as double) / d.n_job_skills * 100.0 as overlap_pct
       from hits h join den d on h.job_id = d.job_id),
 r as (select *, row_number() over (partition by user_id order by overlap_pct desc, job_id) as rank from p)
 select user_id, job_id, n_common, n_job_skills, round(overlap_pct, 6) as overlap_pct,
-       case when overlap_pct >= 70 then 'strong' when overlap_pct >= 40 then 'medium' else 'weak' end as bucket,
+       case when overlap_pct >= 70 then 'Strong Match' when overlap_pct >= 40 then 'Medium Match' else 'Weak Match' end as bucket,
        cast(rank as bigint) as rank
 from r where rank <= 5""")
 def q_overlap_distinct(spark, sf_dir, k: int = 5):
@@ -31,3 +31,248 @@ def q_overlap_distinct(spark, sf_dir, k: int = 5):
     return top.select("user_id", "job_id", "n_common", "n_job_skills",
                       F.round("overlap_pct", 6).alias("overlap_pct"),
                       ov.match_bucket(F.col("overlap_pct")).alias("bucket"), "rank")
+
+
+# Board "skills" are the supplier rows the job/user skill bridges point at.
+def skills_table(a: Ats):
+    return a.supplier.select(F.col("s_suppkey").alias("skill_id"), F.col("s_name").alias("name"))
+
+
+@register("overlap_apply", sql="""
+with p as (select distinct applicant_id as user_id, job_id from ats_applications),
+jsd as (select distinct job_id, skill_id from ats_job_skill),
+den as (select job_id, count(*) as n from ats_job_skill group by job_id),
+c as (select p.user_id, p.job_id, count(*) as n_common from p join jsd on jsd.job_id = p.job_id
+      join ats_user_skill u on u.user_id = p.user_id and u.skill_id = jsd.skill_id group by p.user_id, p.job_id)
+select p.user_id, p.job_id,
+       round(coalesce(cast(coalesce(c.n_common, 0) as double) / den.n * 100.0, 0.0), 6) as overlap_pct
+from p left join den on den.job_id = p.job_id left join c on c.user_id = p.user_id and c.job_id = p.job_id""")
+def q_overlap_apply(spark, sf_dir):
+    """Apply-time match % of every application: distinct common skills over the raw job list."""
+    a = Ats(spark, sf_dir)
+    pairs = a.ats_application_rows.select(F.col("applicant_id").alias("user_id"), "job_id")
+    r = ov.overlap_apply(pairs, a.ats_user_skill, a.ats_job_skill)
+    return r.select("user_id", "job_id", F.round("overlap_pct", 6).alias("overlap_pct"))
+
+
+LATEST_N = 20
+
+
+def latest_jobs(a: Ats, n: int = LATEST_N):
+    return a.ats_jobs.orderBy(F.col("date_posted").desc(), F.col("job_id")).limit(n)
+
+
+_SQL_LATEST = f"""latest as (select * from ats_jobs order by date_posted desc, job_id limit {LATEST_N})"""
+
+
+@register("latest_jobs", sql=f"""
+with {_SQL_LATEST}
+select job_id, title, company, location, cast(date_posted as varchar) as date_posted,
+       case when is_full_time then 'Full Time' else 'Part Time' end as job_type from latest""")
+def q_latest_jobs(spark, sf_dir, n: int = LATEST_N):
+    """Newest n jobs (TakeOrderedAndProject) with the full/part-time label."""
+    a = Ats(spark, sf_dir)
+    return latest_jobs(a, n).select(
+        "job_id", "title", "company", "location", F.col("date_posted").cast("string").alias("date_posted"),
+        F.when(F.col("is_full_time"), "Full Time").otherwise("Part Time").alias("job_type"))
+
+
+@register("overlap_card", sql=f"""
+with {_SQL_LATEST},
+js as (select s.job_id, s.skill_id from ats_job_skill s join latest l on l.job_id = s.job_id),
+den as (select job_id, count(*) as n from js group by job_id),
+hits as (select u.user_id, d.job_id, count(*) as n_hit
+         from ats_user_skill u join (select distinct job_id, skill_id from js) d on d.skill_id = u.skill_id
+         group by u.user_id, d.job_id)
+select h.user_id, h.job_id, round(cast(h.n_hit as double) / den.n * 100.0, 6) as overlap_pct,
+       case when cast(h.n_hit as double) / den.n * 100.0 >= 70 then 'Strong Match'
+            when cast(h.n_hit as double) / den.n * 100.0 >= 40 then 'Medium Match' else 'Weak Match' end as bucket
+from hits h join den on den.job_id = h.job_id""")
+def q_overlap_card(spark, sf_dir):
+    """Match % and label on the cards of the newest jobs, for every user sharing a skill
+    (users sharing none would show 0 % / Weak Match and are not emitted)."""
+    a = Ats(spark, sf_dir)
+    shown = latest_jobs(a)
+    r = ov.overlap_card(a.ats_user_skill, a.ats_job_skill, F.broadcast(shown.select("job_id")))
+    return r.select("user_id", "job_id", F.round("overlap_pct", 6).alias("overlap_pct"),
+                    ov.match_bucket(F.col("overlap_pct")).alias("bucket"))
+
+
+@register("match_bucket", sql="""
+with js as (select distinct job_id, skill_id from ats_job_skill),
+den as (select job_id, count(*) as n from js group by job_id),
+hits as (select u.user_id, js.job_id, count(*) as c from ats_user_skill u join js on u.skill_id = js.skill_id
+         group by u.user_id, js.job_id),
+p as (select h.user_id, cast(h.c as double) / den.n * 100.0 as pct from hits h join den on den.job_id = h.job_id)
+select user_id, case when pct >= 70 then 'Strong Match' when pct >= 40 then 'Medium Match' else 'Weak Match' end as bucket,
+       count(*) as n_jobs
+from p group by 1, 2""")
+def q_match_bucket(spark, sf_dir):
+    """How many jobs fall in each match label per user (jobs sharing at least one skill)."""
+    a = Ats(spark, sf_dir)
+    pairs = ov.overlap_distinct(a.ats_user_skill, a.ats_job_skill)
+    return (pairs.groupBy("user_id", ov.match_bucket(F.col("overlap_pct")).alias("bucket"))
+                 .agg(F.count(F.lit(1)).alias("n_jobs")))
+
+
+@register("skill_overlap", sql="""
+with js as (select distinct job_id, skill_id from ats_job_skill),
+hits as (select u.user_id, js.job_id, count(*) as c from ats_user_skill u join js on u.skill_id = js.skill_id
+         group by u.user_id, js.job_id)
+select user_id, count(*) as n_jobs_sharing, sum(c) as n_common_total, max(c) as max_common
+from hits group by user_id""")
+def q_skill_overlap(spark, sf_dir):
+    """user_skill ⋈ job_skill on skill, pre-aggregated per (user, job), then per user."""
+    a = Ats(spark, sf_dir)
+    us = a.ats_user_skill.select("user_id", "skill_id").distinct()
+    js = a.ats_job_skill.select("job_id", "skill_id").distinct()
+    hits = us.join(js, "skill_id").groupBy("user_id", "job_id").agg(F.count(F.lit(1)).alias("c"))
+    return hits.groupBy("user_id").agg(F.count(F.lit(1)).alias("n_jobs_sharing"),
+                                       F.sum("c").alias("n_common_total"), F.max("c").alias("max_common"))
+
+
+@register("job_skill_names", sql="""
+select s.job_id, s.skill_id, k.s_name as skill_name, count(*) as n_listed
+from ats_job_skill s join supplier k on k.s_suppkey = s.skill_id group by s.job_id, s.skill_id, k.s_name""")
+def q_job_skill_names(spark, sf_dir):
+    """Bridge join job - job_skill - skill in long form: each distinct skill of a job with its
+    name and how often the raw list names it (cards show the raw list, details the set)."""
+    a = Ats(spark, sf_dir)
+    js = a.ats_job_skill.groupBy("job_id", "skill_id").agg(F.count(F.lit(1)).alias("n_listed"))
+    return js.join(skills_table(a), "skill_id").select(
+        "job_id", "skill_id", F.col("name").alias("skill_name"), "n_listed")
+
+
+@register("skill_tags", sql="""
+select job_id, array_to_string(list_slice(string_split(skills_required, ' '), 1, 5), ', ') as tags,
+       greatest(len(string_split(skills_required, ' ')) - 5, 0) as n_more,
+       array_to_string(list_slice(string_split(skills_required, ' '), 1, 10), ', ') as top_skills
+from ats_jobs""")
+def q_skill_tags(spark, sf_dir):
+    """First five skill tags and the "+k more" count; first ten as the posting's top skills."""
+    a = Ats(spark, sf_dir)
+    lst = F.split(F.col("skills_required"), " ", -1)
+    return a.ats_jobs.select("job_id", F.array_join(F.slice(lst, 1, 5), ", ").alias("tags"),
+                             F.greatest(F.size(lst) - 5, F.lit(0)).cast("long").alias("n_more"),
+                             F.array_join(F.slice(lst, 1, 10), ", ").alias("top_skills"))
+
+
+@register("job_view_flags", sql="""
+with firsts as (select applicant_id, job_id, application_id, applied_date, status,
+                row_number() over (partition by applicant_id, job_id order by application_id) as r from ats_applications),
+f as (select * from firsts where r = 1),
+js as (select distinct job_id, skill_id from ats_job_skill),
+chk as (select f.applicant_id, f.job_id, count(js.skill_id) as n_job_skills, count(u.skill_id) as n_checked
+        from f join js on js.job_id = f.job_id
+        left join ats_user_skill u on u.user_id = f.applicant_id and u.skill_id = js.skill_id
+        group by f.applicant_id, f.job_id)
+select f.applicant_id, f.job_id, f.application_id as first_application_id,
+       strftime(f.applied_date, '%b %d, %Y') as applied_on, chk.n_job_skills, chk.n_checked
+from f join chk on chk.applicant_id = f.applicant_id and chk.job_id = f.job_id""")
+def q_job_view_flags(spark, sf_dir):
+    """Job page flags per (user, job) the user applied to: first application and its date
+    ("Applied on ..."), and how many of the job's skills carry the user's check mark."""
+    a = Ats(spark, sf_dir)
+    f = first_wins(a.ats_applications, ["applicant_id", "job_id"], [F.col("application_id")])
+    js = a.ats_job_skill.select("job_id", "skill_id").distinct()
+    us = a.ats_user_skill.select(F.col("user_id").alias("applicant_id"), "skill_id", F.lit(1).alias("has"))
+    chk = (f.select("applicant_id", "job_id").join(js, "job_id")
+            .join(us, ["applicant_id", "skill_id"], "left")
+            .groupBy("applicant_id", "job_id")
+            .agg(F.count(F.lit(1)).alias("n_job_skills"), F.count("has").alias("n_checked")))
+    return f.join(chk, ["applicant_id", "job_id"]).select(
+        "applicant_id", "job_id", F.col("application_id").alias("first_application_id"),
+        F.date_format("applied_date", "MMM dd, yyyy").alias("applied_on"), "n_job_skills", "n_checked")
+
+
+@register("profile_applications", sql="""
+with den as (select job_id, count(*) as n from ats_job_skill group by job_id),
+jsd as (select distinct job_id, skill_id from ats_job_skill),
+c as (select x.application_id, count(u.skill_id) as n_common from ats_applications x
+      join jsd on jsd.job_id = x.job_id
+      left join ats_user_skill u on u.user_id = x.applicant_id and u.skill_id = jsd.skill_id
+      group by x.application_id)
+select x.application_id, x.applicant_id, j.title, j.company, j.location,
+       strftime(x.applied_date, '%b %d, %Y') as applied_on,
+       cast(floor(coalesce(cast(c.n_common as double) / den.n * 100.0, 0.0)) as bigint) as match_int,
+       x.status
+from ats_applications x join ats_jobs j on j.job_id = x.job_id
+left join den on den.job_id = x.job_id left join c on c.application_id = x.application_id""")
+def q_profile_applications(spark, sf_dir):
+    """A user's applications as the profile page lists them: job, date, integer %, status."""
+    a = Ats(spark, sf_dir)
+    apps = a.ats_applications
+    pct = ov.overlap_apply(apps.select(F.col("applicant_id").alias("user_id"), "job_id"),
+                           a.ats_user_skill, a.ats_job_skill).withColumnRenamed("user_id", "applicant_id")
+    return (apps.join(pct, ["applicant_id", "job_id"], "left")
+                .join(a.ats_jobs.select("job_id", "title", "company", "location"), "job_id")
+                .select("application_id", "applicant_id", "title", "company", "location",
+                        F.date_format("applied_date", "MMM dd, yyyy").alias("applied_on"),
+                        F.floor(F.coalesce("overlap_pct", F.lit(0.0))).cast("long").alias("match_int"),
+                        "status"))
+
+
+SEARCH_Q, SEARCH_LOCATION = "blue", "nation_1"
+
+
+def board_search(a: Ats, q: str, location: str):
+    """LIKE '%q%' on title or description, and on location; empty parameters do not filter.
+    SQLite LIKE is case-insensitive for ASCII, hence ilike; % and _ in input stay wildcards."""
+    jobs = a.ats_jobs.join(a.ats_postings.withColumnRenamed("text", "description"), "job_id")
+    if q:
+        pat = f"%{q}%"
+        jobs = jobs.where(F.col("title").ilike(pat) | F.col("description").ilike(pat))
+    if location:
+        jobs = jobs.where(F.col("location").ilike(f"%{location}%"))
+    return jobs
+
+
+@register("search_like", sql=f"""
+select j.job_id, j.title, j.location, cast(j.date_posted as varchar) as date_posted
+from ats_jobs j join ats_postings p on p.job_id = j.job_id
+where (j.title ilike '%{SEARCH_Q}%' or p.text ilike '%{SEARCH_Q}%') and j.location ilike '%{SEARCH_LOCATION}%'""")
+def q_search_like(spark, sf_dir, q: str = SEARCH_Q, location: str = SEARCH_LOCATION):
+    """Board search, newest first."""
+    a = Ats(spark, sf_dir)
+    return (board_search(a, q, location)
+            .select("job_id", "title", "location", F.col("date_posted").cast("string").alias("date_posted"))
+            .orderBy(F.col("date_posted").desc(), F.col("job_id")))
+
+
+@register("search_count", sql=f"""
+select count(*) as n_results
+from ats_jobs j join ats_postings p on p.job_id = j.job_id
+where (j.title ilike '%{SEARCH_Q}%' or p.text ilike '%{SEARCH_Q}%') and j.location ilike '%{SEARCH_LOCATION}%'""")
+def q_search_count(spark, sf_dir, q: str = SEARCH_Q, location: str = SEARCH_LOCATION):
+    """Number of search hits."""
+    a = Ats(spark, sf_dir)
+    return board_search(a, q, location).agg(F.count(F.lit(1)).alias("n_results"))
+
+
+AS_OF = "2024-03-15 06:00:00"
+
+
+@register("days_posted", sql=f"""
+select job_id, cast(floor((epoch(timestamp '{AS_OF}') - epoch(cast(date_posted as timestamp))) / 86400) as bigint) as days_ago
+from ats_jobs""")
+def q_days_posted(spark, sf_dir, as_of: str = AS_OF):
+    """"Posted N days ago": whole 24-hour periods between posting and ``as_of``."""
+    a = Ats(spark, sf_dir)
+    secs = F.unix_timestamp(F.lit(as_of).cast("timestamp")) - F.unix_timestamp(F.col("date_posted").cast("timestamp"))
+    return a.ats_jobs.select("job_id", F.floor(secs / 86400).cast("long").alias("days_ago"))
+
+
+@register("html_escape_br", sql="""
+select job_id, replace(replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'),
+       '"', '&#34;'), '''', '&#39;'), chr(10), '<br>') as html from ats_postings""")
+def q_html_escape_br(spark, sf_dir):
+    """Description rendered for HTML: escape &, <, >, quotes, then newlines to <br>."""
+    a = Ats(spark, sf_dir)
+    return a.ats_postings.select("job_id", html_escape_br(F.col("text")).alias("html"))
+
+
+def html_escape_br(c):
+    for old, new in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&#34;"), ("'", "&#39;"),
+                     ("\n", "<br>")):
+        c = F.replace(c, F.lit(old), F.lit(new))
+    return c
