@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.scoring import levenshtein_ratio
+from ..operators import fuzzy as fz
 from ..operators import overlap as ov
+from ..operators.sequence import with_sequence
 from ..operators.topk import first_wins, top_k_per
 from ..sources.fixtures import Ats
 from .registry import register
@@ -276,3 +279,117 @@ def html_escape_br(c):
                      ("\n", "<br>")):
         c = F.replace(c, F.lit(old), F.lit(new))
     return c
+
+
+# ---------------------------------------------------- skill catalogue upkeep ---
+
+FUZZY_T = 0.7
+
+
+def fuzzy_user_skills(a: Ats, threshold: float = FUZZY_T):
+    """(user_id, skill_id, name): catalogue skills (lower-cased) within Levenshtein ratio
+    ``threshold`` of any of the user's résumé skills, for all users at once."""
+    cat_ = a.ats_skill_catalog.select("skill_id", "name", F.lower("name").alias("pattern"))
+    rs = a.ats_resume_skills.select("user_id", F.col("skill").alias("resume_skill"))
+    pairs = fz.fuzzy_value_pairs(rs, cat_, "resume_skill", "pattern", threshold)
+    return (rs.join(pairs, "resume_skill").join(cat_, "pattern")
+              .select("user_id", "skill_id", "name").distinct())
+
+
+_SQL_FUZZY = f"""
+rs as (select distinct skill from ats_resume_skills where length(skill) > 0),
+fm as (select rs.skill, c.skill_id, c.name from rs join ats_skill_catalog c
+       on 1.0 - levenshtein(lower(c.name), rs.skill) / greatest(length(lower(c.name)), length(rs.skill)) >= {FUZZY_T}),
+fus as (select distinct u.user_id, fm.skill_id, fm.name from ats_resume_skills u join fm on fm.skill = u.skill)"""
+
+
+@register("fuzzy_skill_match", sql=f"""
+with {_SQL_FUZZY}
+select user_id, skill_id, name from fus""")
+def q_fuzzy_skill_match(spark, sf_dir):
+    """Catalogue skills each user has, by fuzzy match of résumé skills (ratio >= 0.7)."""
+    return fuzzy_user_skills(Ats(spark, sf_dir))
+
+
+@register("levenshtein_ratio", sql="""
+with v as (select distinct p_name as name,
+             case when p_partkey % 3 = 0 then replace(p_name, 'i', '')
+                  when p_partkey % 3 = 1 then concat(p_name, 's') else p_name end as spelling from part)
+select name, spelling, levenshtein(name, spelling) as distance,
+       round(greatest(0.0, 1.0 - levenshtein(name, spelling) / greatest(length(name), length(spelling))), 6) as ratio
+from v""")
+def q_levenshtein_ratio(spark, sf_dir):
+    """Distance and ratio between each catalogue name and the résumé spellings derived from it."""
+    a = Ats(spark, sf_dir)
+    k = F.col("p_partkey")
+    spelling = (F.when(k % 3 == 0, F.replace(F.col("p_name"), F.lit("i"), F.lit("")))
+                 .when(k % 3 == 1, F.concat(F.col("p_name"), F.lit("s"))).otherwise(F.col("p_name")))
+    v = a.part.select(F.col("p_name").alias("name"), spelling.alias("spelling")).distinct()
+    return v.select("name", "spelling", F.levenshtein("name", "spelling").cast("long").alias("distance"),
+                    F.round(levenshtein_ratio(F.col("name"), F.col("spelling")), 6).alias("ratio"))
+
+
+@register("resolve_skill_names", sql="""
+select r.user_id, r.skill, c.skill_id from ats_resume_skills r join ats_skill_catalog c on c.name = r.skill""")
+def q_resolve_skill_names(spark, sf_dir):
+    """Skill names to ids; names missing from the catalogue are dropped."""
+    a = Ats(spark, sf_dir)
+    return (a.ats_resume_skills.join(a.ats_skill_catalog, F.col("skill") == F.col("name"))
+             .select("user_id", "skill", "skill_id"))
+
+
+@register("user_skill_names", sql="""
+select c.skill_id, c.name from ats_skill_catalog c
+where c.skill_id in (select c2.skill_id from ats_resume_skills r join ats_skill_catalog c2 on c2.name = r.skill)""")
+def q_user_skill_names(spark, sf_dir):
+    """Catalogue entries held by at least one user (semi join on resolved ids)."""
+    a = Ats(spark, sf_dir)
+    held = a.ats_resume_skills.join(a.ats_skill_catalog, F.col("skill") == F.col("name")).select("skill_id")
+    return a.ats_skill_catalog.join(held, "skill_id", "left_semi").select("skill_id", "name")
+
+
+@register("replace_user_skills", sql=f"""
+with {_SQL_FUZZY},
+refreshed as (select distinct user_id from ats_resume_skills)
+select user_id, skill_id, 'kept' as origin from ats_user_skill where user_id not in (select user_id from refreshed)
+union all select user_id, skill_id, 'resume' as origin from fus""")
+def q_replace_user_skills(spark, sf_dir):
+    """Every user with a résumé gets exactly the freshly matched skills; others keep theirs."""
+    a = Ats(spark, sf_dir)
+    refreshed = a.ats_resume_skills.select("user_id").distinct()
+    kept = (a.ats_user_skill.join(refreshed, "user_id", "left_anti")
+             .select("user_id", "skill_id", F.lit("kept").alias("origin")))
+    new = fuzzy_user_skills(a).select("user_id", "skill_id", F.lit("resume").alias("origin"))
+    return kept.unionByName(new)
+
+
+@register("seed_missing", sql="""
+with names as (select distinct lower(skill) as name from ats_resume_skills
+               where lower(skill) not in (select lower(name) from ats_skill_catalog)),
+mx as (select coalesce(max(skill_id), 0) as m from ats_skill_catalog)
+select name, cast(skill_id as bigint) as skill_id, false as seeded from ats_skill_catalog
+union all
+select n.name, cast(mx.m + row_number() over (order by n.name) as bigint), true from names n, mx""")
+def q_seed_missing(spark, sf_dir):
+    """Insert résumé skill names missing from the catalogue, with ids after the current maximum."""
+    a = Ats(spark, sf_dir)
+    catalog = a.ats_skill_catalog.cache()
+    names = (a.ats_resume_skills.select(F.lower("skill").alias("name")).distinct()
+              .join(catalog.select(F.lower("name").alias("name")), "name", "left_anti"))
+    start = (catalog.agg(F.max("skill_id")).first()[0] or 0) + 1
+    new = with_sequence(names, ["name"], "skill_id", start=start)
+    return (catalog.select("name", F.col("skill_id").cast("long").alias("skill_id"), F.lit(False).alias("seeded"))
+                   .unionByName(new.select("name", "skill_id", F.lit(True).alias("seeded"))))
+
+
+@register("skill_intersect", sql="""
+select distinct x.applicant_id as user_id, x.job_id, s.skill_id
+from ats_applications x join ats_job_skill s on s.job_id = x.job_id
+join ats_user_skill u on u.user_id = x.applicant_id and u.skill_id = s.skill_id""")
+def q_skill_intersect(spark, sf_dir):
+    """Per application, the skills the user and the job share (set intersection, long form)."""
+    a = Ats(spark, sf_dir)
+    p = a.ats_application_rows.select(F.col("applicant_id").alias("user_id"), "job_id").distinct()
+    js = a.ats_job_skill.distinct()
+    return (p.join(js, "job_id").join(a.ats_user_skill, ["user_id", "skill_id"], "left_semi")
+             .select("user_id", "job_id", "skill_id"))
