@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scoring import as_skill_list, experience_match_pct, parse_years
+from ..functions.scoring import experience_match_pct, parse_years
 from ..operators import matching as mt
-from ..operators.topk import top_k_per
+from ..functions import catalog as cat
+from ..operators.sequence import with_sequence
+from ..operators.topk import first_wins, top_k_per
 from ..sources.fixtures import Ats
 from .registry import register
 
@@ -79,8 +81,10 @@ case when am.years is null or jm.req_years is null then 50.0 when am.years >= jm
 
 # --------------------------------------------------------------- queries ---
 
-@register("recommend_jobs", sql=f"""
-with {_SQL_MODEL},
+def sql_recommend_jobs(k: int) -> str:
+    """CTE ``rec`` (applicant_id, job_id, title, company, match_score, skills_match,
+    experience_match, rank) by brute force over all applicant x open job pairs."""
+    return f"""{_SQL_MODEL},
 applied as (select distinct applicant_id, job_id from ats_applications),
 p as (select am.applicant_id, jm.job_id, jm.title, jm.company,
              {_SQL_SCORE} as skills_match, {_SQL_EXP} as experience_match
@@ -88,13 +92,20 @@ p as (select am.applicant_id, jm.job_id, jm.title, jm.company,
       where jm.status = 'Open'
         and not exists (select 1 from applied x where x.applicant_id = am.applicant_id and x.job_id = jm.job_id)),
 s as (select *, round(skills_match * 0.6 + experience_match * 0.4, 2) as match_score from p),
-r as (select *, row_number() over (partition by applicant_id order by match_score desc, job_id) as rank from s)
-select applicant_id, job_id, title, company, match_score, round(skills_match, 6) as skills_match,
-       round(experience_match, 6) as experience_match, cast(rank as bigint) as rank
-from r where rank <= 5""")
+r as (select *, row_number() over (partition by applicant_id order by match_score desc, job_id) as rank from s),
+rec as (select applicant_id, job_id, title, company, match_score, round(skills_match, 6) as skills_match,
+       round(experience_match, 6) as experience_match, cast(rank as bigint) as rank from r where rank <= {k})"""
+
+
+@register("recommend_jobs", sql=f"""
+with {sql_recommend_jobs(5)}
+select * from rec""")
 def q_recommend_jobs(spark, sf_dir, k: int = 5):
     """Top-k open, not-yet-applied jobs per applicant by weighted skill/experience score."""
-    a = Ats(spark, sf_dir)
+    return recommend_jobs(Ats(spark, sf_dir), k)
+
+
+def recommend_jobs(a: Ats, k: int):
     jobs = jobs_model(a).where(F.col("status") == "Open")
     hits = all_hits(a, jobs).select(F.col("applicant_id").alias("group_id"),
                                     F.col("job_id").alias("item_id"), "n_hit")
@@ -294,3 +305,277 @@ def q_job_report(spark, sf_dir, top_n: int = 5):
                      F.coalesce("status_counts", F.lit("")).alias("status_counts"),
                      F.round(F.coalesce("m", F.lit(0.0)), 6).alias("average_match_score"),
                      F.coalesce("top_candidates", F.lit("")).alias("top_candidates")))
+
+
+@register("applicant_report", sql=f"""
+with {sql_recommend_jobs(3)}, {_SQL_SP},
+apps as (select x.application_id, x.applicant_id, x.status, sp.match_score from ats_applications x
+         join sp on sp.applicant_id = x.applicant_id and sp.job_id = x.job_id),
+sc as (select applicant_id, status, count(*) as n from apps group by applicant_id, status),
+scs as (select applicant_id, string_agg(status || ':' || cast(n as varchar), ', ' order by n desc, status) as status_counts
+        from sc group by applicant_id),
+agg as (select applicant_id, count(*) as total_applications,
+        sum(cast(round(match_score * 100) as bigint)) / count(match_score) / 100.0 as m from apps group by applicant_id),
+recs as (select applicant_id, string_agg(cast(job_id as varchar), ',' order by rank) as recommended_jobs
+         from rec group by applicant_id)
+select ap.applicant_id, ap.name as applicant_name, coalesce(agg.total_applications, 0) as total_applications,
+       coalesce(scs.status_counts, '') as status_counts, round(coalesce(agg.m, 0.0), 6) as average_match_score,
+       coalesce(recs.recommended_jobs, '') as recommended_jobs
+from ats_applicants ap left join agg using (applicant_id) left join scs using (applicant_id)
+left join recs using (applicant_id)""")
+def q_applicant_report(spark, sf_dir, k: int = 3):
+    """One row per applicant: application count, status counts, mean score, top-k job picks."""
+    a = Ats(spark, sf_dir)
+    apps = application_scores(a)
+    summary = _status_summary(apps, "applicant_id")
+    mean = apps.groupBy("applicant_id").agg(mean_score("match_score").alias("m"))
+    rec = recommend_jobs(a, k)
+    recs = rec.groupBy("applicant_id").agg(F.array_sort(F.collect_list(F.struct("rank", "job_id"))).alias("t")).select(
+        "applicant_id", F.array_join(F.transform("t", lambda s: s["job_id"].cast("string")), ",").alias("recommended_jobs"))
+    return (a.ats_applicants.select("applicant_id", F.col("name").alias("applicant_name"))
+             .join(summary, "applicant_id", "left").join(mean, "applicant_id", "left").join(recs, "applicant_id", "left")
+             .select("applicant_id", "applicant_name",
+                     F.coalesce("total_applications", F.lit(0)).cast("long").alias("total_applications"),
+                     F.coalesce("status_counts", F.lit("")).alias("status_counts"),
+                     F.round(F.coalesce("m", F.lit(0.0)), 6).alias("average_match_score"),
+                     F.coalesce("recommended_jobs", F.lit("")).alias("recommended_jobs")))
+
+
+SEARCH_KEYWORDS, SEARCH_LOC, SEARCH_DEPT = "blue (anvil|gear)", "nation_1[0-5]", "sma|pro"
+
+
+def search_jobs(jobs, keywords: str | None, location: str | None = None, department: str | None = None):
+    """Case-insensitive regex 'contains' filters; only given filters apply; null never matches.
+    The keyword matches title, description or a string skills field."""
+    def has(c, p):
+        return F.coalesce(F.col(c).rlike("(?i)" + p), F.lit(False))
+    if location:
+        jobs = jobs.where(has("location", location))
+    if department:
+        jobs = jobs.where(has("department", department))
+    if keywords:
+        jobs = jobs.where(has("title", keywords) | has("description", keywords) | has("skills_required", keywords))
+    return jobs
+
+
+@register("search_regex", sql=f"""
+select j.job_id, j.title, j.location, j.department from ats_jobs j join ats_postings p on p.job_id = j.job_id
+where coalesce(regexp_matches(j.location, '{SEARCH_LOC}', 'i'), false)
+  and coalesce(regexp_matches(j.department, '{SEARCH_DEPT}', 'i'), false)
+  and (coalesce(regexp_matches(j.title, '{SEARCH_KEYWORDS}', 'i'), false)
+       or coalesce(regexp_matches(p.text, '{SEARCH_KEYWORDS}', 'i'), false)
+       or coalesce(regexp_matches(j.skills_required, '{SEARCH_KEYWORDS}', 'i'), false))""")
+def q_search_regex(spark, sf_dir, keywords: str = SEARCH_KEYWORDS, location: str = SEARCH_LOC,
+                   department: str = SEARCH_DEPT):
+    """Job search by keyword / location / department regular expressions."""
+    a = Ats(spark, sf_dir)
+    jobs = a.ats_jobs.join(a.ats_postings.withColumnRenamed("text", "description"), "job_id")
+    return search_jobs(jobs, keywords, location, department).select("job_id", "title", "location", "department")
+
+
+def apply_requests(a: Ats):
+    """Apply clicks: each event asks to apply ``user_id`` to job ``event_id``."""
+    return a.events.select("event_id", F.col("user_id").alias("applicant_id"),
+                           F.col("event_id").alias("job_id"), "ts")
+
+
+def check_refs(req, jobs, applicants):
+    """Reason per request: unknown job first, then unknown applicant, else 'ok'."""
+    jk = jobs.select("job_id", F.lit(True).alias("_job"))
+    ak = applicants.select("applicant_id", F.lit(True).alias("_app"))
+    return (req.join(jk, "job_id", "left").join(ak, "applicant_id", "left")
+               .withColumn("reason", F.when(F.col("_job").isNull(), "unknown_job")
+                           .when(F.col("_app").isNull(), "unknown_applicant").otherwise("ok"))
+               .drop("_job", "_app"))
+
+
+@register("reject_unknown_refs", sql="""
+select e.event_id, e.user_id as applicant_id, e.event_id as job_id,
+       case when j.job_id is null then 'unknown_job' when ap.applicant_id is null then 'unknown_applicant' else 'ok' end as reason
+from events e left join ats_jobs j on j.job_id = e.event_id left join ats_applicants ap on ap.applicant_id = e.user_id""")
+def q_reject_unknown_refs(spark, sf_dir):
+    """Referential check of apply requests against jobs and applicants (left joins, reason column)."""
+    a = Ats(spark, sf_dir)
+    return check_refs(apply_requests(a), a.ats_jobs, a.ats_applicants).select(
+        "event_id", "applicant_id", "job_id", "reason")
+
+
+@register("apply_batch", sql=f"""
+with {_SQL_MODEL}, ok as (
+  select e.event_id, e.user_id as applicant_id, e.event_id as job_id, e.ts from events e
+  where e.event_id in (select job_id from ats_jobs) and e.user_id in (select applicant_id from ats_applicants)),
+n0 as (select count(*) as n from ats_applications),
+sc as (select ok.applicant_id, ok.job_id,
+              round(({_SQL_SCORE}) * 0.6 + ({_SQL_EXP}) * 0.4, 2) as match_score
+       from (select distinct applicant_id, job_id from ok) ok join jm on jm.job_id = ok.job_id
+       join am on am.applicant_id = ok.applicant_id
+       left join hits h on h.applicant_id = ok.applicant_id and h.job_id = ok.job_id)
+select 'APP-' || cast(n0.n + row_number() over (order by ok.event_id) as varchar) as application_id,
+       ok.applicant_id, ok.job_id, strftime(ok.ts, '%Y-%m-%d') as date_applied, 'Applied' as status,
+       sc.match_score
+from ok join sc using (applicant_id, job_id), n0""")
+def q_apply_batch(spark, sf_dir):
+    """Valid apply requests become applications: sequential id after the existing count,
+    request date, status 'Applied' and the computed match score."""
+    a = Ats(spark, sf_dir)
+    req = check_refs(apply_requests(a), a.ats_jobs, a.ats_applicants).where(F.col("reason") == "ok")
+    n0 = a.ats_application_rows.count()
+    ids = with_sequence(req, ["event_id"], "seq", start=n0 + 1)
+    scores = scored_pairs(a, req.select("applicant_id", "job_id")).select("applicant_id", "job_id", "match_score")
+    return (ids.join(scores, ["applicant_id", "job_id"])
+               .select(F.concat(F.lit("APP-"), F.col("seq").cast("string")).alias("application_id"),
+                       "applicant_id", "job_id", F.date_format("ts", "yyyy-MM-dd").alias("date_applied"),
+                       F.lit("Applied").alias("status"), "match_score"))
+
+
+PROMOTIONS = {"Interview": "Offer", "Offer": "Hired", "Screening": "Shortlisted"}
+
+
+@register("update_status", sql="""
+with u as (select application_id, case status when 'Interview' then 'Offer' when 'Offer' then 'Hired'
+                                         when 'Screening' then 'Shortlisted' end as new_status
+           from ats_applications where status in ('Interview', 'Offer', 'Screening'))
+select x.application_id, x.status as old_status,
+       case when u.new_status in ('Applied', 'Screening', 'Interview', 'Technical Test', 'Offer', 'Hired', 'Rejected')
+            then u.new_status else x.status end as status,
+       case when u.new_status is null then 'unchanged'
+            when u.new_status in ('Applied', 'Screening', 'Interview', 'Technical Test', 'Offer', 'Hired', 'Rejected')
+            then 'updated' else 'invalid_status' end as result
+from ats_applications x left join u on u.application_id = x.application_id""")
+def q_update_status(spark, sf_dir):
+    """Apply a batch of status changes (a promotion step); unknown statuses are refused."""
+    a = Ats(spark, sf_dir)
+    apps = a.ats_applications
+    m = F.create_map(*[F.lit(x) for kv in PROMOTIONS.items() for x in kv])
+    updates = apps.where(F.col("status").isin(*PROMOTIONS)).select(
+        "application_id", m[F.col("status")].alias("new_status"))
+    return update_statuses(apps, updates)
+
+
+def update_statuses(apps, updates):
+    """Left-join update: a valid new status replaces the old one; others are reported."""
+    valid = F.col("new_status").isin(*cat.APPLICATION_STATUSES)
+    return (apps.join(updates, "application_id", "left")
+                .select("application_id", F.col("status").alias("old_status"),
+                        F.when(valid, F.col("new_status")).otherwise(F.col("status")).alias("status"),
+                        F.when(F.col("new_status").isNull(), "unchanged").when(valid, "updated")
+                         .otherwise("invalid_status").alias("result")))
+
+
+@register("assign_ids", sql="""
+select applicant_id, printf('APP%03d', row_number() over (order by name, applicant_id)) as applicant_code
+from ats_applicants""")
+def q_assign_ids(spark, sf_dir):
+    """Sequential codes APP001, APP002, ... in name order (distributed numbering)."""
+    a = Ats(spark, sf_dir)
+    s = with_sequence(a.ats_applicants.select("applicant_id", "name"), ["name", "applicant_id"], "n")
+    return s.select("applicant_id", F.format_string("APP%03d", F.col("n")).alias("applicant_code"))
+
+
+SPLIT_DAY = "1998-01-01"
+
+
+@register("dedupe_applications", sql=f"""
+with existing as (select distinct applicant_id, job_id from ats_applications where applied_date < timestamp '{SPLIT_DAY}'),
+batch as (select *, row_number() over (partition by applicant_id, job_id order by application_id) as r
+          from ats_applications where applied_date >= timestamp '{SPLIT_DAY}')
+select b.application_id, b.applicant_id, b.job_id from batch b
+where r = 1 and not exists (select 1 from existing e where e.applicant_id = b.applicant_id and e.job_id = b.job_id)""")
+def q_dedupe_applications(spark, sf_dir, split_day: str = SPLIT_DAY):
+    """Applications from ``split_day`` on are a new batch: a (user, job) pair already applied to,
+    or repeated inside the batch, is refused (first per pair wins)."""
+    a = Ats(spark, sf_dir)
+    apps = a.ats_applications
+    cut = F.lit(split_day).cast("timestamp_ntz")
+    existing = apps.where(F.col("applied_date") < cut).select("applicant_id", "job_id").distinct()
+    batch = first_wins(apps.where(F.col("applied_date") >= cut), ["applicant_id", "job_id"],
+                       [F.col("application_id")])
+    return (batch.join(existing, ["applicant_id", "job_id"], "left_anti")
+                 .select("application_id", "applicant_id", "job_id"))
+
+
+@register("unique_violations", sql="""
+select 'job_key' as entity, company || ',' || title as key, count(*) as n from ats_jobs group by 2 having count(*) > 1
+union all
+select 'application_pair', cast(applicant_id as varchar) || ',' || cast(job_id as varchar), count(*)
+from ats_applications group by 2 having count(*) > 1""")
+def q_unique_violations(spark, sf_dir):
+    """Keys that should be unique but are not (aggregate, keep count > 1)."""
+    a = Ats(spark, sf_dir)
+    jk = (a.ats_jobs.groupBy(F.concat_ws(",", "company", "title").alias("key"))
+           .agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.lit("job_key").alias("entity"), "key", "n"))
+    ak = (a.ats_application_rows
+           .groupBy(F.concat_ws(",", F.col("applicant_id").cast("string"), F.col("job_id").cast("string")).alias("key"))
+           .agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.lit("application_pair").alias("entity"), "key", "n"))
+    return jk.unionByName(ak)
+
+
+AS_OF_DATE = "2024-03-01"
+
+
+@register("append_with_defaults", sql=f"""
+with hp as (select hit_id, json_extract_string(json, '$.hit.title') as title,
+                   json_extract_string(json, '$.hit.company.name') as company,
+                   case when coalesce(json_array_length(json, '$.hit.locations'), 0) = 0 then ''
+                        else json_extract_string(json, '$.hit.locations[0].country') || ',' ||
+                             json_extract_string(json, '$.hit.locations[0].address') end as location from ats_hits)
+select 'job-' || cast(job_id as varchar) as job_key, title, company, location, status, is_full_time,
+       cast(date_posted as varchar) as date_posted from ats_jobs
+union all
+select 'hit-' || cast(hit_id as varchar), title, company, location, 'Open', true, '{AS_OF_DATE}' from hp""")
+def q_append_with_defaults(spark, sf_dir, as_of: str = AS_OF_DATE):
+    """Append newly seen postings to the jobs table; missing columns take their defaults
+    (status Open, full time, posted on ``as_of``)."""
+    from ..sources import ingest as ig
+    a = Ats(spark, sf_dir)
+    jobs = a.ats_jobs.select(F.concat(F.lit("job-"), F.col("job_id").cast("string")).alias("job_key"),
+                             "title", "company", "location", "status", "is_full_time",
+                             F.col("date_posted").cast("string").alias("date_posted"))
+    h = ig.project_hits(ig.parse_hits(a.ats_hits), "")
+    new = h.select(F.concat(F.lit("hit-"), F.col("hit_id").cast("string")).alias("job_key"),
+                   "title", F.col("name").alias("company"), "location")
+    return jobs.unionByName(with_job_defaults(new, as_of))
+
+
+def with_job_defaults(df, as_of: str):
+    return (df.withColumn("status", F.lit("Open")).withColumn("is_full_time", F.lit(True))
+              .withColumn("date_posted", F.lit(as_of)))
+
+
+@register("parse_years", sql=f"""
+with {_SQL_MODEL}
+select 'job' as entity, job_id as id, experience_required as text, req_years as years from jm
+union all select 'applicant', ap.applicant_id, ap.experience, am.years
+from ats_applicants ap join am using (applicant_id)""")
+def q_parse_years(spark, sf_dir):
+    """Leading number of free-text experience ('6 years' -> 6; '5+ years', '5-10 years' -> null)."""
+    a = Ats(spark, sf_dir)
+    j = a.ats_jobs.select(F.lit("job").alias("entity"), F.col("job_id").alias("id"),
+                          F.col("experience_required").alias("text"))
+    ap = a.ats_applicants.select(F.lit("applicant").alias("entity"), F.col("applicant_id").alias("id"),
+                                 F.col("experience").alias("text"))
+    return j.unionByName(ap).withColumn("years", parse_years("text"))
+
+
+@register("experience_match_pct", sql=f"""
+with {_SQL_MODEL}
+select p.applicant_id, p.job_id, round({_SQL_EXP}, 6) as experience_match
+from (select distinct applicant_id, job_id from ats_applications) p
+join jm on jm.job_id = p.job_id join am on am.applicant_id = p.applicant_id""")
+def q_experience_match_pct(spark, sf_dir):
+    """Experience fit of every applied pair (100 if met, ratio otherwise, 50 if unparseable)."""
+    a = Ats(spark, sf_dir)
+    s = scored_pairs(a, a.ats_application_rows)
+    return s.select("applicant_id", "job_id", F.round("experience_match", 6).alias("experience_match"))
+
+
+@register("skill_match_pct", sql=f"""
+with {_SQL_MODEL}
+select p.applicant_id, p.job_id, round({_SQL_SCORE}, 6) as skills_match
+from (select distinct applicant_id, job_id from ats_applications) p
+join jm on jm.job_id = p.job_id left join hits h on h.applicant_id = p.applicant_id and h.job_id = p.job_id""")
+def q_skill_match_pct(spark, sf_dir):
+    """Skill fit of every applied pair: job skills contained in / containing an applicant skill."""
+    a = Ats(spark, sf_dir)
+    s = scored_pairs(a, a.ats_application_rows)
+    return s.select("applicant_id", "job_id", F.round("skills_match", 6).alias("skills_match"))
