@@ -1,6 +1,6 @@
 """Query registry: importing this package registers every named query."""
 
-from . import ats, board, ingest, text  # noqa: F401
+from . import ats, board, ingest, similarity, text  # noqa: F401
 from .registry import ORACLE, QUERIES
 
 __all__ = ["QUERIES", "ORACLE"]
