@@ -10,7 +10,7 @@ per-experience-class fallback in :func:`top_k_recommendations`.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scoring import experience_match_pct
@@ -74,13 +74,25 @@ def job_skill_rows(jobs: DataFrame, skills_col: Column) -> DataFrame:
                        F.size(skills_col).alias("n_job_skills"))
 
 
+def maybe_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
+    """Broadcast ``df`` only when a row-count check proves it small; otherwise leave the
+    join strategy to the planner (shuffle join)."""
+    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+
+
+BROADCAST_ROWS = 2_000_000
+
+
 def skill_hit_counts(applicant_skills: DataFrame, job_skills: DataFrame,
-                     pairs: DataFrame | None = None) -> DataFrame:
+                     pairs: DataFrame | None = None, by: str = "applicant") -> DataFrame:
     """Number of job-skill positions hit by any applicant skill, per (applicant_id, job_id).
 
     ``applicant_skills``: (applicant_id, skill) normalised; ``job_skills``: output of
     :func:`job_skill_rows`.  With ``pairs`` only those (applicant_id, job_id) are scored,
-    otherwise every pair with at least one hit is returned.
+    otherwise every pair with at least one hit is returned, hash-partitioned by
+    ``applicant_id`` (``by="applicant"``) or ``job_id`` (``by="job"``): the other side of the
+    generating join is broadcast when its size is proven small, so the pair rows are
+    counted where they are produced and later per-group windows need no exchange.
     """
     a = applicant_skills.select("applicant_id", "skill").distinct()
     js = job_skills.select("job_id", "pos", "skill")
@@ -92,12 +104,17 @@ def skill_hit_counts(applicant_skills: DataFrame, job_skills: DataFrame,
                  .join(m, F.col("skill") == F.col("job_skill"))
                  .join(a.withColumnRenamed("skill", "app_skill"), ["applicant_id", "app_skill"], "left_semi")
                  .select("applicant_id", "job_id", "pos").distinct())
+        return rows.groupBy("applicant_id", "job_id").agg(F.count(F.lit(1)).alias("n_hit"))
+    app_job_skill = (a.join(m, F.col("skill") == F.col("app_skill"))
+                      .select("applicant_id", "job_skill").distinct())
+    if by == "applicant":
+        rows = (app_job_skill.repartition("applicant_id")
+                .join(maybe_broadcast(js, BROADCAST_ROWS), F.col("job_skill") == F.col("skill")))
     else:
-        app_job_skill = (a.join(m, F.col("skill") == F.col("app_skill"))
-                          .select("applicant_id", "job_skill").distinct())
-        rows = (app_job_skill.join(js, F.col("job_skill") == F.col("skill"))
-                             .select("applicant_id", "job_id", "pos"))
-    return rows.groupBy("applicant_id", "job_id").agg(F.count(F.lit(1)).alias("n_hit"))
+        rows = (js.repartition("job_id")
+                .join(maybe_broadcast(app_job_skill, BROADCAST_ROWS), F.col("job_skill") == F.col("skill")))
+    return (rows.select("applicant_id", "job_id", "pos")
+                .groupBy("applicant_id", "job_id").agg(F.count(F.lit(1)).alias("n_hit")))
 
 
 def _skills_pct(n_hit: Column, n_job: Column) -> Column:
@@ -113,19 +130,24 @@ def _class_key(years: Column, n_job_skills: Column) -> Column:
 
 def top_k_recommendations(hits: DataFrame, groups: DataFrame, items: DataFrame, k: int,
                           group_is_applicant: bool, excluded: DataFrame | None = None) -> DataFrame:
-    """Exact top-k items per group by (score desc, item_id asc).
+    """Exact top-k items per group by (score desc, item_id asc), score =
+    round(0.6 * skills% + 0.4 * experience%, 2).
 
-    ``hits``: (group_id, item_id, n_hit) pairs with a skill hit.
-    ``groups``: (group_id, years); ``items``: (item_id, years, n_job_skills) where ``years``
-    is parsed experience (applicant years on the applicant side, required on the job side).
+    ``hits``: (group_id, item_id, n_hit) pairs with a skill hit, ideally hash-partitioned by
+    group_id (see :func:`skill_hit_counts`).  ``groups``: (group_id, years[, n_job_skills]);
+    ``items``: (item_id, years[, n_job_skills]); the job side carries n_job_skills.
     ``excluded``: (group_id, item_id) pairs never recommended (e.g. already applied).
 
-    Pairs without a hit score ``0.6 * skills% + 0.4 * exp%`` with skills% = 0 (100 for jobs
-    with no skills), which depends only on the item's experience class.  Inside a class
-    items tie on score and are ordered by id, so for each (group, class) only the first
-    ``k + e`` items of the class are candidates, where ``e`` counts that group's hit or
-    excluded items in the class.  Those ranks are generated and equi-joined to a
-    distributed (class, id) numbering: no group x item enumeration.
+    1. Hit pairs are scored and cut to the top k per group where they sit (the cut keeps
+       k + the group's excluded count, then excluded pairs are removed from that short list).
+    2. A pair without a hit scores ``0.4 * exp%`` (plus 60 for a job without skills), which
+       depends only on the item's experience class.  Its best value per group is computed
+       from the (bounded) class domain; groups whose k-th hit score is strictly higher
+       cannot receive a no-hit item and skip step 3.
+    3. For the remaining groups, inside each class items tie and go by id, so the first
+       ``k + e`` members of the class (e = that group's hit or excluded items there) are the
+       only candidates; those ranks are generated and equi-joined to a distributed
+       (class, id) numbering.  No group x item enumeration happens anywhere.
     """
     def exp_pct(g_years, i_years):
         return (experience_match_pct(g_years, i_years) if group_is_applicant
@@ -134,50 +156,81 @@ def top_k_recommendations(hits: DataFrame, groups: DataFrame, items: DataFrame,
     def n_skills(df):
         return F.col("n_job_skills") if "n_job_skills" in df.columns else F.lit(1)
 
-    # the job side carries n_job_skills; the applicant side does not need it
+    def score(skills, exp):
+        return F.round(skills * 0.6 + exp * 0.4, 2)
+
     g = groups.select("group_id", F.col("years").alias("g_years"), n_skills(groups).alias("g_n"))
     it = items.select("item_id", F.col("years").alias("i_years"), n_skills(items).alias("n_job_skills"))
     job_n = (lambda: F.col("n_job_skills")) if group_is_applicant else (lambda: F.col("g_n"))
-    hit_rows = hits.select("group_id", "item_id", "n_hit")
-    if excluded is not None:
-        hit_rows = hit_rows.join(excluded.select("group_id", "item_id"), ["group_id", "item_id"], "left_anti")
-    scored_hits = (hit_rows.join(g, "group_id").join(it, "item_id")
-                           .select("group_id", "item_id",
-                                   _skills_pct(F.col("n_hit"), job_n()).alias("skills_match"),
-                                   exp_pct(F.col("g_years"), F.col("i_years")).alias("experience_match")))
 
-    # --- fallback: pairs without a hit, per experience class ---
+    # --- 1. hit pairs: score and cut in place ---
+    scored = (hits.select("group_id", "item_id", "n_hit").join(g, "group_id").join(it, "item_id")
+                  .select("group_id", "item_id",
+                          _skills_pct(F.col("n_hit"), job_n()).alias("skills_match"),
+                          exp_pct(F.col("g_years"), F.col("i_years")).alias("experience_match")))
+    scored = scored.withColumn("match_score", score(F.col("skills_match"), F.col("experience_match")))
+    order = [F.col("match_score").desc(), F.col("item_id")]
+    if excluded is None:
+        top_hits = top_k_per(scored, ["group_id"], order, k)
+    else:
+        ex = excluded.select("group_id", "item_id").distinct()
+        n_ex = ex.groupBy("group_id").agg(F.count(F.lit(1)).alias("n_ex"))
+        w = Window.partitionBy("group_id").orderBy(*order)
+        short = (scored.join(n_ex, "group_id", "left")
+                       .withColumn("_r", F.row_number().over(w))
+                       .where(F.col("_r") <= F.lit(k) + F.coalesce(F.col("n_ex"), F.lit(0)))
+                       .drop("_r", "n_ex"))
+        top_hits = top_k_per(short.join(ex, ["group_id", "item_id"], "left_anti"), ["group_id"], order, k)
+
+    # --- 2. class domain and the best no-hit score per group ---
     it_c = it.withColumn("cls", _class_key(F.col("i_years"), F.col("n_job_skills")))
-    ranked = with_sequence(it_c.select("item_id", "cls"), ["cls", "item_id"], "gpos")
-    starts = ranked.groupBy("cls").agg(F.min("gpos").alias("start"), F.count(F.lit(1)).alias("n_cls"))
-    ranked = ranked.join(starts, "cls").select("cls", "item_id", (F.col("gpos") - F.col("start") + 1).alias("crank"))
     classes = (it_c.groupBy("cls").agg(F.first("i_years").alias("c_years"),
+                                        F.first("n_job_skills").alias("c_n"),
                                         F.count(F.lit(1)).alias("n_cls")))
     domain = classes.limit(MAX_CLASSES + 1).collect()
     if len(domain) > MAX_CLASSES:
         raise ValueError(f"more than {MAX_CLASSES} distinct experience classes")
+    if not domain:
+        return top_hits
     cls_array = F.array(*[F.struct(F.lit(r["cls"]).alias("cls"),
                                    F.lit(r["c_years"]).cast("double").alias("c_years"),
+                                   F.lit(r["c_n"]).cast("int").alias("c_n"),
                                    F.lit(r["n_cls"]).cast("long").alias("n_cls"))
-                          for r in domain]) if domain else F.array().cast(
-        "array<struct<cls:string,c_years:double,n_cls:bigint>>")
-    taken = hits.select("group_id", "item_id")
+                          for r in domain])
+
+    def nohit_score(c):
+        n = c["c_n"] if group_is_applicant else F.col("g_n")
+        return score(_skills_pct(F.lit(0), n), exp_pct(F.col("g_years"), c["c_years"]))
+
+    best_nohit = F.array_max(F.transform(cls_array, nohit_score))
+    stats = top_hits.groupBy("group_id").agg(F.count(F.lit(1)).alias("n_top"), F.min("match_score").alias("kth"))
+    needy = (g.join(stats, "group_id", "left")
+              .where(F.col("n_top").isNull() | (F.col("n_top") < k) | (F.col("kth") <= best_nohit))
+              .select("group_id", "g_years", "g_n"))
+
+    # --- 3. exact no-hit candidates for the groups that can use them ---
+    ranked = with_sequence(it_c.select("item_id", "cls"), ["cls", "item_id"], "gpos")
+    starts = ranked.groupBy("cls").agg(F.min("gpos").alias("start"))
+    ranked = ranked.join(starts, "cls").select("cls", "item_id", (F.col("gpos") - F.col("start") + 1).alias("crank"))
+    needy_ids = needy.select("group_id")
+    taken = hits.select("group_id", "item_id").join(needy_ids, "group_id", "left_semi")
     if excluded is not None:
-        taken = taken.unionByName(excluded.select("group_id", "item_id"))
+        taken = taken.unionByName(excluded.select("group_id", "item_id").join(needy_ids, "group_id", "left_semi"))
     taken = taken.distinct()
     e = (taken.join(it_c.select("item_id", "cls"), "item_id")
               .groupBy("group_id", "cls").agg(F.count(F.lit(1)).alias("e")))
-    gc = (g.select("group_id", "g_years", "g_n", F.explode(cls_array).alias("c"))
-           .select("group_id", "g_years", "g_n", "c.cls", "c.c_years", "c.n_cls")
-           .join(e, ["group_id", "cls"], "left")
-           .withColumn("n_take", F.least(F.col("n_cls"), F.lit(k) + F.coalesce(F.col("e"), F.lit(0)))))
-    fallback = (gc.select("group_id", "g_years", "g_n", "cls", F.explode(F.sequence(F.lit(1), F.col("n_take"))).alias("crank"))
+    gc = (needy.select("group_id", "g_years", "g_n", F.explode(cls_array).alias("c"))
+               .select("group_id", "g_years", "g_n", "c.cls", "c.n_cls")
+               .join(e, ["group_id", "cls"], "left")
+               .withColumn("n_take", F.least(F.col("n_cls"), F.lit(k) + F.coalesce(F.col("e"), F.lit(0)))))
+    fallback = (gc.select("group_id", "g_years", "g_n", "cls",
+                          F.explode(F.sequence(F.lit(1), F.col("n_take"))).alias("crank"))
                   .join(ranked, ["cls", "crank"])
                   .join(taken, ["group_id", "item_id"], "left_anti")
                   .join(it.select("item_id", "i_years", "n_job_skills"), "item_id")
                   .select("group_id", "item_id",
                           _skills_pct(F.lit(0), job_n()).alias("skills_match"),
                           exp_pct(F.col("g_years"), F.col("i_years")).alias("experience_match")))
-    allc = scored_hits.unionByName(fallback).withColumn(
-        "match_score", F.round(F.col("skills_match") * 0.6 + F.col("experience_match") * 0.4, 2))
-    return top_k_per(allc, ["group_id"], [F.col("match_score").desc(), F.col("item_id")], k)
+    fallback = fallback.withColumn("match_score", score(F.col("skills_match"), F.col("experience_match")))
+    allc = top_hits.drop("rank").unionByName(fallback)
+    return top_k_per(allc, ["group_id"], order, k)

@@ -49,9 +49,9 @@ def scored_pairs(a: Ats, pairs: DataFrame) -> DataFrame:
                     F.round(skills * 0.6 + exp * 0.4, 2).alias("match_score"))
 
 
-def all_hits(a: Ats, jobs: DataFrame) -> DataFrame:
+def all_hits(a: Ats, jobs: DataFrame, by: str = "applicant") -> DataFrame:
     js = mt.job_skill_rows(jobs, F.col("skills"))
-    return mt.skill_hit_counts(applicant_skills(a), js)
+    return mt.skill_hit_counts(applicant_skills(a), js, by=by)
 
 
 # ---------------------------------------------------------- oracle parts ---
@@ -136,7 +136,7 @@ def q_recommend_candidates(spark, sf_dir, k: int = 5):
     """Top-k applicants per job (every job, every applicant; no status or applied filter)."""
     a = Ats(spark, sf_dir)
     jobs = jobs_model(a)
-    hits = all_hits(a, jobs).select(F.col("job_id").alias("group_id"),
+    hits = all_hits(a, jobs, by="job").select(F.col("job_id").alias("group_id"),
                                     F.col("applicant_id").alias("item_id"), "n_hit")
     groups = jobs.select(F.col("job_id").alias("group_id"), F.col("req_years").alias("years"),
                          F.size("skills").alias("n_job_skills"))
