@@ -182,6 +182,32 @@ def top_k_recommendations(hits: DataFrame, groups: DataFrame, items: DataFrame,
                        .drop("_r", "n_ex"))
         top_hits = top_k_per(short.join(ex, ["group_id", "item_id"], "left_anti"), ["group_id"], order, k)
 
+    def taken_for(needy_ids: DataFrame) -> DataFrame:
+        return hits.select("group_id", "item_id").join(needy_ids, "group_id", "left_semi")
+
+    return no_hit_completion(top_hits, groups, items, k, group_is_applicant, taken_for, excluded)
+
+
+def no_hit_completion(top_hits: DataFrame, groups: DataFrame, items: DataFrame, k: int,
+                      group_is_applicant: bool, taken_for, excluded: DataFrame | None) -> DataFrame:
+    """Merge no-hit candidates into per-group top-k hit lists (steps 2-3 of
+    :func:`top_k_recommendations`).  ``taken_for(needy_group_ids)`` returns the (group_id,
+    item_id) hit pairs of those groups."""
+    def exp_pct(g_years, i_years):
+        return (experience_match_pct(g_years, i_years) if group_is_applicant
+                else experience_match_pct(i_years, g_years))
+
+    def n_skills(df):
+        return F.col("n_job_skills") if "n_job_skills" in df.columns else F.lit(1)
+
+    def score(skills, exp):
+        return F.round(skills * 0.6 + exp * 0.4, 2)
+
+    g = groups.select("group_id", F.col("years").alias("g_years"), n_skills(groups).alias("g_n"))
+    it = items.select("item_id", F.col("years").alias("i_years"), n_skills(items).alias("n_job_skills"))
+    job_n = (lambda: F.col("n_job_skills")) if group_is_applicant else (lambda: F.col("g_n"))
+    order = [F.col("match_score").desc(), F.col("item_id")]
+
     # --- 2. class domain and the best no-hit score per group ---
     it_c = it.withColumn("cls", _class_key(F.col("i_years"), F.col("n_job_skills")))
     classes = (it_c.groupBy("cls").agg(F.first("i_years").alias("c_years"),
@@ -213,7 +239,7 @@ def top_k_recommendations(hits: DataFrame, groups: DataFrame, items: DataFrame,
     starts = ranked.groupBy("cls").agg(F.min("gpos").alias("start"))
     ranked = ranked.join(starts, "cls").select("cls", "item_id", (F.col("gpos") - F.col("start") + 1).alias("crank"))
     needy_ids = needy.select("group_id")
-    taken = hits.select("group_id", "item_id").join(needy_ids, "group_id", "left_semi")
+    taken = taken_for(needy_ids)
     if excluded is not None:
         taken = taken.unionByName(excluded.select("group_id", "item_id").join(needy_ids, "group_id", "left_semi"))
     taken = taken.distinct()
@@ -234,3 +260,87 @@ def top_k_recommendations(hits: DataFrame, groups: DataFrame, items: DataFrame,
     fallback = fallback.withColumn("match_score", score(F.col("skills_match"), F.col("experience_match")))
     allc = top_hits.drop("rank").unionByName(fallback)
     return top_k_per(allc, ["group_id"], order, k)
+
+
+MAX_YEAR_VALUES = 10_000
+
+
+def _years_key(y: Column) -> Column:
+    return F.coalesce(y.cast("string"), F.lit("NA"))
+
+
+def top_k_jobs_by_list(applicant_skills: DataFrame, applicants: DataFrame, jobs: DataFrame, k: int,
+                       excluded: DataFrame | None = None) -> DataFrame:
+    """Exact top-k jobs per applicant, (applicant_id, item_id, skills_match, experience_match,
+    match_score, rank), computed through job *skill lists* instead of job pairs.
+
+    ``applicant_skills``: (applicant_id, skill) normalised; ``applicants``: (applicant_id,
+    years); ``jobs``: (job_id, skills array, req_years); ``excluded``: (applicant_id, job_id).
+
+    The skill part of a score depends only on (applicant, skill list) and the experience
+    part only on (applicant years, job years).  So hits are counted per (applicant, list);
+    every job is ranked once per applicant-years value inside its list by (experience desc,
+    id); and each hit (applicant, list) expands to the first k + (applied jobs in the list)
+    jobs of that ranking.  Lists an applicant does not hit score 0 on skills and come from
+    the per-class fallback of :func:`top_k_recommendations`, only for applicants whose
+    k-th hit score does not beat the best no-hit score.
+    """
+    jb = jobs.select("job_id", F.col("skills").alias("lst"), "req_years", F.size("skills").alias("n"))
+    lists = jb.select("lst", "n").distinct()
+    lw = lists.select("lst", "n", F.posexplode("lst").alias("pos", "word"))
+    a = applicant_skills.select("applicant_id", "skill").distinct()
+    m = either_contains_pairs(lw.select("word"), a.select("skill")).select(
+        F.col("left_value").alias("word"), F.col("right_value").alias("skill"))
+    app_word = a.join(m, "skill").select("applicant_id", "word").distinct().repartition("applicant_id")
+    hits = (app_word.join(maybe_broadcast(lw, BROADCAST_ROWS), "word")
+                    .groupBy("applicant_id", "lst", "n").agg(F.count(F.lit(1)).alias("h")))
+
+    # applicant-years domain (bounded value set) and the per-(years, list) job ranking
+    ap = applicants.select("applicant_id", F.col("years").alias("y"), _years_key(F.col("years")).alias("ykey"))
+    ydom = ap.select("ykey", "y").distinct().limit(MAX_YEAR_VALUES + 1).collect()
+    if len(ydom) > MAX_YEAR_VALUES:
+        raise ValueError(f"more than {MAX_YEAR_VALUES} distinct applicant experience values")
+    yarr = F.array(*[F.struct(F.lit(r["ykey"]).alias("ykey"), F.lit(r["y"]).cast("double").alias("y"))
+                     for r in ydom]) if ydom else F.array().cast("array<struct<ykey:string,y:double>>")
+    per_y = (jb.select("job_id", "lst", "req_years", F.explode(yarr).alias("yy"))
+               .select("job_id", "lst", "req_years", F.col("yy.ykey").alias("ykey"),
+                       experience_match_pct(F.col("yy.y"), F.col("req_years")).alias("exp")))
+    ranked = with_sequence(per_y, ["ykey", "lst", F.col("exp").desc(), "job_id"], "gpos")
+    starts = ranked.groupBy("ykey", "lst").agg(F.min("gpos").alias("start"))
+    ranked = ranked.join(starts, ["ykey", "lst"]).select(
+        "ykey", "lst", (F.col("gpos") - F.col("start") + 1).alias("lrank"), "job_id", "exp")
+
+    # expand each hit (applicant, list) to its first k + x jobs, x = applied jobs in the list
+    cand = hits.join(ap, "applicant_id")
+    if excluded is not None:
+        ex = excluded.select("applicant_id", "job_id").distinct()
+        x = (ex.join(jb.select("job_id", "lst"), "job_id")
+               .groupBy("applicant_id", "lst").agg(F.count(F.lit(1)).alias("x")))
+        cand = cand.join(x, ["applicant_id", "lst"], "left")
+        depth = F.lit(k) + F.coalesce(F.col("x"), F.lit(0))
+    else:
+        depth = F.lit(k)
+    rows = (cand.select("applicant_id", "ykey", "lst", "n", "h",
+                        F.explode(F.sequence(F.lit(1), depth)).alias("lrank"))
+                .join(ranked, ["ykey", "lst", "lrank"]))
+    if excluded is not None:
+        rows = rows.join(ex, ["applicant_id", "job_id"], "left_anti")
+    scored = rows.select(F.col("applicant_id").alias("group_id"), F.col("job_id").alias("item_id"),
+                         _skills_pct(F.col("h"), F.col("n")).alias("skills_match"),
+                         F.col("exp").alias("experience_match"))
+    scored = scored.withColumn("match_score", F.round(F.col("skills_match") * 0.6 + F.col("experience_match") * 0.4, 2))
+    order = [F.col("match_score").desc(), F.col("item_id")]
+    top_hits = top_k_per(scored, ["group_id"], order, k)
+
+    # no-hit candidates, for the applicants that can use them
+    def taken_for(needy_ids: DataFrame) -> DataFrame:
+        hl = hits.join(needy_ids.withColumnRenamed("group_id", "applicant_id"), "applicant_id", "left_semi")
+        return (hl.join(jb.select("job_id", "lst"), "lst")
+                  .select(F.col("applicant_id").alias("group_id"), F.col("job_id").alias("item_id")))
+
+    groups = ap.select(F.col("applicant_id").alias("group_id"), F.col("y").alias("years"))
+    items = jb.select(F.col("job_id").alias("item_id"), F.col("req_years").alias("years"),
+                      F.col("n").alias("n_job_skills"))
+    ex_g = None if excluded is None else excluded.select(
+        F.col("applicant_id").alias("group_id"), F.col("job_id").alias("item_id"))
+    return no_hit_completion(top_hits, groups, items, k, True, taken_for, ex_g)

@@ -107,14 +107,9 @@ def q_recommend_jobs(spark, sf_dir, k: int = 5):
 
 def recommend_jobs(a: Ats, k: int):
     jobs = jobs_model(a).where(F.col("status") == "Open")
-    hits = all_hits(a, jobs).select(F.col("applicant_id").alias("group_id"),
-                                    F.col("job_id").alias("item_id"), "n_hit")
-    applied = a.ats_application_rows.select(F.col("applicant_id").alias("group_id"),
-                                            F.col("job_id").alias("item_id"))
-    groups = applicant_model(a).select(F.col("applicant_id").alias("group_id"), "years")
-    items = jobs.select(F.col("job_id").alias("item_id"), F.col("req_years").alias("years"),
-                        F.size("skills").alias("n_job_skills"))
-    top = mt.top_k_recommendations(hits, groups, items, k, group_is_applicant=True, excluded=applied)
+    applied = a.ats_application_rows.select("applicant_id", "job_id")
+    top = mt.top_k_jobs_by_list(applicant_skills(a), applicant_model(a).select("applicant_id", "years"),
+                                jobs.select("job_id", "skills", "req_years"), k, excluded=applied)
     return (top.join(jobs.select(F.col("job_id").alias("item_id"), "title", "company"), "item_id")
                .select(F.col("group_id").alias("applicant_id"), F.col("item_id").alias("job_id"),
                        "title", "company", "match_score",
