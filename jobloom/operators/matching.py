@@ -344,3 +344,91 @@ def top_k_jobs_by_list(applicant_skills: DataFrame, applicants: DataFrame, jobs:
     ex_g = None if excluded is None else excluded.select(
         F.col("applicant_id").alias("group_id"), F.col("job_id").alias("item_id"))
     return no_hit_completion(top_hits, groups, items, k, True, taken_for, ex_g)
+
+
+def top_k_applicants_by_list(applicant_skills: DataFrame, applicants: DataFrame, jobs: DataFrame,
+                             k: int) -> DataFrame:
+    """Exact top-k applicants per job, (group_id=job_id, item_id=applicant_id, skills_match,
+    experience_match, match_score, rank).
+
+    Jobs with the same (skill list, required years) share one ranking, so it is computed
+    once per such signature and joined back to the jobs.  For a list, applicants with the
+    same hit count and the same years tie; these tie classes are scored per signature, only
+    the classes that can reach the top k are expanded (to their first k applicants by id),
+    and applicants that miss the list entirely form one class per years value, expanded
+    through a distributed (years, id) numbering minus the applicants that do hit it.
+    """
+    jb = jobs.select("job_id", F.col("skills").alias("lst"), "req_years", F.size("skills").alias("n"),
+                     _years_key(F.col("req_years")).alias("rkey"))
+    sig = jb.select("lst", "n", "req_years", "rkey").distinct()
+    lists = sig.select("lst", "n").distinct()
+    lw = lists.select("lst", "n", F.posexplode("lst").alias("pos", "word"))
+    a = applicant_skills.select("applicant_id", "skill").distinct()
+    m = either_contains_pairs(lw.select("word"), a.select("skill")).select(
+        F.col("left_value").alias("word"), F.col("right_value").alias("skill"))
+    app_word = a.join(m, "skill").select("applicant_id", "word").distinct()
+    ap = applicants.select("applicant_id", F.col("years").alias("y"), _years_key(F.col("years")).alias("ykey"))
+    hits = (app_word.join(maybe_broadcast(lw, BROADCAST_ROWS), "word")
+                    .groupBy("applicant_id", "lst", "n").agg(F.count(F.lit(1)).alias("h"))
+                    .join(ap, "applicant_id"))
+
+    # tie classes of hitting applicants, numbered by id inside each (list, h, years)
+    ranked = with_sequence(hits.select("lst", "h", "ykey", "applicant_id"), ["lst", "h", "ykey", "applicant_id"], "gpos")
+    cstart = ranked.groupBy("lst", "h", "ykey").agg(F.min("gpos").alias("start"), F.count(F.lit(1)).alias("cnt"))
+    ranked = ranked.join(cstart, ["lst", "h", "ykey"]).select(
+        "lst", "h", "ykey", (F.col("gpos") - F.col("start") + 1).alias("crank"), "applicant_id")
+    yd = ap.groupBy("ykey", "y").agg(F.count(F.lit(1)).alias("ycnt"))
+    ydom = yd.limit(MAX_YEAR_VALUES + 1).collect()
+    if len(ydom) > MAX_YEAR_VALUES:
+        raise ValueError(f"more than {MAX_YEAR_VALUES} distinct applicant experience values")
+    yarr = F.array(*[F.struct(F.lit(r["ykey"]).alias("ykey"), F.lit(r["ycnt"]).cast("long").alias("ycnt"))
+                     for r in ydom]) if ydom else F.array().cast("array<struct<ykey:string,ycnt:bigint>>")
+    hit_cls = cstart.select("lst", "h", "ykey", "cnt")
+    # one no-hit class per (list, years value): the years domain is a bounded literal
+    nohit_cls = (lists.select("lst", F.explode(yarr).alias("yy"))
+                 .select("lst", F.col("yy.ykey").alias("ykey"), F.col("yy.ycnt").alias("ycnt"))
+                 .join(hit_cls.groupBy("lst", "ykey").agg(F.sum("cnt").alias("hit_cnt")), ["lst", "ykey"], "left")
+                 .select("lst", F.lit(0).cast("long").alias("h"), "ykey",
+                         (F.col("ycnt") - F.coalesce(F.col("hit_cnt"), F.lit(0))).alias("cnt"))
+                 .where(F.col("cnt") > 0))
+    classes = hit_cls.unionByName(nohit_cls).join(yd.select("ykey", "y"), "ykey")
+
+    # score each class for each signature, keep classes that can reach the top k
+    sc = (sig.join(classes, "lst")
+             .withColumn("skills_match", _skills_pct(F.col("h"), F.col("n")))
+             .withColumn("experience_match", experience_match_pct(F.col("y"), F.col("req_years")))
+             .withColumn("match_score", F.round(F.col("skills_match") * 0.6 + F.col("experience_match") * 0.4, 2)))
+    # classes strictly ahead of a class hold fewer than k applicants -> it can reach the top k
+    better = Window.partitionBy("lst", "rkey").orderBy(F.col("match_score").desc()).rangeBetween(
+        Window.unboundedPreceding, Window.currentRow)
+    kept = (sc.withColumn("upto", F.sum("cnt").over(better))
+              .withColumn("ahead", F.col("upto") - F.sum("cnt").over(
+                  Window.partitionBy("lst", "rkey", "match_score")))
+              .where(F.col("ahead") < k))
+
+    take = kept.select("lst", "rkey", "h", "ykey", "skills_match", "experience_match", "match_score",
+                       F.explode(F.sequence(F.lit(1), F.least(F.col("cnt"), F.lit(k)))).alias("j"))
+    rk = ranked.select(F.col("lst").alias("r_lst"), F.col("h").alias("r_h"), F.col("ykey").alias("r_ykey"),
+                       F.col("crank").alias("r_j"), F.col("applicant_id"))
+    from_hits = (take.where(F.col("h") > 0)
+                     .join(rk, (F.col("lst") == F.col("r_lst")) & (F.col("h") == F.col("r_h"))
+                           & (F.col("ykey") == F.col("r_ykey")) & (F.col("j") == F.col("r_j")))
+                     .select("lst", "rkey", "applicant_id", "skills_match", "experience_match", "match_score"))
+    # applicants missing the list: first k of their years class that do not hit it
+    nh = take.where(F.col("h") == 0).select("lst", "rkey", "ykey", "skills_match", "experience_match",
+                                             "match_score").distinct()
+    by_y = with_sequence(ap.select("ykey", "applicant_id"), ["ykey", "applicant_id"], "ypos")
+    ystart = by_y.groupBy("ykey").agg(F.min("ypos").alias("s0"))
+    by_y = by_y.join(ystart, "ykey").select("ykey", (F.col("ypos") - F.col("s0") + 1).alias("yrank"), "applicant_id")
+    e = hit_cls.groupBy("lst", "ykey").agg(F.sum("cnt").alias("e"))
+    nh_rows = (nh.join(e, ["lst", "ykey"], "left")
+                 .select("lst", "rkey", "ykey", "skills_match", "experience_match", "match_score",
+                         F.explode(F.sequence(F.lit(1), F.lit(k) + F.coalesce(F.col("e"), F.lit(0)))).alias("yrank"))
+                 .join(by_y, ["ykey", "yrank"])
+                 .join(hits.select("lst", "applicant_id"), ["lst", "applicant_id"], "left_anti")
+                 .select("lst", "rkey", "applicant_id", "skills_match", "experience_match", "match_score"))
+    per_sig = top_k_per(from_hits.unionByName(nh_rows), ["lst", "rkey"],
+                        [F.col("match_score").desc(), F.col("applicant_id")], k)
+    return jb.join(per_sig, ["lst", "rkey"]).select(
+        F.col("job_id").alias("group_id"), F.col("applicant_id").alias("item_id"),
+        "skills_match", "experience_match", "match_score", "rank")

@@ -131,12 +131,8 @@ def q_recommend_candidates(spark, sf_dir, k: int = 5):
     """Top-k applicants per job (every job, every applicant; no status or applied filter)."""
     a = Ats(spark, sf_dir)
     jobs = jobs_model(a)
-    hits = all_hits(a, jobs, by="job").select(F.col("job_id").alias("group_id"),
-                                    F.col("applicant_id").alias("item_id"), "n_hit")
-    groups = jobs.select(F.col("job_id").alias("group_id"), F.col("req_years").alias("years"),
-                         F.size("skills").alias("n_job_skills"))
-    items = applicant_model(a).select(F.col("applicant_id").alias("item_id"), "years")
-    top = mt.top_k_recommendations(hits, groups, items, k, group_is_applicant=False)
+    top = mt.top_k_applicants_by_list(applicant_skills(a), applicant_model(a).select("applicant_id", "years"),
+                                      jobs.select("job_id", "skills", "req_years"), k)
     return (top.join(applicant_model(a).select(F.col("applicant_id").alias("item_id"), "name"), "item_id")
                .select(F.col("group_id").alias("job_id"), F.col("item_id").alias("applicant_id"), "name",
                        "match_score", F.round("skills_match", 6).alias("skills_match"),

@@ -72,3 +72,53 @@ def test_fuzzy_pairs_broadcast_and_banded_agree(spark):
 def test_ratio_threshold_is_inclusive(spark):
     df = spark.createDataFrame([("abcdefghij", "abcdefgxyz")], "a string, b string")
     assert df.select(sc.levenshtein_ratio("a", "b") >= 0.7).first()[0]
+
+
+def _random_case(seed):
+    rnd = random.Random(seed)
+    vocab = ["ab", "abc", "b", "cab", "bca", "ca", "a"]
+    lists = [[rnd.choice(vocab) for _ in range(rnd.randint(1, 3))] for _ in range(6)]
+    jobs = {j: (rnd.choice(lists), rnd.choice([None, 0.0, 1.0, 2.0, 3.0])) for j in range(40)}
+    apps = {a: sorted({rnd.choice(vocab) for _ in range(rnd.randint(0, 2))}) for a in range(14)}
+    years = {a: rnd.choice([None, 0.0, 1.0, 2.5]) for a in apps}
+    excluded = {(a, j) for a in apps for j in jobs if rnd.random() < 0.2}
+    return jobs, apps, years, excluded
+
+
+def _frames(spark, jobs, apps, years):
+    jdf = spark.createDataFrame([(j, s, r) for j, (s, r) in jobs.items()], "job_id long, skills array<string>, req_years double")
+    adf = spark.createDataFrame([(a, s) for a, ss in apps.items() for s in ss] or [(0, "zz")], "applicant_id long, skill string")
+    ydf = spark.createDataFrame(list(years.items()), "applicant_id long, years double")
+    return jdf, adf, ydf
+
+
+def _per_group(rows):
+    got = {}
+    for r in sorted(rows, key=lambda r: (r.group_id, r.rank)):
+        got.setdefault(r.group_id, []).append(r.item_id)
+    return got
+
+
+def test_top_k_jobs_by_list_vs_brute_force(spark):
+    for seed in (3, 11):
+        jobs, apps, years, excluded = _random_case(seed)
+        jdf, adf, ydf = _frames(spark, jobs, apps, years)
+        ex = spark.createDataFrame(sorted(excluded), "applicant_id long, job_id long")
+        got = _per_group(mt.top_k_jobs_by_list(adf, ydf, jdf, 4, ex).collect())
+        assert got == _brute_top_k(apps, jobs, years, 4, excluded)
+
+
+def test_top_k_applicants_by_list_vs_brute_force(spark):
+    jobs, apps, years, _ = _random_case(5)
+    jdf, adf, ydf = _frames(spark, jobs, apps, years)
+    got = _per_group(mt.top_k_applicants_by_list(adf, ydf, jdf, 3).collect())
+    want = {}
+    for j, (jskills, r) in jobs.items():
+        cands = []
+        for a, askills in apps.items():
+            s = sum(1 for x in jskills if any(y in x or x in y for y in askills)) / len(jskills) * 100.0
+            y = years[a]
+            e = 50.0 if y is None or r is None else (100.0 if y >= r else y / r * 100.0)
+            cands.append((-round(s * 0.6 + e * 0.4, 2), a))
+        want[j] = [a for _, a in sorted(cands)[:3]]
+    assert got == want
