@@ -14,11 +14,12 @@ from pyspark.sql import functions as F
 
 from ..functions import catalog as cat
 from ..functions import text as tx
+from .partitioning import spread
 from .topk import top_k_per
 
 
 def by_doc(docs: DataFrame, id_col: str) -> DataFrame:
-    return docs.repartition(id_col)
+    return spread(docs, id_col)
 
 
 # ------------------------------------------------------------------ keywords ---

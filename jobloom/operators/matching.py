@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scoring import experience_match_pct
+from .partitioning import spread
 from .sequence import with_sequence
 from .topk import top_k_per
 
@@ -108,10 +109,10 @@ def skill_hit_counts(applicant_skills: DataFrame, job_skills: DataFrame,
     app_job_skill = (a.join(m, F.col("skill") == F.col("app_skill"))
                       .select("applicant_id", "job_skill").distinct())
     if by == "applicant":
-        rows = (app_job_skill.repartition("applicant_id")
+        rows = (spread(app_job_skill, "applicant_id")
                 .join(maybe_broadcast(js, BROADCAST_ROWS), F.col("job_skill") == F.col("skill")))
     else:
-        rows = (js.repartition("job_id")
+        rows = (spread(js, "job_id")
                 .join(maybe_broadcast(app_job_skill, BROADCAST_ROWS), F.col("job_skill") == F.col("skill")))
     return (rows.select("applicant_id", "job_id", "pos")
                 .groupBy("applicant_id", "job_id").agg(F.count(F.lit(1)).alias("n_hit")))
@@ -291,7 +292,7 @@ def top_k_jobs_by_list(applicant_skills: DataFrame, applicants: DataFrame, jobs:
     a = applicant_skills.select("applicant_id", "skill").distinct()
     m = either_contains_pairs(lw.select("word"), a.select("skill")).select(
         F.col("left_value").alias("word"), F.col("right_value").alias("skill"))
-    app_word = a.join(m, "skill").select("applicant_id", "word").distinct().repartition("applicant_id")
+    app_word = spread(a.join(m, "skill").select("applicant_id", "word").distinct(), "applicant_id")
     hits = (app_word.join(maybe_broadcast(lw, BROADCAST_ROWS), "word")
                     .groupBy("applicant_id", "lst", "n").agg(F.count(F.lit(1)).alias("h")))
 
@@ -316,15 +317,29 @@ def top_k_jobs_by_list(applicant_skills: DataFrame, applicants: DataFrame, jobs:
         ex = excluded.select("applicant_id", "job_id").distinct()
         x = (ex.join(jb.select("job_id", "lst"), "job_id")
                .groupBy("applicant_id", "lst").agg(F.count(F.lit(1)).alias("x")))
-        cand = cand.join(x, ["applicant_id", "lst"], "left")
-        depth = F.lit(k) + F.coalesce(F.col("x"), F.lit(0))
+        cand = cand.join(x, ["applicant_id", "lst"], "left").withColumn("x", F.coalesce(F.col("x"), F.lit(0)))
     else:
-        depth = F.lit(k)
+        cand = cand.withColumn("x", F.lit(0))
+    depth = F.lit(k) + F.col("x")
+    # Prune lists that cannot reach the top k.  A list's first job has its best score (an
+    # upper bound for the list); when the applicant applied to none of the list's jobs that
+    # score is also achievable.  The k-th best achievable one is a floor for the k-th best
+    # overall, so lists whose upper bound is below it are dropped (ties kept).
+    first = maybe_broadcast(ranked.where(F.col("lrank") == 1).select("ykey", "lst", F.col("exp").alias("exp1")),
+                            BROADCAST_ROWS)
+    cand = cand.join(first, ["ykey", "lst"]).withColumn(
+        "best", F.round(_skills_pct(F.col("h"), F.col("n")) * 0.6 + F.col("exp1") * 0.4, 2))
+    sure = top_k_per(cand.where(F.col("x") == 0).select("applicant_id", "lst", "best"), ["applicant_id"],
+                     [F.col("best").desc()], k, "_r")
+    floor = (sure.groupBy("applicant_id").agg(F.count(F.lit(1)).alias("_n"), F.min("best").alias("_floor"))
+                 .where(F.col("_n") >= k).select("applicant_id", "_floor"))
+    cand = (cand.join(floor, "applicant_id", "left")
+                .where(F.col("_floor").isNull() | (F.col("best") >= F.col("_floor"))))
     rows = (cand.select("applicant_id", "ykey", "lst", "n", "h",
                         F.explode(F.sequence(F.lit(1), depth)).alias("lrank"))
-                .join(ranked, ["ykey", "lst", "lrank"]))
+                .join(maybe_broadcast(ranked, BROADCAST_ROWS), ["ykey", "lst", "lrank"]))
     if excluded is not None:
-        rows = rows.join(ex, ["applicant_id", "job_id"], "left_anti")
+        rows = rows.join(maybe_broadcast(ex, BROADCAST_ROWS), ["applicant_id", "job_id"], "left_anti")
     scored = rows.select(F.col("applicant_id").alias("group_id"), F.col("job_id").alias("item_id"),
                          _skills_pct(F.col("h"), F.col("n")).alias("skills_match"),
                          F.col("exp").alias("experience_match"))

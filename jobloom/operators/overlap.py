@@ -10,6 +10,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .matching import BROADCAST_ROWS, maybe_broadcast
+from .partitioning import spread
+
 
 def _pct(num: Column, den: Column) -> Column:
     # 0 when the job has no skills, like the reference's guard
@@ -18,11 +21,14 @@ def _pct(num: Column, den: Column) -> Column:
 
 def overlap_distinct(user_skill: DataFrame, job_skill: DataFrame) -> DataFrame:
     """|distinct user skills ∩ distinct job skills| / |distinct job skills| · 100 (detail page)."""
-    us = user_skill.select("user_id", "skill_id").distinct()
+    us = spread(user_skill.select("user_id", "skill_id").distinct(), "user_id")
     js = job_skill.select("job_id", "skill_id").distinct()
     den = js.groupBy("job_id").agg(F.count(F.lit(1)).alias("n_job_skills"))
-    hits = us.join(js, "skill_id").groupBy("user_id", "job_id").agg(F.count(F.lit(1)).alias("n_common"))
-    return (hits.join(den, "job_id")
+    # users stay hash-partitioned while the (size-checked) job side is broadcast, so the
+    # (user, job) rows are counted where they are produced and per-user windows reuse it
+    hits = (us.join(maybe_broadcast(js, BROADCAST_ROWS), "skill_id")
+              .groupBy("user_id", "job_id").agg(F.count(F.lit(1)).alias("n_common")))
+    return (hits.join(maybe_broadcast(den, BROADCAST_ROWS), "job_id")
                 .select("user_id", "job_id", "n_common", "n_job_skills",
                         _pct(F.col("n_common"), F.col("n_job_skills")).alias("overlap_pct")))
 

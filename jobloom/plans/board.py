@@ -127,9 +127,8 @@ from hits group by user_id""")
 def q_skill_overlap(spark, sf_dir):
     """user_skill ⋈ job_skill on skill, pre-aggregated per (user, job), then per user."""
     a = Ats(spark, sf_dir)
-    us = a.ats_user_skill.select("user_id", "skill_id").distinct()
-    js = a.ats_job_skill.select("job_id", "skill_id").distinct()
-    hits = us.join(js, "skill_id").groupBy("user_id", "job_id").agg(F.count(F.lit(1)).alias("c"))
+    pairs = ov.overlap_distinct(a.ats_user_skill, a.ats_job_skill)
+    hits = pairs.select("user_id", "job_id", F.col("n_common").alias("c"))
     return hits.groupBy("user_id").agg(F.count(F.lit(1)).alias("n_jobs_sharing"),
                                        F.sum("c").alias("n_common_total"), F.max("c").alias("max_common"))
 

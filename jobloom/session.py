@@ -18,6 +18,9 @@ BASE_CONF = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
+    # local mode runs everything in the driver JVM; Spark's 1g default is too small for
+    # broadcast build sides of the size the matching joins allow
+    "spark.driver.memory": "8g",
 }
 
 
