@@ -570,3 +570,16 @@ def q_skill_match_pct(spark, sf_dir):
     a = Ats(spark, sf_dir)
     s = scored_pairs(a, a.ats_application_rows)
     return s.select("applicant_id", "job_id", F.round("skills_match", 6).alias("skills_match"))
+
+
+@register("last_wins", sql="""
+with r as (select applicant_id, job_id, application_id, status,
+                  row_number() over (partition by applicant_id, job_id order by application_id desc) as rn
+           from ats_applications)
+select applicant_id, job_id, application_id as last_application_id, status from r where rn = 1""")
+def q_last_wins(spark, sf_dir):
+    """Last write per key: the most recent application (highest id) of each (applicant, job)."""
+    from ..operators.topk import last_wins
+    a = Ats(spark, sf_dir)
+    lw = last_wins(a.ats_applications, ["applicant_id", "job_id"], "application_id")
+    return lw.select("applicant_id", "job_id", F.col("application_id").alias("last_application_id"), "status")
