@@ -19,12 +19,21 @@ def latest(df: DataFrame, order_by: list, n: int) -> DataFrame:
     return df.orderBy(*order_by).limit(n)
 
 
+def _pick(df: DataFrame, key: list[str], order_by: list, fn) -> DataFrame:
+    """One row per key chosen by ``fn`` (F.min / F.max) over struct(order columns, payload):
+    structs compare field by field, so this is first/last by the order columns.  As an
+    aggregate it is combined map-side, so a hot key never gathers its raw rows in one task."""
+    order = [F.col(c) if isinstance(c, str) else c for c in order_by]
+    payload = [c for c in df.columns if c not in key]
+    packed = F.struct(*[o.alias(f"_o{i}") for i, o in enumerate(order)], *[F.col(c) for c in payload])
+    return df.groupBy(*key).agg(fn(packed).alias("_p")).select(*key, *[F.col("_p")[c].alias(c) for c in payload])
+
+
 def last_wins(df: DataFrame, key: list[str], seq_col: str) -> DataFrame:
     """Keep the row with the greatest ``seq_col`` per key (dict overwrite semantics)."""
-    w = Window.partitionBy(*key).orderBy(F.col(seq_col).desc())
-    return df.withColumn("_lw", F.row_number().over(w)).where("_lw = 1").drop("_lw")
+    return _pick(df, key, [seq_col], F.max)
 
 
 def first_wins(df: DataFrame, key: list[str], order_by: list) -> DataFrame:
-    w = Window.partitionBy(*key).orderBy(*order_by)
-    return df.withColumn("_fw", F.row_number().over(w)).where("_fw = 1").drop("_fw")
+    """Keep the first row per key in ascending ``order_by`` order (ties: any)."""
+    return _pick(df, key, order_by, F.min)
