@@ -303,7 +303,25 @@ def top_k_jobs_by_list(applicant_skills: DataFrame, applicants: DataFrame, jobs:
         raise ValueError(f"more than {MAX_YEAR_VALUES} distinct applicant experience values")
     yarr = F.array(*[F.struct(F.lit(r["ykey"]).alias("ykey"), F.lit(r["y"]).cast("double").alias("y"))
                      for r in ydom]) if ydom else F.array().cast("array<struct<ykey:string,y:double>>")
-    per_y = (jb.select("job_id", "lst", "req_years", F.explode(yarr).alias("yy"))
+    # Inside one (list, required years) class jobs tie for every applicant and go by id, so
+    # only the first k + (most jobs of the list one applicant applied to) can be reached:
+    # cut each class to that depth before multiplying by the years values.
+    if excluded is not None:
+        ex = excluded.select("applicant_id", "job_id").distinct()
+        x = (ex.join(jb.select("job_id", "lst"), "job_id")
+               .groupBy("applicant_id", "lst").agg(F.count(F.lit(1)).alias("x")))
+        depth_l = x.groupBy("lst").agg((F.max("x") + k).alias("dmax"))
+    else:
+        x = None
+        depth_l = lists.select("lst", F.lit(k).cast("long").alias("dmax"))
+    jr = jb.withColumn("rkey", _years_key(F.col("req_years")))
+    num = with_sequence(jr.select("job_id", "lst", "rkey"), ["lst", "rkey", "job_id"], "cpos")
+    cfirst = num.groupBy("lst", "rkey").agg(F.min("cpos").alias("c0"))
+    reach = (num.join(cfirst, ["lst", "rkey"]).join(depth_l, "lst", "left")
+                .where(F.col("cpos") - F.col("c0") < F.coalesce(F.col("dmax"), F.lit(k)))
+                .select("job_id"))
+    jb_cut = jb.join(reach, "job_id", "left_semi")
+    per_y = (jb_cut.select("job_id", "lst", "req_years", F.explode(yarr).alias("yy"))
                .select("job_id", "lst", "req_years", F.col("yy.ykey").alias("ykey"),
                        experience_match_pct(F.col("yy.y"), F.col("req_years")).alias("exp")))
     ranked = with_sequence(per_y, ["ykey", "lst", F.col("exp").desc(), "job_id"], "gpos")
@@ -314,9 +332,6 @@ def top_k_jobs_by_list(applicant_skills: DataFrame, applicants: DataFrame, jobs:
     # expand each hit (applicant, list) to its first k + x jobs, x = applied jobs in the list
     cand = hits.join(ap, "applicant_id")
     if excluded is not None:
-        ex = excluded.select("applicant_id", "job_id").distinct()
-        x = (ex.join(jb.select("job_id", "lst"), "job_id")
-               .groupBy("applicant_id", "lst").agg(F.count(F.lit(1)).alias("x")))
         cand = cand.join(x, ["applicant_id", "lst"], "left").withColumn("x", F.coalesce(F.col("x"), F.lit(0)))
     else:
         cand = cand.withColumn("x", F.lit(0))
