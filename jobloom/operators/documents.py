@@ -82,24 +82,52 @@ def fuzzy_dictionary_hits(phrases: DataFrame, threshold: float = 0.6, strict: bo
     return p.join(dic, bound & keep, "left_semi")
 
 
+PUNCT = r"[!-/:-@\[-`{-~]"
+
+
+def _phrases_in_order(toks: Column) -> Column:
+    """Distinct 1-3-word phrases of a token array in (start, length) order, without stop-word
+    phrases or phrases with ASCII punctuation.  ``toks`` must be a column reference."""
+    n = F.size(toks)
+    per_start = F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.array(
+        *[F.when(i + (w - 1) <= n, F.array_join(F.slice(toks, i, w), " ")) for w in (1, 2, 3)]))
+    flat = F.when(n > 0, F.flatten(per_start)).otherwise(F.array().cast("array<string>"))
+    ok = F.filter(flat, lambda p: p.isNotNull() & ~p.isin(*cat.ENGLISH_STOP_WORDS) & ~p.rlike(PUNCT))
+    return F.array_distinct(ok)
+
+
 def skills_extract(docs: DataFrame, id_col: str, text_col: str, fuzzy: bool = True) -> DataFrame:
     """(id, skill, rank): dictionary skills in dictionary order, then fuzzy phrase skills in text
-    order (shorter phrase first at the same position), first occurrence kept."""
-    cleaned = docs.select(id_col, tx.clean_text(F.col(text_col)).alias("clean"))
-    dict_rows = dictionary_skill_rows(cleaned, id_col, "clean").select(
-        id_col, "skill", F.lit(0).alias("src"), F.col("order").cast("long").alias("order"),
-        F.lit(0).alias("n_words"))
-    rows = dict_rows
+    order (shorter phrase first at the same position), first occurrence kept.
+
+    One pass over the text: each row yields its dictionary hits and its candidate phrases
+    (distinct, in order) as one array, exploded once into an explicitly partitioned exchange.
+    The distinct phrases for the dictionary comparison and the per-document ranking both
+    read that exchange (the shuffle is reused), so the text is cleaned only once."""
+    order_arr = F.array(*[F.lit(p) for p in cat.SKILL_PATTERNS])
+    # spread the texts first: the regex work below is per row, and an input of few files
+    # would otherwise run it in as many tasks as there are files
+    c1 = by_doc(docs.select(id_col, text_col), id_col).select(id_col, tx.clean_text(F.col(text_col)).alias("clean"))
+    c2 = c1.select(id_col, tx.dictionary_skills(F.col("clean")).alias("dict"), tx.tokens(F.col("clean")).alias("toks"))
+    dict_items = F.transform("dict", lambda d: F.struct(
+        F.lit(0).alias("src"), (F.array_position(order_arr, d) - 1).cast("long").alias("ord"), d.alias("skill")))
+    if fuzzy:
+        c3 = c2.select(id_col, "dict", _phrases_in_order(F.col("toks")).alias("ph"))
+        ph_items = F.transform("ph", lambda p, i: F.struct(F.lit(1).alias("src"), i.cast("long").alias("ord"),
+                                                           p.alias("skill")))
+        items = F.concat(dict_items, ph_items)
+    else:
+        c3 = c2
+        items = dict_items
+    rows = spread(c3.select(id_col, F.explode(items).alias("it")).select(id_col, "it.*"), id_col)
     if fuzzy:
-        cand = candidate_phrases(cleaned, id_col, "clean")
-        hits = fuzzy_dictionary_hits(cand)
-        fz = cand.join(hits, "phrase", "left_semi").select(
-            id_col, F.col("phrase").alias("skill"), F.lit(1).alias("src"), F.col("first_pos").cast("long").alias("order"),
-            F.size(F.split("phrase", " ")).alias("n_words"))
-        rows = rows.unionByName(fz)
-    w = Window.partitionBy(id_col, "skill").orderBy("src", "order", "n_words")
+        hits = fuzzy_dictionary_hits(rows.where(F.col("src") == 1).select(F.col("skill").alias("phrase")))
+        # small by nature (phrases near a 148-entry dictionary); AQE picks broadcast at run time
+        ok = hits.select(F.col("phrase").alias("skill"), F.lit(True).alias("_ok"))
+        rows = rows.join(ok, "skill", "left").where((F.col("src") == 0) | F.col("_ok").isNotNull()).drop("_ok")
+    w = Window.partitionBy(id_col, "skill").orderBy("src", "ord")
     first = rows.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
-    rank = Window.partitionBy(id_col).orderBy("src", "order", "n_words")
+    rank = Window.partitionBy(id_col).orderBy("src", "ord")
     return first.select(id_col, "skill", F.row_number().over(rank).cast("long").alias("rank"))
 
 
@@ -144,10 +172,10 @@ def section_interval(sections: DataFrame, id_col: str, word: str) -> DataFrame:
              .select(id_col, "start_line", "end_line"))
 
 
-def education_entries(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def education_entries(docs: DataFrame, id_col: str, text_col: str, sections: DataFrame | None = None) -> DataFrame:
     """(id, entry_no, entry): paragraphs of the education section (header line included),
     each run of non-blank stripped lines joined by a space."""
-    sec = resume_sections(docs, id_col, text_col)
+    sec = sections if sections is not None else resume_sections(docs, id_col, text_col)
     iv = section_interval(sec, id_col, "education")
     ln = lines(docs, id_col, text_col).join(iv, id_col).where(
         (F.col("pos") >= F.col("start_line")) & (F.col("pos") < F.col("end_line")))
@@ -163,7 +191,8 @@ def education_entries(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def education_sentences(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, sentence_no, sentence) for sentences containing an education keyword as a substring."""
-    s = docs.select(id_col, F.posexplode(tx.sentences(F.col(text_col))).alias("sentence_no", "sentence"))
+    s = by_doc(docs.select(id_col, text_col), id_col).select(
+        id_col, F.posexplode(tx.sentences(F.col(text_col))).alias("sentence_no", "sentence"))
     return s.where(tx.has_education_keyword(F.col("sentence"))).select(
         id_col, F.col("sentence_no").cast("long").alias("sentence_no"), "sentence")
 
@@ -175,12 +204,13 @@ def _month_year(s: Column):
             F.split_part(s, F.lit("/"), F.lit(2)).try_cast("int"))
 
 
-def resume_positions(docs: DataFrame, id_col: str, text_col: str, as_of: str) -> DataFrame:
+def resume_positions(docs: DataFrame, id_col: str, text_col: str, as_of: str,
+                     sections: DataFrame | None = None) -> DataFrame:
     """(id, line_no, title, start, end, period) for lines of the experience section (all lines
     when there is none) holding a 'MM/YYYY - MM/YYYY|present|now' range.  Months are
     (Δyear·12 + Δmonth), negative periods kept; dates are month starts; open ends use ``as_of``.
     Lines whose month is not 1-12 are skipped as unparseable."""
-    sec = resume_sections(docs, id_col, text_col)
+    sec = sections if sections is not None else resume_sections(docs, id_col, text_col)
     iv = section_interval(sec, id_col, "experience")
     ln = lines(docs, id_col, text_col).join(iv, id_col, "left").where(
         F.col("start_line").isNull() | ((F.col("pos") >= F.col("start_line")) & (F.col("pos") < F.col("end_line"))))
@@ -203,9 +233,10 @@ def resume_positions(docs: DataFrame, id_col: str, text_col: str, as_of: str) ->
         ((ey - sy) * 12 + (em - sm)).cast("long").alias("period")))
 
 
-def resume_yoe(docs: DataFrame, id_col: str, text_col: str, as_of: str) -> DataFrame:
+def resume_yoe(docs: DataFrame, id_col: str, text_col: str, as_of: str,
+               positions: DataFrame | None = None) -> DataFrame:
     """(id, yoe): Σ max(period, 0) / 12 rounded to 2; 0 without positions."""
-    pos = resume_positions(docs, id_col, text_col, as_of)
+    pos = positions if positions is not None else resume_positions(docs, id_col, text_col, as_of)
     tot = pos.groupBy(id_col).agg(F.sum(F.greatest(F.col("period"), F.lit(0))).alias("months"))
     return (docs.select(id_col).join(tot, id_col, "left")
                 .select(id_col, F.round(F.coalesce(F.col("months"), F.lit(0)) / 12.0, 2).alias("yoe")))
@@ -220,7 +251,8 @@ def _word_index(words: list[str], w: Column) -> Column:
 def job_titles(docs: DataFrame, id_col: str, text_col: str, k: int = 5) -> DataFrame:
     """(id, rank, title): up to k distinct title matches, shortest first; equally long titles
     keep the order of (prefix, domain, specialty) in the title vocabulary, then text order."""
-    m = docs.select(id_col, F.posexplode(tx.title_matches(F.col(text_col))).alias("at", "title"))
+    m = by_doc(docs.select(id_col, text_col), id_col).select(
+        id_col, F.posexplode(tx.title_matches(F.col(text_col))).alias("at", "title"))
     norm = F.regexp_replace(F.lower("title"), r"\s+", " ")
     words = F.split(norm, " ")
     last = F.element_at(words, -1)

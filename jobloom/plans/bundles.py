@@ -22,10 +22,11 @@ def _joined(df, id_col: str, order_col: str, value_col: str, sep: str, name: str
                                  lambda s: s[value_col]), sep).alias(name))
 
 
-def _text_bundle(docs, id_col: str):
+def _text_bundle(docs, id_col: str, sections=None):
     skills = _joined(dc.skills_extract(docs, id_col, "text"), id_col, "rank", "skill", ", ", "skills")
     kws = _joined(dc.top_keywords(docs, id_col, "text"), id_col, "rank", "keyword", ", ", "keywords")
-    secs = _joined(dc.resume_sections(docs, id_col, "text"), id_col, "first_seen", "section", ", ", "sections")
+    sec = sections if sections is not None else dc.resume_sections(docs, id_col, "text")
+    secs = _joined(sec, id_col, "first_seen", "section", ", ", "sections")
     return skills, kws, secs
 
 
@@ -51,10 +52,11 @@ def q_parse_postings(spark, sf_dir):
                          F.coalesce("sections", F.lit("")).alias("sections")))
 
 
-def education_or_sentences(docs, id_col: str):
+def education_or_sentences(docs, id_col: str, sections=None):
     """Education entries of the education section; résumés without one fall back to
     sentences that mention an education keyword."""
-    entries = dc.education_entries(docs, id_col, "text").select(id_col, F.col("entry_no").alias("n"), "entry")
+    entries = dc.education_entries(docs, id_col, "text", sections).select(
+        id_col, F.col("entry_no").alias("n"), "entry")
     missing = docs.join(entries.select(id_col).distinct(), id_col, "left_anti")
     sentences = dc.education_sentences(missing, id_col, "text").select(
         id_col, F.col("sentence_no").alias("n"), F.col("sentence").alias("entry"))
@@ -87,10 +89,13 @@ def q_parse_resumes(spark, sf_dir, as_of: str = AS_OF):
     """Everything extracted from a résumé: skills, keywords, education, years, sections, titles."""
     a = Ats(spark, sf_dir)
     docs = a.ats_resumes
-    skills, kws, secs = _text_bundle(docs, "applicant_id")
-    edu = _joined(education_or_sentences(docs, "applicant_id"), "applicant_id", "n", "entry", " | ", "education")
+    sections = dc.resume_sections(docs, "applicant_id", "text")
+    skills, kws, secs = _text_bundle(docs, "applicant_id", sections)
+    edu = _joined(education_or_sentences(docs, "applicant_id", sections), "applicant_id", "n", "entry", " | ",
+                  "education")
     titles = _joined(dc.job_titles(docs, "applicant_id", "text"), "applicant_id", "rank", "title", ", ", "titles")
-    yoe = dc.resume_yoe(docs, "applicant_id", "text", as_of)
+    positions = dc.resume_positions(docs, "applicant_id", "text", as_of, sections)
+    yoe = dc.resume_yoe(docs, "applicant_id", "text", as_of, positions)
     out = yoe
     for part in (skills, kws, secs, edu, titles):
         out = out.join(part, "applicant_id", "left")
