@@ -122,7 +122,7 @@ def q_match_bucket(spark, sf_dir):
 with js as (select distinct job_id, skill_id from ats_job_skill),
 hits as (select u.user_id, js.job_id, count(*) as c from ats_user_skill u join js on u.skill_id = js.skill_id
          group by u.user_id, js.job_id)
-select user_id, count(*) as n_jobs_sharing, sum(c) as n_common_total, max(c) as max_common
+select user_id, count(*) as n_jobs_sharing, cast(sum(c) as bigint) as n_common_total, max(c) as max_common
 from hits group by user_id""")
 def q_skill_overlap(spark, sf_dir):
     """user_skill ⋈ job_skill on skill, pre-aggregated per (user, job), then per user."""

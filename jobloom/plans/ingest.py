@@ -67,7 +67,7 @@ def hits_projected(a: Ats, base_url: str = BASE_URL):
 @register("source_json_hits", sql=f"""
 with {_SQL_HITS}
 select hit_id, title, name, short_name, short_title, posted_at,
-       coalesce(json_array_length(json, '$.hit.locations'), 0) as n_locations
+       cast(coalesce(json_array_length(json, '$.hit.locations'), 0) as bigint) as n_locations
 from hp join ats_hits using (hit_id) where title is not null and name is not null""")
 def q_source_json_hits(spark, sf_dir):
     """Parse nested search hits; hits missing required fields are skipped."""
