@@ -2,10 +2,13 @@
 
 The reference scores one applicant against every job in a Python loop.  Here the
 work goes through skill *values*: distinct skill strings on both sides are matched
-once (exact substring join on n-gram keys), then equi-joined back to applicants
-and jobs.  Only pairs with at least one skill hit are ever materialised; pairs
-without a hit score ``0.4 * experience%`` and enter a top-k only through the exact
-per-experience-class fallback in :func:`top_k_recommendations`.
+once (exact substring join on n-gram keys), then equi-joined back.  Only pairs (or
+applicant x job-skill-list pairs) with at least one hit are materialised; pairs
+without a hit enter a top-k only through the exact per-class fallback of
+:func:`no_hit_completion`.  Entry points: :func:`top_k_jobs_by_list` (jobs per
+applicant), :func:`top_k_applicants_by_list` (applicants per job),
+:func:`top_k_recommendations` (generic, from pair-level hits) and
+:func:`skill_hit_counts` (skill hits for given or all pairs).
 """
 
 from __future__ import annotations

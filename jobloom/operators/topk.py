@@ -14,11 +14,6 @@ def top_k_per(df: DataFrame, part_by: list[str], order_by: list, k: int, rank_co
               .withColumn(rank_col, F.col(rank_col).cast("long")))
 
 
-def latest(df: DataFrame, order_by: list, n: int) -> DataFrame:
-    """Global top-n (TakeOrderedAndProject: per-task top-n, then a merge of n x tasks rows)."""
-    return df.orderBy(*order_by).limit(n)
-
-
 def _pick(df: DataFrame, key: list[str], order_by: list, fn) -> DataFrame:
     """One row per key chosen by ``fn`` (F.min / F.max) over struct(order columns, payload):
     structs compare field by field, so this is first/last by the order columns.  As an

@@ -49,11 +49,6 @@ def scored_pairs(a: Ats, pairs: DataFrame) -> DataFrame:
                     F.round(skills * 0.6 + exp * 0.4, 2).alias("match_score"))
 
 
-def all_hits(a: Ats, jobs: DataFrame, by: str = "applicant") -> DataFrame:
-    js = mt.job_skill_rows(jobs, F.col("skills"))
-    return mt.skill_hit_counts(applicant_skills(a), js, by=by)
-
-
 # ---------------------------------------------------------- oracle parts ---
 
 _SQL_MODEL = """

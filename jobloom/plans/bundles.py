@@ -137,11 +137,7 @@ def q_onboard_applicant(spark, sf_dir, k: int = 5, as_of: str = AS_OF):
     codes = with_sequence(docs.select("applicant_id"), ["applicant_id"], "n").select(
         "applicant_id", F.format_string("APP%03d", F.col("n")).alias("applicant_code"))
     jobs = jobs_model(a).where(F.col("status") == "Open")
-    hits = mt.skill_hit_counts(skills, mt.job_skill_rows(jobs, F.col("skills"))).select(
-        F.col("applicant_id").alias("group_id"), F.col("job_id").alias("item_id"), "n_hit")
-    groups = yoe.select(F.col("applicant_id").alias("group_id"), F.col("yoe").cast("double").alias("years"))
-    items = jobs.select(F.col("job_id").alias("item_id"), F.col("req_years").alias("years"),
-                        F.size("skills").alias("n_job_skills"))
-    top = mt.top_k_recommendations(hits, groups, items, k, group_is_applicant=True)
+    top = mt.top_k_jobs_by_list(skills, yoe.select("applicant_id", F.col("yoe").cast("double").alias("years")),
+                                jobs.select("job_id", "skills", "req_years"), k)
     return (top.join(codes, F.col("group_id") == F.col("applicant_id"))
                .select("applicant_code", F.col("item_id").alias("job_id"), "match_score", "rank"))
