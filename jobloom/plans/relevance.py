@@ -12,7 +12,7 @@ from ..operators import relevance as rel
 from ..session import shared_dir
 from ..sources.fixtures import Ats
 from .registry import register
-from .similarity import LINK_BASE, TOP_N, similarity_ranking
+from .similarity import LINK_BASE, TOP_N, fused_order, similarity_ranking
 
 
 def training_set(a: Ats):
@@ -74,4 +74,4 @@ def q_recommend_fused(spark, sf_dir, n: int = TOP_N):
     m = model_ranking(spark, a).select(F.col("doc_id").alias("job_id"), "rank",
                                        F.concat(F.lit(LINK_BASE), F.col("doc_id").cast("string")).alias("link"))
     fused = rk.fuse_ranks([similarity_ranking(a), m], "job_id")
-    return fused.orderBy("fused_rank", "job_id").limit(n).select("job_id", "fused_rank", "link")
+    return fused.orderBy(*fused_order("best")).limit(n).select("job_id", "fused_rank", "link")

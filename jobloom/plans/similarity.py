@@ -139,28 +139,39 @@ def q_rank_fusion(spark, sf_dir):
         "job_id", "fused_rank", "link")
 
 
+def fused_order(direction: str = "best"):
+    """Ranks grow with the score (0 = least similar), so best-first is descending fused rank;
+    ``direction="literal"`` keeps the ascending order of the original pipeline."""
+    if direction == "best":
+        return [F.col("fused_rank").desc(), F.col("job_id")]
+    if direction == "literal":
+        return [F.col("fused_rank"), F.col("job_id")]
+    raise ValueError(direction)
+
+
 @register("top_ranked", sql=f"""
 with {_SQL_FUSE}
-select job_id, fused_rank, link from fused order by fused_rank, job_id limit {TOP_N}""")
-def q_top_ranked(spark, sf_dir, n: int = TOP_N):
-    """Best n of the fused ranking (ascending fused rank, ties by id)."""
+select job_id, fused_rank, link from fused order by fused_rank desc, job_id limit {TOP_N}""")
+def q_top_ranked(spark, sf_dir, n: int = TOP_N, direction: str = "best"):
+    """Best n of the fused ranking (highest fused rank first, ties by id)."""
     a = Ats(spark, sf_dir)
     f = rk.fuse_ranks([similarity_ranking(a), label_ranking(a)], "job_id")
-    return f.orderBy("fused_rank", "job_id").limit(n).select("job_id", "fused_rank", "link")
+    return f.orderBy(*fused_order(direction)).limit(n).select("job_id", "fused_rank", "link")
 
 
 @register("sink_csv_ranks", sql=f"""
 with {_SQL_FUSE},
-t as (select job_id, fused_rank, link from fused order by fused_rank, job_id limit {TOP_N})
-select cast(row_number() over (order by fused_rank, job_id) - 1 as bigint) as idx,
+t as (select job_id, fused_rank, link from fused order by fused_rank desc, job_id limit {TOP_N})
+select cast(row_number() over (order by fused_rank desc, job_id) - 1 as bigint) as idx,
        cast(job_id as varchar) as "Job ID", link as "Link", fused_rank as "Rank" from t""")
-def q_sink_csv_ranks(spark, sf_dir, n: int = TOP_N, run_id: str | None = None):
+def q_sink_csv_ranks(spark, sf_dir, n: int = TOP_N, run_id: str | None = None, direction: str = "best"):
     """Write the top fused ranks as CSV (header, index column, Job ID, Link, Rank) to the
     shared folder and read the file back."""
     a = Ats(spark, sf_dir)
-    top = rk.fuse_ranks([similarity_ranking(a), label_ranking(a)], "job_id").orderBy("fused_rank", "job_id").limit(n)
+    order = fused_order(direction)
+    top = rk.fuse_ranks([similarity_ranking(a), label_ranking(a)], "job_id").orderBy(*order).limit(n)
     # the window runs over the n rows left after the limit
-    out = top.select((F.row_number().over(Window.orderBy("fused_rank", "job_id")) - 1).cast("long").alias("idx"),
+    out = top.select((F.row_number().over(Window.orderBy(*order)) - 1).cast("long").alias("idx"),
                      F.col("job_id").cast("string").alias("Job ID"), F.col("link").alias("Link"),
                      F.col("fused_rank").alias("Rank"))
     path = shared_dir(spark, "job_rank", run_id or uuid.uuid4().hex)
