@@ -92,16 +92,23 @@ def ngrams(toks: Column, n_min: int = 1, n_max: int = 3) -> Column:
     return F.concat(*[of_n(n) for n in range(n_min, n_max + 1)])
 
 
-def skill_pattern(entry: str) -> str:
-    return r"(?i)\b" + entry + r"\b"
-
-
-def dictionary_skills(text, patterns: list[str] = cat.SKILL_PATTERNS) -> Column:
+def skill_pattern(entry: str, boundary: str = "strict") -> str:
+    r"""``strict``: ``\b`` on both sides, as matched by the original behaviour (so ``c\+\+``
+    needs a word character after the '+': 'c++11' matches, 'c++ daily' does not).
+    ``fixed``: the entry may not touch a word character on either side ('c++ daily' matches)."""
+    if boundary == "strict":
+        return r"(?i)\b" + entry + r"\b"
+    if boundary == "fixed":
+        return r"(?i)(?<!\w)" + entry + r"(?!\w)"
+    raise ValueError(boundary)
+
+
+def dictionary_skills(text, patterns: list[str] = cat.SKILL_PATTERNS, boundary: str = "strict") -> Column:
     """Dictionary entries found in the text as whole words, in dictionary order.  Each entry
     is its own literal regex (compiled once per task), since entries overlap ('sql' and
     'sql server') and one alternation would hide the shorter ones."""
     t = _c(text)
-    return F.array_compact(F.array(*[F.when(t.rlike(skill_pattern(p)), F.lit(p)) for p in patterns]))
+    return F.array_compact(F.array(*[F.when(t.rlike(skill_pattern(p, boundary)), F.lit(p)) for p in patterns]))
 
 
 def jd_years(clean) -> Column:

@@ -74,3 +74,10 @@ def test_html_article(spark):
 def test_truncation(spark):
     df = spark.createDataFrame([("ab",), ("abcdef",)], "t string")
     assert [r[0] for r in df.select(ig.drop_last_third(F.col("t"))).collect()] == ["", "abcd"]
+
+
+def test_fixed_boundary_mode(spark):
+    f = lambda t: one(spark, lambda c: tx.dictionary_skills(c, boundary="fixed"), t)
+    assert f("we use c++ daily") == [r"c\+\+"]
+    assert f("we use c++11 daily") == []
+    assert f("python3 and python") == ["python"]
