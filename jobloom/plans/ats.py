@@ -578,3 +578,21 @@ def q_last_wins(spark, sf_dir):
     a = Ats(spark, sf_dir)
     lw = last_wins(a.ats_applications, ["applicant_id", "job_id"], "application_id")
     return lw.select("applicant_id", "job_id", F.col("application_id").alias("last_application_id"), "status")
+
+
+@register("unapplied_open_counts", sql="""
+with open_jobs as (select job_id from ats_jobs where status = 'Open'),
+applied as (select x.applicant_id, count(distinct x.job_id) as n from ats_applications x
+            where x.job_id in (select job_id from open_jobs) group by x.applicant_id)
+select ap.applicant_id, (select count(*) from open_jobs) - coalesce(applied.n, 0) as n_unapplied_open
+from ats_applicants ap left join applied using (applicant_id)""")
+def q_unapplied_open_counts(spark, sf_dir):
+    """For every applicant, how many open jobs they have not applied to: open-job count minus
+    the distinct open jobs in their applications (no applicant x job pairs are formed)."""
+    a = Ats(spark, sf_dir)
+    open_jobs = a.ats_jobs.where(F.col("status") == "Open").select("job_id")
+    n_open = open_jobs.count()
+    applied = (a.ats_application_rows.select("applicant_id", "job_id").join(open_jobs, "job_id", "left_semi")
+                .groupBy("applicant_id").agg(F.count_distinct("job_id").alias("n")))
+    return (a.ats_applicants.select("applicant_id").join(applied, "applicant_id", "left")
+             .select("applicant_id", (F.lit(n_open) - F.coalesce("n", F.lit(0))).cast("long").alias("n_unapplied_open")))
