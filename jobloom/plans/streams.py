@@ -15,6 +15,12 @@ AS_OF = "2024-01-31 00:00:00"
 KEYS = ["user_id", "event_type"]
 
 
+def _sink(spark, sf_dir, path: str):
+    """Read a stream's sink; a stream that wrote nothing reads as an empty events table."""
+    schema = st.file_stream(spark, sf_dir, "events").schema
+    return st.read_or_empty(spark, path, schema)
+
+
 def _paths(spark, name: str):
     run = uuid.uuid4().hex
     return shared_dir(spark, "streams", name, run, "out"), shared_dir(spark, "streams", name, run, "checkpoint")
@@ -27,8 +33,8 @@ def q_stream_ingest(spark, sf_dir):
     """Incremental insert-if-absent by (user, event type): first event per key wins."""
     out, ckpt = _paths(spark, "ingest")
     st.run_to_end(st.ingest_first_seen(st.file_stream(spark, sf_dir, "events"), KEYS, ["ts", "event_id"], out, ckpt))
-    return spark.read.parquet(out).select("user_id", "event_type", "event_id",
-                                          F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("ts"))
+    return _sink(spark, sf_dir, out).select("user_id", "event_type", "event_id",
+                                            F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("ts"))
 
 
 @register("stream_dedup", sql="""
@@ -38,7 +44,7 @@ def q_stream_dedup(spark, sf_dir, delay: str = "7 days"):
     duplicate survives depends on arrival order, so the keys are what is reported."""
     out, ckpt = _paths(spark, "dedup")
     st.run_to_end(st.dedup_within_watermark(st.file_stream(spark, sf_dir, "events"), KEYS, delay, out, ckpt))
-    return spark.read.parquet(out).select("user_id", "event_type")
+    return _sink(spark, sf_dir, out).select("user_id", "event_type")
 
 
 @register("stream_recent", sql=f"""
@@ -47,4 +53,4 @@ def q_stream_recent(spark, sf_dir, as_of: str = AS_OF, days: int = 7):
     """Events of the last ``days`` before ``as_of`` (stateless event-time filter)."""
     out, ckpt = _paths(spark, "recent")
     st.run_to_end(st.recent(st.file_stream(spark, sf_dir, "events"), as_of, days, out, ckpt))
-    return spark.read.parquet(out).select("event_id", "user_id", "event_type")
+    return _sink(spark, sf_dir, out).select("event_id", "user_id", "event_type")

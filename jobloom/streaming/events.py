@@ -30,7 +30,7 @@ def file_stream(spark: SparkSession, sf_dir: str, table: str, max_files_per_trig
     return s
 
 
-def _read_or_empty(spark: SparkSession, path: str, schema) -> DataFrame:
+def read_or_empty(spark: SparkSession, path: str, schema) -> DataFrame:
     try:
         return spark.read.schema(schema).parquet(path)
     except AnalysisException:
@@ -43,7 +43,7 @@ def ingest_first_seen(stream: DataFrame, keys: list[str], order_by: list[str], t
     def upsert(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         first = first_wins(batch, keys, [F.col(c) for c in order_by])
-        existing = _read_or_empty(spark, target, batch.schema).select(*keys).distinct()
+        existing = read_or_empty(spark, target, batch.schema).select(*keys).distinct()
         first.join(existing, keys, "left_anti").write.mode("append").parquet(target)
 
     return (stream.writeStream.foreachBatch(upsert)
