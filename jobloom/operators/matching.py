@@ -211,6 +211,9 @@ def no_hit_completion(top_hits: DataFrame, groups: DataFrame, items: DataFrame,
     it = items.select("item_id", F.col("years").alias("i_years"), n_skills(items).alias("n_job_skills"))
     job_n = (lambda: F.col("n_job_skills")) if group_is_applicant else (lambda: F.col("g_n"))
     order = [F.col("match_score").desc(), F.col("item_id")]
+    # The per-group short list (at most k rows per group) is read twice below; a reliable
+    # checkpoint computes the hit pipeline once and cuts its lineage.
+    top_hits = top_hits.checkpoint(eager=True)
 
     # --- 2. class domain and the best no-hit score per group ---
     it_c = it.withColumn("cls", _class_key(F.col("i_years"), F.col("n_job_skills")))
