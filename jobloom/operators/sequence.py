@@ -6,13 +6,13 @@ of partitions (an explicit count, so AQE keeps the partitioning as planned and
 ``spark_partition_id`` means the same thing on every read), sorted inside each
 partition, and numbered as ``rows in earlier partitions + position in this
 partition``.  The per-partition counts are one row per partition, so the
-broadcast of the offsets is bounded by the partition count, not by the data.
+offsets shipped with the plan are bounded by the partition count, not by the data.
 Requires a checkpoint directory (see :func:`jobloom.session.ensure_checkpoint_dir`).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
@@ -35,13 +35,15 @@ def with_sequence(df: DataFrame, order_by: list, name: str, start: int = 1,
     ranged = df.repartitionByRange(n, *cols).sortWithinPartitions(*cols).checkpoint(eager=True)
     ranged = (ranged.withColumn("_seq_pid", F.spark_partition_id())
                     .withColumn("_seq_mid", F.monotonically_increasing_id()))
-    counts = ranged.groupBy("_seq_pid").agg(F.count(F.lit(1)).alias("_seq_n"))
-    before = Window.orderBy("_seq_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(
-        "_seq_pid", F.coalesce(F.sum("_seq_n").over(before), F.lit(0)).alias("_seq_off"))
+    # one count per partition (bounded by the partition count, not the data) -> offsets as a
+    # literal array indexed by partition id; no window, no single-partition exchange
+    counts = dict(ranged.groupBy("_seq_pid").agg(F.count(F.lit(1)).alias("n")).collect())
+    offsets, run = [], 0
+    for pid in range(n):
+        offsets.append(run)
+        run += counts.get(pid, 0)
+    off = F.element_at(F.array(*[F.lit(o).cast("long") for o in offsets]), F.col("_seq_pid") + 1)
     # position inside the partition: monotonically_increasing_id = (pid << 33) + i
     local = F.col("_seq_mid") - F.shiftleft(F.col("_seq_pid").cast("long"), 33)
-    return (ranged.join(F.broadcast(offsets), "_seq_pid")
-                  .withColumn(name, (F.col("_seq_off") + local + F.lit(start)).cast("long"))
-                  .drop("_seq_pid", "_seq_mid", "_seq_off"))
-
+    return (ranged.withColumn(name, (off + local + F.lit(start)).cast("long"))
+                  .drop("_seq_pid", "_seq_mid"))
