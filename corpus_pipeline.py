@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from jobloom.llm import quality, simhash
+from jobloom.llm import decontaminate, packing, pii, quality, simhash
 from jobloom.llm.common import saved, table
 
 
@@ -18,7 +18,23 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return simhash.keep_one(docs)
 
 
-STAGES = [("quality_rules", quality_rules), ("near_dedup", near_dedup)]
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a copy of a benchmark item, edited or not, go."""
+    return decontaminate.keep_clean(docs, decontaminate.blocks(docs, table(spark, sf_dir, "benchmark")))
+
+
+def redaction(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data in the texts is replaced by its kind; every document stays."""
+    return pii.redact(docs, pii.fit(docs))
+
+
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The token pieces of the documents with their sequences and places."""
+    return packing.pack_documents(docs)
+
+
+STAGES = [("quality_rules", quality_rules), ("near_dedup", near_dedup), ("decontamination", decontamination),
+          ("redaction", redaction), ("best_fit_packing", best_fit_packing)]
 
 # a forest, connected components, alignment, boosted trees and packing are beyond SQL
 ORACLE_SQL = None
