@@ -13,7 +13,9 @@ from pyspark.sql import functions as F
 from ..session import shared_dir
 from ..sources.tables import table
 
-__all__ = ["table", "WORD", "saved", "map_rows", "text_rows", "text_key", "sample_ids"]
+__all__ = ["table", "WORD", "saved", "map_rows", "text_rows", "text_key", "sample_ids", "checked_broadcast"]
+
+BROADCAST_ROWS = 100_000
 
 # a word is a run of characters that are neither a blank nor one of the five ASCII controls
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -86,3 +88,9 @@ def sample_ids(labels: DataFrame, rows: int) -> DataFrame:
     """At most ``rows`` labelled rows, the same ones for the same labels, chosen by a hash of
     the id.  The bound makes the result safe to broadcast and to fit a classifier on."""
     return labels.where("doc_id is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+
+
+def checked_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``df`` (a saved table of narrow rows) with a broadcast hint if it has at most ``rows`` rows;
+    beyond that it is joined by a shuffle, with the same result."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
