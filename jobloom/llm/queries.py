@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, html_text, packing, passages, pii, quality, simhash, toxicity
+from . import decontaminate, html_text, licences, packing, passages, pii, quality, quotations, simhash, toxicity
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -49,6 +49,16 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages.repeated_passages(table(spark, sf_dir, "documents"))
 
 
+@register("op6_quotation_linking")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quotations.conversations(table(spark, sf_dir, "conversations"))
+
+
+@register("op7_licence_scan", licences.oracle())
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(table(spark, sf_dir, "documents"))
+
+
 @register("op8_decontamination")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
