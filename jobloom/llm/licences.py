@@ -22,7 +22,7 @@ COPYRIGHT_LINE = (r"(^|\n)[^\p{L}\p{N}\n]*(copyright[ \t]*(\(c\)|©)|copyright[^
                   r"|\(c\)[ \t]*(19|20)[0-9][0-9]|c\)[ \t]*(19|20)[0-9][0-9]|©)[^\n]*")
 # fixed values: spellings that licence matching guidelines take as equal, in canonical form
 SPELLINGS = [
-    (r"\blicence", "license"),
+    (r"licence", "license"),
     (r"\bsub license", "sublicense"),
     (r"\bnon commercial", "noncommercial"),
     (r"\bcopyright (holder|owner)", "copyright holder"),
