@@ -30,7 +30,7 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("op2_simhash_dedup")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash.near_duplicates(table(spark, sf_dir, "documents")).drop("group_fp")
+    return simhash.near_duplicates(table(spark, sf_dir, "documents")).drop("group_id")
 
 
 @register("op3_html_text")

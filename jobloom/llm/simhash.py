@@ -34,6 +34,7 @@ from .components import connected_components, forest
 
 SHINGLE, MAX_BITS, SEED = 4, 4, 42
 SEGMENTS = 3
+NO_ID = 1 << 62              # doc_ids lie below
 _BYTES = re.compile(rb"[^\x20\x09-\x0D]+")
 _CHUNK = 1 << 16
 
@@ -103,16 +104,20 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
     """One row per row of ``docs``: doc_id, fingerprint (16 hex digits), component_id (the smallest
-    doc_id reachable over links) and group_fp, a bigint that all rows of a component share."""
+    doc_id reachable over links) and group_id, a bigint that all rows of a component share."""
     fps = saved(fingerprints(docs, shingle), "simhash-fp")
-    known = saved(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-distinct")
-    comp = connected_components(links(known.select("fp"), max_bits))
-    named = known.join(comp.withColumnRenamed("node", "fp"), "fp", "left").select(
-        "fp", "least", F.coalesce("component", "fp").alias("group_fp"))
-    groups = named.groupBy("group_fp").agg(F.min("least").alias("component_id"))
-    of_fp = named.join(groups, "group_fp").select("fp", "group_fp", "component_id")
+    # a fingerprint's node is its smallest doc_id, so that a component is named by the smallest of all;
+    # one of rows without ids only gets a node above any id
+    known = saved(fps.groupBy("fp").agg(F.min("doc_id").alias("least")).select(
+        "fp", F.coalesce("least", F.lit(NO_ID) + F.pmod(F.xxhash64("fp"), F.lit(1 << 60))).alias("node")), "simhash-distinct")
+    edges = links(known.select("fp"), max_bits)
+    for end in ("a", "b"):
+        edges = edges.join(known.withColumnRenamed("fp", end), end).drop(end).withColumnRenamed("node", end)
+    comp = connected_components(edges)
+    of_fp = known.join(comp, "node", "left").select("fp", F.coalesce("component", "node").alias("group_id"))
     return fps.join(of_fp, "fp").select(
-        "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "group_fp")
+        "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"),
+        F.when(F.col("group_id") < NO_ID, F.col("group_id")).alias("component_id"), "group_id")
 
 
 def keep_one(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
@@ -127,7 +132,7 @@ def keep_one(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS)
         return out
     # an id on several rows does not tell them apart: these few rows are matched by fingerprint too
     again = docs.join(repeated.withColumnRenamed("doc_id", "__id"), docs["doc_id"].eqNullSafe(F.col("__id")), "left_semi")
-    marks = chosen.select(F.col("doc_id").alias("__id"), F.col("fingerprint").alias("__of"), F.col("group_fp").alias("__group")).distinct()
+    marks = chosen.select(F.col("doc_id").alias("__id"), F.col("fingerprint").alias("__of"), F.col("group_id").alias("__group")).distinct()
     marked = with_fingerprint(again, shingle)
     kept = marked.join(marks, marked["doc_id"].eqNullSafe(F.col("__id")) & (F.col("__fp") == F.col("__of"))
                        ).dropDuplicates(["__group"]).select(*[marked[c] for c in docs.columns])
