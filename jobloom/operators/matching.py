@@ -1,14 +1,12 @@
 """Set-based matching between applicants and jobs.
 
-The reference scores one applicant against every job in a Python loop.  Here the
-work goes through skill *values*: distinct skill strings on both sides are matched
-once (exact substring join on n-gram keys), then equi-joined back.  Only pairs (or
-applicant x job-skill-list pairs) with at least one hit are materialised; pairs
-without a hit enter a top-k only through the exact per-class fallback of
-:func:`no_hit_completion`.  Entry points: :func:`top_k_jobs_by_list` (jobs per
-applicant), :func:`top_k_applicants_by_list` (applicants per job),
-:func:`top_k_recommendations` (generic, from pair-level hits) and
-:func:`skill_hit_counts` (skill hits for given or all pairs).
+The reference scores one applicant against every job in a Python loop.  Here distinct skill
+strings of both sides are matched once (exact substring join on n-gram keys), hits are counted
+per (applicant, job skill list), and jobs or applicants that tie (same list and required years,
+or same hits and years) are ranked once for all.  Pairs without any hit enter a top-k only for
+groups whose k-th hit score does not beat what such a pair can score, from rankings that are
+deepened until enough of them are free.  Entry points: :func:`top_k_jobs_by_list` (jobs per
+applicant) and :func:`top_k_applicants_by_list` (applicants per job).
 """
 
 from __future__ import annotations
@@ -17,16 +15,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scoring import experience_match_pct
-from .partitioning import spread
-from .sequence import with_sequence
 from .topk import top_k_per
 
 # Longest key used to find substring candidates; a value of length <= GRAM is
 # matched by equality on the key alone.
 GRAM = 3
-# A class domain (distinct experience values) beyond this size is refused rather
-# than silently shipped to every task.
-MAX_CLASSES = 10_000
 
 
 def _grams(v: Column) -> Column:
@@ -72,399 +65,196 @@ def either_contains_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
     return a.unionByName(b).distinct()
 
 
-def job_skill_rows(jobs: DataFrame, skills_col: Column) -> DataFrame:
-    """(job_id, pos, skill, n_job_skills) from a list-valued skill column (already normalised)."""
-    return jobs.select("job_id", F.posexplode(skills_col).alias("pos", "skill"),
-                       F.size(skills_col).alias("n_job_skills"))
-
+def _skills_pct(n_hit: Column, n_job: Column) -> Column:
+    return F.when(n_job == 0, F.lit(100.0)).otherwise(
+        F.coalesce(n_hit, F.lit(0)).cast("double") / n_job.cast("double") * 100.0)
 
-def maybe_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
-    """Broadcast ``df`` only when a row-count check proves it small; otherwise leave the
-    join strategy to the planner (shuffle join)."""
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
 
+def _years_key(y: Column) -> Column:
+    return F.coalesce(y.cast("string"), F.lit("NA"))
 
-BROADCAST_ROWS = 2_000_000
 
+def _score(skills: Column, exp: Column) -> Column:
+    return F.round(skills * 0.6 + exp * 0.4, 2)
 
-def skill_hit_counts(applicant_skills: DataFrame, job_skills: DataFrame,
-                     pairs: DataFrame | None = None, by: str = "applicant") -> DataFrame:
-    """Number of job-skill positions hit by any applicant skill, per (applicant_id, job_id).
 
-    ``applicant_skills``: (applicant_id, skill) normalised; ``job_skills``: output of
-    :func:`job_skill_rows`.  With ``pairs`` only those (applicant_id, job_id) are scored,
-    otherwise every pair with at least one hit is returned, hash-partitioned by
-    ``applicant_id`` (``by="applicant"``) or ``job_id`` (``by="job"``): the other side of the
-    generating join is broadcast when its size is proven small, so the pair rows are
-    counted where they are produced and later per-group windows need no exchange.
-    """
+def list_hits(applicant_skills: DataFrame, lists: DataFrame) -> DataFrame:
+    """(applicant_id, lst, n, h): job-skill positions of a list that contain, or are contained in,
+    a skill of the applicant; lists without a hit are left out."""
+    lw = lists.select("lst", "n", F.posexplode("lst").alias("pos", "word"))
     a = applicant_skills.select("applicant_id", "skill").distinct()
-    js = job_skills.select("job_id", "pos", "skill")
-    m = either_contains_pairs(js.select("skill"), a.select("skill")).select(
-        F.col("left_value").alias("job_skill"), F.col("right_value").alias("app_skill"))
-    if pairs is not None:
-        p = pairs.select("applicant_id", "job_id").distinct()
-        rows = (p.join(js, "job_id")
-                 .join(m, F.col("skill") == F.col("job_skill"))
-                 .join(a.withColumnRenamed("skill", "app_skill"), ["applicant_id", "app_skill"], "left_semi")
-                 .select("applicant_id", "job_id", "pos").distinct())
-        return rows.groupBy("applicant_id", "job_id").agg(F.count(F.lit(1)).alias("n_hit"))
-    app_job_skill = (a.join(m, F.col("skill") == F.col("app_skill"))
-                      .select("applicant_id", "job_skill").distinct())
-    if by == "applicant":
-        rows = (spread(app_job_skill, "applicant_id")
-                .join(maybe_broadcast(js, BROADCAST_ROWS), F.col("job_skill") == F.col("skill")))
-    else:
-        rows = (spread(js, "job_id")
-                .join(maybe_broadcast(app_job_skill, BROADCAST_ROWS), F.col("job_skill") == F.col("skill")))
-    return (rows.select("applicant_id", "job_id", "pos")
-                .groupBy("applicant_id", "job_id").agg(F.count(F.lit(1)).alias("n_hit")))
-
+    m = either_contains_pairs(lw.select("word"), a.select("skill")).select(
+        F.col("left_value").alias("word"), F.col("right_value").alias("skill"))
+    app_word = a.join(m, "skill").select("applicant_id", "word").distinct()
+    return (app_word.join(lw, "word").groupBy("applicant_id", "lst", "n")
+                    .agg(F.count(F.lit(1)).alias("h")))
 
-def _skills_pct(n_hit: Column, n_job: Column) -> Column:
-    return F.when(n_job == 0, F.lit(100.0)).otherwise(
-        F.coalesce(n_hit, F.lit(0)).cast("double") / n_job.cast("double") * 100.0)
 
+def _fill_no_hit(needy: DataFrame, gid: list[str], items: DataFrame, k: int, exp, free) -> DataFrame:
+    """The best ``k`` items without a skill hit for each group of ``needy``.
 
-def _class_key(years: Column, n_job_skills: Column) -> Column:
-    # items tie on a no-hit score iff they share parsed years and "has no skills at all"
-    return F.concat(F.coalesce(years.cast("string"), F.lit("NA")),
-                    F.when(n_job_skills == 0, F.lit("|empty")).otherwise(F.lit("")))
-
-
-def top_k_recommendations(hits: DataFrame, groups: DataFrame, items: DataFrame, k: int,
-                          group_is_applicant: bool, excluded: DataFrame | None = None) -> DataFrame:
-    """Exact top-k items per group by (score desc, item_id asc), score =
-    round(0.6 * skills% + 0.4 * experience%, 2).
-
-    ``hits``: (group_id, item_id, n_hit) pairs with a skill hit, ideally hash-partitioned by
-    group_id (see :func:`skill_hit_counts`).  ``groups``: (group_id, years[, n_job_skills]);
-    ``items``: (item_id, years[, n_job_skills]); the job side carries n_job_skills.
-    ``excluded``: (group_id, item_id) pairs never recommended (e.g. already applied).
-
-    1. Hit pairs are scored and cut to the top k per group where they sit (the cut keeps
-       k + the group's excluded count, then excluded pairs are removed from that short list).
-    2. A pair without a hit scores ``0.4 * exp%`` (plus 60 for a job without skills), which
-       depends only on the item's experience class.  Its best value per group is computed
-       from the (bounded) class domain; groups whose k-th hit score is strictly higher
-       cannot receive a no-hit item and skip step 3.
-    3. For the remaining groups, inside each class items tie and go by id, so the first
-       ``k + e`` members of the class (e = that group's hit or excluded items there) are the
-       only candidates; those ranks are generated and equi-joined to a distributed
-       (class, id) numbering.  No group x item enumeration happens anywhere.
+    ``needy``: the id columns ``gid``, gkey / gval (years) and gbase (points it has in any case);
+    ``items``: item_id, ikey / ival / ibase.  Items of one (ikey, ibase) tie for every group and go
+    by id.  The distinct years values of both sides (two value domains) are scored once; each
+    years value gets a ranking of ``depth`` items, ``free`` removes those a group may not take,
+    and groups left with fewer than ``k`` go on with a deeper ranking.
     """
-    def exp_pct(g_years, i_years):
-        return (experience_match_pct(g_years, i_years) if group_is_applicant
-                else experience_match_pct(i_years, g_years))
-
-    def n_skills(df):
-        return F.col("n_job_skills") if "n_job_skills" in df.columns else F.lit(1)
-
-    def score(skills, exp):
-        return F.round(skills * 0.6 + exp * 0.4, 2)
-
-    g = groups.select("group_id", F.col("years").alias("g_years"), n_skills(groups).alias("g_n"))
-    it = items.select("item_id", F.col("years").alias("i_years"), n_skills(items).alias("n_job_skills"))
-    job_n = (lambda: F.col("n_job_skills")) if group_is_applicant else (lambda: F.col("g_n"))
-
-    # --- 1. hit pairs: score and cut in place ---
-    scored = (hits.select("group_id", "item_id", "n_hit").join(g, "group_id").join(it, "item_id")
-                  .select("group_id", "item_id",
-                          _skills_pct(F.col("n_hit"), job_n()).alias("skills_match"),
-                          exp_pct(F.col("g_years"), F.col("i_years")).alias("experience_match")))
-    scored = scored.withColumn("match_score", score(F.col("skills_match"), F.col("experience_match")))
-    order = [F.col("match_score").desc(), F.col("item_id")]
-    if excluded is None:
-        top_hits = top_k_per(scored, ["group_id"], order, k)
-    else:
-        ex = excluded.select("group_id", "item_id").distinct()
-        n_ex = ex.groupBy("group_id").agg(F.count(F.lit(1)).alias("n_ex"))
-        w = Window.partitionBy("group_id").orderBy(*order)
-        short = (scored.join(n_ex, "group_id", "left")
-                       .withColumn("_r", F.row_number().over(w))
-                       .where(F.col("_r") <= F.lit(k) + F.coalesce(F.col("n_ex"), F.lit(0)))
-                       .drop("_r", "n_ex"))
-        top_hits = top_k_per(short.join(ex, ["group_id", "item_id"], "left_anti"), ["group_id"], order, k)
-
-    def taken_for(needy_ids: DataFrame) -> DataFrame:
-        return hits.select("group_id", "item_id").join(needy_ids, "group_id", "left_semi")
-
-    return no_hit_completion(top_hits, groups, items, k, group_is_applicant, taken_for, excluded)
-
-
-def no_hit_completion(top_hits: DataFrame, groups: DataFrame, items: DataFrame, k: int,
-                      group_is_applicant: bool, taken_for, excluded: DataFrame | None) -> DataFrame:
-    """Merge no-hit candidates into per-group top-k hit lists (steps 2-3 of
-    :func:`top_k_recommendations`).  ``taken_for(needy_group_ids)`` returns the (group_id,
-    item_id) hit pairs of those groups."""
-    def exp_pct(g_years, i_years):
-        return (experience_match_pct(g_years, i_years) if group_is_applicant
-                else experience_match_pct(i_years, g_years))
-
-    def n_skills(df):
-        return F.col("n_job_skills") if "n_job_skills" in df.columns else F.lit(1)
-
-    def score(skills, exp):
-        return F.round(skills * 0.6 + exp * 0.4, 2)
-
-    g = groups.select("group_id", F.col("years").alias("g_years"), n_skills(groups).alias("g_n"))
-    it = items.select("item_id", F.col("years").alias("i_years"), n_skills(items).alias("n_job_skills"))
-    job_n = (lambda: F.col("n_job_skills")) if group_is_applicant else (lambda: F.col("g_n"))
-    order = [F.col("match_score").desc(), F.col("item_id")]
-    # The per-group short list (at most k rows per group) is read twice below; a reliable
-    # checkpoint computes the hit pipeline once and cuts its lineage.
-    top_hits = top_hits.checkpoint(eager=True)
-
-    # --- 2. class domain and the best no-hit score per group ---
-    it_c = it.withColumn("cls", _class_key(F.col("i_years"), F.col("n_job_skills")))
-    classes = (it_c.groupBy("cls").agg(F.first("i_years").alias("c_years"),
-                                        F.first("n_job_skills").alias("c_n"),
-                                        F.count(F.lit(1)).alias("n_cls")))
-    domain = classes.limit(MAX_CLASSES + 1).collect()
-    if len(domain) > MAX_CLASSES:
-        raise ValueError(f"more than {MAX_CLASSES} distinct experience classes")
-    if not domain:
-        return top_hits
-    cls_array = F.array(*[F.struct(F.lit(r["cls"]).alias("cls"),
-                                   F.lit(r["c_years"]).cast("double").alias("c_years"),
-                                   F.lit(r["c_n"]).cast("int").alias("c_n"),
-                                   F.lit(r["n_cls"]).cast("long").alias("n_cls"))
-                          for r in domain])
-
-    def nohit_score(c):
-        n = c["c_n"] if group_is_applicant else F.col("g_n")
-        return score(_skills_pct(F.lit(0), n), exp_pct(F.col("g_years"), c["c_years"]))
-
-    best_nohit = F.array_max(F.transform(cls_array, nohit_score))
-    stats = top_hits.groupBy("group_id").agg(F.count(F.lit(1)).alias("n_top"), F.min("match_score").alias("kth"))
-    needy = (g.join(stats, "group_id", "left")
-              .where(F.col("n_top").isNull() | (F.col("n_top") < k) | (F.col("kth") <= best_nohit))
-              .select("group_id", "g_years", "g_n"))
-
-    # --- 3. exact no-hit candidates for the groups that can use them ---
-    ranked = with_sequence(it_c.select("item_id", "cls"), ["cls", "item_id"], "gpos")
-    starts = ranked.groupBy("cls").agg(F.min("gpos").alias("start"))
-    ranked = ranked.join(starts, "cls").select("cls", "item_id", (F.col("gpos") - F.col("start") + 1).alias("crank"))
-    needy_ids = needy.select("group_id")
-    taken = taken_for(needy_ids)
-    if excluded is not None:
-        taken = taken.unionByName(excluded.select("group_id", "item_id").join(needy_ids, "group_id", "left_semi"))
-    taken = taken.distinct()
-    e = (taken.join(it_c.select("item_id", "cls"), "item_id")
-              .groupBy("group_id", "cls").agg(F.count(F.lit(1)).alias("e")))
-    gc = (needy.select("group_id", "g_years", "g_n", F.explode(cls_array).alias("c"))
-               .select("group_id", "g_years", "g_n", "c.cls", "c.n_cls")
-               .join(e, ["group_id", "cls"], "left")
-               .withColumn("n_take", F.least(F.col("n_cls"), F.lit(k) + F.coalesce(F.col("e"), F.lit(0)))))
-    fallback = (gc.select("group_id", "g_years", "g_n", "cls",
-                          F.explode(F.sequence(F.lit(1), F.col("n_take"))).alias("crank"))
-                  .join(ranked, ["cls", "crank"])
-                  .join(taken, ["group_id", "item_id"], "left_anti")
-                  .join(it.select("item_id", "i_years", "n_job_skills"), "item_id")
-                  .select("group_id", "item_id",
-                          _skills_pct(F.lit(0), job_n()).alias("skills_match"),
-                          exp_pct(F.col("g_years"), F.col("i_years")).alias("experience_match")))
-    fallback = fallback.withColumn("match_score", score(F.col("skills_match"), F.col("experience_match")))
-    allc = top_hits.drop("rank").unionByName(fallback)
-    return top_k_per(allc, ["group_id"], order, k)
-
-
-MAX_YEAR_VALUES = 10_000
-
-
-def _years_key(y: Column) -> Column:
-    return F.coalesce(y.cast("string"), F.lit("NA"))
+    items = items.select("item_id", "ikey", "ival", "ibase")
+    classes = items.groupBy("ikey", "ibase").agg(F.first("ival").alias("ival"))
+    total = items.count()
+    by_id = Window.partitionBy("ikey", "ibase").orderBy("item_id")
+    pending, out, depth = needy.checkpoint(eager=True), None, max(64, 4 * k)
+    while True:
+        members = (items.withColumn("_m", F.row_number().over(by_id)).where(F.col("_m") <= depth)
+                        .select("ikey", "ibase", "item_id"))
+        scores = (pending.select("gkey", "gval", "gbase").distinct().crossJoin(F.broadcast(classes))
+                  .withColumn("experience_match", exp(F.col("gval"), F.col("ival")))
+                  .withColumn("skills_match", F.col("gbase") + F.col("ibase"))
+                  .withColumn("match_score", _score(F.col("skills_match"), F.col("experience_match"))))
+        ranked = top_k_per(scores.join(members, ["ikey", "ibase"]), ["gkey", "gbase"],
+                           [F.col("match_score").desc(), F.col("item_id")], depth, "_r")
+        cand = pending.join(ranked.select("gkey", "gbase", "item_id", "skills_match", "experience_match", "match_score"),
+                            ["gkey", "gbase"])
+        found = top_k_per(free(cand), gid, [F.col("match_score").desc(), F.col("item_id")], k).select(
+            *gid, "item_id", "skills_match", "experience_match", "match_score").checkpoint(eager=True)
+        out = found if out is None else out.unionByName(found)
+        if depth >= total:
+            return out
+        full = found.groupBy(*gid).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= k).select(*gid)
+        pending = pending.join(full, gid, "left_anti").checkpoint(eager=True)
+        if pending.limit(1).count() == 0:
+            return out
+        out = out.join(pending.select(*gid), gid, "left_anti")      # theirs come again, out of the deeper ranking
+        depth *= 8
 
 
 def top_k_jobs_by_list(applicant_skills: DataFrame, applicants: DataFrame, jobs: DataFrame, k: int,
                        excluded: DataFrame | None = None) -> DataFrame:
-    """Exact top-k jobs per applicant, (applicant_id, item_id, skills_match, experience_match,
-    match_score, rank), computed through job *skill lists* instead of job pairs.
+    """Exact top-k jobs per applicant, (group_id=applicant_id, item_id=job_id, skills_match,
+    experience_match, match_score, rank), by score descending, then id.
 
     ``applicant_skills``: (applicant_id, skill) normalised; ``applicants``: (applicant_id,
     years); ``jobs``: (job_id, skills array, req_years); ``excluded``: (applicant_id, job_id).
 
-    The skill part of a score depends only on (applicant, skill list) and the experience
-    part only on (applicant years, job years).  So hits are counted per (applicant, list);
-    every job is ranked once per applicant-years value inside its list by (experience desc,
-    id); and each hit (applicant, list) expands to the first k + (applied jobs in the list)
-    jobs of that ranking.  Lists an applicant does not hit score 0 on skills and come from
-    the per-class fallback of :func:`top_k_recommendations`, only for applicants whose
-    k-th hit score does not beat the best no-hit score.
+    The skill part of a score depends only on (applicant, skill list), the experience part only
+    on the two years.  For each (applicant years, list, hits) that occurs, the list's jobs are
+    ranked once by the *rounded* score and id - unequal experience may round to equal scores -
+    and each hit (applicant, list) takes the first k + (applied jobs in the list) of it.
     """
-    jb = jobs.select("job_id", F.col("skills").alias("lst"), "req_years", F.size("skills").alias("n"))
-    lists = jb.select("lst", "n").distinct()
-    lw = lists.select("lst", "n", F.posexplode("lst").alias("pos", "word"))
-    a = applicant_skills.select("applicant_id", "skill").distinct()
-    m = either_contains_pairs(lw.select("word"), a.select("skill")).select(
-        F.col("left_value").alias("word"), F.col("right_value").alias("skill"))
-    app_word = spread(a.join(m, "skill").select("applicant_id", "word").distinct(), "applicant_id")
-    hits = (app_word.join(maybe_broadcast(lw, BROADCAST_ROWS), "word")
-                    .groupBy("applicant_id", "lst", "n").agg(F.count(F.lit(1)).alias("h")))
-
-    # applicant-years domain (bounded value set) and the per-(years, list) job ranking
+    jb = jobs.select("job_id", F.col("skills").alias("lst"), "req_years", F.size("skills").alias("n"),
+                     _years_key(F.col("req_years")).alias("rkey"))
+    hits = list_hits(applicant_skills, jb.select("lst", "n").distinct()).checkpoint(eager=True)
     ap = applicants.select("applicant_id", F.col("years").alias("y"), _years_key(F.col("years")).alias("ykey"))
-    ydom = ap.select("ykey", "y").distinct().limit(MAX_YEAR_VALUES + 1).collect()
-    if len(ydom) > MAX_YEAR_VALUES:
-        raise ValueError(f"more than {MAX_YEAR_VALUES} distinct applicant experience values")
-    yarr = F.array(*[F.struct(F.lit(r["ykey"]).alias("ykey"), F.lit(r["y"]).cast("double").alias("y"))
-                     for r in ydom]) if ydom else F.array().cast("array<struct<ykey:string,y:double>>")
-    # Inside one (list, required years) class jobs tie for every applicant and go by id, so
-    # only the first k + (most jobs of the list one applicant applied to) can be reached:
-    # cut each class to that depth before multiplying by the years values.
+    cand = hits.join(ap, "applicant_id")
     if excluded is not None:
         ex = excluded.select("applicant_id", "job_id").distinct()
         x = (ex.join(jb.select("job_id", "lst"), "job_id")
                .groupBy("applicant_id", "lst").agg(F.count(F.lit(1)).alias("x")))
-        depth_l = x.groupBy("lst").agg((F.max("x") + k).alias("dmax"))
-    else:
-        x = None
-        depth_l = lists.select("lst", F.lit(k).cast("long").alias("dmax"))
-    jr = jb.withColumn("rkey", _years_key(F.col("req_years")))
-    num = with_sequence(jr.select("job_id", "lst", "rkey"), ["lst", "rkey", "job_id"], "cpos")
-    cfirst = num.groupBy("lst", "rkey").agg(F.min("cpos").alias("c0"))
-    reach = (num.join(cfirst, ["lst", "rkey"]).join(depth_l, "lst", "left")
-                .where(F.col("cpos") - F.col("c0") < F.coalesce(F.col("dmax"), F.lit(k)))
-                .select("job_id"))
-    jb_cut = jb.join(reach, "job_id", "left_semi")
-    per_y = (jb_cut.select("job_id", "lst", "req_years", F.explode(yarr).alias("yy"))
-               .select("job_id", "lst", "req_years", F.col("yy.ykey").alias("ykey"),
-                       experience_match_pct(F.col("yy.y"), F.col("req_years")).alias("exp")))
-    ranked = with_sequence(per_y, ["ykey", "lst", F.col("exp").desc(), "job_id"], "gpos")
-    starts = ranked.groupBy("ykey", "lst").agg(F.min("gpos").alias("start"))
-    ranked = ranked.join(starts, ["ykey", "lst"]).select(
-        "ykey", "lst", (F.col("gpos") - F.col("start") + 1).alias("lrank"), "job_id", "exp")
-
-    # expand each hit (applicant, list) to its first k + x jobs, x = applied jobs in the list
-    cand = hits.join(ap, "applicant_id")
-    if excluded is not None:
-        cand = cand.join(x, ["applicant_id", "lst"], "left").withColumn("x", F.coalesce(F.col("x"), F.lit(0)))
+        depth_l = x.groupBy("lst").agg(F.max("x").alias("xmax"))
+        cand = cand.join(x, ["applicant_id", "lst"], "left").withColumn("x", F.coalesce("x", F.lit(0)))
     else:
+        ex = None
+        depth_l = jb.select("lst").distinct().withColumn("xmax", F.lit(0))
         cand = cand.withColumn("x", F.lit(0))
-    depth = F.lit(k) + F.col("x")
-    # Prune lists that cannot reach the top k.  A list's first job has its best score (an
-    # upper bound for the list); when the applicant applied to none of the list's jobs that
-    # score is also achievable.  The k-th best achievable one is a floor for the k-th best
-    # overall, so lists whose upper bound is below it are dropped (ties kept).
-    first = maybe_broadcast(ranked.where(F.col("lrank") == 1).select("ykey", "lst", F.col("exp").alias("exp1")),
-                            BROADCAST_ROWS)
-    cand = cand.join(first, ["ykey", "lst"]).withColumn(
-        "best", F.round(_skills_pct(F.col("h"), F.col("n")) * 0.6 + F.col("exp1") * 0.4, 2))
-    sure = top_k_per(cand.where(F.col("x") == 0).select("applicant_id", "lst", "best"), ["applicant_id"],
-                     [F.col("best").desc()], k, "_r")
+
+    # jobs of one (list, required years) tie and go by id: only the first k + xmax can be reached
+    reach = (jb.join(depth_l, "lst", "left").withColumn("xmax", F.coalesce("xmax", F.lit(0)))
+               .withColumn("_c", F.row_number().over(Window.partitionBy("lst", "rkey").orderBy("job_id")))
+               .where(F.col("_c") <= F.lit(k) + F.col("xmax")).select("lst", "job_id", "req_years", "xmax"))
+    met = cand.select("ykey", "y", "lst", "n", "h").distinct().join(reach, "lst")
+    met = (met.withColumn("skills_match", _skills_pct(F.col("h"), F.col("n")))
+              .withColumn("experience_match", experience_match_pct(F.col("y"), F.col("req_years")))
+              .withColumn("match_score", _score(F.col("skills_match"), F.col("experience_match"))))
+    w = Window.partitionBy("ykey", "lst", "h").orderBy(F.col("match_score").desc(), "job_id")
+    ranked = (met.withColumn("lrank", F.row_number().over(w)).where(F.col("lrank") <= F.lit(k) + F.col("xmax"))
+                 .select("ykey", "lst", "h", "lrank", "job_id", "skills_match", "experience_match", "match_score")
+                 .checkpoint(eager=True))
+
+    # A list's first job bounds its scores; where the applicant applied to none of the list's jobs
+    # that score is reached.  The k-th best reached is a floor: lists bounded below it are left out.
+    best = ranked.where("lrank = 1").select("ykey", "lst", "h", F.col("match_score").alias("best"))
+    cand = cand.select("applicant_id", "ykey", "lst", "h", "x").join(best, ["ykey", "lst", "h"])
+    sure = top_k_per(cand.where("x = 0").select("applicant_id", "lst", "best"), ["applicant_id"], [F.col("best").desc()], k, "_r")
     floor = (sure.groupBy("applicant_id").agg(F.count(F.lit(1)).alias("_n"), F.min("best").alias("_floor"))
                  .where(F.col("_n") >= k).select("applicant_id", "_floor"))
-    cand = (cand.join(floor, "applicant_id", "left")
-                .where(F.col("_floor").isNull() | (F.col("best") >= F.col("_floor"))))
-    rows = (cand.select("applicant_id", "ykey", "lst", "n", "h",
-                        F.explode(F.sequence(F.lit(1), depth)).alias("lrank"))
-                .join(maybe_broadcast(ranked, BROADCAST_ROWS), ["ykey", "lst", "lrank"]))
-    if excluded is not None:
-        rows = rows.join(maybe_broadcast(ex, BROADCAST_ROWS), ["applicant_id", "job_id"], "left_anti")
-    scored = rows.select(F.col("applicant_id").alias("group_id"), F.col("job_id").alias("item_id"),
-                         _skills_pct(F.col("h"), F.col("n")).alias("skills_match"),
-                         F.col("exp").alias("experience_match"))
-    scored = scored.withColumn("match_score", F.round(F.col("skills_match") * 0.6 + F.col("experience_match") * 0.4, 2))
+    cand = cand.join(floor, "applicant_id", "left").where("_floor is null or best >= _floor")
+    rows = (cand.select("applicant_id", "ykey", "lst", "h", "x").join(ranked, ["ykey", "lst", "h"])
+                .where(F.col("lrank") <= F.lit(k) + F.col("x")))
+    if ex is not None:
+        rows = rows.join(ex, ["applicant_id", "job_id"], "left_anti")
     order = [F.col("match_score").desc(), F.col("item_id")]
-    top_hits = top_k_per(scored, ["group_id"], order, k)
-
-    # no-hit candidates, for the applicants that can use them
-    def taken_for(needy_ids: DataFrame) -> DataFrame:
-        hl = hits.join(needy_ids.withColumnRenamed("group_id", "applicant_id"), "applicant_id", "left_semi")
-        return (hl.join(jb.select("job_id", "lst"), "lst")
-                  .select(F.col("applicant_id").alias("group_id"), F.col("job_id").alias("item_id")))
-
-    groups = ap.select(F.col("applicant_id").alias("group_id"), F.col("y").alias("years"))
-    items = jb.select(F.col("job_id").alias("item_id"), F.col("req_years").alias("years"),
-                      F.col("n").alias("n_job_skills"))
-    ex_g = None if excluded is None else excluded.select(
-        F.col("applicant_id").alias("group_id"), F.col("job_id").alias("item_id"))
-    return no_hit_completion(top_hits, groups, items, k, True, taken_for, ex_g)
+    rows = rows.select(F.col("applicant_id").alias("group_id"), F.col("job_id").alias("item_id"),
+                       "skills_match", "experience_match", "match_score")
+    top = top_k_per(rows, ["group_id"], order, k).drop("rank").checkpoint(eager=True)
+
+    # a bound on what a job without a hit can score for an applicant
+    b = jb.agg(F.min("req_years").alias("lo"), F.max(F.col("req_years").isNull()).alias("na"),
+               F.max(F.col("n") == 0).alias("empty")).first()
+    bound = _score(F.lit(100.0 if b.empty else 0.0), F.greatest(F.lit(50.0 if b.na else 0.0),
+                   F.coalesce(experience_match_pct(F.col("y"), F.lit(b.lo).cast("double")), F.lit(100.0))))
+    odd = (F.col("y") < 0) | F.lit(b.lo is not None and b.lo < 0)        # ratios of negative years have no such bound
+    have = top.groupBy(F.col("group_id").alias("applicant_id")).agg(F.count(F.lit(1)).alias("n_top"), F.min("match_score").alias("kth"))
+    needy = (ap.join(have, "applicant_id", "left")
+               .where(F.col("n_top").isNull() | (F.col("n_top") < k) | (F.col("kth") <= bound) | F.coalesce(odd, F.lit(False)))
+               .select("applicant_id", F.col("ykey").alias("gkey"), F.col("y").alias("gval"), F.lit(0.0).alias("gbase")))
+    items = jb.select(F.col("job_id").alias("item_id"), F.col("rkey").alias("ikey"), F.col("req_years").alias("ival"),
+                      F.when(F.col("n") == 0, 100.0).otherwise(0.0).alias("ibase"))
+
+    def free(c):
+        c = (c.join(jb.select(F.col("job_id").alias("item_id"), "lst"), "item_id")
+              .join(hits.select("applicant_id", "lst"), ["applicant_id", "lst"], "left_anti"))
+        return c if ex is None else c.join(ex.withColumnRenamed("job_id", "item_id"), ["applicant_id", "item_id"], "left_anti")
+
+    rest = _fill_no_hit(needy, ["applicant_id"], items, k, experience_match_pct, free)
+    return top_k_per(top.unionByName(rest.withColumnRenamed("applicant_id", "group_id")), ["group_id"], order, k)
 
 
 def top_k_applicants_by_list(applicant_skills: DataFrame, applicants: DataFrame, jobs: DataFrame,
                              k: int) -> DataFrame:
     """Exact top-k applicants per job, (group_id=job_id, item_id=applicant_id, skills_match,
-    experience_match, match_score, rank).
-
-    Jobs with the same (skill list, required years) share one ranking, so it is computed
-    once per such signature and joined back to the jobs.  For a list, applicants with the
-    same hit count and the same years tie; these tie classes are scored per signature, only
-    the classes that can reach the top k are expanded (to their first k applicants by id),
-    and applicants that miss the list entirely form one class per years value, expanded
-    through a distributed (years, id) numbering minus the applicants that do hit it.
+    experience_match, match_score, rank), by score descending, then id.
+
+    Jobs with the same (skill list, required years) share one ranking, joined back to the jobs.
+    Applicants with the same hits on a list and the same years tie: of each such class the first
+    k by id can matter, and only classes with fewer than k applicants strictly ahead.
     """
     jb = jobs.select("job_id", F.col("skills").alias("lst"), "req_years", F.size("skills").alias("n"),
                      _years_key(F.col("req_years")).alias("rkey"))
     sig = jb.select("lst", "n", "req_years", "rkey").distinct()
-    lists = sig.select("lst", "n").distinct()
-    lw = lists.select("lst", "n", F.posexplode("lst").alias("pos", "word"))
-    a = applicant_skills.select("applicant_id", "skill").distinct()
-    m = either_contains_pairs(lw.select("word"), a.select("skill")).select(
-        F.col("left_value").alias("word"), F.col("right_value").alias("skill"))
-    app_word = a.join(m, "skill").select("applicant_id", "word").distinct()
     ap = applicants.select("applicant_id", F.col("years").alias("y"), _years_key(F.col("years")).alias("ykey"))
-    hits = (app_word.join(maybe_broadcast(lw, BROADCAST_ROWS), "word")
-                    .groupBy("applicant_id", "lst", "n").agg(F.count(F.lit(1)).alias("h"))
-                    .join(ap, "applicant_id"))
-
-    # tie classes of hitting applicants, numbered by id inside each (list, h, years)
-    ranked = with_sequence(hits.select("lst", "h", "ykey", "applicant_id"), ["lst", "h", "ykey", "applicant_id"], "gpos")
-    cstart = ranked.groupBy("lst", "h", "ykey").agg(F.min("gpos").alias("start"), F.count(F.lit(1)).alias("cnt"))
-    ranked = ranked.join(cstart, ["lst", "h", "ykey"]).select(
-        "lst", "h", "ykey", (F.col("gpos") - F.col("start") + 1).alias("crank"), "applicant_id")
-    yd = ap.groupBy("ykey", "y").agg(F.count(F.lit(1)).alias("ycnt"))
-    ydom = yd.limit(MAX_YEAR_VALUES + 1).collect()
-    if len(ydom) > MAX_YEAR_VALUES:
-        raise ValueError(f"more than {MAX_YEAR_VALUES} distinct applicant experience values")
-    yarr = F.array(*[F.struct(F.lit(r["ykey"]).alias("ykey"), F.lit(r["ycnt"]).cast("long").alias("ycnt"))
-                     for r in ydom]) if ydom else F.array().cast("array<struct<ykey:string,ycnt:bigint>>")
-    hit_cls = cstart.select("lst", "h", "ykey", "cnt")
-    # one no-hit class per (list, years value): the years domain is a bounded literal
-    nohit_cls = (lists.select("lst", F.explode(yarr).alias("yy"))
-                 .select("lst", F.col("yy.ykey").alias("ykey"), F.col("yy.ycnt").alias("ycnt"))
-                 .join(hit_cls.groupBy("lst", "ykey").agg(F.sum("cnt").alias("hit_cnt")), ["lst", "ykey"], "left")
-                 .select("lst", F.lit(0).cast("long").alias("h"), "ykey",
-                         (F.col("ycnt") - F.coalesce(F.col("hit_cnt"), F.lit(0))).alias("cnt"))
-                 .where(F.col("cnt") > 0))
-    classes = hit_cls.unionByName(nohit_cls).join(yd.select("ykey", "y"), "ykey")
-
-    # score each class for each signature, keep classes that can reach the top k
-    sc = (sig.join(classes, "lst")
+    hits = list_hits(applicant_skills, sig.select("lst", "n").distinct()).join(ap, "applicant_id").checkpoint(eager=True)
+
+    cls = hits.groupBy("lst", "h", "ykey").agg(F.first("y").alias("y"), F.count(F.lit(1)).alias("cnt"))
+    sc = (sig.join(cls, "lst")
              .withColumn("skills_match", _skills_pct(F.col("h"), F.col("n")))
              .withColumn("experience_match", experience_match_pct(F.col("y"), F.col("req_years")))
-             .withColumn("match_score", F.round(F.col("skills_match") * 0.6 + F.col("experience_match") * 0.4, 2)))
-    # classes strictly ahead of a class hold fewer than k applicants -> it can reach the top k
-    better = Window.partitionBy("lst", "rkey").orderBy(F.col("match_score").desc()).rangeBetween(
+             .withColumn("match_score", _score(F.col("skills_match"), F.col("experience_match"))))
+    upto = Window.partitionBy("lst", "rkey").orderBy(F.col("match_score").desc()).rangeBetween(
         Window.unboundedPreceding, Window.currentRow)
-    kept = (sc.withColumn("upto", F.sum("cnt").over(better))
-              .withColumn("ahead", F.col("upto") - F.sum("cnt").over(
-                  Window.partitionBy("lst", "rkey", "match_score")))
-              .where(F.col("ahead") < k))
-
-    take = kept.select("lst", "rkey", "h", "ykey", "skills_match", "experience_match", "match_score",
-                       F.explode(F.sequence(F.lit(1), F.least(F.col("cnt"), F.lit(k)))).alias("j"))
-    rk = ranked.select(F.col("lst").alias("r_lst"), F.col("h").alias("r_h"), F.col("ykey").alias("r_ykey"),
-                       F.col("crank").alias("r_j"), F.col("applicant_id"))
-    from_hits = (take.where(F.col("h") > 0)
-                     .join(rk, (F.col("lst") == F.col("r_lst")) & (F.col("h") == F.col("r_h"))
-                           & (F.col("ykey") == F.col("r_ykey")) & (F.col("j") == F.col("r_j")))
-                     .select("lst", "rkey", "applicant_id", "skills_match", "experience_match", "match_score"))
-    # applicants missing the list: first k of their years class that do not hit it
-    nh = take.where(F.col("h") == 0).select("lst", "rkey", "ykey", "skills_match", "experience_match",
-                                             "match_score").distinct()
-    by_y = with_sequence(ap.select("ykey", "applicant_id"), ["ykey", "applicant_id"], "ypos")
-    ystart = by_y.groupBy("ykey").agg(F.min("ypos").alias("s0"))
-    by_y = by_y.join(ystart, "ykey").select("ykey", (F.col("ypos") - F.col("s0") + 1).alias("yrank"), "applicant_id")
-    e = hit_cls.groupBy("lst", "ykey").agg(F.sum("cnt").alias("e"))
-    nh_rows = (nh.join(e, ["lst", "ykey"], "left")
-                 .select("lst", "rkey", "ykey", "skills_match", "experience_match", "match_score",
-                         F.explode(F.sequence(F.lit(1), F.lit(k) + F.coalesce(F.col("e"), F.lit(0)))).alias("yrank"))
-                 .join(by_y, ["ykey", "yrank"])
-                 .join(hits.select("lst", "applicant_id"), ["lst", "applicant_id"], "left_anti")
-                 .select("lst", "rkey", "applicant_id", "skills_match", "experience_match", "match_score"))
-    per_sig = top_k_per(from_hits.unionByName(nh_rows), ["lst", "rkey"],
-                        [F.col("match_score").desc(), F.col("applicant_id")], k)
+    kept = (sc.withColumn("ahead", F.sum("cnt").over(upto) - F.sum("cnt").over(
+        Window.partitionBy("lst", "rkey", "match_score"))).where(F.col("ahead") < k))
+    members = top_k_per(hits.select("lst", "h", "ykey", "applicant_id"), ["lst", "h", "ykey"], [F.col("applicant_id")], k, "_m")
+    order = [F.col("match_score").desc(), F.col("applicant_id")]
+    cols = ["lst", "rkey", "applicant_id", "skills_match", "experience_match", "match_score"]
+    top = top_k_per(kept.join(members, ["lst", "h", "ykey"]).select(*cols), ["lst", "rkey"], order, k).select(
+        *cols).checkpoint(eager=True)
+
+    # a bound on what an applicant without a hit can score for a job
+    b = ap.agg(F.max("y").alias("hi"), F.min("y").alias("lo"), F.max(F.col("y").isNull()).alias("na")).first()
+    bound = _score(F.when(F.col("n") == 0, 100.0).otherwise(0.0), F.greatest(F.lit(50.0 if b.na else 0.0),
+                   F.coalesce(experience_match_pct(F.lit(b.hi).cast("double"), F.col("req_years")), F.lit(100.0))))
+    odd = (F.col("req_years") < 0) | F.lit(b.lo is not None and b.lo < 0)
+    have = top.groupBy("lst", "rkey").agg(F.count(F.lit(1)).alias("n_top"), F.min("match_score").alias("kth"))
+    needy = (sig.join(have, ["lst", "rkey"], "left")
+                .where(F.col("n_top").isNull() | (F.col("n_top") < k) | (F.col("kth") <= bound) | F.coalesce(odd, F.lit(False)))
+                .select("lst", "rkey", F.col("rkey").alias("gkey"), F.col("req_years").alias("gval"),
+                        F.when(F.col("n") == 0, 100.0).otherwise(0.0).alias("gbase")))
+    items = ap.select(F.col("applicant_id").alias("item_id"), F.col("ykey").alias("ikey"), F.col("y").alias("ival"),
+                      F.lit(0.0).alias("ibase"))
+    taken = hits.select("lst", F.col("applicant_id").alias("item_id"))
+    rest = _fill_no_hit(needy, ["lst", "rkey"], items, k, lambda g, i: experience_match_pct(i, g),
+                        lambda c: c.join(taken, ["lst", "item_id"], "left_anti"))
+    per_sig = top_k_per(top.unionByName(rest.withColumnRenamed("item_id", "applicant_id").select(*cols)), ["lst", "rkey"], order, k)
     return jb.join(per_sig, ["lst", "rkey"]).select(
         F.col("job_id").alias("group_id"), F.col("applicant_id").alias("item_id"),
         "skills_match", "experience_match", "match_score", "rank")

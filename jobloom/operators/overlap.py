@@ -1,17 +1,17 @@
 """Skill-overlap percentages between users and jobs over the bridge tables.
 
-Pairs are produced by an equi-join on ``skill_id`` and pre-aggregated per
-(user, job); no user x job enumeration happens.  A pair that shares no skill
-has overlap 0 and is not emitted.  Hot skills are split by AQE's skew join.
+Jobs with the same set of distinct skills overlap alike with every user, so rows are formed per
+(user, skill set) by an equi-join on ``skill_id`` and weighted by the set's jobs; users and jobs
+that share no skill (0 %) come from counts and short fillers, not from pairs.  Hot skills are
+split by AQE's skew join.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .matching import BROADCAST_ROWS, maybe_broadcast
-from .partitioning import spread
+from .topk import top_k_per
 
 
 def _pct(num: Column, den: Column) -> Column:
@@ -19,20 +19,71 @@ def _pct(num: Column, den: Column) -> Column:
     return F.coalesce(F.try_divide(num.cast("double"), den.cast("double")) * 100.0, F.lit(0.0))
 
 
-def overlap_distinct(user_skill: DataFrame, job_skill: DataFrame) -> DataFrame:
-    """|distinct user skills ∩ distinct job skills| / |distinct job skills| · 100 (detail page)."""
-    us = spread(user_skill.select("user_id", "skill_id").distinct(), "user_id")
-    js = job_skill.select("job_id", "skill_id").distinct()
-    den = js.groupBy("job_id").agg(F.count(F.lit(1)).alias("n_job_skills"))
-    # users stay hash-partitioned while the (size-checked) job side is broadcast, so the
-    # (user, job) rows are counted where they are produced and per-user windows reuse it
-    hits = (us.join(maybe_broadcast(js, BROADCAST_ROWS), "skill_id")
-              .groupBy("user_id", "job_id").agg(F.count(F.lit(1)).alias("n_common")))
-    return (hits.join(maybe_broadcast(den, BROADCAST_ROWS), "job_id")
-                .select("user_id", "job_id", "n_common", "n_job_skills",
+def job_sets(job_skill: DataFrame) -> DataFrame:
+    """(job_id, sid, set, n_job_skills): each job's sorted distinct skills (bounded by one posting) and
+    a 64-bit hash that stands for the set."""
+    return (job_skill.groupBy("job_id").agg(F.array_sort(F.collect_set("skill_id")).alias("set"))
+                     .select("job_id", F.xxhash64("set").alias("sid"), "set", F.size("set").cast("long").alias("n_job_skills")))
+
+
+def overlap_sets(user_skill: DataFrame, sets: DataFrame) -> DataFrame:
+    """(user_id, sid, n_common, n_job_skills, n_jobs, overlap_pct) of every user and skill set that
+    share a skill; ``n_jobs`` is the number of jobs with that set."""
+    us = user_skill.select("user_id", "skill_id").distinct()
+    distinct = sets.groupBy("sid", "n_job_skills").agg(F.count(F.lit(1)).alias("n_jobs"), F.first("set").alias("set"))
+    hits = (us.join(distinct.select("sid", F.explode("set").alias("skill_id")), "skill_id")
+              .groupBy("user_id", "sid").agg(F.count(F.lit(1)).alias("n_common")))
+    return (hits.join(distinct.drop("set"), "sid")
+                .select("user_id", "sid", "n_common", "n_job_skills", "n_jobs",
                         _pct(F.col("n_common"), F.col("n_job_skills")).alias("overlap_pct")))
 
 
+def top_overlap(users: DataFrame, jobs: DataFrame, user_skill: DataFrame, job_skill: DataFrame, k: int) -> DataFrame:
+    """Top-k jobs of every user by (overlap % desc, job_id): |distinct common skills| / |distinct job
+    skills| * 100.  Users with fewer than k overlapping jobs are filled with 0 % jobs by id."""
+    sets = job_sets(job_skill)
+    pairs = overlap_sets(user_skill, sets)
+    ahead = Window.partitionBy("user_id").orderBy(F.col("overlap_pct").desc()).rangeBetween(
+        Window.unboundedPreceding, Window.currentRow)
+    tied = Window.partitionBy("user_id", "overlap_pct")
+    kept = pairs.withColumn("_ahead", F.sum("n_jobs").over(ahead) - F.sum("n_jobs").over(tied)).where(F.col("_ahead") < k)
+    first = top_k_per(sets.select("job_id", "sid"), ["sid"], [F.col("job_id")], k, "_m")
+    rows = kept.join(first, "sid").select("user_id", "job_id", "n_common", "n_job_skills", "overlap_pct")
+    order = [F.col("overlap_pct").desc(), F.col("job_id")]
+    top = top_k_per(rows, ["user_id"], order, k).drop("rank").checkpoint(eager=True)
+    # a user with fewer than k overlapping jobs has fewer than k to skip among the first 2k jobs by id
+    full = top.groupBy("user_id").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= k).select("user_id")
+    filler = (jobs.select("job_id").orderBy("job_id").limit(2 * k)
+              .join(sets.select("job_id", "n_job_skills"), "job_id", "left"))
+    zero = (users.select("user_id").join(full, "user_id", "left_anti").crossJoin(F.broadcast(filler))
+            .join(top.select("user_id", "job_id"), ["user_id", "job_id"], "left_anti")
+            .select("user_id", "job_id", F.lit(0).cast("long").alias("n_common"),
+                    F.coalesce("n_job_skills", F.lit(0)).cast("long").alias("n_job_skills"), F.lit(0.0).alias("overlap_pct")))
+    return top_k_per(top.unionByName(zero), ["user_id"], order, k)
+
+
+def bucket_counts(users: DataFrame, jobs: DataFrame, user_skill: DataFrame, job_skill: DataFrame) -> DataFrame:
+    """(user_id, bucket, n_jobs) over all users and all jobs; weak = all jobs - strong - medium, so
+    only overlaps of 40 % or more are counted one by one."""
+    n_all = jobs.agg(F.count(F.lit(1)).alias("n_all"))
+    strong = (overlap_sets(user_skill, job_sets(job_skill)).where("overlap_pct >= 40")
+              .groupBy("user_id", match_bucket(F.col("overlap_pct")).alias("bucket")).agg(F.sum("n_jobs").alias("n_jobs")))
+    weak = (users.select("user_id").join(strong.groupBy("user_id").agg(F.sum("n_jobs").alias("n")), "user_id", "left")
+            .crossJoin(F.broadcast(n_all))          # one row
+            .select("user_id", F.lit("Weak Match").alias("bucket"), (F.col("n_all") - F.coalesce("n", F.lit(0))).alias("n_jobs")))
+    return strong.unionByName(weak.where("n_jobs > 0"))
+
+
+def shared_counts(users: DataFrame, user_skill: DataFrame, job_skill: DataFrame) -> DataFrame:
+    """(user_id, n_jobs_sharing, n_common_total, max_common) of every user, 0 for those without an overlap."""
+    per = (overlap_sets(user_skill, job_sets(job_skill)).groupBy("user_id")
+           .agg(F.sum("n_jobs").alias("n_jobs_sharing"), F.sum(F.col("n_jobs") * F.col("n_common")).alias("n_common_total"),
+                F.max("n_common").alias("max_common")))
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
+    return users.select("user_id").join(per, "user_id", "left").select(
+        "user_id", zero("n_jobs_sharing"), zero("n_common_total"), zero("max_common"))
+
+
 def overlap_apply(pairs: DataFrame, user_skill: DataFrame, job_skill: DataFrame) -> DataFrame:
     """Apply-time variant for given (user_id, job_id) pairs: distinct common skills over the
     job's raw skill list length (duplicates counted)."""
@@ -47,18 +98,16 @@ def overlap_apply(pairs: DataFrame, user_skill: DataFrame, job_skill: DataFrame)
                      _pct(F.coalesce(F.col("n_common"), F.lit(0)), F.col("n_job_skills")).alias("overlap_pct")))
 
 
-def overlap_card(user_skill: DataFrame, job_skill: DataFrame, jobs: DataFrame | None = None) -> DataFrame:
-    """Card variant: entries of the user's skill list found in the job's list, over the raw
-    job list length (duplicates counted).  ``jobs`` optionally restricts to shown jobs."""
-    js = job_skill.select("job_id", "skill_id")
-    if jobs is not None:
-        js = js.join(jobs.select("job_id"), "job_id", "left_semi")
-    us = user_skill.select("user_id", "skill_id")
+def overlap_card(users: DataFrame, shown: DataFrame, user_skill: DataFrame, job_skill: DataFrame) -> DataFrame:
+    """Card variant for every user and every shown job (a short list, broadcast): entries of the user's
+    skill list found in the job's list, over the raw job list length (duplicates counted)."""
+    shown = F.broadcast(shown.select("job_id"))
+    js = job_skill.select("job_id", "skill_id").join(shown, "job_id", "left_semi")
     den = js.groupBy("job_id").agg(F.count(F.lit(1)).alias("n_job_skills"))
-    hits = (us.join(js.distinct(), "skill_id")
+    hits = (user_skill.select("user_id", "skill_id").join(js.distinct(), "skill_id")
               .groupBy("user_id", "job_id").agg(F.count(F.lit(1)).alias("n_hit")))
-    return (hits.join(den, "job_id")
-                .select("user_id", "job_id", _pct(F.col("n_hit"), F.col("n_job_skills")).alias("overlap_pct")))
+    return (users.select("user_id").crossJoin(shown).join(den, "job_id", "left").join(hits, ["user_id", "job_id"], "left")
+                .select("user_id", "job_id", _pct(F.coalesce("n_hit", F.lit(0)), F.col("n_job_skills")).alias("overlap_pct")))
 
 
 def match_bucket(pct: Column) -> Column:

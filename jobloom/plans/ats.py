@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scoring import experience_match_pct, parse_years
+from ..functions.scoring import experience_match_pct, parse_years, skill_match_pct
 from ..operators import matching as mt
 from ..functions import catalog as cat
 from ..operators.sequence import with_sequence
@@ -34,19 +34,17 @@ def applicant_skills(a: Ats) -> DataFrame:
 
 
 def scored_pairs(a: Ats, pairs: DataFrame) -> DataFrame:
-    """skills%, experience% and weighted score for given (applicant_id, job_id) pairs."""
-    jobs = jobs_model(a)
-    js = mt.job_skill_rows(jobs, F.col("skills"))
-    hits = mt.skill_hit_counts(applicant_skills(a), js, pairs)
-    p = (pairs.select("applicant_id", "job_id").distinct()
-              .join(hits, ["applicant_id", "job_id"], "left")
-              .join(jobs.select("job_id", F.size("skills").alias("n_job_skills"), "req_years"), "job_id")
-              .join(applicant_model(a).select("applicant_id", "years"), "applicant_id"))
-    skills = F.when(F.col("n_job_skills") == 0, F.lit(100.0)).otherwise(
-        F.coalesce(F.col("n_hit"), F.lit(0)).cast("double") / F.col("n_job_skills").cast("double") * 100.0)
+    """skills%, experience% and weighted score for given (applicant_id, job_id) pairs: each pair
+    carries its applicant's and its job's skill arrays (both bounded by one profile or posting)."""
+    own = applicant_skills(a).groupBy("applicant_id").agg(F.collect_set("skill").alias("own"))
+    jobs = jobs_model(a).select("job_id", F.col("skills").alias("wanted"), "req_years")
+    people = applicant_model(a).select("applicant_id", "years").join(own, "applicant_id", "left")
+    p = pairs.select("applicant_id", "job_id").distinct().join(jobs, "job_id").join(people, "applicant_id")
+    none = F.array().cast("array<string>")
+    skills = skill_match_pct(F.coalesce("own", none), F.col("wanted"))
     exp = experience_match_pct(F.col("years"), F.col("req_years"))
-    return p.select("applicant_id", "job_id", skills.alias("skills_match"), exp.alias("experience_match"),
-                    F.round(skills * 0.6 + exp * 0.4, 2).alias("match_score"))
+    return (p.select("applicant_id", "job_id", skills.alias("skills_match"), exp.alias("experience_match"))
+             .withColumn("match_score", F.round(F.col("skills_match") * 0.6 + F.col("experience_match") * 0.4, 2)))
 
 
 # ---------------------------------------------------------- oracle parts ---

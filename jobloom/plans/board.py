@@ -13,14 +13,25 @@ from ..sources.fixtures import Ats
 from .registry import register
 
 
-@register("overlap_distinct", sql="""
-with js as (select distinct job_id, skill_id from ats_job_skill),
+# every user with every job, 0 % where no skill is shared (the detail page shows such jobs too)
+_SQL_OVERLAP = """
+js as (select distinct job_id, skill_id from ats_job_skill),
 den as (select job_id, count(*) as n_job_skills from js group by job_id),
 hits as (select u.user_id, js.job_id, count(*) as n_common
          from ats_user_skill u join js on u.skill_id = js.skill_id group by u.user_id, js.job_id),
-p as (select h.user_id, h.job_id, h.n_common, d.n_job_skills,
-             cast(h.n_common as double) / d.n_job_skills * 100.0 as overlap_pct
-      from hits h join den d on h.job_id = d.job_id),
+p as (select ap.applicant_id as user_id, j.job_id, coalesce(h.n_common, 0) as n_common,
+             coalesce(d.n_job_skills, 0) as n_job_skills,
+             coalesce(cast(coalesce(h.n_common, 0) as double) / d.n_job_skills * 100.0, 0.0) as overlap_pct
+      from ats_applicants ap cross join ats_jobs j left join den d on d.job_id = j.job_id
+      left join hits h on h.user_id = ap.applicant_id and h.job_id = j.job_id)"""
+
+
+def users(a: Ats):
+    return a.ats_applicants.select(F.col("applicant_id").alias("user_id"))
+
+
+@register("overlap_distinct", sql=f"""
+with {_SQL_OVERLAP},
 r as (select *, row_number() over (partition by user_id order by overlap_pct desc, job_id) as rank from p)
 select user_id, job_id, n_common, n_job_skills, round(overlap_pct, 6) as overlap_pct,
        case when overlap_pct >= 70 then 'Strong Match' when overlap_pct >= 40 then 'Medium Match' else 'Weak Match' end as bucket,
@@ -29,8 +40,7 @@ from r where rank <= 5""")
 def q_overlap_distinct(spark, sf_dir, k: int = 5):
     """Which jobs suit each user: top-k jobs by distinct skill overlap, with the match bucket."""
     a = Ats(spark, sf_dir)
-    pairs = ov.overlap_distinct(a.ats_user_skill, a.ats_job_skill)
-    top = top_k_per(pairs, ["user_id"], [F.col("overlap_pct").desc(), F.col("job_id")], k)
+    top = ov.top_overlap(users(a), a.ats_jobs, a.ats_user_skill, a.ats_job_skill, k)
     return top.select("user_id", "job_id", "n_common", "n_job_skills",
                       F.round("overlap_pct", 6).alias("overlap_pct"),
                       ov.match_bucket(F.col("overlap_pct")).alias("bucket"), "rank")
@@ -86,51 +96,41 @@ js as (select s.job_id, s.skill_id from ats_job_skill s join latest l on l.job_i
 den as (select job_id, count(*) as n from js group by job_id),
 hits as (select u.user_id, d.job_id, count(*) as n_hit
          from ats_user_skill u join (select distinct job_id, skill_id from js) d on d.skill_id = u.skill_id
-         group by u.user_id, d.job_id)
-select h.user_id, h.job_id, round(cast(h.n_hit as double) / den.n * 100.0, 6) as overlap_pct,
-       case when cast(h.n_hit as double) / den.n * 100.0 >= 70 then 'Strong Match'
-            when cast(h.n_hit as double) / den.n * 100.0 >= 40 then 'Medium Match' else 'Weak Match' end as bucket
-from hits h join den on den.job_id = h.job_id""")
+         group by u.user_id, d.job_id),
+p as (select ap.applicant_id as user_id, l.job_id, coalesce(cast(coalesce(h.n_hit, 0) as double) / den.n * 100.0, 0.0) as pct
+      from ats_applicants ap cross join latest l left join den on den.job_id = l.job_id
+      left join hits h on h.user_id = ap.applicant_id and h.job_id = l.job_id)
+select user_id, job_id, round(pct, 6) as overlap_pct,
+       case when pct >= 70 then 'Strong Match' when pct >= 40 then 'Medium Match' else 'Weak Match' end as bucket
+from p""")
 def q_overlap_card(spark, sf_dir):
-    """Match % and label on the cards of the newest jobs, for every user sharing a skill
-    (users sharing none would show 0 % / Weak Match and are not emitted)."""
+    """Match % and label on the cards of the newest jobs for every user (0 % / Weak Match included)."""
     a = Ats(spark, sf_dir)
-    shown = latest_jobs(a)
-    r = ov.overlap_card(a.ats_user_skill, a.ats_job_skill, F.broadcast(shown.select("job_id")))
+    r = ov.overlap_card(users(a), latest_jobs(a), a.ats_user_skill, a.ats_job_skill)
     return r.select("user_id", "job_id", F.round("overlap_pct", 6).alias("overlap_pct"),
                     ov.match_bucket(F.col("overlap_pct")).alias("bucket"))
 
 
-@register("match_bucket", sql="""
-with js as (select distinct job_id, skill_id from ats_job_skill),
-den as (select job_id, count(*) as n from js group by job_id),
-hits as (select u.user_id, js.job_id, count(*) as c from ats_user_skill u join js on u.skill_id = js.skill_id
-         group by u.user_id, js.job_id),
-p as (select h.user_id, cast(h.c as double) / den.n * 100.0 as pct from hits h join den on den.job_id = h.job_id)
-select user_id, case when pct >= 70 then 'Strong Match' when pct >= 40 then 'Medium Match' else 'Weak Match' end as bucket,
+@register("match_bucket", sql=f"""
+with {_SQL_OVERLAP}
+select user_id, case when overlap_pct >= 70 then 'Strong Match' when overlap_pct >= 40 then 'Medium Match' else 'Weak Match' end as bucket,
        count(*) as n_jobs
 from p group by 1, 2""")
 def q_match_bucket(spark, sf_dir):
-    """How many jobs fall in each match label per user (jobs sharing at least one skill)."""
+    """How many of all jobs fall in each match label, for every user."""
     a = Ats(spark, sf_dir)
-    pairs = ov.overlap_distinct(a.ats_user_skill, a.ats_job_skill)
-    return (pairs.groupBy("user_id", ov.match_bucket(F.col("overlap_pct")).alias("bucket"))
-                 .agg(F.count(F.lit(1)).alias("n_jobs")))
+    return ov.bucket_counts(users(a), a.ats_jobs, a.ats_user_skill, a.ats_job_skill)
 
 
-@register("skill_overlap", sql="""
-with js as (select distinct job_id, skill_id from ats_job_skill),
-hits as (select u.user_id, js.job_id, count(*) as c from ats_user_skill u join js on u.skill_id = js.skill_id
-         group by u.user_id, js.job_id)
-select user_id, count(*) as n_jobs_sharing, cast(sum(c) as bigint) as n_common_total, max(c) as max_common
-from hits group by user_id""")
+@register("skill_overlap", sql=f"""
+with {_SQL_OVERLAP}
+select user_id, cast(sum(case when n_common > 0 then 1 else 0 end) as bigint) as n_jobs_sharing,
+       cast(sum(n_common) as bigint) as n_common_total, max(n_common) as max_common
+from p group by user_id""")
 def q_skill_overlap(spark, sf_dir):
-    """user_skill ⋈ job_skill on skill, pre-aggregated per (user, job), then per user."""
+    """Jobs sharing a skill with each user, common skills in all and at most, for every user."""
     a = Ats(spark, sf_dir)
-    pairs = ov.overlap_distinct(a.ats_user_skill, a.ats_job_skill)
-    hits = pairs.select("user_id", "job_id", F.col("n_common").alias("c"))
-    return hits.groupBy("user_id").agg(F.count(F.lit(1)).alias("n_jobs_sharing"),
-                                       F.sum("c").alias("n_common_total"), F.max("c").alias("max_common"))
+    return ov.shared_counts(users(a), a.ats_user_skill, a.ats_job_skill)
 
 
 @register("job_skill_names", sql="""

@@ -241,19 +241,19 @@ def q_record_form(spark, sf_dir):
 
 
 @register("label_queue", sql=f"""
-select job_id, substr({_SQL_FORM}, 1, 250) as form_head from ats_jobs
+select job_id, {_SQL_FORM} as form from ats_jobs
 where date_posted between date '{QUEUE_AS_OF}' - interval {QUEUE_DAYS} day and date '{QUEUE_AS_OF}'
   and job_id not in (select doc_id from labels)
 order by date_posted desc, job_id limit {QUEUE_SIZE}""")
 def q_label_queue(spark, sf_dir, as_of: str = QUEUE_AS_OF, days: int = QUEUE_DAYS, size: int = QUEUE_SIZE):
-    """Postings of the last ``days`` not yet labelled, newest first, at most ``size``."""
+    """Postings of the last ``days`` not yet labelled, newest first, at most ``size``, each with its whole form."""
     a = Ats(spark, sf_dir)
     j = a.ats_jobs
     hi = F.lit(as_of).cast("date")
     recent = j.where(F.col("date_posted").between(F.date_sub(hi, days), hi))
     todo = recent.join(a.labels.select(F.col("doc_id").alias("job_id")), "job_id", "left_anti")
     return (todo.orderBy(F.col("date_posted").desc(), F.col("job_id")).limit(size)
-                .select("job_id", F.substring(ig.record_form(_form_fields(j)), 1, 250).alias("form_head")))
+                .select("job_id", ig.record_form(_form_fields(j)).alias("form")))
 
 
 TRAIN_N = 30

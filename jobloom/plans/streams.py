@@ -17,7 +17,7 @@ KEYS = ["user_id", "event_type"]
 
 def _sink(spark, sf_dir, path: str):
     """Read a stream's sink; a stream that wrote nothing reads as an empty events table."""
-    schema = st.file_stream(spark, sf_dir, "events").schema
+    schema = st.file_stream(spark, sf_dir, "events").schema     # partition columns of a sink are not asked for
     return st.read_or_empty(spark, path, schema)
 
 

@@ -45,9 +45,9 @@ def get_session(master: str | None = None, app: str = "jobloom",
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder the cluster names.
 
-    ``spark.checkpoint.dir`` is read from the session.  Only when it is unset
-    (local tests) is a private folder created, so a cluster run never falls
-    back to a machine-local path silently.
+    ``spark.checkpoint.dir`` is read from the session.  Where it is unset, a
+    private folder is created on a local master (tests) only; any other master
+    is refused, since its executors would not share the folder.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -58,6 +58,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if configured:
         sc.setCheckpointDir(configured)
         return sc.getCheckpointDir()
+    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     local = tempfile.mkdtemp(prefix="jobloom-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     sc.setCheckpointDir(local)
     return sc.getCheckpointDir()

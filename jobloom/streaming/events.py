@@ -1,8 +1,8 @@
 """Structured Streaming jobs over an append-only file source.
 
 * ``ingest_first_seen``: insert-if-absent by key; each micro-batch keeps its first row
-  per key and anti-joins the target table before appending, so a replayed batch
-  (after a failure, same checkpoint) inserts nothing twice.
+  per key and anti-joins the key buckets of the target before it writes its own folder, so
+  a replayed batch (after a failure, same checkpoint) inserts nothing twice.
 * ``dedup_within_watermark``: bounded-state de-duplication.
 * ``recent``: stateless look-back filter on event time.
 
@@ -13,38 +13,64 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
 from ..operators.topk import first_wins
 
 
 def file_stream(spark: SparkSession, sf_dir: str, table: str, max_files_per_trigger: int | None = None) -> DataFrame:
-    """Stream the parquet files of one table; event time is cast to a UTC ``timestamp``."""
-    schema = spark.read.parquet(f"{sf_dir.rstrip('/')}/{table}.parquet").schema
-    r = spark.readStream.schema(schema).option("pathGlobFilter", f"{table}*.parquet")
+    """Stream the parquet files of one table, a folder of part files or a single file; event time
+    is cast to a UTC ``timestamp``.  A path without a readable file fails when the schema is read."""
+    path = f"{sf_dir.rstrip('/')}/{table}.parquet"
+    r = spark.readStream.schema(spark.read.parquet(path).schema)
     if max_files_per_trigger:
         r = r.option("maxFilesPerTrigger", max_files_per_trigger)
-    s = r.parquet(sf_dir)
+    if _is_folder(spark, path):
+        s = r.parquet(path)
+    else:                       # the source watches folders: take the one file out of its folder
+        s = r.option("pathGlobFilter", f"{table}.parquet").parquet(sf_dir)
     if "ts" in s.columns:
         s = s.withColumn("ts", F.col("ts").cast("timestamp"))
     return s
 
 
+def _file_system(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+def _is_folder(spark: SparkSession, path: str) -> bool:
+    fs, p = _file_system(spark, path)
+    return fs.getFileStatus(p).isDirectory()
+
+
 def read_or_empty(spark: SparkSession, path: str, schema) -> DataFrame:
-    try:
-        return spark.read.schema(schema).parquet(path)
-    except AnalysisException:
-        return spark.createDataFrame([], schema)
+    """The table at ``path``, or an empty one if nothing was written there; other errors (schema,
+    permission) are raised."""
+    fs, p = _file_system(spark, path)
+    return spark.read.schema(schema).parquet(path) if fs.exists(p) else spark.createDataFrame([], schema)
+
+
+KEY_BUCKETS = 64
 
 
 def ingest_first_seen(stream: DataFrame, keys: list[str], order_by: list[str], target: str,
                       checkpoint: str):
-    """Start the insert-if-absent stream; returns the StreamingQuery."""
+    """Start the insert-if-absent stream; returns the StreamingQuery.
+
+    The target is partitioned by a hash bucket of the key, and a micro-batch reads only the
+    buckets its keys fall into.  Each batch writes its own folder (``batch=n``) in overwrite
+    mode, so a replayed batch replaces what its first, failed run wrote.
+    """
     def upsert(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        first = first_wins(batch, keys, [F.col(c) for c in order_by])
-        existing = read_or_empty(spark, target, batch.schema).select(*keys).distinct()
-        first.join(existing, keys, "left_anti").write.mode("append").parquet(target)
+        first = first_wins(batch, keys, [F.col(c) for c in order_by]).withColumn(
+            "bucket", F.pmod(F.xxhash64(*keys), F.lit(KEY_BUCKETS)).cast("int"))
+        schema = first.drop("bucket").schema.add("batch", "long").add("bucket", "integer")
+        buckets = [r.bucket for r in first.select("bucket").distinct().collect()]        # KEY_BUCKETS at most
+        existing = (read_or_empty(spark, target, schema)
+                    .where(F.col("bucket").isin(buckets) & (F.col("batch") != batch_id)).select(*keys).distinct())
+        (first.join(existing, keys, "left_anti").write.mode("overwrite").partitionBy("bucket")
+              .parquet(f"{target}/batch={batch_id}"))
 
     return (stream.writeStream.foreachBatch(upsert)
                   .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())

@@ -4,11 +4,11 @@ import random
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
-from pyspark.sql import functions as F
 
 from jobloom.functions import scoring as sc
 from jobloom.operators import fuzzy as fz
 from jobloom.operators import matching as mt
+from tests.test_scoring import expected_experience, expected_skills
 
 alphabet = st.text(alphabet="abc ", max_size=6)
 
@@ -22,51 +22,38 @@ def test_contained_pairs_exact(spark, outer, inner):
     assert got == {(v, w) for v in set(outer) for w in set(inner) if w in v}
 
 
-def _brute_top_k(apps, jobs, app_years, k, excluded):
+def _all_scores(apps, jobs, app_years):
+    """(applicant, job) -> rounded score, by the rules of tests/test_scoring.py."""
+    return {(a, j): round(expected_skills(mine, asked) * 0.6 + expected_experience(app_years[a], need) * 0.4, 2)
+            for a, mine in apps.items() for j, (asked, need) in jobs.items()}
+
+
+def _best(scores, k, group, item, skip=()):
     out = {}
-    for a, askills in apps.items():
-        cands = []
-        for j, (jskills, r) in jobs.items():
-            if (a, j) in excluded:
-                continue
-            s = (100.0 if not jskills else
-                 sum(1 for x in jskills if any(y in x or x in y for y in askills)) / len(jskills) * 100.0)
-            y = app_years[a]
-            e = 50.0 if y is None or r is None else (100.0 if y >= r else y / r * 100.0)
-            cands.append((-round(s * 0.6 + e * 0.4, 2), j))
-        out[a] = [j for _, j in sorted(cands)[:k]]
-    return out
-
-
-def test_top_k_recommendations_vs_brute_force(spark):
-    rnd = random.Random(7)
-    vocab = ["ab", "abc", "b", "cab", "bca", "ca", "a"]
-    jobs = {j: ([rnd.choice(vocab) for _ in range(rnd.randint(1, 3))], rnd.choice([None, 0.0, 1.0, 2.0, 3.0]))
-            for j in range(40)}
-    apps = {a: sorted({rnd.choice(vocab) for _ in range(rnd.randint(0, 2))}) for a in range(12)}
-    years = {a: rnd.choice([None, 0.0, 1.0, 2.5]) for a in apps}
-    excluded = {(a, j) for a in apps for j in jobs if rnd.random() < 0.2}
-    k = 4
-    jdf = spark.createDataFrame([(j, s, r) for j, (s, r) in jobs.items()], "job_id long, skills array<string>, req double")
-    adf = spark.createDataFrame([(a, s) for a, ss in apps.items() for s in ss] or [(0, "zz")], "applicant_id long, skill string")
-    hits = mt.skill_hit_counts(adf, mt.job_skill_rows(jdf, F.col("skills"))).select(
-        F.col("applicant_id").alias("group_id"), F.col("job_id").alias("item_id"), "n_hit")
-    groups = spark.createDataFrame(list(years.items()), "group_id long, years double")
-    items = jdf.select(F.col("job_id").alias("item_id"), F.col("req").alias("years"), F.size("skills").alias("n_job_skills"))
-    ex = spark.createDataFrame(sorted(excluded), "group_id long, item_id long")
-    top = mt.top_k_recommendations(hits, groups, items, k, True, ex).collect()
-    got = {}
-    for r in sorted(top, key=lambda r: (r.group_id, r.rank)):
-        got.setdefault(r.group_id, []).append(r.item_id)
-    assert got == _brute_top_k(apps, jobs, years, k, excluded)
+    for pair, s in scores.items():
+        if pair not in skip:
+            out.setdefault(pair[group], []).append((-s, pair[item]))
+    return {g: [i for _, i in sorted(v)[:k]] for g, v in out.items()}
+
 
+def _distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        prev, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            prev, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, prev + (x != y))
+    return row[-1]
 
-def test_fuzzy_pairs_broadcast_and_banded_agree(spark):
-    left = spark.createDataFrame([("blue anvil",), ("blue anvl",), ("red gear",), ("gears",)], "l string")
-    right = spark.createDataFrame([("blue anvil",), ("red gear",), ("ring",)], "r string")
-    a = {tuple(r) for r in fz.fuzzy_value_pairs(left, right, "l", "r", 0.7).collect()}
-    b = {tuple(r) for r in fz.fuzzy_value_pairs(left, right, "l", "r", 0.7, broadcast_limit=0).collect()}
-    assert a == b == {("blue anvil", "blue anvil"), ("blue anvl", "blue anvil"), ("red gear", "red gear")}
+
+def test_fuzzy_pairs_against_brute_force(spark):
+    rnd = random.Random(4)
+    word = lambda: "".join(rnd.choice("abc ") for _ in range(rnd.randint(0, 9)))
+    left, right = {word() for _ in range(90)} | {"blue anvl"}, {word() for _ in range(60)} | {"blue anvil"}
+    ldf, rdf = spark.createDataFrame([(x,) for x in left], "l string"), spark.createDataFrame([(x,) for x in right], "r string")
+    for t, strict in ((0.7, False), (0.8, True), (0.34, False), (1.0, False)):
+        got = {tuple(r) for r in fz.fuzzy_value_pairs(ldf, rdf, "l", "r", t, strict).collect()}
+        close = lambda a, b: 1 - _distance(a, b) / max(len(a), len(b))
+        assert got == {(a, b) for a in left for b in right if a and b and (close(a, b) > t if strict else close(a, b) >= t)}
 
 
 def test_ratio_threshold_is_inclusive(spark):
@@ -105,20 +92,35 @@ def test_top_k_jobs_by_list_vs_brute_force(spark):
         jdf, adf, ydf = _frames(spark, jobs, apps, years)
         ex = spark.createDataFrame(sorted(excluded), "applicant_id long, job_id long")
         got = _per_group(mt.top_k_jobs_by_list(adf, ydf, jdf, 4, ex).collect())
-        assert got == _brute_top_k(apps, jobs, years, 4, excluded)
+        assert got == _best(_all_scores(apps, jobs, years), 4, 0, 1, excluded)
 
 
 def test_top_k_applicants_by_list_vs_brute_force(spark):
     jobs, apps, years, _ = _random_case(5)
     jdf, adf, ydf = _frames(spark, jobs, apps, years)
     got = _per_group(mt.top_k_applicants_by_list(adf, ydf, jdf, 3).collect())
-    want = {}
-    for j, (jskills, r) in jobs.items():
-        cands = []
-        for a, askills in apps.items():
-            s = sum(1 for x in jskills if any(y in x or x in y for y in askills)) / len(jskills) * 100.0
-            y = years[a]
-            e = 50.0 if y is None or r is None else (100.0 if y >= r else y / r * 100.0)
-            cands.append((-round(s * 0.6 + e * 0.4, 2), a))
-        want[j] = [a for _, a in sorted(cands)[:3]]
-    assert got == want
+    assert got == _best(_all_scores(apps, jobs, years), 3, 1, 0)
+
+
+def test_rounded_ties_go_by_id(spark):
+    """121 and 120 required years round to one score: the smaller id is the top one, for every k."""
+    jobs = {1: (["sql"], 121.0), 2: (["sql"], 120.0), 3: (["sql"], 1.0), 4: (["java"], 122.0)}
+    jdf, adf, ydf = _frames(spark, jobs, {7: ["sql"]}, {7: 1.0})
+    for k in range(1, 5):
+        assert _per_group(mt.top_k_jobs_by_list(adf, ydf, jdf, k).collect()) == {7: [3, 1, 2, 4][:k]}
+
+
+def test_real_valued_years_empty_lists_and_distinct_lists(spark):
+    rnd = random.Random(21)
+    words = [f"s{i}" for i in range(30)]
+    for every_list_distinct in (False, True):
+        jobs = {j: ([f"only{j}", "common"] if every_list_distinct else rnd.sample(words, rnd.randint(0, 3)),
+                    rnd.choice([None, round(rnd.uniform(100, 130), 1)])) for j in range(50)}
+        apps = {a: ["common"] if every_list_distinct else rnd.sample(words, rnd.randint(0, 3)) + rnd.choice([[], [""]]) for a in range(9)}
+        apps[8] = []
+        years = {a: rnd.choice([None, round(rnd.uniform(1, 140), 1)]) for a in apps}
+        jdf, adf, ydf = _frames(spark, jobs, apps, years)
+        scores = _all_scores(apps, jobs, years)
+        for k in (1, 3, 60):
+            assert _per_group(mt.top_k_jobs_by_list(adf, ydf, jdf, k).collect()) == _best(scores, k, 0, 1)
+            assert _per_group(mt.top_k_applicants_by_list(adf, ydf, jdf, k).collect()) == _best(scores, k, 1, 0)

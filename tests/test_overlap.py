@@ -1,29 +1,56 @@
-"""The three overlap-% variants on a job whose skill list has a duplicate."""
+"""The overlap-% variants on a job whose skill list has a duplicate, and complete results."""
+
+import random
 
 from jobloom.operators import overlap as ov
 
 
+def tables(spark, js, us, users, jobs):
+    return (spark.createDataFrame(js, "job_id long, skill_id long"), spark.createDataFrame(us, "user_id long, skill_id long"),
+            spark.createDataFrame([(u,) for u in users], "user_id long"), spark.createDataFrame([(j,) for j in jobs], "job_id long"))
+
+
 def test_overlap_variants(spark):
-    # job 1 lists skills [10, 10, 20, 30]; user 7 has {10, 40}
-    js = spark.createDataFrame([(1, 10), (1, 10), (1, 20), (1, 30)], "job_id long, skill_id long")
-    us = spark.createDataFrame([(7, 10), (7, 40)], "user_id long, skill_id long")
-    d = ov.overlap_distinct(us, js).first()
-    assert (d.n_common, d.n_job_skills) == (1, 3) and abs(d.overlap_pct - 100 / 3) < 1e-9
-    pairs = spark.createDataFrame([(7, 1)], "user_id long, job_id long")
-    a = ov.overlap_apply(pairs, us, js).first()
+    # job 1 lists skills [10, 10, 20, 30]; user 7 has {10, 40}; user 8 none
+    js, us, users, jobs = tables(spark, [(1, 10), (1, 10), (1, 20), (1, 30)], [(7, 10), (7, 40)], [7, 8], [1])
+    d = {r.user_id: r for r in ov.top_overlap(users, jobs, us, js, 5).collect()}
+    assert (d[7].n_common, d[7].n_job_skills) == (1, 3) and abs(d[7].overlap_pct - 100 / 3) < 1e-9
+    assert (d[8].n_common, d[8].n_job_skills, d[8].overlap_pct) == (0, 3, 0.0)
+    a = ov.overlap_apply(spark.createDataFrame([(7, 1)], "user_id long, job_id long"), us, js).first()
     assert a.overlap_pct == 25.0          # distinct numerator, raw-list denominator
-    c = ov.overlap_card(us, js).first()
-    assert c.overlap_pct == 25.0          # user-list entries found, raw-list denominator
+    c = {r.user_id: r.overlap_pct for r in ov.overlap_card(users, jobs, us, js).collect()}
+    assert c == {7: 25.0, 8: 0.0}         # user-list entries found, raw-list denominator
 
 
 def test_overlap_apply_without_common_skills(spark):
-    js = spark.createDataFrame([(1, 10)], "job_id long, skill_id long")
-    us = spark.createDataFrame([(7, 99)], "user_id long, skill_id long")
+    js, us, _, _ = tables(spark, [(1, 10)], [(7, 99)], [], [])
     pairs = spark.createDataFrame([(7, 1), (7, 2)], "user_id long, job_id long")
     got = {r.job_id: r.overlap_pct for r in ov.overlap_apply(pairs, us, js).collect()}
     assert got == {1: 0.0, 2: 0.0}       # no skills listed for job 2 -> 0, like the guard
 
 
+def test_all_users_and_jobs_against_brute_force(spark):
+    rnd = random.Random(2)
+    wanted = {j: [rnd.randrange(8) for _ in range(rnd.randint(0, 4))] for j in range(30)}
+    have = {u: {rnd.randrange(10) for _ in range(rnd.randint(0, 3))} for u in range(12)}
+    js, us, users, jobs = tables(spark, [(j, s) for j, ss in wanted.items() for s in ss], [(u, s) for u, ss in have.items() for s in ss], have, wanted)
+    pct = {(u, j): 100.0 * len(h & set(w)) / len(set(w)) if w else 0.0 for u, h in have.items() for j, w in wanted.items()}
+    for k in (1, 4, 35):
+        got = {}
+        for r in sorted(ov.top_overlap(users, jobs, us, js, k).collect(), key=lambda r: (r.user_id, r.rank)):
+            got.setdefault(r.user_id, []).append(r.job_id)
+        assert got == {u: sorted(wanted, key=lambda j: (-round(pct[u, j], 9), j))[:k] for u in have}
+    counts = {(r.user_id, r.bucket): r.n_jobs for r in ov.bucket_counts(users, jobs, us, js).collect()}
+    want = {}
+    for (u, _), p in pct.items():
+        b = "Strong Match" if p >= 70 else "Medium Match" if p >= 40 else "Weak Match"
+        want[u, b] = want.get((u, b), 0) + 1
+    assert counts == want
+    shared = {r.user_id: (r.n_jobs_sharing, r.n_common_total, r.max_common) for r in ov.shared_counts(users, us, js).collect()}
+    common = {u: [len(h & set(w)) for w in wanted.values()] for u, h in have.items()}
+    assert shared == {u: (sum(c > 0 for c in cs), sum(cs), max(cs)) for u, cs in common.items()}
+
+
 def test_match_bucket(spark):
     df = spark.createDataFrame([(70.0,), (69.9,), (40.0,), (0.0,)], "p double")
     got = [r[0] for r in df.select(ov.match_bucket(df.p)).collect()]
