@@ -38,7 +38,7 @@ _MON = "(?:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)"
 RE_MONTH_RANGE = (_MON + r"[a-z]*[\s,.-]+(\d{4})[\s,.-]+(?:to|-)[\s,.-]+(?:" + _MON
                   + r"[a-z]*[\s,.-]+(\d{4})|present|current)")
 # Résumé line: MM/YYYY <dash, 'to', ...> MM/YYYY | present | now.
-RE_POSITION = r"(\d{1,2}/\d{4})\s*[–\-to]+\s*(\d{1,2}/\d{4}|present|now)"
+RE_POSITION = (r"(\d{1,2}/\d{4})" + WS + r"*[–\-to]+" + WS + r"*(\d{1,2}/\d{4}|present|now)")
 RE_SENTENCE = r"[^.!?\n]+[.!?]*"
 
 

@@ -57,14 +57,19 @@ def score_relevance(model: PipelineModel, docs: DataFrame, id_col: str) -> DataF
     return out.select(id_col, vector_to_array("probability")[1].alias("p_yes"))
 
 
-def encode_with(docs: DataFrame, id_col: str, text_col: str,
-                encoder: Callable[[list[str]], "list[list[float]]"]) -> DataFrame:
-    """Pluggable encoder for an external embedding model: ``encoder`` maps a batch of texts
-    to a batch of vectors and is applied per Arrow batch with mapInPandas (a model object
-    captured by ``encoder`` is loaded once per Python worker, not per row)."""
+_ENCODERS: dict[str, Callable] = {}      # lives as long as the Python worker
+
+
+def encode_with(docs: DataFrame, id_col: str, text_col: str, name: str,
+                factory: "Callable[[], Callable[[list[str]], list[list[float]]]]") -> DataFrame:
+    """Pluggable encoder for an external embedding model, applied per Arrow batch with mapInPandas.
+    ``factory`` makes the encoder (it loads the model) once in each Python worker, where it is kept
+    under ``name`` for later tasks; only the factory travels with the tasks."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        if name not in _ENCODERS:
+            _ENCODERS[name] = factory()
         for b in batches:
-            vecs = encoder(b[text_col].fillna("").tolist())
+            vecs = _ENCODERS[name](b[text_col].fillna("").tolist())
             yield pd.DataFrame({id_col: b[id_col], "embedding": [list(map(float, v)) for v in vecs]})
     schema = f"{id_col} {dict(docs.dtypes)[id_col]}, embedding array<double>"
     return docs.select(id_col, text_col).mapInPandas(run, schema)

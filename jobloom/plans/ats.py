@@ -9,7 +9,7 @@ from ..functions.scoring import experience_match_pct, parse_years, skill_match_p
 from ..operators import matching as mt
 from ..functions import catalog as cat
 from ..operators.sequence import with_sequence
-from ..operators.topk import first_wins, top_k_per
+from ..operators.topk import first_wins, last_wins, top_k_per
 from ..sources.fixtures import Ats
 from .registry import register
 
@@ -174,12 +174,13 @@ select x.application_id, x.job_id, x.applicant_id, ap.name, x.status, sp.match_s
 from ats_applications x join ats_applicants ap on ap.applicant_id = x.applicant_id
 join sp on sp.applicant_id = x.applicant_id and sp.job_id = x.job_id""")
 def q_job_applicants(spark, sf_dir):
-    """Applicants of every job with their application's match score (sort by score desc per job)."""
+    """Applicants of every job with their application's match score: a job's rows lie together, by
+    score descending, then application."""
     a = Ats(spark, sf_dir)
     apps = application_scores(a)
     return (apps.join(a.ats_applicants.select("applicant_id", "name"), "applicant_id")
                 .select("application_id", "job_id", "applicant_id", "name", "status", "match_score")
-                .sortWithinPartitions("job_id", F.col("match_score").desc()))
+                .repartition("job_id").sortWithinPartitions("job_id", F.col("match_score").desc(), "application_id"))
 
 
 @register("applicant_jobs", sql="""
@@ -416,33 +417,42 @@ PROMOTIONS = {"Interview": "Offer", "Offer": "Hired", "Screening": "Shortlisted"
 
 
 @register("update_status", sql="""
-with u as (select application_id, case status when 'Interview' then 'Offer' when 'Offer' then 'Hired'
-                                         when 'Screening' then 'Shortlisted' end as new_status
-           from ats_applications where status in ('Interview', 'Offer', 'Screening'))
-select x.application_id, x.status as old_status,
-       case when u.new_status in ('Applied', 'Screening', 'Interview', 'Technical Test', 'Offer', 'Hired', 'Rejected')
+with u0 as (select application_id, case status when 'Interview' then 'Offer' when 'Offer' then 'Hired'
+                                         when 'Screening' then 'Shortlisted' end as new_status, 0 as seq
+           from ats_applications where status in ('Interview', 'Offer', 'Screening')
+  union all select application_id, 'Rejected', 1 from ats_applications where status = 'Interview' and application_id % 5 = 0
+  union all select application_id + 1000000000, 'Hired', 0 from ats_applications where application_id % 100 = 0),
+u as (select application_id, arg_max(new_status, seq) as new_status from u0 group by application_id)
+select coalesce(x.application_id, u.application_id) as application_id, x.status as old_status,
+       case when x.application_id is not null and u.new_status in ('Applied', 'Screening', 'Interview', 'Technical Test', 'Offer', 'Hired', 'Rejected')
             then u.new_status else x.status end as status,
-       case when u.new_status is null then 'unchanged'
+       case when x.application_id is null then 'unknown_application' when u.new_status is null then 'unchanged'
             when u.new_status in ('Applied', 'Screening', 'Interview', 'Technical Test', 'Offer', 'Hired', 'Rejected')
             then 'updated' else 'invalid_status' end as result
-from ats_applications x left join u on u.application_id = x.application_id""")
+from ats_applications x full join u on u.application_id = x.application_id""")
 def q_update_status(spark, sf_dir):
-    """Apply a batch of status changes (a promotion step); unknown statuses are refused."""
+    """Apply a batch of status changes (promotions, some overruled by a later rejection, some for
+    applications that do not exist); unknown statuses and unknown ids are refused."""
     a = Ats(spark, sf_dir)
     apps = a.ats_applications
     m = F.create_map(*[F.lit(x) for kv in PROMOTIONS.items() for x in kv])
-    updates = apps.where(F.col("status").isin(*PROMOTIONS)).select(
-        "application_id", m[F.col("status")].alias("new_status"))
+    updates = (apps.where(F.col("status").isin(*PROMOTIONS)).select("application_id", m[F.col("status")].alias("new_status"), F.lit(0).alias("seq"))
+               .unionByName(apps.where("status = 'Interview' and application_id % 5 = 0").select(
+                   "application_id", F.lit("Rejected").alias("new_status"), F.lit(1).alias("seq")))
+               .unionByName(apps.where("application_id % 100 = 0").select(
+                   (F.col("application_id") + 1_000_000_000).alias("application_id"), F.lit("Hired").alias("new_status"), F.lit(0).alias("seq"))))
     return update_statuses(apps, updates)
 
 
 def update_statuses(apps, updates):
-    """Left-join update: a valid new status replaces the old one; others are reported."""
-    valid = F.col("new_status").isin(*cat.APPLICATION_STATUSES)
-    return (apps.join(updates, "application_id", "left")
+    """Last update per id (by seq) against the applications: a valid new status replaces the old one;
+    invalid statuses and unknown ids are reported, not applied."""
+    updates = last_wins(updates, ["application_id"], "seq").select("application_id", "new_status")
+    valid, known = F.col("new_status").isin(*cat.APPLICATION_STATUSES), F.col("_known").isNotNull()
+    return (apps.withColumn("_known", F.lit(True)).join(updates, "application_id", "full")
                 .select("application_id", F.col("status").alias("old_status"),
-                        F.when(valid, F.col("new_status")).otherwise(F.col("status")).alias("status"),
-                        F.when(F.col("new_status").isNull(), "unchanged").when(valid, "updated")
+                        F.when(known & valid, F.col("new_status")).otherwise(F.col("status")).alias("status"),
+                        F.when(~known, "unknown_application").when(F.col("new_status").isNull(), "unchanged").when(valid, "updated")
                          .otherwise("invalid_status").alias("result")))
 
 
@@ -572,7 +582,6 @@ with r as (select applicant_id, job_id, application_id, status,
 select applicant_id, job_id, application_id as last_application_id, status from r where rn = 1""")
 def q_last_wins(spark, sf_dir):
     """Last write per key: the most recent application (highest id) of each (applicant, job)."""
-    from ..operators.topk import last_wins
     a = Ats(spark, sf_dir)
     lw = last_wins(a.ats_applications, ["applicant_id", "job_id"], "application_id")
     return lw.select("applicant_id", "job_id", F.col("application_id").alias("last_application_id"), "status")

@@ -3,8 +3,11 @@ schemaless documents, insert-if-absent, defaults, labels."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
+from ..session import shared_dir
 from ..sources import ingest as ig
 from ..sources.fixtures import Ats
 from .registry import register
@@ -88,33 +91,33 @@ def q_nested_project(spark, sf_dir, base_url: str = BASE_URL):
     return hits_projected(a, base_url)
 
 
-@register("reject_malformed", sql="""
-select hit_id, case when json_extract_string(json, '$.hit.title') is null
-                      or json_extract_string(json, '$.hit.company.name') is null then 'missing_key'
-                    when json_extract_string(json, '$.hit.company.short_name') is null
-                      or json_extract_string(json, '$.hit.short_title') is null then 'missing_link'
-                    else 'ok' end as status
-from ats_hits""")
-def q_reject_malformed(spark, sf_dir):
-    """Every hit with its admission status; rejects keep a reason instead of vanishing."""
-    a = Ats(spark, sf_dir)
-    p = ig.parse_hits(a.ats_hits)
-    return p.select("hit_id", ig.malformed_reason(p).alias("status"))
+_SQL_LISTING = """
+ls as (select job_id, case when job_id % 7 = 0 then null else location end as location,
+   case when job_id % 11 = 0 then '  ' else company end as company, case when job_id % 5 = 0 then null else cast(date_posted as varchar) end as posted,
+   case when job_id % 3 = 0 then null else department end as overview, case when job_id % 4 = 0 then null else '$' || cast(job_id as varchar) end as payment,
+   case when job_id % 6 = 0 then '' when job_id % 6 = 1 then 'Full Time' else 'Contract, Remote' end as contract,
+   case when job_id % 9 = 0 then null else skills_required end as skills, case when job_id % 8 = 0 then null else title end as description from ats_jobs)"""
 
 
 @register("default_fields", sql=f"""
-with {_SQL_HITS}
-select hit_id, coalesce(nullif(trim(location), ''), 'No Location') as location,
-       coalesce(nullif(trim(name), ''), 'No Company Info') as company_name,
-       coalesce(nullif(trim(posted_at), ''), 'No Post Date') as post_date from hp""")
+with {_SQL_LISTING}
+select job_id, coalesce(nullif(trim(location), ''), 'No Location') as location, coalesce(nullif(trim(company), ''), 'No Company Info') as company_name,
+       coalesce(nullif(trim(posted), ''), 'No Post Date') as post_date, coalesce(nullif(trim(overview), ''), 'No Overview Found') as overview,
+       coalesce(nullif(trim(payment), ''), 'No Payment Info') as payment, coalesce(nullif(contract, ''), 'No Contract Info') as contract_type,
+       coalesce(nullif(trim(skills), ''), 'No Skills Found') as top_skills, coalesce(nullif(trim(description), ''), 'No Description Found') as description
+from ls""")
 def q_default_fields(spark, sf_dir):
-    """Sentinel strings for blank scraped fields."""
+    """Sentinel strings for all scraped fields that are absent or blank; the contract type is the
+    trimmed parts of a list, comma-joined."""
     a = Ats(spark, sf_dir)
-    h = hits_projected(a)
-    S = ig.MISSING_SENTINELS
-    return h.select("hit_id", ig.default_if_blank(F.col("location"), S["Location"]).alias("location"),
-                    ig.default_if_blank(F.col("name"), S["Company Name"]).alias("company_name"),
-                    ig.default_if_blank(F.col("posted_at"), S["Post Date"]).alias("post_date"))
+    j, k = a.ats_jobs, F.col("job_id")
+    parts = F.when(k % 6 == 0, F.array().cast("array<string>")).when(k % 6 == 1, F.array(F.lit(" Full Time "))).otherwise(
+        F.array(F.lit("Contract "), F.lit(" Remote")))
+    raw = {"Location": F.when(k % 7 != 0, j.location), "Company Name": F.when(k % 11 == 0, "  ").otherwise(j.company),
+           "Post Date": F.when(k % 5 != 0, j.date_posted.cast("string")), "Overview": F.when(k % 3 != 0, j.department),
+           "Payment": F.when(k % 4 != 0, F.concat(F.lit("$"), k.cast("string"))), "Contract Type": ig.join_parts(parts),
+           "Top Skills": F.when(k % 9 != 0, j.skills_required), "Description": F.when(k % 8 != 0, j.title)}
+    return j.select("job_id", *[ig.default_if_blank(c, ig.MISSING_SENTINELS[f]).alias(f.lower().replace(" ", "_")) for f, c in raw.items()])
 
 
 @register("doc_key", sql="""
@@ -209,12 +212,16 @@ def q_label_writeback(spark, sf_dir):
 
 
 @register("label_export", sql="""
-select doc_id, quality as label from labels where quality is not null""")
+select doc_id, case when doc_id % 3 = 0 then 1 - quality else quality end as label from labels where quality is not null""")
 def q_label_export(spark, sf_dir):
-    """{doc_id: label} of labelled documents, last write per id wins."""
+    """{doc_id: label} of labelled documents written as JSON and read back; every third document is
+    labelled twice, and the last write per id wins."""
     a = Ats(spark, sf_dir)
-    lab = a.labels.select("doc_id", F.col("quality").alias("label"), F.col("doc_id").alias("seq"))
-    return ig.export_labels(lab, "doc_id", "seq")
+    first = a.labels.select("doc_id", F.col("quality").alias("label"), F.lit(0).alias("seq"))
+    again = a.labels.where("doc_id % 3 = 0").select("doc_id", (1 - F.col("quality")).alias("label"), F.lit(1).alias("seq"))
+    path = shared_dir(spark, "labels", uuid.uuid4().hex)
+    ig.write_json_labels(ig.export_labels(first.unionByName(again), "doc_id", "seq"), path)
+    return spark.read.schema("doc_id bigint, label int").json(path)
 
 
 QUEUE_AS_OF, QUEUE_DAYS, QUEUE_SIZE = "2024-03-01", 60, 400

@@ -44,13 +44,34 @@ def _fit(spark, a: Ats):
 
 @register("fit_relevance")
 def q_fit_relevance(spark, sf_dir):
-    """Fit the relevance model on all labelled documents; report size and training AUC."""
+    """Fit the relevance model on four fifths of the labelled documents (by a hash of the id); report
+    sizes and the AUC on the fifth it has not seen."""
     a = Ats(spark, sf_dir)
-    model, train = _fit(spark, a)
-    pred = model.transform(train.withColumn("label", F.col("label").cast("double")))
-    auc = BinaryClassificationEvaluator(labelCol="label", rawPredictionCol="rawPrediction").evaluate(pred)
-    return train.agg(F.count(F.lit(1)).alias("n_train"), F.sum("label").cast("long").alias("n_positive")).select(
-        "n_train", "n_positive", F.lit(rel.NUM_FEATURES).alias("n_features"), F.lit(float(auc)).alias("train_auc"))
+    rows = training_set(a).select("doc_id", "text", F.col("label").cast("double").alias("label"))
+    held = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) == 0
+    train, test = rows.where(~held), rows.where(held)
+    model = rel.fit_relevance(train, "text", "label", shared_dir(spark, "models", "relevance-" + uuid.uuid4().hex))
+    auc = BinaryClassificationEvaluator(labelCol="label", rawPredictionCol="rawPrediction").evaluate(model.transform(test))
+    return rows.agg(F.sum(F.when(~held, 1).otherwise(0)).alias("n_train"), F.sum(F.when(held, 1).otherwise(0)).alias("n_held_out"),
+                    F.sum("label").cast("long").alias("n_positive")).select(
+        "n_train", "n_held_out", "n_positive", F.lit(rel.NUM_FEATURES).alias("n_features"), F.lit(float(auc)).alias("held_out_auc"))
+
+
+def letter_shares():
+    """A deterministic encoder: shares of the 26 letters in each text."""
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    return lambda texts: [[t.lower().count(c) / max(1, len(t)) for c in letters] for t in texts]
+
+
+@register("encode_external", sql="""
+select doc_id, list_transform(string_split('abcdefghijklmnopqrstuvwxyz', ''),
+  lambda c: round(cast(length(lower(coalesce(text, ''))) - length(replace(lower(coalesce(text, '')), c, '')) as double) / greatest(1, length(coalesce(text, ''))), 6)) as embedding
+from documents""")
+def q_encode_external(spark, sf_dir):
+    """Vectors of every document from a pluggable encoder (here a deterministic one)."""
+    a = Ats(spark, sf_dir)
+    v = rel.encode_with(a.documents, "doc_id", "text", "letter_shares", letter_shares)
+    return v.select("doc_id", F.transform("embedding", lambda x: F.round(x, 6)).alias("embedding"))
 
 
 def model_ranking(spark, a: Ats):

@@ -78,6 +78,57 @@ def malformed_reason(parsed: DataFrame) -> Column:
              .otherwise(F.lit("ok")))
 
 
+def admit_hits(hits: DataFrame, json_col: str = "json") -> tuple[DataFrame, DataFrame]:
+    """(admitted, rejected): hits that parse and have all fields, and the others as they came with a
+    status.  A text that is no complete JSON value is malformed, whatever its readable part holds."""
+    p = parse_hits(hits, json_col)
+    status = F.when(F.get_json_object(json_col, "$").isNull(), F.lit("malformed")).otherwise(malformed_reason(p))
+    p = p.withColumn("status", status)
+    return p.where("status = 'ok'").drop("status"), p.where("status <> 'ok'").drop("_h")
+
+
+def page_hits(pages: DataFrame, first_n: int, json_col: str = "json") -> DataFrame:
+    """The first ``first_n`` hits of each result page (with their place), without those that lack the
+    title or the company; ``pages`` has page_id and a JSON text with a ``hits`` array."""
+    parsed = pages.select("page_id", F.from_json(json_col, f"struct<hits:array<{HIT_SCHEMA}>>").getField("hits").alias("hits"))
+    h = parsed.select("page_id", F.posexplode(F.slice("hits", 1, first_n)).alias("place", "h")).select(
+        "page_id", F.col("place").cast("long").alias("place"), F.col("h.hit").alias("_h"))
+    cols = [c for spec in HIT_FEATURES for c in path_columns("_h", spec)]
+    return h.select("page_id", "place", *cols).where("title is not null and name is not null")
+
+
+def registration_reasons(new: DataFrame, existing: DataFrame, skills: DataFrame) -> DataFrame:
+    """``new`` with the first reason that holds: the user name is taken, the e-mail is taken, the skill
+    name is blank, the skill is in the catalogue; else 'ok'.  One left join for each check."""
+    seen = lambda df, c, flag: df.select(c).distinct().withColumn(flag, F.lit(True))
+    known = skills.select(F.lower("skill").alias("_skill")).distinct().withColumn("_s", F.lit(True))
+    j = (new.join(seen(existing, "username", "_u"), "username", "left").join(seen(existing, "email", "_e"), "email", "left")
+            .join(known, F.lower("skill") == F.col("_skill"), "left"))
+    return j.withColumn("reason", F.when(F.col("_u"), "Username already exists").when(F.col("_e"), "Email already exists")
+                        .when(F.trim("skill") == "", "Skill name is required").when(F.col("_s"), "Skill already exists")
+                        .otherwise("ok")).drop("_u", "_e", "_s", "_skill")
+
+
+def seed_if_empty(target: DataFrame, samples: DataFrame) -> DataFrame:
+    """``target``, or ``samples`` if it holds no row (a look at one row decides)."""
+    return samples.select(*target.columns) if target.limit(1).count() == 0 else target
+
+
+def read_record(text: Column) -> Column:
+    """Map of a flat record's ``Key: value`` lines (the first ': ' parts them); blank lines and lines
+    that begin with '#' are left out, of a repeated key the last counts."""
+    lines = F.filter(F.split(text, "\n", -1), lambda x: x.rlike(r"^[^#:\s][^:]*:( |$)"))
+    pairs = F.transform(lines, lambda x: F.struct(F.trim(F.regexp_extract(x, r"^([^:]*):", 1)).alias("k"),
+                                                  F.trim(F.regexp_replace(x, r"^[^:]*:", "")).alias("v")))
+    last = F.filter(pairs, lambda p, i: F.forall(F.slice(pairs, i + 2, F.size(pairs)), lambda q: q["k"] != p["k"]))
+    return F.map_from_entries(last)
+
+
+def join_parts(parts: Column) -> Column:
+    """Trimmed parts of a list, comma-joined."""
+    return F.array_join(F.transform(parts, lambda x: F.trim(x)), ", ")
+
+
 def default_if_blank(c: Column, sentinel: str) -> Column:
     return F.coalesce(F.nullif(F.trim(c), F.lit("")), F.lit(sentinel))
 

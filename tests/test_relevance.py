@@ -20,7 +20,7 @@ def hashing_encoder(texts):
 
 def test_encode_with_batches(spark):
     docs = spark.createDataFrame([(i, f"python sql job {i}") for i in range(50)], "doc_id long, text string")
-    enc = rel.encode_with(docs.repartition(3), "doc_id", "text", hashing_encoder)
+    enc = rel.encode_with(docs.repartition(3), "doc_id", "text", "hashing", lambda: hashing_encoder)
     rows = enc.collect()
     assert len(rows) == 50 and all(len(r.embedding) == 16 for r in rows)
     assert abs(sum(x * x for x in rows[0].embedding) - 1.0) < 1e-9
