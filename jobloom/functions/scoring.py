@@ -46,10 +46,6 @@ def skill_match_pct(applicant_skills: Column, job_skills: Column) -> Column:
     return F.when(F.size(j) == 0, F.lit(100.0)).otherwise(hit / F.size(j) * 100.0)
 
 
-def weighted_score(skills_pct, experience_pct) -> Column:
-    return F.round(_c(skills_pct) * 0.6 + _c(experience_pct) * 0.4, 2)
-
-
 def levenshtein_ratio(a, b) -> Column:
     """max(0, 1 - distance / max(len)); null when both are empty."""
     a, b = _c(a), _c(b)
@@ -66,8 +62,3 @@ def dot(a, b) -> Column:
 def binary_softmax(yes_logit, no_logit) -> Column:
     """P(yes) of a two-class softmax: e^y / (e^y + e^n) = 1 / (1 + e^(n - y))."""
     return 1.0 / (1.0 + F.exp(_c(no_logit) - _c(yes_logit)))
-
-
-def match_bucket(pct) -> Column:
-    p = _c(pct)
-    return F.when(p >= 70, "Strong Match").when(p >= 40, "Medium Match").otherwise("Weak Match")

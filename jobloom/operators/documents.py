@@ -43,14 +43,6 @@ def top_keywords(docs: DataFrame, id_col: str, text_col: str, k: int = 20) -> Da
 
 # -------------------------------------------------------------------- skills ---
 
-def dictionary_skill_rows(docs: DataFrame, id_col: str, clean_col: str) -> DataFrame:
-    """(id, skill, order) for dictionary entries present in the cleaned text."""
-    order = F.array(*[F.lit(p) for p in cat.SKILL_PATTERNS])
-    found = tx.dictionary_skills(F.col(clean_col))
-    return (docs.select(id_col, F.explode(found).alias("skill"))
-                .select(id_col, "skill", (F.array_position(order, F.col("skill")) - 1).alias("order")))
-
-
 def candidate_phrases(docs: DataFrame, id_col: str, clean_col: str) -> DataFrame:
     """(id, phrase, first_pos): distinct 1-3-word phrases of the cleaned text that are not a stop
     word and contain no ASCII punctuation (candidates for fuzzy skills)."""

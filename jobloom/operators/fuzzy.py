@@ -11,14 +11,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-
-def ratio(a: Column, b: Column) -> Column:
-    m = F.greatest(F.length(a), F.length(b)).cast("double")
-    return F.lit(1.0) - F.levenshtein(a, b).cast("double") / m
+from ..functions.scoring import levenshtein_ratio
 
 
 def _passes(a: Column, b: Column, threshold: float, strict: bool) -> Column:
-    r = ratio(a, b)
+    r = levenshtein_ratio(a, b)
     return (r > threshold) if strict else (r >= threshold)
 
 

@@ -37,19 +37,19 @@ sk_j as (select job_id, string_agg(skill, ', ' order by rank) as skills from sk
 kw_j as (select job_id, string_agg(keyword, ', ' order by rank) as keywords from kw group by job_id),
 se_j as (select job_id, string_agg(section, ', ' order by first_seen) as sections from sections group by job_id)
 select p.job_id, coalesce(sk_j.skills, '') as skills, coalesce(kw_j.keywords, '') as keywords,
-       cast({sql_jd_years(sql_clean('p.text'))} as bigint) as experience_years, coalesce(se_j.sections, '') as sections
+       cast({sql_jd_years(sql_clean('p.text'))} as bigint) as experience_years, coalesce(se_j.sections, '') as sections, p.text as full_text
 from ats_postings p left join sk_j using (job_id) left join kw_j using (job_id) left join se_j using (job_id)""")
 def q_parse_postings(spark, sf_dir):
-    """Everything extracted from a job description: skills, top keywords, years, sections."""
+    """Everything extracted from a job description: skills, top keywords, years, sections, and the text."""
     a = Ats(spark, sf_dir)
     docs = a.ats_postings
     skills, kws, secs = _text_bundle(docs, "job_id")
-    years = docs.select("job_id", tx.posting_years(tx.clean_text(F.col("text")), OPEN_END_YEAR)
+    years = docs.select("job_id", F.col("text").alias("full_text"), tx.posting_years(tx.clean_text(F.col("text")), OPEN_END_YEAR)
                         .cast("long").alias("experience_years"))
     return (years.join(skills, "job_id", "left").join(kws, "job_id", "left").join(secs, "job_id", "left")
                  .select("job_id", F.coalesce("skills", F.lit("")).alias("skills"),
                          F.coalesce("keywords", F.lit("")).alias("keywords"), "experience_years",
-                         F.coalesce("sections", F.lit("")).alias("sections")))
+                         F.coalesce("sections", F.lit("")).alias("sections"), "full_text"))
 
 
 def education_or_sentences(docs, id_col: str, sections=None):
@@ -78,15 +78,19 @@ kw_j as (select applicant_id, string_agg(keyword, ', ' order by rank) as keyword
 se_j as (select applicant_id, string_agg(section, ', ' order by first_seen) as sections from sections group by applicant_id),
 ed_j as (select applicant_id, string_agg(entry, ' | ' order by n) as education from ent group by applicant_id),
 ti_j as (select applicant_id, string_agg(title, ', ' order by rank) as titles from titles group by applicant_id),
-yo as (select applicant_id, sum(greatest(period, 0)) as months from positions group by applicant_id)
+yo as (select applicant_id, sum(greatest(period, 0)) as months from positions group by applicant_id),
+po_j as (select applicant_id, string_agg(title || ' (' || start || '..' || "end" || ')', ' | ' order by line_no) as positions
+         from positions group by applicant_id)
 select r.applicant_id, coalesce(sk_j.skills, '') as skills, coalesce(kw_j.keywords, '') as keywords,
        coalesce(ed_j.education, '') as education, round(coalesce(yo.months, 0) / 12.0, 2) as yoe,
-       coalesce(se_j.sections, '') as sections, coalesce(ti_j.titles, '') as titles
-from ats_resumes r left join sk_j using (applicant_id) left join kw_j using (applicant_id)
+       coalesce(se_j.sections, '') as sections, coalesce(ti_j.titles, '') as titles,
+       coalesce(po_j.positions, '') as positions, r.text as full_text
+from ats_resumes r left join po_j using (applicant_id) left join sk_j using (applicant_id) left join kw_j using (applicant_id)
 left join se_j using (applicant_id) left join ed_j using (applicant_id) left join ti_j using (applicant_id)
 left join yo using (applicant_id)""")
 def q_parse_resumes(spark, sf_dir, as_of: str = AS_OF):
-    """Everything extracted from a résumé: skills, keywords, education, years, sections, titles."""
+    """Everything extracted from a résumé: skills, keywords, education, years, sections, titles,
+    positions held, and the text."""
     a = Ats(spark, sf_dir)
     docs = a.ats_resumes
     sections = dc.resume_sections(docs, "applicant_id", "text")
@@ -96,11 +100,13 @@ def q_parse_resumes(spark, sf_dir, as_of: str = AS_OF):
     titles = _joined(dc.job_titles(docs, "applicant_id", "text"), "applicant_id", "rank", "title", ", ", "titles")
     positions = dc.resume_positions(docs, "applicant_id", "text", as_of, sections)
     yoe = dc.resume_yoe(docs, "applicant_id", "text", as_of, positions)
-    out = yoe
-    for part in (skills, kws, secs, edu, titles):
+    held = _joined(positions.withColumn("held", F.concat("title", F.lit(" ("), "start", F.lit(".."), "end", F.lit(")"))),
+                   "applicant_id", "line_no", "held", " | ", "positions")
+    out = docs.select("applicant_id", F.col("text").alias("full_text"))
+    for part in (yoe, skills, kws, secs, edu, titles, held):
         out = out.join(part, "applicant_id", "left")
     return out.select("applicant_id", *[F.coalesce(c, F.lit("")).alias(c) for c in ("skills", "keywords", "education")],
-                      "yoe", *[F.coalesce(c, F.lit("")).alias(c) for c in ("sections", "titles")])
+                      "yoe", *[F.coalesce(c, F.lit("")).alias(c) for c in ("sections", "titles", "positions")], "full_text")
 
 
 @register("onboard_applicant", sql=f"""
