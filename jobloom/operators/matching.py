@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scoring import experience_match_pct
+from .partitioning import small_side, spread
 from .topk import top_k_per
 
 # Longest key used to find substring candidates; a value of length <= GRAM is
@@ -78,16 +79,20 @@ def _score(skills: Column, exp: Column) -> Column:
     return F.round(skills * 0.6 + exp * 0.4, 2)
 
 
-def list_hits(applicant_skills: DataFrame, lists: DataFrame) -> DataFrame:
+def list_hits(applicant_skills: DataFrame, jobs: DataFrame) -> DataFrame:
     """(applicant_id, lst, n, h): job-skill positions of a list that contain, or are contained in,
-    a skill of the applicant; lists without a hit are left out."""
-    lw = lists.select("lst", "n", F.posexplode("lst").alias("pos", "word"))
+    a skill of the applicant; lists without a hit are left out.  ``jobs``: lst (the list's hash),
+    n (its length) and skills."""
+    lists = jobs.groupBy("lst", "n").agg(F.first("skills").alias("skills"))
+    lw = lists.select("lst", "n", F.posexplode("skills").alias("pos", "word"))
     a = applicant_skills.select("applicant_id", "skill").distinct()
     m = either_contains_pairs(lw.select("word"), a.select("skill")).select(
         F.col("left_value").alias("word"), F.col("right_value").alias("skill"))
     app_word = a.join(m, "skill").select("applicant_id", "word").distinct()
-    return (app_word.join(lw, "word").groupBy("applicant_id", "lst", "n")
-                    .agg(F.count(F.lit(1)).alias("h")))
+    lw, small = small_side(lw)
+    if small:       # hits are counted where the applicant's words lie
+        app_word = spread(app_word, "applicant_id")
+    return app_word.join(lw, "word").groupBy("applicant_id", "lst", "n").agg(F.count(F.lit(1)).alias("h"))
 
 
 def _fill_no_hit(needy: DataFrame, gid: list[str], items: DataFrame, k: int, exp, free) -> DataFrame:
@@ -141,9 +146,10 @@ def top_k_jobs_by_list(applicant_skills: DataFrame, applicants: DataFrame, jobs:
     ranked once by the *rounded* score and id - unequal experience may round to equal scores -
     and each hit (applicant, list) takes the first k + (applied jobs in the list) of it.
     """
-    jb = jobs.select("job_id", F.col("skills").alias("lst"), "req_years", F.size("skills").alias("n"),
-                     _years_key(F.col("req_years")).alias("rkey"))
-    hits = list_hits(applicant_skills, jb.select("lst", "n").distinct()).checkpoint(eager=True)
+    jb = jobs.select("job_id", F.xxhash64("skills").alias("lst"), "req_years", F.size("skills").alias("n"),
+                     _years_key(F.col("req_years")).alias("rkey"), "skills")
+    hits = list_hits(applicant_skills, jb).checkpoint(eager=True)
+    jb = jb.drop("skills")
     ap = applicants.select("applicant_id", F.col("years").alias("y"), _years_key(F.col("years")).alias("ykey"))
     cand = hits.join(ap, "applicant_id")
     if excluded is not None:
@@ -218,11 +224,12 @@ def top_k_applicants_by_list(applicant_skills: DataFrame, applicants: DataFrame,
     Applicants with the same hits on a list and the same years tie: of each such class the first
     k by id can matter, and only classes with fewer than k applicants strictly ahead.
     """
-    jb = jobs.select("job_id", F.col("skills").alias("lst"), "req_years", F.size("skills").alias("n"),
-                     _years_key(F.col("req_years")).alias("rkey"))
+    jb = jobs.select("job_id", F.xxhash64("skills").alias("lst"), "req_years", F.size("skills").alias("n"),
+                     _years_key(F.col("req_years")).alias("rkey"), "skills")
     sig = jb.select("lst", "n", "req_years", "rkey").distinct()
     ap = applicants.select("applicant_id", F.col("years").alias("y"), _years_key(F.col("years")).alias("ykey"))
-    hits = list_hits(applicant_skills, sig.select("lst", "n").distinct()).join(ap, "applicant_id").checkpoint(eager=True)
+    hits = list_hits(applicant_skills, jb).join(ap, "applicant_id").checkpoint(eager=True)
+    jb = jb.drop("skills")
 
     cls = hits.groupBy("lst", "h", "ykey").agg(F.first("y").alias("y"), F.count(F.lit(1)).alias("cnt"))
     sc = (sig.join(cls, "lst")

@@ -8,9 +8,10 @@ split by AQE's skew join.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .partitioning import small_side, spread
 from .topk import top_k_per
 
 
@@ -27,15 +28,17 @@ def job_sets(job_skill: DataFrame) -> DataFrame:
 
 
 def overlap_sets(user_skill: DataFrame, sets: DataFrame) -> DataFrame:
-    """(user_id, sid, n_common, n_job_skills, n_jobs, overlap_pct) of every user and skill set that
-    share a skill; ``n_jobs`` is the number of jobs with that set."""
+    """(user_id, sid, n_common, n_job_skills, n_jobs, first_job, overlap_pct) of every user and skill
+    set that share a skill; ``n_jobs`` is the number of jobs with that set."""
     us = user_skill.select("user_id", "skill_id").distinct()
-    distinct = sets.groupBy("sid", "n_job_skills").agg(F.count(F.lit(1)).alias("n_jobs"), F.first("set").alias("set"))
-    hits = (us.join(distinct.select("sid", F.explode("set").alias("skill_id")), "skill_id")
-              .groupBy("user_id", "sid").agg(F.count(F.lit(1)).alias("n_common")))
-    return (hits.join(distinct.drop("set"), "sid")
-                .select("user_id", "sid", "n_common", "n_job_skills", "n_jobs",
-                        _pct(F.col("n_common"), F.col("n_job_skills")).alias("overlap_pct")))
+    distinct = sets.groupBy("sid", "n_job_skills").agg(
+        F.count(F.lit(1)).alias("n_jobs"), F.min("job_id").alias("first_job"), F.first("set").alias("set"))
+    by_skill, small = small_side(distinct.select("sid", "n_job_skills", "n_jobs", "first_job", F.explode("set").alias("skill_id")))
+    if small:       # rows are formed and counted where the user's skills lie
+        us = spread(us, "user_id")
+    hits = us.join(by_skill, "skill_id").groupBy("user_id", "sid").agg(
+        F.count(F.lit(1)).alias("n_common"), *[F.first(c).alias(c) for c in ("n_job_skills", "n_jobs", "first_job")])
+    return hits.withColumn("overlap_pct", _pct(F.col("n_common"), F.col("n_job_skills")))
 
 
 def top_overlap(users: DataFrame, jobs: DataFrame, user_skill: DataFrame, job_skill: DataFrame, k: int) -> DataFrame:
@@ -43,10 +46,8 @@ def top_overlap(users: DataFrame, jobs: DataFrame, user_skill: DataFrame, job_sk
     skills| * 100.  Users with fewer than k overlapping jobs are filled with 0 % jobs by id."""
     sets = job_sets(job_skill)
     pairs = overlap_sets(user_skill, sets)
-    ahead = Window.partitionBy("user_id").orderBy(F.col("overlap_pct").desc()).rangeBetween(
-        Window.unboundedPreceding, Window.currentRow)
-    tied = Window.partitionBy("user_id", "overlap_pct")
-    kept = pairs.withColumn("_ahead", F.sum("n_jobs").over(ahead) - F.sum("n_jobs").over(tied)).where(F.col("_ahead") < k)
+    # k sets ahead of a set hold k jobs ahead of all of its jobs: only the first k sets can matter
+    kept = top_k_per(pairs, ["user_id"], [F.col("overlap_pct").desc(), F.col("first_job")], k, "_s")
     first = top_k_per(sets.select("job_id", "sid"), ["sid"], [F.col("job_id")], k, "_m")
     rows = kept.join(first, "sid").select("user_id", "job_id", "n_common", "n_job_skills", "overlap_pct")
     order = [F.col("overlap_pct").desc(), F.col("job_id")]
