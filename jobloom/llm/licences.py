@@ -13,9 +13,14 @@ empty result; other columns are not read.
 
 from __future__ import annotations
 
+import re
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import checked_broadcast, saved
+
 # fixed values: a line that starts (after signs only) like this is a copyright line; a line of a wrapped
 # licence text may start with the word too ("copyright holders be liable"), so a mark or a year must follow
 COPYRIGHT_LINE = (r"(^|\n)[^\p{L}\p{N}\n]*(copyright[ \t]*(\(c\)|©)|copyright[^\n]*(19|20)[0-9][0-9]"
@@ -106,6 +111,12 @@ the License. You may obtain a copy of the License at
 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS"
 BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing
 permissions and limitations under the License."""
+def _full_texts() -> list[tuple[str, str]]:
+    """The files of licence_texts, named by their identifiers; without copyright lines, which the canonical form leaves out."""
+    return [(p.stem, re.sub(r"(?im)^[\W_]*copyright[ \t]*(\(c\)|©).*$", "", p.read_text("utf-8")))
+            for p in sorted((Path(__file__).parent / "licence_texts").glob("*.txt"))]
+
+
 # fixed values: public licence texts and short notices, named by their usual identifiers
 TEXTS = [
     ("MIT", MIT), ("MIT", "MIT License\n\n" + MIT), ("MIT", "The MIT License (MIT)\n\n" + MIT),
@@ -121,6 +132,7 @@ TEXTS = [
     ("CC-BY-4.0", "Licensed under CC BY 4.0."), ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."), ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
     ("all-rights-reserved", "All rights reserved."),
+    *_full_texts(),
 ]
 
 
@@ -137,25 +149,34 @@ def canonical(text: Column) -> Column:
     return F.trim(F.regexp_replace(canonical_lines(text), BLANKS, " "))
 
 
-def known(spark) -> DataFrame:
-    """(license_id, digest, canonical) of the known texts: one row for each of the constants above."""
+def known(spark, texts: DataFrame | None = None) -> DataFrame:
+    """(license_id, digest, canonical) of the known texts: one row for each of the constants above and
+    of ``texts`` (license_id, text); rows of it with a null or blank text name nothing."""
     rows = F.array(*[F.struct(F.lit(i).alias("license_id"), F.lit(t).alias("text")) for i, t in TEXTS])
-    return (spark.range(1).select(F.inline(rows)).withColumn("canonical", canonical(F.col("text")))
+    table = spark.range(1).select(F.inline(rows))
+    if texts is not None:
+        table = table.union(texts.where("license_id is not null").select("license_id", "text"))
+    return (table.withColumn("canonical", canonical(F.col("text"))).where("canonical <> ''")
             .groupBy("canonical").agg(F.min("license_id").alias("license_id"))
             .select("license_id", F.sha2("canonical", 256).alias("digest"), "canonical"))
 
 
-def scan(docs: DataFrame) -> DataFrame:
+def scan(docs: DataFrame, texts: DataFrame | None = None) -> DataFrame:
     """One row per document: doc_id, digest (SHA-256 of the canonical text), license_id (null if the
     entire text is no known licence) and notices (licences of the lines that are known notices as a
-    whole, sorted, comma-joined)."""
-    table = known(docs.sparkSession)
+    whole, sorted, comma-joined).  ``texts`` (license_id, text) are known beside the constants; the
+    short ones among them are notices too."""
+    table = known(docs.sparkSession, texts)
+    if texts is not None:
+        table = saved(table, "licence-texts")
+    digests = table.select("digest", "license_id")
+    digests = F.broadcast(digests) if texts is None else checked_broadcast(digests)
     short = table.where(F.length("canonical") < 120).agg(F.map_from_entries(F.collect_list(F.struct("canonical", "license_id"))).alias("notice_of"))
     lines = F.filter(F.transform(F.split("lines", "\n"), lambda x: F.try_element_at("notice_of", F.trim(x))), lambda x: x.isNotNull())
     found = docs.select("doc_id", canonical_lines(F.col("text")).alias("lines")).crossJoin(F.broadcast(short)).select(
         "doc_id", F.sha2(F.trim(F.regexp_replace("lines", BLANKS, " ")), 256).alias("digest"),
         F.array_join(F.array_sort(F.array_distinct(lines)), ",").alias("notices"))
-    return found.join(F.broadcast(table.select("digest", "license_id")), "digest", "left").select("doc_id", "digest", "license_id", "notices")
+    return found.join(digests, "digest", "left").select("doc_id", "digest", "license_id", "notices")
 
 
 def _sql_text(expr: str) -> str:

@@ -42,3 +42,14 @@ def test_against_sql(spark, tmp_path):
 def test_plan_is_native(spark):
     plan = lc.scan(docs(spark, [(1, "x")]))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_entire_licences_and_own_texts(spark):
+    full = {p.stem: p.read_text("utf-8") for p in (lc.Path(lc.__file__).parent / "licence_texts").glob("*.txt")}
+    assert {"Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "CC0-1.0"} <= set(full)
+    names = sorted(full)
+    rows = [(i, full[n]) for i, n in enumerate(names)] + [(100, "Use it\n as you LIKE, friend"), (101, full["GPL-3.0"] + " More.")]
+    own = spark.createDataFrame([("Own-1", "Copyright (c) 2020 A\nUse it as you like, friend."), ("none", ""), ("none", None)], "license_id string, text string")
+    out = {r.doc_id: r.license_id for r in lc.scan(docs(spark, rows), own).collect()}
+    assert out == {**dict(enumerate(names)), 100: "Own-1", 101: None}
+    assert {r.doc_id: r.license_id for r in lc.scan(docs(spark, rows)).collect()} == {**dict(enumerate(names)), 100: None, 101: None}
