@@ -103,14 +103,15 @@ class Transform:
     """The Burrows-Wheeler transform of a cyclic sequence, rows in the order of their next LONGEST symbols."""
 
     def __init__(self, text: np.ndarray):
-        n, rank, span = len(text), text.astype(np.int64), 1
-        while span < LONGEST:
-            rank = np.unique(rank * (int(rank.max()) + 1) + np.roll(rank, -span), return_inverse=True)[1]
-            span *= 2
-        rows = np.argsort(rank, kind="stable")
+        n = len(text)
+        # one stable pass a symbol, the last one first; symbols of 16 bits are sorted by counting
+        symbols = text.astype(np.uint16 if int(text.max()) < 1 << 16 else np.int64)
+        rows = np.arange(n)
+        for d in reversed(range(LONGEST)):
+            rows = rows[np.argsort(np.roll(symbols, -d)[rows], kind="stable")]
         self.last = text[rows - 1]
         # (symbol, row) in order: the place of a symbol's first occurrence at or after a row
-        order = np.argsort(self.last, kind="stable")
+        order = np.argsort(symbols[rows - 1], kind="stable")
         self._n, self._places = n, self.last[order].astype(np.int64) * n + order
 
     def extend(self, symbol: np.ndarray, low: np.ndarray) -> np.ndarray:
@@ -167,24 +168,39 @@ class Index:
         return of, symbol, way.extend(symbol, low[of]), other[keep], n
 
 
+def _rotated(h):
+    """The bits of a 64-bit hash moved round by 21 places (a column or an array of unsigned numbers)."""
+    if isinstance(h, Column):
+        return F.shiftleft(h, 21).bitwiseOR(F.shiftrightunsigned(h, 43))
+    return (h << np.uint64(21)) | (h >> np.uint64(43))
+
+
 class Bloom:
-    """A set of (lang, phrase) of bounded size that may hold more than was put in, never less."""
+    """A set of (lang, phrase), phrases of one or two words, of bounded size: it may hold more than was put in,
+    never less.  A pair's hash is made of its words' hashes, so that a shard hashes each of its words once."""
 
     def __init__(self, phrases: DataFrame, max_bits: int = BLOOM_BITS):
         n, bits = phrases.count(), 1 << 10
         while bits < min(16 * n, max_bits):
             bits *= 2
-        h = F.xxhash64(F.concat_ws("\n", "lang", "phrase"))
-        low, high = h.bitwiseAND(0xFFFFFFFF), F.shiftrightunsigned(h, 32)
+        word = lambda i: F.xxhash64(F.concat_ws("\n", "lang", F.get(F.split("phrase", " "), i)))
+        h = F.when(F.contains("phrase", F.lit(" ")), word(0).bitwiseXOR(_rotated(word(1)))).otherwise(word(0))
+        low, high = F.col("h").bitwiseAND(0xFFFFFFFF), F.shiftrightunsigned("h", 32)
         at = F.explode(F.array(*[(low + i * high).bitwiseAND(bits - 1) for i in range(PROBES)])).alias("at")
-        words = (phrases.select(at).groupBy(F.shiftright("at", 6).alias("word"))
+        words = (phrases.select(h.alias("h")).select(at).groupBy(F.shiftright("at", 6).alias("word"))
                  .agg(F.expr("bit_or(shiftleft(1L, cast(at & 63 as int)))").alias("bits")).toArrow())
         self._bits = np.zeros(bits // 64, np.uint64)
         self._bits[words.column("word").to_numpy()] = words.column("bits").to_numpy().view(np.uint64)
 
-    def holds(self, lang: str, phrases: pa.Array) -> np.ndarray:
+    @staticmethod
+    def hashes(lang: str, words: pa.Array) -> np.ndarray:
         head = lang.encode() + b"\n"
-        h = np.fromiter((xxhash.xxh64_intdigest(head + p, 42) for p in phrases.to_pylist()), np.uint64, len(phrases))
+        return np.fromiter((xxhash.xxh64_intdigest(head + w, 42) for w in words.to_pylist()), np.uint64, len(words))
+
+    def holds(self, h: np.ndarray, second: np.ndarray | None = None) -> np.ndarray:
+        """Whether the words of these hashes, or the pairs of them and ``second``, may be in the set."""
+        if second is not None:
+            h = h ^ _rotated(second)
         low, high = h & np.uint64(0xFFFFFFFF), h >> np.uint64(32)
         out = np.ones(len(h), bool)
         for i in range(PROBES):
@@ -204,13 +220,14 @@ class Shard:
 
     def index(self, frequent: Bloom) -> Index:
         """The index of the frequent words: a rare one ends a piece, as no frequent phrase holds it."""
-        keep = np.concatenate([[False], frequent.holds(self.lang, self.words)])
+        hashes = Bloom.hashes(self.lang, self.words)
+        keep = np.concatenate([[False], frequent.holds(hashes)])
         text = np.where(keep[self.ids], self.ids, 0)
         known = np.flatnonzero(keep)
         ids = np.zeros(len(keep), np.int64)
         ids[known] = np.arange(1, len(known) + 1)
         text = ids[text[(text > 0) | (np.roll(text, 1) > 0)]]
-        self.words = self.words.take(pa.array(known - 1))
+        self.words, self.hashes = self.words.take(pa.array(known - 1)), hashes[known - 1]
         return Index(text)
 
     def word_counts(self) -> Iterator[tuple[pa.Array, np.ndarray]]:
@@ -229,7 +246,7 @@ class Shard:
         if index.n_symbols < 2:
             return
         pairs = index.left(index.words())
-        pairs = pairs.where(frequent_pairs.holds(self.lang, self.spell(pairs.symbols)))
+        pairs = pairs.where(frequent_pairs.holds(*self.hashes[pairs.symbols.T - 1]))
         known = np.sort(pairs.symbols[:, 0] * index.n_symbols + pairs.symbols[:, 1])
         triples = index.right(pairs)
         triples = triples.where(np.isin(triples.symbols[:, 1] * index.n_symbols + triples.symbols[:, 2], known))
