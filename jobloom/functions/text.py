@@ -8,6 +8,9 @@ The same spellings are valid RE2, so the DuckDB oracle uses them unchanged.
 
 from __future__ import annotations
 
+import html.entities
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -103,12 +106,56 @@ def skill_pattern(entry: str, boundary: str = "strict") -> str:
     raise ValueError(boundary)
 
 
-def dictionary_skills(text, patterns: list[str] = cat.SKILL_PATTERNS, boundary: str = "strict") -> Column:
-    """Dictionary entries found in the text as whole words, in dictionary order.  Each entry
-    is its own literal regex (compiled once per task), since entries overlap ('sql' and
-    'sql server') and one alternation would hide the shorter ones."""
+def is_plain(entry: str) -> bool:
+    """Whether the entry's regular expression means its own text: letters, digits, blanks, hyphens and slashes
+    only, with a word character at both ends."""
+    return re.fullmatch(r"\w([\w \-/]*\w)?", entry, re.A) is not None
+
+
+def _runs(entry: str) -> list[str]:
+    return re.findall(r"\w+|\W+", entry, re.A)
+
+
+# where a text falls into word and non-word runs, in the two senses of a word's edge
+_EDGES = {"strict": r"\b", "fixed": r"(?<=\w)(?!\w)|(?<!\w)(?=\w)"}
+
+
+def dictionary_items(text, patterns: list[str] = cat.SKILL_PATTERNS, boundary: str = "strict") -> Column:
+    """(ord, skill) of the dictionary entries found in the text as whole words, in dictionary order.
+
+    An entry that means its own text starts and ends where a word run does, so it is a sequence of whole
+    runs of the text.  The text is cut into runs once; runs that begin no entry are left out by a hash set,
+    and at the others the sequences as long as an entry with that first run are looked up.  The other entries
+    (``c\\+\\+``, ``c#``, a dot for any character) are regular expressions of their own."""
+    if boundary not in _EDGES:
+        raise ValueError(boundary)
     t = _c(text)
-    return F.array_compact(F.array(*[F.when(t.rlike(skill_pattern(p, boundary)), F.lit(p)) for p in patterns]))
+    low = F.translate(t, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    plain = {p: _runs(p) for p in patterns if is_plain(p)}
+    found = F.array().cast("array<string>")
+    if plain:
+        runs = F.split(low, _EDGES[boundary])
+        spans: dict[int, list[str]] = {}
+        for p, r in plain.items():
+            spans.setdefault(len(r), []).append(p)
+
+        def at(runs: Column) -> Column:
+            starts = F.filter(F.transform(runs, lambda x, i: F.when(x.isin(*{r[0] for r in plain.values()}), i + 1)), lambda i: i.isNotNull())
+            sequences = F.transform(starts, lambda i: F.array(*[F.array_join(F.slice(runs, i, n), "") for n in sorted(spans)]))
+            return F.filter(F.flatten(sequences), lambda x: x.isin(*plain))
+
+        # a one-element array, so that the runs are computed once and read by their name
+        found = F.flatten(F.transform(F.array(runs), at))
+    others = [F.when(t.rlike(skill_pattern(p, boundary)), F.lit(p)) for p in patterns if p not in plain]
+    found = F.concat(found, F.array_compact(F.array(*others))) if others else found
+    entries = F.array(*[F.struct(F.lit(i).cast("long").alias("ord"), F.lit(p).alias("skill")) for i, p in enumerate(patterns)])
+    return F.flatten(F.transform(F.array(found), lambda f: F.when(F.size(f) > 0, F.filter(entries, lambda e: F.array_contains(f, e["skill"])))
+                                 .otherwise(F.slice(entries, 1, 0))))
+
+
+def dictionary_skills(text, patterns: list[str] = cat.SKILL_PATTERNS, boundary: str = "strict") -> Column:
+    """Dictionary entries found in the text as whole words, in dictionary order."""
+    return F.transform(dictionary_items(text, patterns, boundary), lambda e: e["skill"])
 
 
 def jd_years(clean) -> Column:
@@ -175,16 +222,103 @@ def title_matches(text) -> Column:
     return F.concat(*[F.regexp_extract_all(t, F.lit(p), 0) for p in TITLE_SHAPES])
 
 
-def html_article_text(html) -> Column:
-    """Text of the first <article>: a leading heading dropped, <br> and tags as piece breaks,
-    list items as '- item' lines, entities decoded, pieces stripped, blanks dropped, joined
-    by newlines."""
-    h = F.regexp_extract(_c(html), r"(?s)<article[^>]*>(.*?)</article>", 1)
-    h = F.regexp_replace(h, r"(?s)^" + WS + r"*<h[1-6][^>]*>.*?</h[1-6]>", "")
-    h = F.regexp_replace(h, r"(?i)<li[^>]*>", "\n- ")
-    h = F.regexp_replace(h, r"<[^>]*>", "\n")
-    for ent, ch in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "),
-                    ("&amp;", "&")):
-        h = F.replace(h, F.lit(ent), F.lit(ch))
-    pieces = F.transform(F.split(h, "\n", -1), lambda x: py_strip(x))
-    return F.array_join(F.filter(pieces, lambda x: x != ""), "\n")
+# One token of a page: a comment or declaration, a raw element as a whole, a tag, or text up to the next '<'.
+# A quote delimits a value only after '='; the possessive repeats never step back.
+RE_TOKEN_HTML = (r"(?is)<!--.*?-->|<[!?][^>]*>|<(?:script|style|template)\b[^>]*>.*?</(?:script|style|template)\s*>"
+                 r"|</?[a-z](?:[^>\"'=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+|[\"'])*+>|[^<]+|<")
+# Elements without an end tag.
+VOID_ELEMENTS = ["area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"]
+RE_REFERENCE = r"^(#[0-9]+|#[xX][0-9a-fA-F]+|[a-zA-Z][a-zA-Z0-9]*);?"
+
+
+def references() -> dict[str, str]:
+    """Named character references, and the numbers 128 to 159 as browsers read them."""
+    out = {name: chr(code) for name, code in html.entities.name2codepoint.items()} | {"apos": "'"}
+    return out | {f"#{i}": bytes([i]).decode("cp1252") for i in range(128, 160) if i not in (129, 141, 143, 144, 157)}
+
+
+def decode_references(text: Column) -> Column:
+    """Numeric and named character references as characters; what is no reference stays as it is."""
+    known = F.create_map(*[F.lit(x) for kv in references().items() for x in kv])
+
+    def part(p: Column) -> Column:
+        name = F.regexp_extract(p, RE_REFERENCE, 1)
+        digits = F.when(name.rlike("^#[xX]"), F.conv(F.substring(name, 3, 8), 16, 10)).otherwise(F.substring(name, 2, 8))
+        code = digits.try_cast("int")
+        known_code = F.try_element_at(known, F.concat(F.lit("#"), code.cast("string")))
+        sound = code.between(1, 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
+        numeric = F.when(sound, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")).otherwise(F.lit("�"))
+        char = F.when(F.startswith(name, F.lit("#")), F.coalesce(known_code, numeric)).otherwise(F.try_element_at(known, name))
+        return F.when(char.isNull(), F.concat(F.lit("&"), p)).otherwise(F.concat(char, F.regexp_replace(p, RE_REFERENCE, "")))
+
+    parts = F.split(text, "&", -1)
+    decoded = F.array_join(F.concat(F.slice(parts, 1, 1), F.transform(F.slice(parts, 2, 1 << 30), part)), "")
+    return F.when(F.contains(text, F.lit("&")), decoded).otherwise(text)
+
+
+def html_article_text(html_text, article_class: str | None = None) -> Column:
+    """Text of the last direct child element of the first article (of a class that ``article_class``, a
+    regular expression, is found in).
+
+    The page's tokens are walked once with a stack of open elements: an end tag closes the last element of
+    its name and all that were opened since, one without such an element is ignored.  A start tag right under
+    the article begins its next child and drops what was read of the one before.  Texts are decoded, stripped
+    and joined by newlines; a list becomes the lines ``- item``, its items' texts joined without a gap (an item
+    inside an item counts in both).  Comments, scripts and styles are no text and no child.  A page without
+    such an article or child, or a null one, gives an empty text."""
+    void = lambda name: name.isin(*VOID_ELEMENTS)
+    tag = r"(?is)^</?([a-z][^\s/>]*)"
+
+    def read(t: Column) -> Column:
+        is_tag = t.rlike(r"(?i)^</?[a-z]") & t.endswith(">")
+        raw = t.rlike(r"(?is)^(<[!?]|<(script|style|template)\b)")
+        name = F.lower(F.regexp_extract(t, tag, 1))
+        kind = (F.when(raw, "none").when(~is_tag, "text").when(t.startswith("</"), "close")
+                .when(void(name) | t.endswith("/>"), "void").otherwise("open"))
+        chosen = name == "article"
+        if article_class is not None:
+            chosen = chosen & F.regexp_extract(t, r"(?is)\sclass\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", 1).rlike(article_class)
+        return F.struct(kind.alias("kind"), F.when(is_tag, name).otherwise("").alias("name"),
+                        F.when(kind == "text", py_strip(decode_references(t))).otherwise("").alias("text"), (chosen & is_tag).alias("chosen"))
+
+    tokens_ = F.filter(F.transform(F.regexp_extract_all(_c(html_text), F.lit(RE_TOKEN_HTML), 0), read),
+                       lambda t: (t["kind"] != "none") & ((t["kind"] != "text") | (t["text"] != "")))
+    no_items = F.array().cast("array<struct<depth:int,text:string>>")
+    no_text = F.array().cast("array<string>")
+
+    def state(stack, article, pieces, lists, items) -> Column:
+        return F.struct(stack.alias("stack"), article.cast("int").alias("article"), pieces.alias("pieces"),
+                        lists.cast("int").alias("lists"), items.alias("items"))
+
+    def lines(items: Column) -> Column:
+        return F.array(F.array_join(F.transform(items, lambda x: F.concat(F.lit("- "), x["text"])), "\n"))
+
+    def step(s: Column, t: Column) -> Column:
+        depth, kind, name = F.size(s["stack"]), t["kind"], t["name"]
+        inside, child = (s["article"] > 0) & (depth > s["article"]), (s["article"] > 0) & (depth == s["article"])
+        begins = (s["article"] == 0) & t["chosen"] & (kind == "open")
+        pushed = F.when(kind == "open", F.concat(s["stack"], F.array(name))).otherwise(s["stack"])
+        begins_list = inside & (kind == "open") & (name == "ul") & (s["lists"] == 0)
+        begins_item = inside & (kind == "open") & (name == "li") & (s["lists"] > 0)
+        opened = state(pushed, F.when(begins, depth + 1).otherwise(s["article"]), F.when(child, no_text).otherwise(s["pieces"]),
+                       F.when(begins_list, depth + 1).otherwise(s["lists"]),
+                       F.when(begins_item, F.concat(s["items"], F.array(F.struct((depth + 1).cast("int").alias("depth"), F.lit("").alias("text")))))
+                       .otherwise(s["items"]))
+        back = F.array_position(F.reverse(s["stack"]), name).cast("int")
+        left = F.when(back == 0, depth).otherwise(depth - back)
+        ends_list = (s["lists"] > 0) & (left < s["lists"])
+        closed = state(F.slice(s["stack"], F.lit(1), left), F.when((s["article"] > 0) & (left < s["article"]), -1).otherwise(s["article"]),
+                       F.when(ends_list, F.concat(s["pieces"], lines(s["items"]))).otherwise(s["pieces"]),
+                       F.when(ends_list, 0).otherwise(s["lists"]),
+                       F.when(ends_list, no_items).otherwise(F.transform(s["items"], lambda x: F.struct(
+                           F.when(x["depth"] > left, 0).otherwise(x["depth"]).cast("int").alias("depth"), x["text"].alias("text")))))
+        in_list = s["lists"] > 0
+        spoken = state(s["stack"], s["article"], F.when(inside & ~in_list, F.concat(s["pieces"], F.array(t["text"]))).otherwise(s["pieces"]), s["lists"],
+                       F.when(in_list, F.transform(s["items"], lambda x: F.struct(x["depth"].alias("depth"),
+                              F.when(x["depth"] > 0, F.concat(x["text"], t["text"])).otherwise(x["text"]).alias("text")))).otherwise(s["items"]))
+        return F.when(s["article"] < 0, s).when(kind == "text", spoken).when(kind == "close", closed).otherwise(opened)
+
+    start = state(no_text, F.lit(0), no_text, F.lit(0), no_items)
+    end = lambda s: F.array_join(F.filter(F.when(s["lists"] > 0, F.concat(s["pieces"], lines(s["items"]))).otherwise(s["pieces"]),
+                                          lambda x: x != ""), "\n")
+    return F.coalesce(F.aggregate(tokens_, start, step, end), F.lit(""))

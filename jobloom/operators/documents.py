@@ -59,19 +59,41 @@ def candidate_phrases(docs: DataFrame, id_col: str, clean_col: str) -> DataFrame
     return (phrases.where(ok).groupBy(id_col, "phrase").agg(F.min("i").alias("first_pos")))
 
 
+SMALL_HITS = 200_000
+REPEATS = 3          # occurrences of a character that the letter bound tells apart
+
+
+def _letters(value: Column) -> list[Column]:
+    """For i = 1 .. REPEATS, 64 bits that tell (by a hash) which characters occur at least i times."""
+    chars = F.split(value, "")
+    bit = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.ascii(x), F.lit(64)))
+    def at_least(i: int) -> Column:
+        often = chars if i == 1 else F.filter(chars, lambda x: F.size(F.filter(chars, lambda y: y == x)) >= i)
+        return F.aggregate(often, F.lit(0).cast("long"), lambda m, x: m.bitwiseOR(bit(x)))
+    return [at_least(i).alias(f"_m{i}") for i in range(1, REPEATS + 1)]
+
+
 def fuzzy_dictionary_hits(phrases: DataFrame, threshold: float = 0.6, strict: bool = True) -> DataFrame:
     """Distinct phrases whose Levenshtein ratio to some dictionary entry exceeds ``threshold``.
-    The dictionary is a fixed 148-entry list, so broadcasting it is size-bounded; a length
-    bound (|la-lb| <= distance) prunes pairs before the distance is computed."""
+
+    The dictionary is a fixed 148-entry list, so broadcasting it is size-bounded.  Before a distance is
+    computed, the lengths must allow it, and so must the letters: each character that one side has more
+    often than the other takes an edit."""
     spark = phrases.sparkSession
-    dic = F.broadcast(spark.createDataFrame([(p,) for p in cat.SKILL_PATTERNS], "entry string"))
-    p = phrases.select("phrase").distinct()
+    entries = spark.createDataFrame([(p,) for p in cat.SKILL_PATTERNS], "entry string")
+    dic = F.broadcast(entries.select("entry", *[m.alias(f"_e{i}") for i, m in enumerate(_letters(F.col("entry")), 1)]))
+    # dealt by phrase into all tasks: few bytes, but much to compute
+    p = spread(phrases.select("phrase"), "phrase").distinct().select("phrase", *_letters(F.col("phrase")))
     la, lb = F.length("phrase"), F.length("entry")
     longest = F.greatest(la, lb)
-    bound = F.abs(la - lb) < (1 - threshold) * longest if strict else F.abs(la - lb) <= (1 - threshold) * longest
+    edits = (1 - threshold) * longest
+    allows = lambda n: n < edits if strict else n <= edits
+    more = lambda x, y: sum((F.bit_count(F.col(f"_{x}{i}").bitwiseAND(F.bitwise_not(F.col(f"_{y}{i}")))) for i in range(1, REPEATS + 1)), F.lit(0))
     ratio = F.lit(1.0) - F.levenshtein("phrase", "entry").cast("double") / longest.cast("double")
     keep = (ratio > threshold) if strict else (ratio >= threshold)
-    return p.join(dic, bound & keep, "left_semi")
+    # a hair of slack against rounding: what passes is computed exactly
+    near = allows(F.abs(la - lb)) & (F.greatest(more("m", "e"), more("e", "m")) <= edits + 1e-9)
+    return p.join(dic, near & keep, "left_semi").select("phrase")
 
 
 PUNCT = r"[!-/:-@\[-`{-~]"
@@ -96,13 +118,11 @@ def skills_extract(docs: DataFrame, id_col: str, text_col: str, fuzzy: bool = Tr
     (distinct, in order) as one array, exploded once into an explicitly partitioned exchange.
     The distinct phrases for the dictionary comparison and the per-document ranking both
     read that exchange (the shuffle is reused), so the text is cleaned only once."""
-    order_arr = F.array(*[F.lit(p) for p in cat.SKILL_PATTERNS])
     # spread the texts first: the regex work below is per row, and an input of few files
     # would otherwise run it in as many tasks as there are files
     c1 = by_doc(docs.select(id_col, text_col), id_col).select(id_col, tx.clean_text(F.col(text_col)).alias("clean"))
-    c2 = c1.select(id_col, tx.dictionary_skills(F.col("clean")).alias("dict"), tx.tokens(F.col("clean")).alias("toks"))
-    dict_items = F.transform("dict", lambda d: F.struct(
-        F.lit(0).alias("src"), (F.array_position(order_arr, d) - 1).cast("long").alias("ord"), d.alias("skill")))
+    c2 = c1.select(id_col, tx.dictionary_items(F.col("clean")).alias("dict"), tx.tokens(F.col("clean")).alias("toks"))
+    dict_items = F.transform("dict", lambda d: F.struct(F.lit(0).alias("src"), d["ord"].alias("ord"), d["skill"].alias("skill")))
     if fuzzy:
         c3 = c2.select(id_col, "dict", _phrases_in_order(F.col("toks")).alias("ph"))
         ph_items = F.transform("ph", lambda p, i: F.struct(F.lit(1).alias("src"), i.cast("long").alias("ord"),
@@ -113,10 +133,11 @@ def skills_extract(docs: DataFrame, id_col: str, text_col: str, fuzzy: bool = Tr
         items = dict_items
     rows = spread(c3.select(id_col, F.explode(items).alias("it")).select(id_col, "it.*"), id_col)
     if fuzzy:
-        hits = fuzzy_dictionary_hits(rows.where(F.col("src") == 1).select(F.col("skill").alias("phrase")))
-        # small by nature (phrases near a 148-entry dictionary); AQE picks broadcast at run time
+        hits = fuzzy_dictionary_hits(rows.where(F.col("src") == 1).select(F.col("skill").alias("phrase"))).checkpoint(eager=True)
+        # phrases near a 148-entry dictionary: few, so the rows need not be dealt by phrase; checked all the same
+        small = hits.limit(SMALL_HITS + 1).count() <= SMALL_HITS
         ok = hits.select(F.col("phrase").alias("skill"), F.lit(True).alias("_ok"))
-        rows = rows.join(ok, "skill", "left").where((F.col("src") == 0) | F.col("_ok").isNotNull()).drop("_ok")
+        rows = rows.join(F.broadcast(ok) if small else ok, "skill", "left").where((F.col("src") == 0) | F.col("_ok").isNotNull()).drop("_ok")
     w = Window.partitionBy(id_col, "skill").orderBy("src", "ord")
     first = rows.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
     rank = Window.partitionBy(id_col).orderBy("src", "ord")

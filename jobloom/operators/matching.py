@@ -1,21 +1,30 @@
 """Set-based matching between applicants and jobs.
 
 The reference scores one applicant against every job in a Python loop.  Here distinct skill
-strings of both sides are matched once (exact substring join on n-gram keys), hits are counted
-per (applicant, job skill list), and jobs or applicants that tie (same list and required years,
-or same hits and years) are ranked once for all.  Pairs without any hit enter a top-k only for
-groups whose k-th hit score does not beat what such a pair can score, from rankings that are
-deepened until enough of them are free.  Entry points: :func:`top_k_jobs_by_list` (jobs per
-applicant) and :func:`top_k_applicants_by_list` (applicants per job).
+strings of both sides are matched once (exact substring join on n-gram keys) and become word
+numbers.  Skill lists travel in blocks to the applicants (or applicants to the lists), each block
+as posting lists of its words; hits are counted there and only what may still be among the first k is
+kept, so no row is formed for an applicant and a list that merely share a skill.  Pairs without any
+hit enter a top-k only for groups whose k-th hit score does not beat what such a pair can score,
+from rankings that are deepened until enough of them are free.  Entry points:
+:func:`top_k_jobs_by_list` (jobs per applicant) and :func:`top_k_applicants_by_list` (applicants
+per job).  Applicant and job ids are whole numbers.
 """
 
 from __future__ import annotations
 
+import math
+from decimal import ROUND_HALF_UP, Decimal
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scoring import experience_match_pct
-from .partitioning import small_side, spread
+from .folding import BLOCK_SIZE, Postings, fold
+from .partitioning import spread
+from .sequence import with_sequence
 from .topk import top_k_per
 
 # Longest key used to find substring candidates; a value of length <= GRAM is
@@ -23,7 +32,7 @@ from .topk import top_k_per
 GRAM = 3
 
 
-def _grams(v: Column) -> Column:
+def grams(v: Column) -> Column:
     """All substrings of ``v`` of length 1..GRAM as structs (len, gram), plus (0, '')."""
     n = F.length(v)
 
@@ -47,7 +56,7 @@ def contained_pairs(outer: DataFrame, inner: DataFrame) -> DataFrame:
     """
     o = outer.toDF("outer_value").distinct()
     i = inner.toDF("inner_value").distinct()
-    o_keys = o.select("outer_value", F.explode(_grams(F.col("outer_value"))).alias("k")).select(
+    o_keys = o.select("outer_value", F.explode(grams(F.col("outer_value"))).alias("k")).select(
         "outer_value", F.col("k.len").alias("klen"), F.col("k.gram").alias("kgram"))
     i_keys = i.select("inner_value",
                       F.least(F.length("inner_value"), F.lit(GRAM)).alias("klen"),
@@ -79,20 +88,120 @@ def _score(skills: Column, exp: Column) -> Column:
     return F.round(skills * 0.6 + exp * 0.4, 2)
 
 
-def list_hits(applicant_skills: DataFrame, jobs: DataFrame) -> DataFrame:
-    """(applicant_id, lst, n, h): job-skill positions of a list that contain, or are contained in,
-    a skill of the applicant; lists without a hit are left out.  ``jobs``: lst (the list's hash),
-    n (its length) and skills."""
+def _cents(score: np.ndarray) -> np.ndarray:
+    """Scores rounded to hundredths, halves up in their shortest decimal form, as ``round`` does in SQL."""
+    x = score * 100.0
+    out = np.floor(x + 0.5).astype(np.int64)
+    for i in np.flatnonzero(np.abs(x - np.floor(x) - 0.5) < 1e-6):
+        out[i] = int(Decimal(repr(float(score[i]))).quantize(Decimal("0.01"), ROUND_HALF_UP).scaleb(2))
+    return out
+
+
+def _experience(years, required) -> np.ndarray:
+    """``experience_match_pct`` of arrays or numbers; nan stands for null."""
+    with np.errstate(divide="ignore", invalid="ignore"):
+        ratio = np.where(years >= required, 100.0, years / required * 100.0)
+    return np.where(np.isnan(years) | np.isnan(required), 50.0, ratio)
+
+
+def _or_nan(x: float | None) -> float:
+    return math.nan if x is None else x
+
+
+def matched_words(applicant_skills: DataFrame, jobs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(applicant_id, words) and (lst, n, words): numbers of the job-skill words that contain, or are contained in,
+    a skill of the applicant, and of the words of each list, once for each position, as far as an applicant
+    matches them.  Both arrays are bounded by one profile or posting."""
     lists = jobs.groupBy("lst", "n").agg(F.first("skills").alias("skills"))
-    lw = lists.select("lst", "n", F.posexplode("skills").alias("pos", "word"))
+    lw = lists.select("lst", "n", F.explode("skills").alias("word"))
     a = applicant_skills.select("applicant_id", "skill").distinct()
-    m = either_contains_pairs(lw.select("word"), a.select("skill")).select(
-        F.col("left_value").alias("word"), F.col("right_value").alias("skill"))
-    app_word = a.join(m, "skill").select("applicant_id", "word").distinct()
-    lw, small = small_side(lw)
-    if small:       # hits are counted where the applicant's words lie
-        app_word = spread(app_word, "applicant_id")
-    return app_word.join(lw, "word").groupBy("applicant_id", "lst", "n").agg(F.count(F.lit(1)).alias("h"))
+    m = either_contains_pairs(lw.select("word"), a.select("skill")).toDF("word", "skill").checkpoint(eager=True)
+    number = with_sequence(m.select("word").distinct(), ["word"], "w")
+    own = a.join(m, "skill").join(number, "word").groupBy("applicant_id").agg(F.collect_set("w").alias("words"))
+    wanted = lw.join(number, "word").groupBy("lst", "n").agg(F.collect_list("w").alias("words"))
+    return own.checkpoint(eager=True), wanted.checkpoint(eager=True)
+
+
+class _Lists:
+    """A block of skill lists, with the bounds of their jobs' required years and ids."""
+
+    def __init__(self, rows: pa.Table):
+        column = lambda c: rows.column(c).to_numpy()
+        self.key, self.n, self.low, self.any_null = column("_key"), column("n"), column("low"), column("any_null")
+        self.first, self.last = column("first"), column("last")
+        self.postings = Postings(rows.column("words").combine_chunks())
+
+
+def promising_lists(applicants: DataFrame, lists: DataFrame, k: int, block_size: int = BLOCK_SIZE) -> DataFrame:
+    """(applicant_id, lst, n, h): of the lists with h > 0 positions matched, those whose best job may be among the
+    applicant's first k.  ``applicants``: applicant_id, y, words and applied (lists with a job applied to);
+    ``lists``: _key, n, words, size, low (the least required years), any_null, first and last (job ids).
+
+    The best job of a list that the applicant has not applied to is sure to be reached: once k lists are ahead of
+    a list by score, or by id at the same score, none of its jobs matters."""
+    def step(block: _Lists, _, years, words, applied, kept):
+        found, h = block.postings.count(np.array(words or [], np.int64))
+        y, low = _or_nan(years), block.low[found]
+        experience = np.maximum(np.where(np.isnan(low), 0.0, _experience(y, low)), np.where(block.any_null[found], 50.0, 0.0))
+        cents = _cents(h / block.n[found] * 100.0 * 0.6 + experience * 0.4)
+        sure = ~np.isin(block.key[found], np.array(applied or [], np.int64))
+        new = (block.key[found], block.n[found].astype(np.int64), h, cents, block.first[found], block.last[found], sure.astype(np.int64))
+        old = np.array([list(x.values()) for x in kept], np.int64).reshape(-1, 7).T
+        rows = [np.concatenate(x) for x in zip(old, new)]
+        _, _, _, cents, first, last, sure = rows
+        ahead = np.flatnonzero(sure)
+        if len(ahead) >= k and not y < 0:               # ratios of negative years have no such bound
+            kth = ahead[np.lexsort((last[ahead], -cents[ahead]))[k - 1]]
+            keep = (cents > cents[kth]) | ((cents == cents[kth]) & (first <= last[kth]))
+            rows = [x[keep] for x in rows]
+        names = ("lst", "n", "h", "cents", "first", "last", "sure")
+        return ([dict(zip(names, row)) for row in zip(*(x.tolist() for x in rows))],)
+
+    one = "struct<lst:bigint,n:bigint,h:bigint,cents:bigint,first:bigint,last:bigint,sure:bigint>"
+    rows = spread(applicants.select("applicant_id", "y", "words", "applied"), "applicant_id")
+    out = fold(rows, lists, "size", _Lists, step, {"kept": f"array<{one}>"}, {"kept": []}, block_size)
+    return out.select("applicant_id", F.inline("kept")).select("applicant_id", "lst", "n", "h")
+
+
+class _People:
+    """A block of applicants."""
+
+    def __init__(self, rows: pa.Table):
+        self.key, self.years = rows.column("_id").to_numpy(), rows.column("y").to_numpy().astype(np.float64)
+        self.postings = Postings(rows.column("words").combine_chunks())
+
+
+def best_people(lists: DataFrame, applicants: DataFrame, k: int, block_size: int = BLOCK_SIZE) -> DataFrame:
+    """(lst, rkey, applicant_id, h): the first k applicants with h > 0 positions matched, by score and id, for each
+    list and required years.  ``lists``: lst, n, words, required (array of rkey and req_years);
+    ``applicants``: _key, _id, y, words, size."""
+    def step(block: _People, _, n, words, required, top):
+        values, times = np.unique(np.array(words, np.int64), return_counts=True)
+        found, h = block.postings.count(values, times)
+        skills, out = h / n * 100.0 * 0.6, []
+        for r in required:
+            cents = _cents(skills + _experience(block.years[found], _or_nan(r["req_years"])) * 0.4)
+            near = np.arange(len(found))
+            if len(found) > k:
+                near = np.flatnonzero(cents >= np.partition(cents, -k)[-k])
+            near = near[np.lexsort((block.key[found[near]], -cents[near]))[:k]]
+            new = [{"rkey": r["rkey"], "applicant_id": i, "h": c, "cents": s} for i, c, s in
+                   zip(block.key[found[near]].tolist(), h[near].tolist(), cents[near].tolist())]
+            old = [x for x in top if x["rkey"] == r["rkey"]]
+            out += sorted(old + new, key=lambda x: (-x["cents"], x["applicant_id"]))[:k]
+        return (out,)
+
+    one = "struct<rkey:string,applicant_id:bigint,h:bigint,cents:bigint>"
+    rows = spread(lists.select("lst", "n", "words", "required"), "lst")
+    out = fold(rows, applicants, "size", _People, step, {"top": f"array<{one}>"}, {"top": []}, block_size)
+    return out.select("lst", F.inline("top")).select("lst", "rkey", "applicant_id", "h")
+
+
+def _without_hit(pairs: DataFrame, own: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Rows of ``pairs`` (applicant_id, lst) whose applicant matches no word of the list."""
+    rows = pairs.join(own.select("applicant_id", F.col("words").alias("_own")), "applicant_id", "left").join(
+        wanted.select("lst", F.col("words").alias("_wanted")), "lst", "left")
+    return rows.where(~F.coalesce(F.arrays_overlap("_own", "_wanted"), F.lit(False))).drop("_own", "_wanted")
 
 
 def _fill_no_hit(needy: DataFrame, gid: list[str], items: DataFrame, k: int, exp, free) -> DataFrame:
@@ -134,7 +243,7 @@ def _fill_no_hit(needy: DataFrame, gid: list[str], items: DataFrame, k: int, exp
 
 
 def top_k_jobs_by_list(applicant_skills: DataFrame, applicants: DataFrame, jobs: DataFrame, k: int,
-                       excluded: DataFrame | None = None) -> DataFrame:
+                       excluded: DataFrame | None = None, block_size: int = BLOCK_SIZE) -> DataFrame:
     """Exact top-k jobs per applicant, (group_id=applicant_id, item_id=job_id, skills_match,
     experience_match, match_score, rank), by score descending, then id.
 
@@ -148,9 +257,20 @@ def top_k_jobs_by_list(applicant_skills: DataFrame, applicants: DataFrame, jobs:
     """
     jb = jobs.select("job_id", F.xxhash64("skills").alias("lst"), "req_years", F.size("skills").alias("n"),
                      _years_key(F.col("req_years")).alias("rkey"), "skills")
-    hits = list_hits(applicant_skills, jb).checkpoint(eager=True)
-    jb = jb.drop("skills")
+    own, wanted = matched_words(applicant_skills, jb)
+    jb = jb.drop("skills").checkpoint(eager=True)
     ap = applicants.select("applicant_id", F.col("years").alias("y"), _years_key(F.col("years")).alias("ykey"))
+    bounds = jb.groupBy("lst").agg(F.min("req_years").alias("low"), F.max(F.col("req_years").isNull()).alias("any_null"),
+                                   F.min("job_id").cast("long").alias("first"), F.max("job_id").cast("long").alias("last"))
+    lists = wanted.join(bounds, "lst").withColumn("size", F.size("words").cast("long")).withColumnRenamed("lst", "_key")
+    people = ap.select("applicant_id", "y").join(own, "applicant_id", "left")
+    if excluded is None:
+        people = people.withColumn("applied", F.array().cast("array<bigint>"))
+    else:
+        done = (excluded.select("applicant_id", "job_id").join(jb.select("job_id", "lst"), "job_id")
+                .groupBy("applicant_id").agg(F.collect_set("lst").alias("applied")))
+        people = people.join(done, "applicant_id", "left")
+    hits = promising_lists(people, lists, k, block_size).checkpoint(eager=True)
     cand = hits.join(ap, "applicant_id")
     if excluded is not None:
         ex = excluded.select("applicant_id", "job_id").distinct()
@@ -207,8 +327,7 @@ def top_k_jobs_by_list(applicant_skills: DataFrame, applicants: DataFrame, jobs:
                       F.when(F.col("n") == 0, 100.0).otherwise(0.0).alias("ibase"))
 
     def free(c):
-        c = (c.join(jb.select(F.col("job_id").alias("item_id"), "lst"), "item_id")
-              .join(hits.select("applicant_id", "lst"), ["applicant_id", "lst"], "left_anti"))
+        c = _without_hit(c.join(jb.select(F.col("job_id").alias("item_id"), "lst"), "item_id"), own, wanted)
         return c if ex is None else c.join(ex.withColumnRenamed("job_id", "item_id"), ["applicant_id", "item_id"], "left_anti")
 
     rest = _fill_no_hit(needy, ["applicant_id"], items, k, experience_match_pct, free)
@@ -216,7 +335,7 @@ def top_k_jobs_by_list(applicant_skills: DataFrame, applicants: DataFrame, jobs:
 
 
 def top_k_applicants_by_list(applicant_skills: DataFrame, applicants: DataFrame, jobs: DataFrame,
-                             k: int) -> DataFrame:
+                             k: int, block_size: int = BLOCK_SIZE) -> DataFrame:
     """Exact top-k applicants per job, (group_id=job_id, item_id=applicant_id, skills_match,
     experience_match, match_score, rank), by score descending, then id.
 
@@ -228,23 +347,18 @@ def top_k_applicants_by_list(applicant_skills: DataFrame, applicants: DataFrame,
                      _years_key(F.col("req_years")).alias("rkey"), "skills")
     sig = jb.select("lst", "n", "req_years", "rkey").distinct()
     ap = applicants.select("applicant_id", F.col("years").alias("y"), _years_key(F.col("years")).alias("ykey"))
-    hits = list_hits(applicant_skills, jb).join(ap, "applicant_id").checkpoint(eager=True)
-    jb = jb.drop("skills")
-
-    cls = hits.groupBy("lst", "h", "ykey").agg(F.first("y").alias("y"), F.count(F.lit(1)).alias("cnt"))
-    sc = (sig.join(cls, "lst")
-             .withColumn("skills_match", _skills_pct(F.col("h"), F.col("n")))
-             .withColumn("experience_match", experience_match_pct(F.col("y"), F.col("req_years")))
-             .withColumn("match_score", _score(F.col("skills_match"), F.col("experience_match"))))
-    upto = Window.partitionBy("lst", "rkey").orderBy(F.col("match_score").desc()).rangeBetween(
-        Window.unboundedPreceding, Window.currentRow)
-    kept = (sc.withColumn("ahead", F.sum("cnt").over(upto) - F.sum("cnt").over(
-        Window.partitionBy("lst", "rkey", "match_score"))).where(F.col("ahead") < k))
-    members = top_k_per(hits.select("lst", "h", "ykey", "applicant_id"), ["lst", "h", "ykey"], [F.col("applicant_id")], k, "_m")
+    own, wanted = matched_words(applicant_skills, jb)
+    jb = jb.drop("skills").checkpoint(eager=True)
+    required = sig.groupBy("lst").agg(F.collect_set(F.struct("rkey", "req_years")).alias("required"))
+    people = (ap.join(own, "applicant_id").select(F.xxhash64("applicant_id").alias("_key"), F.col("applicant_id").cast("long").alias("_id"),
+                                                  F.col("y").cast("double").alias("y"), "words", F.size("words").cast("long").alias("size")))
+    found = best_people(wanted.join(required, "lst"), people, k, block_size)
     order = [F.col("match_score").desc(), F.col("applicant_id")]
     cols = ["lst", "rkey", "applicant_id", "skills_match", "experience_match", "match_score"]
-    top = top_k_per(kept.join(members, ["lst", "h", "ykey"]).select(*cols), ["lst", "rkey"], order, k).select(
-        *cols).checkpoint(eager=True)
+    top = (found.join(sig, ["lst", "rkey"]).join(ap, "applicant_id")
+           .withColumn("skills_match", _skills_pct(F.col("h"), F.col("n")))
+           .withColumn("experience_match", experience_match_pct(F.col("y"), F.col("req_years")))
+           .withColumn("match_score", _score(F.col("skills_match"), F.col("experience_match"))).select(*cols).checkpoint(eager=True))
 
     # a bound on what an applicant without a hit can score for a job
     b = ap.agg(F.max("y").alias("hi"), F.min("y").alias("lo"), F.max(F.col("y").isNull()).alias("na")).first()
@@ -258,9 +372,8 @@ def top_k_applicants_by_list(applicant_skills: DataFrame, applicants: DataFrame,
                         F.when(F.col("n") == 0, 100.0).otherwise(0.0).alias("gbase")))
     items = ap.select(F.col("applicant_id").alias("item_id"), F.col("ykey").alias("ikey"), F.col("y").alias("ival"),
                       F.lit(0.0).alias("ibase"))
-    taken = hits.select("lst", F.col("applicant_id").alias("item_id"))
     rest = _fill_no_hit(needy, ["lst", "rkey"], items, k, lambda g, i: experience_match_pct(i, g),
-                        lambda c: c.join(taken, ["lst", "item_id"], "left_anti"))
+                        lambda c: _without_hit(c.withColumn("applicant_id", F.col("item_id")), own, wanted).drop("applicant_id"))
     per_sig = top_k_per(top.unionByName(rest.withColumnRenamed("item_id", "applicant_id").select(*cols)), ["lst", "rkey"], order, k)
     return jb.join(per_sig, ["lst", "rkey"]).select(
         F.col("job_id").alias("group_id"), F.col("applicant_id").alias("item_id"),

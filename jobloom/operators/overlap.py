@@ -1,19 +1,31 @@
 """Skill-overlap percentages between users and jobs over the bridge tables.
 
-Jobs with the same set of distinct skills overlap alike with every user, so rows are formed per
-(user, skill set) by an equi-join on ``skill_id`` and weighted by the set's jobs; users and jobs
-that share no skill (0 %) come from counts and short fillers, not from pairs.  Hot skills are
-split by AQE's skew join.
+Jobs with the same set of distinct skills overlap alike with every user, so users meet skill
+sets, not jobs.  The sets are dealt by hash into blocks of a bounded number of skills, each set
+whole in one block; the blocks are sent one after another to the users, whose rows stay where
+they are and carry their results along (their best sets, or counts), so no (user, set) row is
+ever shuffled.  Inside a block a prefix filter finds the sets: a set of n skills shares t percent
+with a user only if one of its n - ceil(t n) + 1 rarest skills is the user's, so a list of a skill's
+sets is cut where t, the user's k-th best so far or the bound of a label, can be reached no more,
+and what is found is verified on the whole sets.  Users and jobs that share no skill (0 %) come
+from counts and short fillers, not from pairs.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .partitioning import small_side, spread
+from .folding import BLOCK_SIZE, fold
+from .partitioning import spread
 from .topk import top_k_per
 
+MEDIUM, STRONG = 40, 70          # percent, fixed values of the labels
+
 
 def _pct(num: Column, den: Column) -> Column:
     # 0 when the job has no skills, like the reference's guard
@@ -27,27 +39,88 @@ def job_sets(job_skill: DataFrame) -> DataFrame:
                      .select("job_id", F.xxhash64("set").alias("sid"), "set", F.size("set").cast("long").alias("n_job_skills")))
 
 
-def overlap_sets(user_skill: DataFrame, sets: DataFrame) -> DataFrame:
-    """(user_id, sid, n_common, n_job_skills, n_jobs, first_job, overlap_pct) of every user and skill
-    set that share a skill; ``n_jobs`` is the number of jobs with that set."""
-    us = user_skill.select("user_id", "skill_id").distinct()
-    distinct = sets.groupBy("sid", "n_job_skills").agg(
-        F.count(F.lit(1)).alias("n_jobs"), F.min("job_id").alias("first_job"), F.first("set").alias("set"))
-    by_skill, small = small_side(distinct.select("sid", "n_job_skills", "n_jobs", "first_job", F.explode("set").alias("skill_id")))
-    if small:       # rows are formed and counted where the user's skills lie
-        us = spread(us, "user_id")
-    hits = us.join(by_skill, "skill_id").groupBy("user_id", "sid").agg(
-        F.count(F.lit(1)).alias("n_common"), *[F.first(c).alias(c) for c in ("n_job_skills", "n_jobs", "first_job")])
-    return hits.withColumn("overlap_pct", _pct(F.col("n_common"), F.col("n_job_skills")))
-
-
-def top_overlap(users: DataFrame, jobs: DataFrame, user_skill: DataFrame, job_skill: DataFrame, k: int) -> DataFrame:
+class SkillSets:
+    """The sets of one block: their skills from rare to frequent, and for each skill the sets that hold
+    it by ``reach``, the share that sets can have in common whose rarest common skill this is."""
+
+    def __init__(self, rows: pa.Table):
+        self.sid, self.n_jobs, self.first_job = (rows.column(c).to_numpy() for c in ("_key", "n_jobs", "first_job"))
+        sets = rows.column("set").combine_chunks()
+        self.n = np.diff(sets.offsets.to_numpy())
+        self.skills, held = np.unique(sets.flatten().to_numpy(), return_inverse=True)
+        owner = np.repeat(np.arange(len(self.n)), self.n)
+        often = np.bincount(held, minlength=len(self.skills))
+        order = np.lexsort((held, often[held], owner))
+        self._held, self._at = held[order], np.cumsum(self.n) - self.n
+        place = np.arange(len(owner)) - self._at[owner]
+        reach = self.share(self.n[owner] - place, owner)
+        order = np.lexsort((-reach, self._held))
+        self._sets, self._ahead = owner[order].astype(np.int32), -reach[order]
+        self._ends = np.cumsum(often)
+
+    def share(self, common: np.ndarray, of: np.ndarray) -> np.ndarray:
+        return common / self.n[of] * 100.0
+
+    def common(self, skills: np.ndarray, least: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
+        """(set, number of common skills) of all sets that share a skill and at least ``least`` percent."""
+        at = np.searchsorted(self.skills, skills)
+        own = at[(at < len(self.skills)) & (self.skills[np.minimum(at, len(self.skills) - 1)] == skills)] if len(self.skills) else at[:0]
+        if not len(own):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        lists = [slice(self._ends[s - 1] if s else 0, self._ends[s]) for s in own]
+        if least <= 0:
+            count = np.bincount(np.concatenate([self._sets[x] for x in lists]), minlength=len(self.n))
+            found = np.flatnonzero(count)
+            return found, count[found]
+        heads = [self._sets[x][:np.searchsorted(self._ahead[x], -least, "right")] for x in lists]
+        found = np.unique(np.concatenate(heads))
+        have = np.zeros(len(self.skills), np.int64)
+        have[own] = 1
+        n = self.n[found]
+        held = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(self._at[found], n)
+        count = np.add.reduceat(have[self._held[held]], np.cumsum(n) - n) if len(found) else n
+        keep = self.share(count, found) >= least
+        return found[keep], count[keep]
+
+
+def user_sets(users: DataFrame, user_skill: DataFrame) -> DataFrame:
+    """(user_id, skills) of every user, spread by user; the array is bounded by one profile."""
+    skills = spread(user_skill.select("user_id", "skill_id"), "user_id").groupBy("user_id").agg(F.collect_set("skill_id").alias("skills"))
+    return (spread(users.select("user_id"), "user_id").distinct().join(skills, "user_id", "left")
+            .withColumn("skills", F.coalesce("skills", F.array().cast("array<bigint>"))))
+
+
+def fold_sets(users: DataFrame, sets: DataFrame, state: dict[str, str], start: dict, step: Callable, block_skills: int) -> DataFrame:
+    """(user_id, *state) after ``step(block, skills, *state) -> new state`` over the distinct ``sets`` in blocks."""
+    distinct = sets.where("n_job_skills > 0").groupBy(F.col("sid").alias("_key"), "n_job_skills").agg(
+        F.count(F.lit(1)).alias("n_jobs"), F.min("job_id").cast("long").alias("first_job"), F.first("set").cast("array<bigint>").alias("set"))
+    rows = users.select("user_id", F.col("skills").cast("array<bigint>").alias("skills"))
+    return fold(rows, distinct.checkpoint(eager=True), "n_job_skills", SkillSets,
+                lambda block, _, skills, *old: step(block, np.array(skills, np.int64), *old), state, start, block_skills).drop("skills")
+
+
+def top_overlap(users: DataFrame, jobs: DataFrame, user_skill: DataFrame, job_skill: DataFrame, k: int, block_skills: int = BLOCK_SIZE) -> DataFrame:
     """Top-k jobs of every user by (overlap % desc, job_id): |distinct common skills| / |distinct job
     skills| * 100.  Users with fewer than k overlapping jobs are filled with 0 % jobs by id."""
-    sets = job_sets(job_skill)
-    pairs = overlap_sets(user_skill, sets)
+    sets = job_sets(job_skill).checkpoint(eager=True)
+
     # k sets ahead of a set hold k jobs ahead of all of its jobs: only the first k sets can matter
-    kept = top_k_per(pairs, ["user_id"], [F.col("overlap_pct").desc(), F.col("first_job")], k, "_s")
+    def best(block: SkillSets, skills: np.ndarray, kept: list[dict]):
+        least = kept[-1]["overlap_pct"] if len(kept) == k else 0.0
+        found, count = block.common(skills, least)
+        share = block.share(count, found)
+        if len(found) > k:
+            near = share >= np.partition(share, -k)[-k]
+            found, count, share = found[near], count[near], share[near]
+        order = np.lexsort((block.first_job[found], -share))[:k]
+        new = [dict(zip(("sid", "n_common", "n_job_skills", "first_job", "overlap_pct"), row)) for row in zip(
+            block.sid[found[order]].tolist(), count[order].tolist(), block.n[found[order]].tolist(),
+            block.first_job[found[order]].tolist(), share[order].tolist())]
+        return (sorted(kept + new, key=lambda s: (-s["overlap_pct"], s["first_job"]))[:k],)
+
+    one = "struct<sid:bigint,n_common:bigint,n_job_skills:bigint,first_job:bigint,overlap_pct:double>"
+    kept = fold_sets(user_sets(users, user_skill), sets, {"best": f"array<{one}>"}, {"best": []}, best, block_skills)
+    kept = kept.select("user_id", F.inline("best")).drop("first_job")
     first = top_k_per(sets.select("job_id", "sid"), ["sid"], [F.col("job_id")], k, "_m")
     rows = kept.join(first, "sid").select("user_id", "job_id", "n_common", "n_job_skills", "overlap_pct")
     order = [F.col("overlap_pct").desc(), F.col("job_id")]
@@ -63,26 +136,32 @@ def top_overlap(users: DataFrame, jobs: DataFrame, user_skill: DataFrame, job_sk
     return top_k_per(top.unionByName(zero), ["user_id"], order, k)
 
 
-def bucket_counts(users: DataFrame, jobs: DataFrame, user_skill: DataFrame, job_skill: DataFrame) -> DataFrame:
+def bucket_counts(users: DataFrame, jobs: DataFrame, user_skill: DataFrame, job_skill: DataFrame, block_skills: int = BLOCK_SIZE) -> DataFrame:
     """(user_id, bucket, n_jobs) over all users and all jobs; weak = all jobs - strong - medium, so
-    only overlaps of 40 % or more are counted one by one."""
+    only overlaps of 40 % or more are looked for."""
+    def add(block: SkillSets, skills: np.ndarray, strong: int, medium: int):
+        found, count = block.common(skills, float(MEDIUM))
+        high = block.share(count, found) >= STRONG
+        return strong + int(block.n_jobs[found[high]].sum()), medium + int(block.n_jobs[found[~high]].sum())
+
     n_all = jobs.agg(F.count(F.lit(1)).alias("n_all"))
-    strong = (overlap_sets(user_skill, job_sets(job_skill)).where("overlap_pct >= 40")
-              .groupBy("user_id", match_bucket(F.col("overlap_pct")).alias("bucket")).agg(F.sum("n_jobs").alias("n_jobs")))
-    weak = (users.select("user_id").join(strong.groupBy("user_id").agg(F.sum("n_jobs").alias("n")), "user_id", "left")
-            .crossJoin(F.broadcast(n_all))          # one row
-            .select("user_id", F.lit("Weak Match").alias("bucket"), (F.col("n_all") - F.coalesce("n", F.lit(0))).alias("n_jobs")))
-    return strong.unionByName(weak.where("n_jobs > 0"))
+    rows = fold_sets(user_sets(users, user_skill), job_sets(job_skill), {"strong": "bigint", "medium": "bigint"}, {"strong": 0, "medium": 0}, add, block_skills)
+    one = lambda name, n: F.struct(F.lit(name).alias("bucket"), n.alias("n_jobs"))
+    return (rows.crossJoin(F.broadcast(n_all))          # one row
+            .select("user_id", F.inline(F.array(one("Strong Match", F.col("strong")), one("Medium Match", F.col("medium")),
+                                                one("Weak Match", F.col("n_all") - F.col("strong") - F.col("medium")))))
+            .where("n_jobs > 0"))
 
 
-def shared_counts(users: DataFrame, user_skill: DataFrame, job_skill: DataFrame) -> DataFrame:
+def shared_counts(users: DataFrame, user_skill: DataFrame, job_skill: DataFrame, block_skills: int = BLOCK_SIZE) -> DataFrame:
     """(user_id, n_jobs_sharing, n_common_total, max_common) of every user, 0 for those without an overlap."""
-    per = (overlap_sets(user_skill, job_sets(job_skill)).groupBy("user_id")
-           .agg(F.sum("n_jobs").alias("n_jobs_sharing"), F.sum(F.col("n_jobs") * F.col("n_common")).alias("n_common_total"),
-                F.max("n_common").alias("max_common")))
-    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
-    return users.select("user_id").join(per, "user_id", "left").select(
-        "user_id", zero("n_jobs_sharing"), zero("n_common_total"), zero("max_common"))
+    def add(block: SkillSets, skills: np.ndarray, sharing: int, total: int, most: int):
+        found, count = block.common(skills)
+        jobs = block.n_jobs[found]
+        return sharing + int(jobs.sum()), total + int((jobs * count).sum()), max(most, int(count.max(initial=0)))
+
+    names = ("n_jobs_sharing", "n_common_total", "max_common")
+    return fold_sets(user_sets(users, user_skill), job_sets(job_skill), dict.fromkeys(names, "bigint"), dict.fromkeys(names, 0), add, block_skills)
 
 
 def overlap_apply(pairs: DataFrame, user_skill: DataFrame, job_skill: DataFrame) -> DataFrame:
@@ -113,4 +192,4 @@ def overlap_card(users: DataFrame, shown: DataFrame, user_skill: DataFrame, job_
 
 def match_bucket(pct: Column) -> Column:
     """Strong / medium / weak label of a match percentage."""
-    return F.when(pct >= 70, "Strong Match").when(pct >= 40, "Medium Match").otherwise("Weak Match")
+    return F.when(pct >= STRONG, "Strong Match").when(pct >= MEDIUM, "Medium Match").otherwise("Weak Match")

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 
 def spread(df: DataFrame, *cols: str, num_partitions: int | None = None) -> DataFrame:
@@ -17,13 +16,3 @@ def spread(df: DataFrame, *cols: str, num_partitions: int | None = None) -> Data
     n = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
     return df.repartition(n, *cols)
 
-
-SMALL_ROWS = 200_000         # rows of a few numbers or short words: some MB
-
-
-def small_side(df: DataFrame, max_rows: int = SMALL_ROWS) -> tuple[DataFrame, bool]:
-    """``df`` (narrow rows), checkpointed, with a broadcast hint if it has at most ``max_rows`` rows, and
-    whether it has.  Beyond that the join is left to the planner; the result is the same."""
-    df = df.checkpoint(eager=True)
-    small = df.limit(max_rows + 1).count() <= max_rows
-    return (F.broadcast(df) if small else df), small

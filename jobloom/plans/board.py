@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions.scoring import levenshtein_ratio
 from ..operators import fuzzy as fz
 from ..operators import overlap as ov
+from ..operators import search as se
 from ..operators.sequence import with_sequence
 from ..operators.topk import first_wins, top_k_per
+from ..session import shared_dir
+from ..sources import keyed
 from ..sources.fixtures import Ats
 from .registry import register
 
@@ -251,6 +256,60 @@ def q_search_count(spark, sf_dir, q: str = SEARCH_Q, location: str = SEARCH_LOCA
     return board_search(a, q, location).agg(F.count(F.lit(1)).alias("n_results"))
 
 
+def stored_searches(a: Ats):
+    """A stored search of every job seeker: a word of a posting's title or a part of it, some with a wildcard."""
+    k, title = F.col("job_id"), F.col("title")
+    part = F.substring(title, (k % 5 + 1).cast("int"), (k % 9 + 1).cast("int"))
+    q = F.when(k % 3 == 0, F.regexp_replace(part, "a", "_")).when(k % 3 == 1, F.concat(part, F.lit("%"), F.upper("company"))).otherwise(part)
+    return a.ats_jobs.select(k.alias("search_id"), q.alias("q"))
+
+
+_SQL_SEARCHES = """
+sr as (select job_id as search_id, case when job_id % 3 = 0 then replace(p, 'a', '_') when job_id % 3 = 1 then p || '%' || upper(company) else p end as q
+       from (select job_id, company, substr(title, cast(job_id % 5 + 1 as int), cast(job_id % 9 + 1 as int)) as p from ats_jobs)),
+tx as (select j.job_id as id, j.title || ' ' || j.company || ' ' || j.location as text from ats_jobs j)"""
+
+
+def search_texts(a: Ats):
+    return a.ats_jobs.select(F.col("job_id").alias("id"), F.concat_ws(" ", "title", "company", "location").alias("text"))
+
+
+def _hits_per_search(searches, found):
+    n = found.groupBy("search_id").agg(F.count(F.lit(1)).alias("n_hits"), F.min("id").alias("first_id"))
+    return searches.select("search_id").join(n, "search_id", "left").withColumn("n_hits", F.coalesce("n_hits", F.lit(0)))
+
+
+@register("stored_searches_like", sql=f"""
+with {_SQL_SEARCHES}
+select search_id, count(id) as n_hits, min(id) as first_id
+from sr left join tx on text ilike '%' || q || '%' group by search_id""")
+def q_stored_searches_like(spark, sf_dir):
+    """Hits of all stored LIKE searches over all jobs, by their rarest three characters."""
+    a = Ats(spark, sf_dir)
+    searches = stored_searches(a)
+    return _hits_per_search(searches, se.search_like(searches, search_texts(a)))
+
+
+@register("stored_searches_regex", sql="""
+with sr as (select job_id as search_id, case when job_id % 4 = 0 then split_part(title, ' ', 1) || '|' || split_part(title, ' ', 2)
+                   when job_id % 4 = 1 then split_part(title, ' ', 1) || '.*' || substr(company, 1, 6) || '[0-5]' || '$'
+                   when job_id % 4 = 2 then '(' || split_part(title, ' ', 2) || '|nothing) brand#?' || cast(job_id % 30 as varchar)
+                   else '^' || substr(title, 1, 5) || 'x*' end as q from ats_jobs),
+tx as (select job_id as id, title || ' ' || company as text from ats_jobs)
+select search_id, count(id) as n_hits, min(id) as first_id from sr left join tx on regexp_matches(text, q, 'i') group by search_id""")
+def q_stored_searches_regex(spark, sf_dir):
+    """Hits of all stored regular expressions over all jobs, by their rarest three characters."""
+    a = Ats(spark, sf_dir)
+    k, word = F.col("job_id"), lambda n: F.split_part("title", F.lit(" "), F.lit(n))
+    q = (F.when(k % 4 == 0, F.concat(word(1), F.lit("|"), word(2)))
+         .when(k % 4 == 1, F.concat(word(1), F.lit(".*"), F.substring("company", 1, 6), F.lit("[0-5]$")))
+         .when(k % 4 == 2, F.concat(F.lit("("), word(2), F.lit("|nothing) brand#?"), (k % 30).cast("string")))
+         .otherwise(F.concat(F.lit("^"), F.substring("title", 1, 5), F.lit("x*"))))
+    searches = a.ats_jobs.select(k.alias("search_id"), q.alias("q"))
+    texts = a.ats_jobs.select(k.alias("id"), F.concat_ws(" ", "title", "company").alias("text"))
+    return _hits_per_search(searches, se.search_regex(searches, texts))
+
+
 AS_OF = "2024-03-15 06:00:00"
 
 
@@ -353,13 +412,14 @@ refreshed as (select distinct user_id from ats_resume_skills)
 select user_id, skill_id, 'kept' as origin from ats_user_skill where user_id not in (select user_id from refreshed)
 union all select user_id, skill_id, 'resume' as origin from fus""")
 def q_replace_user_skills(spark, sf_dir):
-    """Every user with a résumé gets exactly the freshly matched skills; others keep theirs."""
+    """Every user with a résumé gets exactly the freshly matched skills, in a table keyed by user; others
+    keep theirs, and buckets without a refreshed user are not rewritten."""
     a = Ats(spark, sf_dir)
-    refreshed = a.ats_resume_skills.select("user_id").distinct()
-    kept = (a.ats_user_skill.join(refreshed, "user_id", "left_anti")
-             .select("user_id", "skill_id", F.lit("kept").alias("origin")))
+    path = shared_dir(spark, "user-skills", uuid.uuid4().hex)
+    keyed.create(a.ats_user_skill.select("user_id", "skill_id", F.lit("kept").alias("origin")), path, "user_id")
     new = fuzzy_user_skills(a).select("user_id", "skill_id", F.lit("resume").alias("origin"))
-    return kept.unionByName(new)
+    keyed.replace_by_owner(spark, path, a.ats_resume_skills.select("user_id"), new, "user_id")
+    return keyed.read(spark, path).select("user_id", "skill_id", "origin")
 
 
 @register("seed_missing", sql="""
@@ -372,7 +432,7 @@ select n.name, cast(mx.m + row_number() over (order by n.name) as bigint), true
 def q_seed_missing(spark, sf_dir):
     """Insert résumé skill names missing from the catalogue, with ids after the current maximum."""
     a = Ats(spark, sf_dir)
-    catalog = a.ats_skill_catalog.cache()
+    catalog = a.ats_skill_catalog.checkpoint(eager=True)
     names = (a.ats_resume_skills.select(F.lower("skill").alias("name")).distinct()
               .join(catalog.select(F.lower("name").alias("name")), "name", "left_anti"))
     start = (catalog.agg(F.max("skill_id")).first()[0] or 0) + 1

@@ -22,6 +22,21 @@ def _joined(df, id_col: str, order_col: str, value_col: str, sep: str, name: str
                                  lambda s: s[value_col]), sep).alias(name))
 
 
+def _wide(docs, id_col: str, texts: dict, numbers: dict):
+    """``docs`` (id and the text as full_text) with one column for each part (id, value under the part's name): the
+    parts' rows are stacked and meet in one aggregation, whose shuffle the join with the texts reuses."""
+    long = None
+    for name, df in {**texts, **numbers}.items():
+        is_text = name in texts
+        row = df.select(id_col, F.lit(name).alias("_part"), (F.col(name) if is_text else F.lit(None).cast("string")).alias("_text"),
+                        (F.lit(None) if is_text else F.col(name)).cast("double").alias("_number"))
+        long = row if long is None else long.unionByName(row)
+    pick = lambda name, c: F.max(F.when(F.col("_part") == name, F.col(c))).alias(name)
+    wide = long.groupBy(id_col).agg(*[pick(n, "_text") for n in texts], *[pick(n, "_number") for n in numbers])
+    return docs.select(id_col, F.col("text").alias("full_text")).join(wide, id_col, "left").select(
+        id_col, *[F.coalesce(n, F.lit("")).alias(n) for n in texts], *numbers, "full_text")
+
+
 def _text_bundle(docs, id_col: str, sections=None):
     skills = _joined(dc.skills_extract(docs, id_col, "text"), id_col, "rank", "skill", ", ", "skills")
     kws = _joined(dc.top_keywords(docs, id_col, "text"), id_col, "rank", "keyword", ", ", "keywords")
@@ -44,12 +59,9 @@ def q_parse_postings(spark, sf_dir):
     a = Ats(spark, sf_dir)
     docs = a.ats_postings
     skills, kws, secs = _text_bundle(docs, "job_id")
-    years = docs.select("job_id", F.col("text").alias("full_text"), tx.posting_years(tx.clean_text(F.col("text")), OPEN_END_YEAR)
-                        .cast("long").alias("experience_years"))
-    return (years.join(skills, "job_id", "left").join(kws, "job_id", "left").join(secs, "job_id", "left")
-                 .select("job_id", F.coalesce("skills", F.lit("")).alias("skills"),
-                         F.coalesce("keywords", F.lit("")).alias("keywords"), "experience_years",
-                         F.coalesce("sections", F.lit("")).alias("sections"), "full_text"))
+    years = docs.select("job_id", tx.posting_years(tx.clean_text(F.col("text")), OPEN_END_YEAR).alias("experience_years"))
+    out = _wide(docs, "job_id", {"skills": skills, "keywords": kws, "sections": secs}, {"experience_years": years})
+    return out.withColumn("experience_years", F.col("experience_years").cast("long"))
 
 
 def education_or_sentences(docs, id_col: str, sections=None):
@@ -93,20 +105,18 @@ def q_parse_resumes(spark, sf_dir, as_of: str = AS_OF):
     positions held, and the text."""
     a = Ats(spark, sf_dir)
     docs = a.ats_resumes
-    sections = dc.resume_sections(docs, "applicant_id", "text")
+    # sections and positions are read several times: written once
+    sections = dc.resume_sections(docs, "applicant_id", "text").checkpoint(eager=True)
     skills, kws, secs = _text_bundle(docs, "applicant_id", sections)
     edu = _joined(education_or_sentences(docs, "applicant_id", sections), "applicant_id", "n", "entry", " | ",
                   "education")
     titles = _joined(dc.job_titles(docs, "applicant_id", "text"), "applicant_id", "rank", "title", ", ", "titles")
-    positions = dc.resume_positions(docs, "applicant_id", "text", as_of, sections)
+    positions = dc.resume_positions(docs, "applicant_id", "text", as_of, sections).checkpoint(eager=True)
     yoe = dc.resume_yoe(docs, "applicant_id", "text", as_of, positions)
     held = _joined(positions.withColumn("held", F.concat("title", F.lit(" ("), "start", F.lit(".."), "end", F.lit(")"))),
                    "applicant_id", "line_no", "held", " | ", "positions")
-    out = docs.select("applicant_id", F.col("text").alias("full_text"))
-    for part in (yoe, skills, kws, secs, edu, titles, held):
-        out = out.join(part, "applicant_id", "left")
-    return out.select("applicant_id", *[F.coalesce(c, F.lit("")).alias(c) for c in ("skills", "keywords", "education")],
-                      "yoe", *[F.coalesce(c, F.lit("")).alias(c) for c in ("sections", "titles", "positions")], "full_text")
+    return _wide(docs, "applicant_id", {"skills": skills, "keywords": kws, "education": edu, "sections": secs, "titles": titles, "positions": held},
+                 {"yoe": yoe})
 
 
 @register("onboard_applicant", sql=f"""

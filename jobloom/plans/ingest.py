@@ -8,7 +8,9 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..session import shared_dir
+from ..sources import days as by_day
 from ..sources import ingest as ig
+from ..sources import keyed
 from ..sources.fixtures import Ats
 from .registry import register
 
@@ -37,6 +39,18 @@ def q_scan_time_range(spark, sf_dir, days: int = 7, as_of: str = AS_OF, size: in
                       F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("ts")))
 
 
+@register("scan_day_partitions", sql=f"""
+select event_id, user_id, event_type, strftime(ts, '%Y-%m-%d %H:%M:%S') as ts
+from events where ts between timestamp '{AS_OF}' - interval 7 day and timestamp '{AS_OF}' + interval 1 day""")
+def q_scan_day_partitions(spark, sf_dir, days: int = 7, as_of: str = AS_OF):
+    """All rows of [as_of - days, as_of + 1 day] out of a table kept by day: other days are pruned unread."""
+    path = shared_dir(spark, "events-by-day", uuid.uuid4().hex)
+    by_day.create(Ats(spark, sf_dir).events, path, "ts")
+    lo, hi = _ntz(as_of) - F.expr(f"INTERVAL {int(days)} DAYS"), _ntz(as_of) + F.expr("INTERVAL 1 DAYS")
+    return by_day.time_range(spark, path, "ts", lo, hi).select(
+        "event_id", "user_id", "event_type", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("ts"))
+
+
 LOOKUP_ID = 42
 
 
@@ -51,6 +65,20 @@ def q_point_lookup(spark, sf_dir, job_id: int = LOOKUP_ID):
                      "status", F.col("date_posted").cast("string").alias("date_posted")))
 
 
+@register("lookup_batch", sql="""
+select k.job_id, j.job_id is not null as is_found, j.title, j.company, j.status
+from (select distinct event_id as job_id from events) k left join ats_jobs j on j.job_id = k.job_id""")
+def q_lookup_batch(spark, sf_dir):
+    """Records of a batch of keys (the jobs that apply clicks name), missing keys reported; keys and records are
+    bucketed alike, so the lookup itself moves no rows."""
+    a = Ats(spark, sf_dir)
+    run = uuid.uuid4().hex
+    tables = {"lookup_jobs": a.ats_jobs.select("job_id", "title", "company", "status"),
+              "lookup_keys": a.events.select(F.col("event_id").alias("job_id")).distinct()}
+    jobs, keys = (keyed.create_bucketed(df, shared_dir(spark, name, run), f"{name}_{run}", "job_id") for name, df in tables.items())
+    return keyed.lookup(jobs, keys, "job_id").select("job_id", "is_found", "title", "company", "status")
+
+
 _SQL_HITS = """
 hp as (select hit_id,
    case when coalesce(json_array_length(json, '$.hit.locations'), 0) = 0 then ''
@@ -201,14 +229,22 @@ def q_ingest_insert_if_absent(spark, sf_dir, split_date: str = SPLIT_DATE):
 
 @register("label_writeback", sql="""
 select d.doc_id, d.source, l.quality is not null as is_labelled,
-       case when l.quality is null then '[]' else '[' || cast(l.quality as varchar) || ']' end as labels_text
+       case when l.quality is not null then '[' || cast(l.quality as varchar) || ']' when d.doc_id % 4 = 0 then '[' || cast(d.doc_id % 3 as varchar) || ']'
+            else '[]' end as labels_text
 from documents d left join labels l on l.doc_id = d.doc_id""")
 def q_label_writeback(spark, sf_dir):
-    """Set ``Labels = [label]`` on labelled documents (left join + new value)."""
+    """Set ``Labels = [label]`` on labelled documents of a keyed table; the others, some of them labelled
+    before, keep their list."""
     a = Ats(spark, sf_dir)
-    lab = a.labels.select("doc_id", F.col("quality").alias("label"))
-    out = ig.write_back_labels(a.documents.select("doc_id", "source"), lab, "doc_id")
-    return out.select("doc_id", "source", F.col("label").isNotNull().alias("is_labelled"), "labels_text")
+    k = F.col("doc_id")
+    before = F.when(k % 4 == 0, F.array((k % 3).cast("int"))).otherwise(F.array().cast("array<int>"))
+    path = shared_dir(spark, "labelled", uuid.uuid4().hex)
+    keyed.create(a.documents.select("doc_id", "source", before.alias("labels")), path, "doc_id")
+    lab = a.labels.select("doc_id", F.col("quality").cast("int").alias("label"))
+    ig.update_labels(path, lab, "doc_id")
+    out = keyed.read(spark, path).join(lab, "doc_id", "left")
+    text = F.concat(F.lit("["), F.array_join(F.transform("labels", lambda x: x.cast("string")), ","), F.lit("]"))
+    return out.select("doc_id", "source", F.col("label").isNotNull().alias("is_labelled"), text.alias("labels_text"))
 
 
 @register("label_export", sql="""

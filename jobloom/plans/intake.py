@@ -67,24 +67,31 @@ def q_source_hit_pages(spark, sf_dir, first_n: int = FIRST_HITS):
 
 
 @register("registration_checks", sql="""
-with r as (select c_custkey as id, 'user' || cast(c_custkey % 700 as varchar) as username,
-                  'mail' || cast(c_custkey % 900 as varchar) || '@example.com' as email,
-                  case when c_custkey % 5 = 0 then '' when c_custkey % 5 = 1 then 'python' else 'sql' end as skill from customer),
-old as (select * from r where id % 2 = 0), new as (select * from r where id % 2 = 1)
-select id, case when username in (select username from old) then 'Username already exists'
-                when email in (select email from old) then 'Email already exists'
-                when trim(skill) = '' then 'Skill name is required'
-                when lower(skill) in (select 'python') then 'Skill already exists' else 'ok' end as reason from new""")
+with recursive r as (select c_custkey as id, 'user' || cast(c_custkey * 7 % 1100 as varchar) as username,
+                  'mail' || cast(c_custkey * 11 % 900 as varchar) || '@example.com' as email,
+                  case when c_custkey % 5 = 0 then '' when c_custkey % 5 = 1 then 'python' else 'sql' || cast(c_custkey % 40 as varchar) end as skill from customer),
+old as (select * from r where id % 4 = 0), new as (select *, row_number() over (order by id) as i from r where id % 4 <> 0),
+walk(i, id, reason, names, mails, skills) as (
+    select 0::bigint, null::bigint, '', (select list(username) from old), (select list(email) from old), (select list(distinct skill) from old where skill = 'python')
+    union all
+    select i, id, reason, case when accepted then list_append(names, username) else names end, case when accepted then list_append(mails, email) else mails end,
+        case when reason = 'ok' then list_append(skills, skill) else skills end
+    from (select *, reason not in ('Username already exists', 'Email already exists') as accepted
+          from (select new.i, new.id, new.username, new.email, new.skill, w.names, w.mails, w.skills,
+                       case when list_contains(w.names, new.username) then 'Username already exists' when list_contains(w.mails, new.email) then 'Email already exists'
+                            when new.skill = '' then 'Skill name is required' when list_contains(w.skills, new.skill) then 'Skill already exists' else 'ok' end as reason
+                from walk w join new on new.i = w.i + 1)))
+select id, reason from walk where i > 0""")
 def q_registration_checks(spark, sf_dir):
-    """Uniqueness checks of new registrations against those on file, in order: the user name, then
-    the e-mail, then the skill name (given, and not yet in the catalogue)."""
+    """New registrations taken one after another: refused if the user name or e-mail is on file or was accepted
+    earlier in the batch; then the skill name (given, and not yet in the catalogue)."""
     a = Ats(spark, sf_dir)
     k = F.col("c_custkey")
-    r = a.customer.select(k.alias("id"), F.concat(F.lit("user"), (k % 700).cast("string")).alias("username"),
-                          F.concat(F.lit("mail"), (k % 900).cast("string"), F.lit("@example.com")).alias("email"),
-                          F.when(k % 5 == 0, "").when(k % 5 == 1, "python").otherwise("sql").alias("skill"))
-    known = r.where("id % 2 = 0 and skill = 'python'").select("skill").distinct()
-    return ig.registration_reasons(r.where("id % 2 = 1"), r.where("id % 2 = 0"), known).select("id", "reason")
+    r = a.customer.select(k.alias("id"), F.concat(F.lit("user"), (k * 7 % 1100).cast("string")).alias("username"),
+                          F.concat(F.lit("mail"), (k * 11 % 900).cast("string"), F.lit("@example.com")).alias("email"),
+                          F.when(k % 5 == 0, "").when(k % 5 == 1, "python").otherwise(F.concat(F.lit("sql"), (k % 40).cast("string"))).alias("skill"))
+    known = r.where("id % 4 = 0 and skill = 'python'").select("skill").distinct()
+    return ig.registration_reasons(r.where("id % 4 <> 0"), r.where("id % 4 = 0"), known, "id").select("id", "reason")
 
 
 @register("append_applicants", sql="""

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import catalog as cat
 from ..functions.scoring import binary_softmax
 from ..operators import ranking as rk
+from ..operators import similar as sm
 from ..session import shared_dir
 from ..sources.fixtures import Ats
 from .registry import register
@@ -43,6 +44,23 @@ def q_rank_similarity(spark, sf_dir):
     return rk.rank_by_score(rk.dot_scores(a.embeddings, "vec_id", "embedding", CV_ID), "vec_id")
 
 
+CV_EVERY, MANY_K = 20, 10
+
+
+@register("rank_similarity_many", sql=f"""
+with s as (select q.vec_id as cv_id, e.vec_id, round(list_sum(list_transform(range(1, len(e.embedding) + 1),
+              lambda i: cast(e.embedding[i] as double) * cast(q.embedding[i] as double))), 6) as score
+           from embeddings q, embeddings e where q.vec_id % {CV_EVERY} = 0 and e.vec_id <> q.vec_id)
+select cv_id, vec_id, score, row_number() over (partition by cv_id order by score desc, vec_id) as rank from s
+qualify rank <= {MANY_K}""")
+def q_rank_similarity_many(spark, sf_dir, k: int = MANY_K):
+    """The k most similar vectors of every CV (each twentieth vector is one) in one job."""
+    a = Ats(spark, sf_dir)
+    items = sm.by_norm(a.embeddings, "vec_id", "embedding")
+    return sm.top_similar(items.where(F.col("id") % CV_EVERY == 0), items, k).select(
+        F.col("query_id").alias("cv_id"), F.col("id").alias("vec_id"), "score", "rank")
+
+
 @register("rank_argsort_compat", sql=f"""
 with {_SQL_DOT},
 pos as (select vec_id, row_number() over (order by vec_id) - 1 as pos from ds),

@@ -287,15 +287,56 @@ def q_job_titles(spark, sf_dir):
     return dc.job_titles(a.ats_postings, "job_id", "text")
 
 
-@register("html_description", sql=f"""
-with a as (select page_id, regexp_extract(html, '(?s)<article[^>]*>(.*?)</article>', 1) as h from pages),
-b as (select page_id, regexp_replace(h, '(?s)^{tx.WS}*<h[1-6][^>]*>.*?</h[1-6]>', '') as h from a),
-c as (select page_id, regexp_replace(regexp_replace(h, '(?i)<li[^>]*>', chr(10) || '- ', 'g'), '<[^>]*>', chr(10), 'g') as h from b),
-d as (select page_id, replace(replace(replace(replace(replace(replace(h, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'),
-             '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&') as h from c)
-select page_id, array_to_string(list_filter(list_transform(string_split(h, chr(10)), lambda x: {sql_strip('x')}),
-       lambda x: x <> ''), chr(10)) as description from d""")
+def _sql_references(x: str) -> str:
+    """Character references of ``x`` decoded, in DuckDB SQL."""
+    known = "map {" + ", ".join(f"{_q(k)}: {_q(v)}" for k, v in tx.references().items()) + "}"
+    name, rest = f"regexp_extract(p, '{tx.RE_REFERENCE}', 1)", f"regexp_replace(p, '{tx.RE_REFERENCE}', '')"
+    code = f"case when {name}[2] in ('x', 'X') then try_cast('0x' || {name}[3:] as integer) else try_cast({name}[2:] as integer) end"
+    numeric = f"case when {code} between 1 and 1114111 and {code} not between 55296 and 57343 then chr({code}) else chr(65533) end"
+    char = f"case when {name}[1] = '#' then coalesce(k['#' || cast({code} as varchar)], {numeric}) else k[{name}] end"
+    return f"""(select string_split({x}, '&')[1] || coalesce(array_to_string(list_transform(string_split({x}, '&')[2:],
+        lambda p: case when {char} is null then '&' || p else {char} || {rest} end), ''), '') from (select {known} as k))"""
+
+
+# the walk of html_article_text, one step a token: rows of events instead of a growing text
+_SQL_ARTICLE = rf"""
+with recursive raw as (select page_id, unnest(toks) as t, generate_subscripts(toks, 1) as pos from (select page_id, regexp_extract_all(html,
+    '(?is)<!--.*?-->|<[!?][^>]*>|<(?:script|style|template)\b[^>]*>.*?</(?:script|style|template)\s*>|</?[a-z](?:[^>"''=]|=\s*"[^"]*"|=\s*''[^'']*''|=|["''])*>|[^<]+|<') as toks
+    from pages)),
+kinds as (select page_id, pos, t, lower(regexp_extract(t, '(?is)^</?([a-z][^\s/>]*)', 1)) as name,
+    case when regexp_matches(t, '(?is)^(<[!?]|<(script|style|template)\b)') then 'none' when not (regexp_matches(t, '(?i)^</?[a-z]') and t like '%>') then 'text'
+         when t like '</%' then 'close' when t like '%/>' then 'void' else 'open' end as kind from raw),
+decoded as (select page_id, pos, name, case when kind = 'open' and name in ({", ".join(_q(v) for v in tx.VOID_ELEMENTS)}) then 'void' else kind end as kind,
+    case when kind = 'text' then {sql_strip(f"case when contains(t, '&') then {_sql_references('t')} else t end")} else '' end as text from kinds where kind <> 'none'),
+typed as (select *, row_number() over (partition by page_id order by pos) as i from decoded where kind <> 'text' or text <> ''),
+walk(page_id, i, stack, article, list_i, list_depth, items, event) as (
+    select page_id, 0::bigint, []::varchar[], 0, 0::bigint, 0, []::struct(d bigint, i bigint)[], '' from pages
+    union all
+    select page_id, i, stack,
+        case when article > 0 and len(stack) < article then -1 when kind = 'open' and article = 0 and name = 'article' then len(stack) else article end,
+        case when kind = 'open' and name = 'ul' and list_i = 0 and article > 0 and len(old) > article then i when len(stack) < list_depth then 0 else list_i end,
+        case when kind = 'open' and name = 'ul' and list_i = 0 and article > 0 and len(old) > article then len(stack) when len(stack) < list_depth then 0 else list_depth end,
+        case when kind = 'open' and name = 'li' and list_i > 0 then list_append(items, {{'d': len(stack), 'i': i}})
+             else list_filter(items, lambda x: x.d <= len(stack)) end,
+        case when article > 0 and len(old) = article and kind in ('open', 'void') then 'child'
+             when article > 0 and len(old) > article and kind = 'text' then 'text' when kind = 'open' and name = 'li' and list_i > 0 then 'item' else '' end
+    from (select w.page_id, t.i, t.kind, t.name, w.stack as old, w.article, w.list_i, w.list_depth, w.items,
+              case when t.kind = 'open' then list_append(w.stack, t.name) when t.kind = 'close' and list_position(list_reverse(w.stack), t.name) > 0
+                   then w.stack[:len(w.stack) - list_position(list_reverse(w.stack), t.name)] else w.stack end as stack
+          from walk w join typed t on t.page_id = w.page_id and t.i = w.i + 1 where w.article >= 0)),
+last as (select page_id, max(i) as child from walk where event = 'child' group by page_id),
+said as (select w.page_id, w.i, w.list_i, w.items, t.text from walk w join last l on l.page_id = w.page_id and w.i > l.child
+         join typed t on t.page_id = w.page_id and t.i = w.i where w.event = 'text'),
+item as (select w.page_id, w.list_i, w.i, coalesce((select string_agg(s.text, '' order by s.i) from said s
+             where s.page_id = w.page_id and list_contains(list_transform(s.items, lambda x: x.i), w.i)), '') as text
+         from walk w join last l on l.page_id = w.page_id and w.i > l.child where w.event = 'item'),
+piece as (select page_id, i, text from said where list_i = 0
+          union all select page_id, list_i, string_agg('- ' || text, chr(10) order by i) from item group by page_id, list_i)
+select p.page_id, coalesce((select string_agg(text, chr(10) order by i) from piece where piece.page_id = p.page_id), '') as description from pages p"""
+
+
+@register("html_description", sql=_SQL_ARTICLE)
 def q_html_description(spark, sf_dir):
-    """Article text of each web page (tags out, entities decoded, pieces joined by newline)."""
+    """Text of the last child element of the first article of each web page."""
     a = Ats(spark, sf_dir)
     return a.pages.select("page_id", tx.html_article_text(F.col("html")).alias("description"))

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.topk import first_wins, last_wins
+from . import keyed
 
 HIT_SCHEMA = ("struct<hit:struct<locations:array<struct<country:string,address:string>>,"
               "title:string,company:struct<name:string,short_name:string>,"
@@ -97,16 +98,52 @@ def page_hits(pages: DataFrame, first_n: int, json_col: str = "json") -> DataFra
     return h.select("page_id", "place", *cols).where("title is not null and name is not null")
 
 
-def registration_reasons(new: DataFrame, existing: DataFrame, skills: DataFrame) -> DataFrame:
-    """``new`` with the first reason that holds: the user name is taken, the e-mail is taken, the skill
-    name is blank, the skill is in the catalogue; else 'ok'.  One left join for each check."""
-    seen = lambda df, c, flag: df.select(c).distinct().withColumn(flag, F.lit(True))
-    known = skills.select(F.lower("skill").alias("_skill")).distinct().withColumn("_s", F.lit(True))
-    j = (new.join(seen(existing, "username", "_u"), "username", "left").join(seen(existing, "email", "_e"), "email", "left")
-            .join(known, F.lower("skill") == F.col("_skill"), "left"))
-    return j.withColumn("reason", F.when(F.col("_u"), "Username already exists").when(F.col("_e"), "Email already exists")
-                        .when(F.trim("skill") == "", "Skill name is required").when(F.col("_s"), "Skill already exists")
-                        .otherwise("ok")).drop("_u", "_e", "_s", "_skill")
+def admit_in_order(new: DataFrame, order: str, keys: list[str]) -> DataFrame:
+    """``new`` with ``accepted``: the rows taken one after another by ``order`` (a unique number), each
+    refused if one accepted before it shares a value of one of ``keys`` (nulls share nothing).
+
+    Rounds: a row that no earlier undecided row shares a key with is accepted, one that shares a key with an
+    accepted row is refused, until none is open.  A round is one minimum and one semi join for each key, so
+    there are as many as the longest chain of rows that wait for each other, and a value that most rows
+    share is settled by its first row.  The decided rows are written after each round."""
+    todo, done = new.select(order, *keys).checkpoint(eager=True), None
+    while todo.limit(1).count():
+        first = todo
+        for k in keys:
+            least = todo.where(F.col(k).isNotNull()).groupBy(k).agg(F.min(order).alias("_least"))
+            first = first.join(least, k, "left").where(F.col("_least").isNull() | (F.col("_least") == F.col(order))).drop("_least")
+        taken = first.select(order, *keys).checkpoint(eager=True)
+        todo = todo.join(taken.select(order), order, "left_anti")
+        for k in keys:
+            todo = todo.join(taken.select(k), k, "left_anti")
+        todo = todo.checkpoint(eager=True)
+        done = taken if done is None else done.unionByName(taken)
+    flag = F.lit(True).alias("accepted")
+    done = todo.select(order, flag) if done is None else done.select(order, flag)
+    return new.join(done, order, "left").withColumn("accepted", F.coalesce("accepted", F.lit(False)))
+
+
+def registration_reasons(new: DataFrame, existing: DataFrame, skills: DataFrame, order: str) -> DataFrame:
+    """``new`` with what each registration is answered, taken one after another by ``order`` (a unique
+    number): the user name is taken, the e-mail is taken, the skill name is blank, the skill is in the
+    catalogue; else 'ok'.  Taken means on file or accepted earlier in the batch; a skill is in the catalogue
+    as soon as an earlier accepted registration has brought it."""
+    known = lambda c, flag: existing.select(c).where(F.col(c).isNotNull()).distinct().withColumn(flag, F.lit(True))
+    j = new.join(known("username", "_u"), "username", "left").join(known("email", "_e"), "email", "left").checkpoint(eager=True)
+    j = admit_in_order(j.where("_u is null and _e is null"), order, ["username", "email"]).unionByName(
+        j.where("_u is not null or _e is not null").withColumn("accepted", F.lit(False))).checkpoint(eager=True)
+    # the name counts as taken if the accepted row that holds it came before; otherwise it was the e-mail
+    holder = j.where("accepted and username is not null").select("username", F.col(order).alias("_holder"))
+    j = j.join(holder, "username", "left")
+    name_taken = F.coalesce("_u", F.lit(False)) | F.coalesce(F.col("_holder") < F.col(order), F.lit(False))
+    catalogue = skills.select(F.lower("skill").alias("_skill")).distinct().withColumn("_s", F.lit(True))
+    j = j.withColumn("_skill", F.lower("skill")).join(catalogue, "_skill", "left")
+    brings = j.where("accepted and _s is null").where(F.trim("skill") != "").groupBy("_skill").agg(F.min(order).alias("_brought"))
+    j = j.join(brings, "_skill", "left")
+    reason = (F.when(~F.col("accepted") & name_taken, "Username already exists").when(~F.col("accepted"), "Email already exists")
+              .when(F.trim("skill") == "", "Skill name is required").when(F.col("_s") | (F.col("_brought") < F.col(order)), "Skill already exists")
+              .otherwise("ok"))
+    return j.select(*new.columns, reason.alias("reason"))
 
 
 def seed_if_empty(target: DataFrame, samples: DataFrame) -> DataFrame:
@@ -159,13 +196,20 @@ def insert_if_absent(target: DataFrame, batch: DataFrame, key: str, order_by: li
 
 
 def write_back_labels(target: DataFrame, labels: DataFrame, key: str) -> DataFrame:
-    """Partial update by id: the label list becomes ``[label]`` where an update exists."""
+    """Partial update by id: ``label`` becomes the new one where an update exists, and stays what it was (null,
+    if ``target`` has no labels yet) where none does; ``labels_text`` is the list as stored."""
+    old = F.col("label") if "label" in target.columns else F.lit(None).cast("int")
     upd = labels.select(key, F.col("label").alias("_new"))
-    return (target.join(upd, key, "left")
-                  .withColumn("label", F.col("_new"))
-                  .withColumn("labels_text", F.when(F.col("_new").isNull(), F.lit("[]"))
-                              .otherwise(F.concat(F.lit("["), F.col("_new").cast("string"), F.lit("]"))))
-                  .drop("_new"))
+    return (target.join(upd, key, "left").withColumn("label", F.coalesce("_new", old)).drop("_new")
+                  .withColumn("labels_text", F.when(F.col("label").isNull(), F.lit("[]"))
+                              .otherwise(F.concat(F.lit("["), F.col("label").cast("string"), F.lit("]")))))
+
+
+def update_labels(path: str, labels: DataFrame, key: str, buckets: int = keyed.BUCKETS) -> None:
+    """Partial update by id of the keyed table at ``path``: its array ``labels`` becomes ``[label]`` where there
+    is a label; all other rows keep what they have."""
+    new = labels.where(F.col("label").isNotNull()).select(key, F.array("label").alias("labels"))
+    keyed.update(labels.sparkSession, path, new, key, buckets)
 
 
 def export_labels(labels: DataFrame, key: str, seq: str | None = None) -> DataFrame:

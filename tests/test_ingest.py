@@ -27,3 +27,9 @@ def test_label_export_last_wins_and_writeback(spark):
     target = spark.createDataFrame([(1,), (3,)], "id long")
     wb = {r.id: r.labels_text for r in ig.write_back_labels(target, ig.export_labels(labels, "id", "seq"), "id").collect()}
     assert wb == {1: "[1]", 3: "[]"}
+
+
+def test_writeback_keeps_old_labels(spark):
+    target = spark.createDataFrame([(1, 1), (2, None), (3, 0)], "id long, label int")
+    wb = {r.id: r.labels_text for r in ig.write_back_labels(target, spark.createDataFrame([(3, 1)], "id long, label int"), "id").collect()}
+    assert wb == {1: "[1]", 2: "[]", 3: "[1]"}

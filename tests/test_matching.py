@@ -124,3 +124,34 @@ def test_real_valued_years_empty_lists_and_distinct_lists(spark):
         for k in (1, 3, 60):
             assert _per_group(mt.top_k_jobs_by_list(adf, ydf, jdf, k).collect()) == _best(scores, k, 0, 1)
             assert _per_group(mt.top_k_applicants_by_list(adf, ydf, jdf, k).collect()) == _best(scores, k, 1, 0)
+
+
+def test_blocks_of_any_size_give_one_ranking(spark):
+    jobs, apps, years, excluded = _random_case(17)
+    jdf, adf, ydf = _frames(spark, jobs, apps, years)
+    ex = spark.createDataFrame(sorted(excluded), "applicant_id long, job_id long")
+    scores = _all_scores(apps, jobs, years)
+    assert _per_group(mt.top_k_jobs_by_list(adf, ydf, jdf, 3, ex, 4).collect()) == _best(scores, 3, 0, 1, excluded)
+    assert _per_group(mt.top_k_applicants_by_list(adf, ydf, jdf, 3, 5).collect()) == _best(scores, 3, 1, 0)
+
+
+def test_cents_round_as_sql_does(spark):
+    import numpy as np
+    rnd = random.Random(1)
+    v = [rnd.randint(0, 20000) / 200 for _ in range(2000)] + [rnd.uniform(-5, 100) for _ in range(2000)] + [0.285, 1.005, 2.675, 56.665, -0.125]
+    want = [r[0] for r in spark.createDataFrame([(x,) for x in v], "x double").selectExpr("cast(round(round(x, 2) * 100) as long)").collect()]
+    assert mt._cents(np.array(v)).tolist() == want
+
+
+def test_only_promising_lists_are_formed(spark):
+    jobs = {j: (["sql", f"w{j}"] if j else ["sql"], None) for j in range(200)}
+    jdf, adf, ydf = _frames(spark, jobs, {a: ["sql"] for a in range(5)}, dict.fromkeys(range(5)))
+    seen = []
+    real = mt.promising_lists
+    try:
+        mt.promising_lists = lambda *a: seen.append(real(*a).checkpoint()) or seen[-1]
+        got = _per_group(mt.top_k_jobs_by_list(adf, ydf, jdf, 2).collect())
+    finally:
+        mt.promising_lists = real
+    assert got == {a: [0, 1] for a in range(5)}
+    assert seen[0].count() == 10            # two of the 200 lists that share a skill, for each applicant

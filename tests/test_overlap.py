@@ -51,6 +51,44 @@ def test_all_users_and_jobs_against_brute_force(spark):
     assert shared == {u: (sum(c > 0 for c in cs), sum(cs), max(cs)) for u, cs in common.items()}
 
 
+def test_blocks_of_any_size_give_one_result(spark):
+    rnd = random.Random(5)
+    wanted = {j: [rnd.randrange(40) for _ in range(rnd.randint(0, 9))] for j in range(300)}
+    have = {u: {rnd.randrange(45) for _ in range(rnd.randint(0, 12))} for u in range(60)}
+    js, us, users, jobs = tables(spark, [(j, s) for j, ss in wanted.items() for s in ss], [(u, s) for u, ss in have.items() for s in ss], have, wanted)
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    for fn in (lambda n: ov.top_overlap(users, jobs, us, js, 5, n), lambda n: ov.bucket_counts(users, jobs, us, js, n), lambda n: ov.shared_counts(users, us, js, n)):
+        whole = rows(fn(4_000_000))
+        assert rows(fn(100)) == whole and rows(fn(700)) == whole and whole
+    pct = {(u, j): 100.0 * len(h & set(w)) / len(set(w)) if w else 0.0 for u, h in have.items() for j, w in wanted.items()}
+    got = {}
+    for r in sorted(ov.top_overlap(users, jobs, us, js, 5, 100).collect(), key=lambda r: (r.user_id, r.rank)):
+        got.setdefault(r.user_id, []).append(r.job_id)
+    assert got == {u: sorted(wanted, key=lambda j: (-round(pct[u, j], 9), j))[:5] for u in have}
+
+
+def test_prefix_filter_finds_what_a_full_count_finds(spark):
+    import numpy as np
+    import pyarrow as pa
+    rnd = random.Random(6)
+    sets = [sorted(rnd.sample(range(30), rnd.randint(1, 8))) for _ in range(400)]
+    block = ov.SkillSets(pa.table({"_key": range(400), "n_jobs": [1] * 400, "first_job": range(400), "set": pa.array(sets, pa.list_(pa.int64()))}))
+    for _ in range(60):
+        mine = np.array(rnd.sample(range(35), rnd.randint(0, 10)), np.int64)
+        found, count = block.common(mine)
+        assert dict(zip(found.tolist(), count.tolist())) == {i: c for i, s in enumerate(sets) if (c := len(set(s) & set(mine.tolist())))}
+        for least in (20.0, 100 / 3, 50.0, 70.0, 100.0):
+            keep = block.share(count, found) >= least
+            got = block.common(mine, least)
+            assert got[0].tolist() == found[keep].tolist() and got[1].tolist() == count[keep].tolist()
+
+
+def test_users_and_sets_do_not_meet_in_a_shuffle(spark):
+    js, us, users, jobs = tables(spark, [(1, 10)], [(7, 10)], [7], [1])
+    plan = ov.shared_counts(users, us, js)._jdf.queryExecution().executedPlan().toString()
+    assert "sid" not in "".join(x for x in plan.splitlines() if "Exchange" in x)
+
+
 def test_match_bucket(spark):
     df = spark.createDataFrame([(70.0,), (69.9,), (40.0,), (0.0,)], "p double")
     got = [r[0] for r in df.select(ov.match_bucket(df.p)).collect()]

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from jobloom.functions import catalog as cat
 from jobloom.functions import text as tx
 from jobloom.operators import documents as dc
 from jobloom.sources import ingest as ig
@@ -66,9 +67,34 @@ def test_titles_shortest_first(spark):
     assert got == ["Engineer", "engineer", "Data Engineer", "data engineer", "Lead Engineer"]
 
 
-def test_html_article(spark):
-    html = "<nav>x</nav><article><h1>T</h1><p>a &amp; b<br>c</p><ul><li>one</li><li>two</li></ul></article>"
-    assert one(spark, tx.html_article_text, html) == "a & b\nc\n- one\n- two"
+def article(spark, html, css=None):
+    return one(spark, lambda c: tx.html_article_text(c, css), html)
+
+
+def test_html_article_is_its_last_child(spark):
+    assert article(spark, "<nav>x</nav><article><h1>T</h1><div><p>a &amp; b<br>c</p><ul><li>one</li><li>two</li></ul></div></article>") == "a & b\nc\n- one\n- two"
+    assert article(spark, "<article><div>meta</div><div>desc</div></article>") == "desc"
+    assert article(spark, "<ARTICLE class=x><Div>up</DIV></ARTICLE>tail") == "up"
+    assert article(spark, "<article><div>never closed <b>here") == "never closed\nhere"
+    assert article(spark, "<article><div><article><p>inner</p></article> outer</div></article>") == "inner\nouter"
+    assert article(spark, "<article><div>a<script>var x=1;</script><style>p{}</style>b<!-- c --></div></article>") == "a\nb"
+    assert article(spark, "<article>bare text</article>") == "" and article(spark, "<p>none</p>") == "" and article(spark, None) == ""
+    assert article(spark, "<article><p>one</article><article><p>two</article>") == "one"
+    assert article(spark, "<article class='a'><p>one</article><article id=q class='b jobDescription_x'><p>two</article>", "jobDescription") == "two"
+    assert article(spark, "<div><article><p>in</div> out</article>") == "in"          # the end of the outer element ends the article
+    assert article(spark, "<article><p>a<hr><p title=it's>b > c</article>") == "a\nb > c"
+
+
+def test_html_article_lists(spark):
+    assert article(spark, "<article><div>x<ul> <li> a <b>b</b></li><li>c<ul><li>d</li></ul></li></ul>y</div></article>") == "x\n- ab\n- cd\n- d\ny"
+    assert article(spark, "<article><ul><li>a</li><li>b</li></ul></article>") == "a\nb"      # the child itself is no list inside it
+    assert article(spark, "<article><div><ul>loose</ul>z<ul><li>last") == "z\n- last"
+
+
+def test_character_references(spark):
+    f = lambda t: one(spark, tx.decode_references, t)
+    assert f("caf&eacute; &#233;&#xE9;&#XE9 &mdash;&amp;lt; &nope; & &; &#0; &#x1F600; &#150;&#x96; &apos;") == "café ééé —&lt; &nope; & &; � 😀 –– '"
+    assert f("no reference") == "no reference" and f("") == "" and f("&#99999999999;") == "�"
 
 
 def test_truncation(spark):
@@ -81,3 +107,17 @@ def test_fixed_boundary_mode(spark):
     assert f("we use c++ daily") == [r"c\+\+"]
     assert f("we use c++11 daily") == []
     assert f("python3 and python") == ["python"]
+
+
+def test_phrase_index_agrees_with_one_regex_an_entry(spark):
+    import random
+    rnd = random.Random(8)
+    words = ["python", "Machine", "learning", "c++", "c#", "C++11", "node.js", "nodexjs", "ci/cd", "asp.net", "scikit-learn", "scikit", "learn", "sql", "server",
+             "attention", "to", "detail", "self-motivation", "r", "r2r", "go", "big", "data", "mining", "_ai", "ai", "é", "x", "statistical", "process", "control"]
+    texts = ["".join(rnd.choice(words) + rnd.choice([" ", " ", " ", "-", "/", ", ", "  ", "", "\n", "."]) for _ in range(rnd.randint(0, 14))) for _ in range(400)]
+    df = spark.createDataFrame([(t,) for t in texts] + [(None,), ("",)], "t string")
+    for boundary in ("strict", "fixed"):
+        plain = F.array_compact(F.array(*[F.when(F.col("t").rlike(tx.skill_pattern(p, boundary)), F.lit(p)) for p in cat.SKILL_PATTERNS]))
+        rows = df.select("t", tx.dictionary_skills("t", boundary=boundary).alias("got"), plain.alias("want")).collect()
+        assert [r.got or [] for r in rows] == [r.want or [] for r in rows], boundary
+        assert sum(len(r.want or []) for r in rows) > 500
