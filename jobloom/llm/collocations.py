@@ -81,7 +81,8 @@ def shards(docs: DataFrame, shard_words: int = SHARD_WORDS) -> DataFrame:
         open_: dict[str, WordIds] = {}
         held = 0
         for batch in batches:
-            for lang, text in zip(*(c.to_pylist() for c in batch.columns)):
+            for at in range(batch.num_rows):
+                lang, text = (c[at].as_py() for c in batch.columns)
                 held += open_.setdefault(lang, WordIds()).add(text)
                 if held >= shard_words:
                     yield from _batches(ids.row(lang) for lang, ids in open_.items())
@@ -268,7 +269,9 @@ def _counts(rows: DataFrame, counts: Callable[[Shard], Iterator[tuple[pa.Array,
                         yield pa.RecordBatch.from_arrays([pa.array([shard.lang] * len(part), pa.string()), part, pa.array(f[b:b + 10_000].astype(np.int64))],
                                                          names=["lang", "phrase", "f"])
 
-    return rows.mapInArrow(run, "lang string, phrase string, f bigint").groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
+    # a shard has one row for a phrase: there is nothing to combine before the shuffle, and no phrase is hot
+    counted = rows.mapInArrow(run, "lang string, phrase string, f bigint").repartition("lang", "phrase")
+    return counted.groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
 
 
 def frequent_phrases(docs: DataFrame, least: int = LEAST, shard_words: int = SHARD_WORDS, bloom_bits: int = BLOOM_BITS) -> DataFrame:
