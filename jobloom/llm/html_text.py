@@ -3,11 +3,14 @@
 A page is read into blocks, each in one of three zones: dropped by its place in the structure
 (menus, page headers, footers, sidebars, notices, adverts, forms, scripts, styles, comments),
 in the article (``article``, else ``main``), or elsewhere.  The blocks' sentences are the page's
-token stream.  The streams of a host's pages are concatenated (in shards of bounded size) and a
-suffix array over them finds the long token runs that repeat on distinct pages.  They are
-boilerplate and go: elsewhere on the page, unless hardly anything else is left there (the page
-is then a copy, and only what most pages of the shard hold goes); inside an article only what
-nearly every page of the shard holds, since articles quote and copy each other.
+token stream.  The streams of a host's pages are concatenated and a suffix array over them finds
+the long token runs that repeat on distinct pages.  A large host has several shards, each with
+its own suffix array; the shortest runs and the tokens of all its distinct pages are counted once over
+the whole host, and a run that another shard's page holds is found by these counts, so the shards
+do not show in the result.  Repeated runs are boilerplate and go: elsewhere on the page, unless
+hardly anything else is left there (the page is then a copy, and only what most pages of the host
+hold goes); inside an article only what nearly every page of the host holds, and only if it leaves
+most of an article, since articles quote and copy each other.  Pages with the same tokens count as one.
 
 Rows are not shuffled with their html: the streams are, as 64-bit token hashes, and the pages
 meet the few decisions again by a join.
@@ -33,7 +36,8 @@ from .common import checked_broadcast, map_rows, saved
 PAGES_PER_SHARD = 500
 LONG_RUN_WORDS = 8           # words that a repeated run has at least
 LEAST_UNIQUE_SHARE = 0.2     # of a page's words outside runs; with less it is a copy
-MOST, NEARLY_ALL, LEAST_PAGES = 0.5, 0.8, 8
+MOST, NEARLY_ALL = 0.5, 0.8  # shares of a host's pages
+CHANCE = 2                   # pages whose agreement counts for nothing in a share
 TOKEN_WORDS = 16             # words of one token at most
 
 # fixed values: element names of HTML and the words that class, id and role use for page furniture
@@ -52,6 +56,12 @@ NAMES = {"ad", "ads", "adv", "advert", "advertisement", "advertising", "adsense"
          "header", "comment", "comments", "commentlist", "reply", "replies", "respond", "discussion", "disqus", "related",
          "recommended", "recommendations", "share", "sharing", "social", "widget", "widgets", "pagination", "pager",
          "search", "skip", "tags", "copyright"}
+# inside an article: names that say little alone, and words that add nothing to a name
+WEAK = {"alert", "banner", "copyright", "discussion", "header", "notice", "recommended", "related", "reply", "respond", "search", "tags"}
+NEUTRAL = {"area", "articles", "bar", "block", "box", "button", "buttons", "container", "content", "icons", "inner", "links", "list", "posts", "section",
+           "text", "top", "bottom", "left", "right", "unit", "wrap", "wrapper"}
+LINKED = 0.5                 # of a doubtful block's characters in links, from which on it is furniture
+KEPT, FURNISHED, DOUBTFUL = 0, 1, 2
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "alertdialog", "menu", "menubar", "form"}
 
 MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|</?([A-Za-z][A-Za-z0-9:-]*)((?:[^>=]|=\s*(?:\"[^\"]*\"|'[^']*'|(?=>)|[^\s\"'>][^\s>]*))*+)>", re.S)     # a quote delimits only after "="
@@ -60,23 +70,51 @@ SENTENCE = re.compile(r"(?<=[.!?;:|·]) ")
 DROPPED, ARTICLE, ELSEWHERE = 0, 1, 2
 
 
-def _is_furniture(tag: str, attributes: str, in_article: bool) -> bool:
+def _is_furniture(tag: str, attributes: str, in_article: bool) -> int:
+    """Whether an element is page furniture.  Inside an article a class or id decides alone only if it says
+    nothing but furniture; otherwise it makes the element doubtful, and its links decide."""
     if tag in FURNITURE or tag == "header" and not in_article:
-        return True
+        return FURNISHED
     if not attributes or tag in ("html", "body", "main"):
-        return False
+        return KEPT
+    found = KEPT
     for name, a, b, c in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), (a or b or c).lower()
         if name in ("class", "id"):
-            parts = set(re.split(r"[\s_-]+", value))
+            parts = set(re.split(r"[\s_-]+", value)) - {""}
             hit = parts & NAMES
             if hit and not (in_article and hit <= {"header", "tags"}) and not parts & {"no", "has", "with", "without"}:
-                return True
+                if not in_article or hit - WEAK and not parts - NAMES - NEUTRAL:
+                    return FURNISHED
+                found = DOUBTFUL
         elif name == "role" and value in ROLES or name == "hidden" or name == "aria-hidden" and value == "true":
-            return True
+            return FURNISHED
         elif name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-            return True
-    return False
+            return FURNISHED
+    return found
+
+
+WHOLE = {"script", "style", "textarea", "title"}       # read to their end tag, or to the end of the page
+OPTION_END = re.compile(r"<(/?)(?:option|optgroup|select|datalist)\b[^>]*>", re.I)
+
+
+def _raw_end(page: str, tag: str, at: int) -> int:
+    """Where a raw element whose content begins at ``at`` ends.  Inner elements of its name are closed first; an
+    option ends before the next one or where its list does; another element without an end tag holds nothing."""
+    if tag in WHOLE:
+        shut = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
+        return shut.end() if shut else len(page)
+    if tag == "option":
+        m = OPTION_END.search(page, at)
+        return at if not m else m.end() if m[0].lower().startswith("</option") else m.start()
+    depth = 1
+    for m in re.compile(rf"<(/?){tag}\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>", re.I).finditer(page, at):
+        if m[0].endswith("/>"):
+            continue
+        depth += -1 if m[1] else 1
+        if depth == 0:
+            return m.end()
+    return at
 
 
 def _head_end(page: str, at: int) -> int:
@@ -94,8 +132,7 @@ def _head_end(page: str, at: int) -> int:
         elif tag and tag not in IN_HEAD:
             return lt
         elif tag in RAW:
-            shut = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
-            at = shut.end() if shut else len(page)
+            at = _raw_end(page, tag, at)
     return len(page)
 
 
@@ -110,15 +147,23 @@ def blocks(page: str | None) -> list[tuple[int, str]]:
     article = depth_main = serial = 0
     articles: dict[int, int] = {}           # which article, by block
     current_article = 0
+    doubtful: dict[int, list[int]] = {}     # characters in all and in links, by element
+    linked, in_link = 0, False
 
     def end_block():
+        nonlocal linked
         if piece:
             text = " ".join(entities.unescape("".join(piece)).split())
             piece.clear()
             if text:
                 out.append([drops, article > 0, depth_main > 0, text, current_article])
+                for d in drops:
+                    if d in doubtful:
+                        doubtful[d][0] += len(text)
+                        doubtful[d][1] += min(linked, len(text))
+        linked = 0
 
-    def open_(tag: str, furniture: bool):
+    def open_(tag: str, furniture: int):
         nonlocal drops, article, depth_main, serial, current_article
         if tag in ("article", "main") and not furniture:
             if not any(n >= 0 and t in FURNITURE | {"header"} for t, n in stack):
@@ -133,6 +178,8 @@ def blocks(page: str | None) -> list[tuple[int, str]]:
         stack.append((tag, serial if furniture else -1))
         if furniture:
             drops = (*drops, serial)
+            if furniture == DOUBTFUL:
+                doubtful[serial] = [0, 0]
 
     def close(k: int):
         nonlocal drops, article, depth_main
@@ -158,13 +205,18 @@ def blocks(page: str | None) -> list[tuple[int, str]]:
         lt = page.find("<", at)
         if lt < 0:
             piece.append(page[at:])
+            linked += in_link * (n - at)
             break
         if lt > at:
             piece.append(page[at:lt])
+            linked += in_link * (lt - at)
         m = MARKUP.match(page, lt)
         if not m:
             nxt = page[lt + 1:lt + 2]
-            if nxt.isalpha() or nxt == "/":          # a tag that is cut off
+            if nxt == "/" and not page[lt + 2:lt + 3].isalpha() and (gt := page.find(">", lt)) >= 0:
+                at = gt + 1                          # no tag, but read like a comment
+                continue
+            if nxt.isalpha() or nxt == "/" and page[lt + 2:lt + 3].isalpha():          # a tag that is cut off
                 break
             piece.append("<")
             at = lt + 1
@@ -173,6 +225,8 @@ def blocks(page: str | None) -> list[tuple[int, str]]:
         tag = (m[1] or "").lower()
         if not tag:
             continue
+        if tag == "a":
+            in_link = page[lt + 1] != "/"
         if page[lt + 1] == "/":
             if tag in INLINE:
                 continue
@@ -187,17 +241,15 @@ def blocks(page: str | None) -> list[tuple[int, str]]:
             if tag == "head":
                 at = _head_end(page, at)
             elif not m[2].rstrip().endswith("/"):
-                shut = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
-                at = n if not shut else shut.end()
+                at = _raw_end(page, tag, at)
             continue
         if tag == "br":
             piece.append(" ")
             continue
         if tag in INLINE:
-            if _is_furniture(tag, m[2], article > 0 or depth_main > 0) and not m[2].rstrip().endswith("/"):
-                shut = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
-                if shut:
-                    at = shut.end()
+            if tag not in VOID and _is_furniture(tag, m[2], article > 0 or depth_main > 0) == FURNISHED and not m[2].rstrip().endswith("/"):
+                at = _raw_end(page, tag, at)
+                in_link = in_link and tag != "a"
             continue
         end_block()
         if tag in VOID:
@@ -211,6 +263,7 @@ def blocks(page: str | None) -> list[tuple[int, str]]:
                 close(k)
         open_(tag, _is_furniture(tag, m[2], article > 0 or depth_main > 0))
     end_block()
+    voided.update(d for d, (chars, links) in doubtful.items() if links < LINKED * chars)
     live = [[all(d in voided for d in b[0]), *b[1:]] for b in out]
     sizes: dict[int, int] = {}
     for keep, in_article, _, text, number in live:
@@ -287,38 +340,88 @@ def repeated_runs(stream: np.ndarray, page: np.ndarray, size: np.ndarray) -> np.
     return np.cumsum(cover)[:n] > 0
 
 
-def furniture_of(pages: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> list[np.ndarray]:
-    """For each page (token hashes, words, zones): the numbers of the tokens to remove."""
-    if not pages:
+def _key(h: np.ndarray) -> np.ndarray:
+    h = h + np.uint64(0xBF58476D1CE4E5B9)
+    z = (h ^ (h >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
+    return z ^ (z >> np.uint64(29))
+
+
+def seeds(hashes: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(key, first, end) of the shortest runs of LONG_RUN_WORDS words that begin at each token or end at each.
+    A run that two pages hold is covered, token by token, by the shortest runs in it."""
+    total = np.concatenate([[0], np.cumsum(words.astype(np.int64))])
+    n = len(hashes)
+    first, end = np.arange(n), np.searchsorted(total, total[:-1] + LONG_RUN_WORDS)
+    last = np.arange(1, n + 1)
+    back = np.searchsorted(total, total[1:] - LONG_RUN_WORDS, "right") - 1
+    runs = np.unique(np.concatenate([np.stack([first, end], 1)[end <= n], np.stack([back, last], 1)[back >= 0]]), axis=0)
+    key = (runs[:, 1] - runs[:, 0]).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    for step in range(LONG_RUN_WORDS):          # a token has one word at least
+        open_ = np.flatnonzero(runs[:, 0] + step < runs[:, 1])
+        key[open_] = _key(key[open_] * np.uint64(5) + hashes[runs[open_, 0] + step])
+    return key, runs[:, 0], runs[:, 1]
+
+
+def keys_of(hashes: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """What a page is counted under: its seeds and its tokens."""
+    return np.unique(np.concatenate([seeds(hashes, words)[0], _key(hashes)]))
+
+
+def _counts(keys: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of two pages or more, and of how many."""
+    found, n = np.unique(np.concatenate(keys) if keys else np.zeros(0, np.uint64), return_counts=True)
+    return found[n > 1], n[n > 1]
+
+
+def furniture_of(pages: list[tuple[np.ndarray, np.ndarray, np.ndarray]], host: tuple[np.ndarray, np.ndarray, int] | None = None) -> list[np.ndarray]:
+    """For each page (token hashes, words, zones): the numbers of the tokens to remove.  ``host``: sorted keys
+    that two or more pages of the whole host hold, how many hold them, and the host's pages; if not given,
+    ``pages`` are all of the host.  Pages with the same tokens count as one."""
+    distinct: dict[bytes, int] = {}
+    which = [distinct.setdefault(h.tobytes() + z.tobytes(), len(distinct)) for h, _, z in pages]
+    own = [pages[which.index(k)] for k in range(len(distinct))] if len(distinct) < len(pages) else pages
+    if not own:
         return []
-    lengths = [len(h) for h, _, _ in pages]
-    number = np.repeat(np.arange(len(pages)), [n + 1 for n in lengths])
-    hashes = np.unique(np.concatenate([h for h, _, _ in pages]), return_inverse=True)[1]
-    stream, size, zone, at = np.zeros(len(number), np.int64), np.zeros(len(number), np.int64), np.zeros(len(number), np.int64), 0
-    top, used = (hashes.max(initial=0) + 1), 0
-    for k, (_, w, z) in enumerate(pages):
+    keys, held, n_pages = host or (*_counts([keys_of(h, w) for h, w, _ in own]), len(own))
+
+    def holders(key: np.ndarray) -> np.ndarray:
+        if not len(keys):
+            return np.zeros(len(key), np.int64)
+        at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+        return np.where(keys[at] == key, held[at], 0)
+
+    lengths = [len(h) for h, _, _ in own]
+    number = np.repeat(np.arange(len(own)), [n + 1 for n in lengths])
+    hashes = np.unique(np.concatenate([h for h, _, _ in own]), return_inverse=True)[1]
+    stream, size, at, used = np.zeros(len(number), np.int64), np.zeros(len(number), np.int64), 0, 0
+    top = hashes.max(initial=0) + 1
+    for k, (_, w, _) in enumerate(own):
         n = lengths[k]
-        stream[at:at + n], size[at:at + n], zone[at:at + n] = hashes[used:used + n], w, z
+        stream[at:at + n], size[at:at + n] = hashes[used:used + n], w
         stream[at + n] = top + k
         at, used = at + n + 1, used + n
-    covered = repeated_runs(stream, number, size)
-    pairs = np.unique(number * (top + len(pages)) + stream) % (top + len(pages))
-    share = np.bincount(pairs, minlength=top + len(pages))[stream] / len(pages)
-    many = len(pages) >= LEAST_PAGES
+    covered = repeated_runs(stream, number, size)        # on these pages; the seeds tell of the host's others
     out, at = [], 0
-    for n in lengths:
-        own = slice(at, at + n)
+    for (h, w, z), n in zip(own, lengths):
+        c = covered[at:at + n].copy()
         at += n + 1
-        c, z, s, w = covered[own], zone[own], share[own], size[own]
-        gone = c & (z == ARTICLE) & (s >= NEARLY_ALL) & many
-        other = z == ELSEWHERE
-        left = w[other & ~c].sum()
-        if left >= LEAST_UNIQUE_SHARE * w[other].sum():
+        key, first, end = seeds(h, w)
+        again = holders(key) > 1
+        cover = np.zeros(n + 1, np.int64)
+        np.add.at(cover, first[again], 1)
+        np.subtract.at(cover, end[again], 1)
+        c |= np.cumsum(cover)[:n] > 0
+        share = np.maximum(holders(_key(h)) - CHANCE, 0) / n_pages
+        inside, other = z == ARTICLE, z == ELSEWHERE
+        gone = c & inside & (share >= NEARLY_ALL)
+        if w[inside & ~gone].sum() < LEAST_UNIQUE_SHARE * w[inside].sum():
+            gone[:] = False                              # a copy of an article, not the frame around one
+        if w[other & ~c].sum() >= LEAST_UNIQUE_SHARE * w[other].sum():
             gone |= other & c
         else:
-            gone |= other & c & (s >= MOST) & many
+            gone |= other & c & (share >= MOST)
         out.append(np.flatnonzero(gone).astype("<i4"))
-    return out
+    return [out[k] for k in which]
 
 
 def extract(pages: DataFrame) -> DataFrame:
@@ -342,17 +445,42 @@ def extract(pages: DataFrame) -> DataFrame:
                     yield (site, k1, k2, np.array(h, "<u8").tobytes(), bytes(w), bytes(z))
         return run
 
-    streams = map_rows(rows.select(host.alias("host"), "k1", "k2", "html"),
-                       "host string, k1 bigint, k2 bigint, hashes binary, words binary, zones binary", read)
-    busy = (rows.select(host.alias("host")).groupBy("host").agg(F.count("*").alias("n")).where(f"n > {PAGES_PER_SHARD}")
+    streams = saved(map_rows(rows.select(host.alias("host"), "k1", "k2", "html"),
+                             "host string, k1 bigint, k2 bigint, hashes binary, words binary, zones binary", read), "html-streams")
+    busy = (streams.groupBy("host").agg(F.count("*").alias("n")).where(f"n > {PAGES_PER_SHARD}")
             .select("host", F.ceil(F.col("n") / PAGES_PER_SHARD).alias("shards")))
-    dealt = streams.join(checked_broadcast(saved(busy, "html-hosts")), "host", "left").withColumn(
-        "shard", F.pmod("k1", F.coalesce("shards", F.lit(1))))
+    busy = checked_broadcast(saved(busy, "html-hosts"))
+
+    # of a host in several shards: what its distinct pages hold, counted over all of them
+    def count():
+        def run(rows):
+            for site, k1, k2, h, w in rows:
+                for key in keys_of(np.frombuffer(h, "<u8"), np.frombuffer(w, np.uint8)).view(np.int64).tolist():
+                    yield (site, k1, k2, key)
+        return run
+
+    keyed = "host string, k1 bigint, k2 bigint, key bigint"
+    of_busy = streams.join(busy, "host").select("host", "k1", "k2", "hashes", "words", F.xxhash64("hashes", "zones").alias("content"))
+    n_pages = of_busy.select("host", "content").distinct().groupBy("host").agg(F.count("*").alias("n_pages"))
+    once = of_busy.dropDuplicates(["host", "content"])          # map-side first: copies of one page are few rows
+    shared = saved(map_rows(once.select("host", "k1", "k2", "hashes", "words"), keyed, count)
+                   .groupBy("host", "key").agg(F.count("*").alias("held")).where("held > 1"), "html-shared")
+    known = (map_rows(of_busy.select("host", "k1", "k2", "hashes", "words"), keyed, count).join(checked_broadcast(shared), ["host", "key"])
+             .groupBy("k1", "k2").agg(F.collect_list("key").alias("keys"), F.collect_list("held").alias("held")))
+
+    dealt = (streams.join(busy, "host", "left").join(checked_broadcast(saved(n_pages, "html-counts")), "host", "left").join(known, ["k1", "k2"], "left")
+             .withColumn("shard", F.pmod("k1", F.coalesce("shards", F.lit(1)))))
 
     def judge(group: pd.DataFrame) -> pd.DataFrame:
         group = group.drop_duplicates(["k1", "k2"]).sort_values(["k1", "k2"])
+        host = None
+        if not pd.isna(group.n_pages.iloc[0]):
+            lists = group[group["keys"].notna()]
+            flat = lambda c, t: np.concatenate([np.zeros(0, t), *lists[c]]).astype(t)
+            keys, at = np.unique(flat("keys", np.int64).view(np.uint64), return_index=True)
+            host = (keys, flat("held", np.int64)[at], int(group.n_pages.iloc[0]))
         gone = furniture_of([(np.frombuffer(h, "<u8"), np.frombuffer(w, np.uint8), np.frombuffer(z, np.uint8))
-                             for h, w, z in zip(group.hashes, group.words, group.zones)])
+                             for h, w, z in zip(group.hashes, group.words, group.zones)], host)
         out = [(a, b, g.tobytes()) for a, b, g in zip(group.k1, group.k2, gone) if len(g)]
         return pd.DataFrame(out, columns=["k1", "k2", "gone"])
 

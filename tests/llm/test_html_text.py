@@ -109,3 +109,46 @@ def test_shards_of_a_busy_host(spark, monkeypatch):
     frame = "<div>Welcome to our big example web site, the best place to read.</div><p>Number {0} is unique here, {0} times.</p>"
     pages = [(i, f"http://a.example/{i}", frame.format(i), "", "", 0) for i in range(60)]
     assert {r.text for r in h.extract(spark.createDataFrame(pages, COLUMNS)).collect()} == {f"Number {i} is unique here, {i} times." for i in range(60)}
+
+
+def test_tags_that_are_none_and_elements_without_an_end():
+    assert main("<article><p>I </3 you</p><p>more</ p> and on</article>") == ["I", "more and on"]
+    assert main("<article><p>less </ than") == ["less </ than"]
+    assert main("<article><p>a</p><datalist><option value=1>x<option>y</datalist><p>b</p><select><option>1</select><button>x<p>c</p></article>") == ["a", "b", "x", "c"]
+    assert main("<article><p>a<svg><svg>in</svg>out</svg>b</p></article>") == ["a", "b"]
+    assert main("<article><p>text<span class=share>Share <span>x</span> tail</span>go</p></article>") == ["textgo"]
+
+
+def test_one_name_alone_drops_no_section_of_an_article():
+    for name in ('id="discussion"', 'class="related-work"', 'class="search-results"', 'id="copyright-law"', 'class="alert-free"'):
+        assert main(f"<article><p>text</p><section {name}><p>words</p></section></article>") == ["text", "words"]
+        assert main(f"<article><p>text</p><section {name}><ul><li><a href=1>some link</a><li><a href=2>other link</a></ul></section></article>") == ["text"]
+    for name in ('id="comments"', 'class="comment-list"', 'class="ad"', 'class="cookie-notice"', 'class="social-share"', 'role="navigation"'):
+        assert main(f"<article><p>text</p><div {name}><p>words</p></div></article>") == ["text"]
+
+
+def test_seeds_cover_what_the_suffix_array_covers():
+    rng = np.random.default_rng(7)
+    for _ in range(60):
+        streams = [rng.integers(0, 4, rng.integers(1, 14)).tolist() for _ in range(rng.integers(2, 6))]
+        words = {v: int(rng.integers(1, 10)) for v in range(4)}
+        pages = [(np.array(s, np.uint64), np.array([words[v] for v in s], np.uint8)) for s in streams]
+        keys, held = h._counts([h.keys_of(*p) for p in pages])
+        for (s, w), want in zip(pages, naive_covered(streams, [[words[v] for v in s] for s in streams])):
+            key, first, end = h.seeds(s, w)
+            got = {t for k, a, b in zip(key, first, end) if k in keys for t in range(a, b)}
+            assert got == want
+
+
+def test_a_run_on_two_of_many_pages_goes_whatever_the_shards(spark, monkeypatch):
+    frame = "<div>Welcome to our big example web site, the best place to read.</div><p>Number {0} is unique here, {0} times over and {0} again.</p><p>{1}</p>"
+    twice = "This very sentence stands on only two pages of the whole large host."
+    pages = [(i, f"http://a.example/{i}", frame.format(i, twice if i in (3, 1100) else f"Page {i} alone says this and {i} more words than that."), "", "", 0) for i in range(1200)]
+    pages += [(5000 + i, f"http://a.example/c{i}", frame.format(7, "Page 7 alone says this and 7 more words than that."), "", "", 0) for i in range(50)]
+    results = []
+    for shard in (10, 500, 2000):
+        monkeypatch.setattr(h, "PAGES_PER_SHARD", shard)
+        results.append({r.page_id: r.text for r in h.extract(spark.createDataFrame(pages, COLUMNS).repartition(8)).collect()})
+    assert results[0] == results[1] == results[2] and len(results[0]) == 1250
+    assert results[0][3] == "Number 3 is unique here, 3 times over and 3 again." and "only two pages" not in results[0][1100]
+    assert all(twice not in t and "Welcome" not in t for t in results[0].values()) and "Page 7 alone" in results[0][5001]
