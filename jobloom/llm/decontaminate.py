@@ -12,7 +12,7 @@ documents meet every block, and no text is shuffled.
 Defined cases: words are runs of letters, digits and underscores in lower case; an item with
 fewer than ``MIN_WORDS`` words (or a null one) matches nothing; a null or empty text matches
 nothing; of several passages for one item the best counts, of equal ones the first; repeated
-item rows count once; repeated documents match alike; empty tables give an empty result; other
+item rows count once; a null item_id stays null; repeated documents match alike; empty tables give an empty result; other
 columns are kept by ``keep_clean`` and not read elsewhere.
 """
 
@@ -21,13 +21,14 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows, text_rows
+from .common import map_rows, saved, text_rows
 
 NGRAM, MIN_WORDS = 3, 4
 RARE_SHARE = 0.75            # the rarest three quarters of an item's n-grams are its seeds
@@ -164,20 +165,23 @@ def align(item: list[str], passage: list[str]) -> tuple[float, int, int]:
     return best / (MATCH * len(item)), end - back, end
 
 
-def blocks(docs: DataFrame, benchmark: DataFrame, key: str = "item_id") -> list[Items]:
-    """The test items in blocks of about ``BLOCK_CHARS`` characters, their seeds found by counting
-    each n-gram's documents over the whole of ``docs`` (task by task, then over tasks)."""
+def each_block(docs: DataFrame, benchmark: DataFrame, key: str = "item_id") -> Iterator[Items]:
+    """The test items in blocks of about ``BLOCK_CHARS`` characters, one after another, their seeds found by
+    counting each n-gram's documents over the whole of ``docs`` (task by task, then over tasks)."""
     items = benchmark.where("text is not null").select(F.col(key).alias("item_id"), "text").distinct()
     total = items.agg(F.sum(F.length("text"))).first()[0] or 0
     n = max(1, math.ceil(total / BLOCK_CHARS))
-    out = []
     for b in range(n):
         rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == b).collect()
-        block = Items(sorted((r.item_id if r.item_id is not None else -1, r.text) for r in rows))
+        block = Items(sorted(((r.item_id, r.text) for r in rows), key=lambda r: (r[0] is None, r[0] or 0, r[1])))
         if block.items:
             block.keep_rare(_frequencies(docs, block))
-            out.append(block)
-    return out
+            yield block
+
+
+def blocks(docs: DataFrame, benchmark: DataFrame, key: str = "item_id") -> list[Items]:
+    """All blocks at once, for test items that fit in the driver; see ``each_block``."""
+    return list(each_block(docs, benchmark, key))
 
 
 def _frequencies(docs: DataFrame, block: Items) -> dict[int, int]:
@@ -194,9 +198,10 @@ def _frequencies(docs: DataFrame, block: Items) -> dict[int, int]:
     return {r.code % (1 << 64): r.n for r in got}
 
 
-def contaminated(docs: DataFrame, found: list[Items], threshold: float = THRESHOLD) -> DataFrame:
+def contaminated(docs: DataFrame, found: Iterable[Items], threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, item_id, score, first_char, end_char): the best passage for each pair of a document and
-    a test item found in it; code points, end exclusive."""
+    a test item found in it; code points, end exclusive.  A block's hits are written before the next block
+    is made, so one block is held at a time."""
     schema = "doc_id bigint, item_id bigint, score double, first_char bigint, end_char bigint"
 
     def of(block):
@@ -212,12 +217,12 @@ def contaminated(docs: DataFrame, found: list[Items], threshold: float = THRESHO
         return map_rows(text_rows(docs), schema, make)
 
     out = docs.sparkSession.createDataFrame([], schema)
-    for i, block in enumerate(found):
-        out = of(block) if i == 0 else out.union(of(block))
+    for block in found:
+        out = out.union(saved(of(block), "decontamination-hits"))
     return out
 
 
-def keep_clean(docs: DataFrame, found: list[Items], threshold: float = THRESHOLD) -> DataFrame:
+def keep_clean(docs: DataFrame, found: Iterable[Items], threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs``, with all their columns, in which no test item is found."""
     def of(block):
         def run(batches):
@@ -225,6 +230,9 @@ def keep_clean(docs: DataFrame, found: list[Items], threshold: float = THRESHOLD
                 mask = [not block.matches(t, threshold) for t in batch.column("text").to_pylist()]
                 yield batch.filter(pa.array(mask, pa.bool_()))
         return run
+    last = None
     for block in found:
-        docs = docs.mapInArrow(of(block), docs.schema)
-    return docs
+        if last is not None:            # more than one block: what is left is written, and the block dropped
+            docs = saved(docs.mapInArrow(of(last), docs.schema), "decontamination-kept")
+        last = block
+    return docs if last is None else docs.mapInArrow(of(last), docs.schema)

@@ -64,7 +64,7 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op8_decontamination")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return decontaminate.contaminated(docs, decontaminate.blocks(docs, table(spark, sf_dir, "benchmark")))
+    return decontaminate.contaminated(docs, decontaminate.each_block(docs, table(spark, sf_dir, "benchmark")))
 
 
 @register("op9_best_fit_packing")

@@ -79,3 +79,14 @@ def test_edge_rows(spark):
     assert sorted(map(repr, (r.doc_id for r in dc.contaminated(d, found).collect()))) == ["4", "4", "5", "None"]
     assert dc.blocks(d, bench.limit(0)) == [] and dc.contaminated(d, []).count() == 0 and dc.keep_clean(d, []).count() == d.count()
     assert dc.contaminated(d.limit(0), dc.blocks(d.limit(0), bench)).count() == 0
+
+
+def test_one_block_at_a_time(spark, monkeypatch):
+    monkeypatch.setattr(dc, "BLOCK_CHARS", 500)
+    items, rows, planted = corpus()
+    d = docs(spark, rows)
+    bench = spark.createDataFrame([*items, (None, items[0][1])], "item_id bigint, text string")
+    got = {(r.doc_id, r.item_id) for r in dc.contaminated(d, dc.each_block(d, bench)).collect()}
+    assert got == set(planted.items()) | {(i, None) for i, k in planted.items() if k == items[0][0]}
+    kept = dc.keep_clean(d, dc.each_block(d, bench))
+    assert kept.columns == d.columns and {r.doc_id for r in kept.collect()} == {i for i, _ in rows} - set(planted)
