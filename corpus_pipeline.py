@@ -20,7 +20,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a copy of a benchmark item, edited or not, go."""
-    return decontaminate.keep_clean(docs, decontaminate.blocks(docs, table(spark, sf_dir, "benchmark")))
+    return decontaminate.keep_clean(docs, decontaminate.each_block(docs, table(spark, sf_dir, "benchmark")))
 
 
 def redaction(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
