@@ -180,7 +180,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> S
 
     def measured():
         return lambda rows: ((scorer.features(t), y) for t, y in rows)
-    got = map_rows(rows, "f array<double>, y int", measured).limit(4 * sample_rows).collect()
+    # an id may stand for many rows: which of them fit is decided by a hash of their features
+    got = map_rows(rows, "f array<double>, y int", measured).orderBy(F.xxhash64("f"), "f", "y").limit(4 * sample_rows).collect()
     ids.unpersist()
     x, y = np.array([r.f for r in got]), np.array([r.y for r in got], float)
     order = np.lexsort((*x.T, y))
