@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..session import shared_dir
 from ..sources.tables import table
 
-__all__ = ["table", "WORD", "saved", "map_rows", "text_rows", "text_key", "sample_ids", "checked_broadcast"]
+__all__ = ["table", "WORD", "saved", "emptied", "map_rows", "text_rows", "text_key", "sample_ids", "checked_broadcast"]
 
 BROADCAST_ROWS = 100_000
 
@@ -29,6 +29,14 @@ def saved(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def emptied(df: DataFrame) -> None:
+    """Give back the disk of a ``saved`` table that is read no more: an empty one takes its place."""
+    spark = df.sparkSession
+    path = df.inputFiles()
+    if path:
+        spark.createDataFrame([], df.schema).write.mode("overwrite").parquet(path[0].rsplit("/", 1)[0])
+
+
 def text_rows(docs: DataFrame, *extra: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Only the key, the text and the named columns; other columns, whatever their names, stay out."""
     return docs.select(key, text, *extra)
