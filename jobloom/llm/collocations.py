@@ -37,7 +37,8 @@ from .common import saved
 LEAST, LONGEST, TOP = 30, 4, 2000
 SCALE = 2_000_000
 INSIDE, WHOLE = 80, 100              # a phrase goes if a longer one has 80 of 100 of its occurrences
-SHARD_WORDS = 1 << 20
+SHARD_WORDS = 1 << 19
+SHARDS_A_FILE = 8            # so that a task is handed some MB at once
 SEGMENT = 4 << 20                    # bytes of a text that are split at once, cut where a piece ends
 BLOOM_BITS = 1 << 26
 PROBES = 3
@@ -110,7 +111,7 @@ class Transform:
         rows = np.arange(n)
         for d in reversed(range(LONGEST)):
             rows = rows[np.argsort(np.roll(symbols, -d)[rows], kind="stable")]
-        self.last = text[rows - 1]
+        self.last = text[rows - 1].astype(np.int32)
         # (symbol, row) in order: the place of a symbol's first occurrence at or after a row
         order = np.argsort(symbols[rows - 1], kind="stable")
         self._n, self._places = n, self.last[order].astype(np.int64) * n + order
@@ -277,7 +278,7 @@ def _counts(rows: DataFrame, counts: Callable[[Shard], Iterator[tuple[pa.Array,
 def frequent_phrases(docs: DataFrame, least: int = LEAST, shard_words: int = SHARD_WORDS, bloom_bits: int = BLOOM_BITS) -> DataFrame:
     """(lang, phrase, m, f): all phrases of 1 to LONGEST words with at least ``least`` occurrences, and for
     each language one row of a null phrase with the number of all its words (m = 0)."""
-    rows = saved(shards(docs, shard_words), "collocation-shards")
+    rows = saved(shards(docs, shard_words), "collocation-shards", maxRecordsPerFile=SHARDS_A_FILE)
     words = saved(_counts(rows, Shard.word_counts).where(f"f >= {least} or phrase is null"), "collocation-words")
     known = Bloom(words.where("phrase is not null"), bloom_bits)
     pairs = saved(_counts(rows, lambda s: s.pair_counts(known)).where(f"f >= {least}"), "collocation-pairs")

@@ -21,11 +21,11 @@ BROADCAST_ROWS = 100_000
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
-def saved(df: DataFrame, label: str) -> DataFrame:
+def saved(df: DataFrame, label: str, **options) -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and read it back: the lineage is
     cut, and every executor (also a replacement of a lost one) can read the files."""
     path = shared_dir(df.sparkSession, f"{label}-{uuid.uuid4().hex}")
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
