@@ -113,8 +113,8 @@ def matched_words(applicant_skills: DataFrame, jobs: DataFrame) -> tuple[DataFra
     a skill of the applicant, and of the words of each list, once for each position, as far as an applicant
     matches them.  Both arrays are bounded by one profile or posting."""
     lists = jobs.groupBy("lst", "n").agg(F.first("skills").alias("skills"))
-    lw = lists.select("lst", "n", F.explode("skills").alias("word"))
-    a = applicant_skills.select("applicant_id", "skill").distinct()
+    lw = lists.select("lst", "n", F.explode("skills").alias("word")).checkpoint(eager=True)
+    a = applicant_skills.select("applicant_id", "skill").distinct().checkpoint(eager=True)
     m = either_contains_pairs(lw.select("word"), a.select("skill")).toDF("word", "skill").checkpoint(eager=True)
     number = with_sequence(m.select("word").distinct(), ["word"], "w")
     own = a.join(m, "skill").join(number, "word").groupBy("applicant_id").agg(F.collect_set("w").alias("words"))
@@ -257,29 +257,29 @@ def top_k_jobs_by_list(applicant_skills: DataFrame, applicants: DataFrame, jobs:
     """
     jb = jobs.select("job_id", F.xxhash64("skills").alias("lst"), "req_years", F.size("skills").alias("n"),
                      _years_key(F.col("req_years")).alias("rkey"), "skills")
+    # read many times below: written once
+    jb = jb.checkpoint(eager=True)
     own, wanted = matched_words(applicant_skills, jb)
-    jb = jb.drop("skills").checkpoint(eager=True)
-    ap = applicants.select("applicant_id", F.col("years").alias("y"), _years_key(F.col("years")).alias("ykey"))
+    jb = jb.drop("skills")
+    ap = applicants.select("applicant_id", F.col("years").alias("y"), _years_key(F.col("years")).alias("ykey")).checkpoint(eager=True)
+    ex = None if excluded is None else excluded.select("applicant_id", "job_id").distinct().checkpoint(eager=True)
     bounds = jb.groupBy("lst").agg(F.min("req_years").alias("low"), F.max(F.col("req_years").isNull()).alias("any_null"),
                                    F.min("job_id").cast("long").alias("first"), F.max("job_id").cast("long").alias("last"))
     lists = wanted.join(bounds, "lst").withColumn("size", F.size("words").cast("long")).withColumnRenamed("lst", "_key")
     people = ap.select("applicant_id", "y").join(own, "applicant_id", "left")
-    if excluded is None:
+    if ex is None:
         people = people.withColumn("applied", F.array().cast("array<bigint>"))
     else:
-        done = (excluded.select("applicant_id", "job_id").join(jb.select("job_id", "lst"), "job_id")
-                .groupBy("applicant_id").agg(F.collect_set("lst").alias("applied")))
+        done = (ex.join(jb.select("job_id", "lst"), "job_id").groupBy("applicant_id").agg(F.collect_set("lst").alias("applied")))
         people = people.join(done, "applicant_id", "left")
     hits = promising_lists(people, lists, k, block_size).checkpoint(eager=True)
     cand = hits.join(ap, "applicant_id")
-    if excluded is not None:
-        ex = excluded.select("applicant_id", "job_id").distinct()
+    if ex is not None:
         x = (ex.join(jb.select("job_id", "lst"), "job_id")
                .groupBy("applicant_id", "lst").agg(F.count(F.lit(1)).alias("x")))
         depth_l = x.groupBy("lst").agg(F.max("x").alias("xmax"))
         cand = cand.join(x, ["applicant_id", "lst"], "left").withColumn("x", F.coalesce("x", F.lit(0)))
     else:
-        ex = None
         depth_l = jb.select("lst").distinct().withColumn("xmax", F.lit(0))
         cand = cand.withColumn("x", F.lit(0))
 
@@ -345,10 +345,11 @@ def top_k_applicants_by_list(applicant_skills: DataFrame, applicants: DataFrame,
     """
     jb = jobs.select("job_id", F.xxhash64("skills").alias("lst"), "req_years", F.size("skills").alias("n"),
                      _years_key(F.col("req_years")).alias("rkey"), "skills")
-    sig = jb.select("lst", "n", "req_years", "rkey").distinct()
-    ap = applicants.select("applicant_id", F.col("years").alias("y"), _years_key(F.col("years")).alias("ykey"))
+    jb = jb.checkpoint(eager=True)
+    sig = jb.select("lst", "n", "req_years", "rkey").distinct().checkpoint(eager=True)
+    ap = applicants.select("applicant_id", F.col("years").alias("y"), _years_key(F.col("years")).alias("ykey")).checkpoint(eager=True)
     own, wanted = matched_words(applicant_skills, jb)
-    jb = jb.drop("skills").checkpoint(eager=True)
+    jb = jb.drop("skills")
     required = sig.groupBy("lst").agg(F.collect_set(F.struct("rkey", "req_years")).alias("required"))
     people = (ap.join(own, "applicant_id").select(F.xxhash64("applicant_id").alias("_key"), F.col("applicant_id").cast("long").alias("_id"),
                                                   F.col("y").cast("double").alias("y"), "words", F.size("words").cast("long").alias("size")))

@@ -276,7 +276,7 @@ left join tops on tops.job_id = j.job_id""")
 def q_job_report(spark, sf_dir, top_n: int = 5):
     """One row per job: application count, status counts, mean score, top-n applicants."""
     a = Ats(spark, sf_dir)
-    apps = application_scores(a).cache()
+    apps = application_scores(a).checkpoint(eager=True)
     summary = _status_summary(apps, "job_id")
     mean = apps.groupBy("job_id").agg(mean_score("match_score").alias("m"))
     top = top_k_per(apps, ["job_id"], [F.col("match_score").desc(), F.col("application_id")], top_n, "r")

@@ -34,3 +34,52 @@ def test_relevance_model_separates_labels(spark):
     scored = rel.score_relevance(model, train, "doc_id").join(train, "doc_id")
     means = {r.label: r.m for r in scored.groupBy("label").agg(F.avg("p_yes").alias("m")).collect()}
     assert means[1] > 0.8 > 0.2 > means[0]
+
+
+def _weights(model):
+    lr = model.stages[-1]
+    return lr.coefficients.toArray(), lr.intercept
+
+
+def _training(spark):
+    import random
+    rnd = random.Random(3)
+    words = [f"w{i}" for i in range(40)]
+    rows = [(i, " ".join(rnd.choice(words[:25] if i % 3 else words[10:]) for _ in range(rnd.randint(1, 30))), int(i % 3 == 0)) for i in range(150)]
+    return spark.createDataFrame(rows, "doc_id long, text string, label int")
+
+
+def test_gradient_vanishes_at_the_fit(spark):
+    """Mean log loss plus 0.005 |w / std|^-2 ... : the penalty acts on standardised weights, so its gradient is lambda std^2 w."""
+    train = _training(spark)
+    model = rel.fit_relevance(train, "text", "label")
+    rows = model.transform(train.withColumn("label", F.col("label").cast("double"))).select("features", "label").collect()
+    x = np.array([r.features.toArray()[np.flatnonzero(_weights(model)[0])] for r in rows])
+    y = np.array([r.label for r in rows])
+    w, b = _weights(model)
+    w = w[np.flatnonzero(w)]
+    p = 1 / (1 + np.exp(-(x @ w + b)))
+    gradient = x.T @ (p - y) / len(y) + 0.01 * x.std(0, ddof=1) ** 2 * w
+    assert np.abs(gradient).max() < 2e-3 and abs((p - y).mean()) < 2e-3
+
+
+def test_scores_from_the_saved_weights(spark, tmp_path):
+    """P(relevant) recomputed from the saved model's tables: hashed term counts, inverse document frequencies, weights."""
+    train = _training(spark)
+    path = str(tmp_path / "model")
+    model = rel.fit_relevance(train, "text", "label", path)
+    from pyspark.ml import PipelineModel
+    loaded = PipelineModel.load(path)
+    idf = loaded.stages[3].idf.toArray()
+    w, b = _weights(loaded)
+    for r in model.transform(train).select("_words", "_tf", "probability").collect():
+        counts = {int(i): float(v) for i, v in zip(r._tf.indices, r._tf.values)}
+        assert sum(counts.values()) == len(r._words)
+        z = b + sum(v * idf[i] * w[i] for i, v in counts.items())
+        assert abs(1 / (1 + np.exp(-z)) - r.probability[1]) < 1e-9
+    # the inverse document frequencies by hand
+    n, df = train.count(), {}
+    for r in model.transform(train).select("_tf").collect():
+        for i in r._tf.indices:
+            df[int(i)] = df.get(int(i), 0) + 1
+    assert all(abs(idf[i] - np.log((n + 1) / (k + 1))) < 1e-9 for i, k in df.items())

@@ -82,3 +82,32 @@ def test_stream_dedup_one_row_per_key(spark):
     d = QUERIES["stream_dedup"](spark, SF_SMALL)
     assert d.count() == d.select("user_id", "event_type").distinct().count()
     assert d.where(F.col("user_id").isNull()).count() == 0
+
+
+def test_the_earliest_event_of_a_session_wins_whatever_the_order(spark, tmp_path):
+    base = dt.datetime(2024, 1, 1)
+    schema = spark.read.parquet(f"{SF_SMALL}/events.parquet").schema
+    names = schema.fieldNames()
+
+    def event(i, user, hour):
+        r = dict.fromkeys(names)
+        r.update(event_id=i, user_id=user, event_type="view", ts=base + dt.timedelta(hours=hour))
+        return tuple(r[n] for n in names)
+    d = tmp_path / "sf"
+    # user 1: a session at hours 0 to 30 that arrives backwards, one much later; user 2: its first event comes last but in
+    # time; user 3: too late for the watermark; the last part moves the watermark on
+    for part in ([event(2, 1, 30), event(3, 2, 40)], [event(1, 1, 10), event(4, 1, 300)], [event(5, 1, 0), event(6, 2, 290)],
+                 [event(7, 2, 20), event(8, 3, 295)], [event(9, 9, 900)], [event(12, 9, 905)], [event(10, 3, 1)], [event(11, 9, 1300)]):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(d / "events.parquet"))
+        time.sleep(1.1)             # files are taken in the order of their times
+    out = str(tmp_path / "out")
+    st.run_to_end(st.first_of_sessions(st.file_stream(spark, str(d), "events", max_files_per_trigger=1), ["user_id"], ["ts", "event_id"],
+                                       "2 days", "13 days", out, str(tmp_path / "c")))
+    got = {(r.user_id, r.event_id, r.n_events) for r in spark.read.parquet(out).collect()}
+    assert got == {(1, 5, 3), (2, 7, 2), (1, 4, 1), (2, 6, 1), (3, 8, 1), (9, 9, 2)}
+
+
+def test_one_file_a_bucket_and_batch(spark, tmp_path):
+    d, out = folder_table(spark, tmp_path, 6), tmp_path / "out"
+    st.run_to_end(st.ingest_first_seen(st.file_stream(spark, d, "events"), ["user_id", "event_type"], ["ts", "event_id"], str(out), str(tmp_path / "c")))
+    assert all(len(list(b.glob("part-*.parquet"))) == 1 for b in out.glob("batch=*/bucket=*"))
