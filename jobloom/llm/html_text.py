@@ -452,20 +452,17 @@ def extract(pages: DataFrame) -> DataFrame:
     busy = checked_broadcast(saved(busy, "html-hosts"))
 
     # of a host in several shards: what its distinct pages hold, counted over all of them
-    def count():
-        def run(rows):
-            for site, k1, k2, h, w in rows:
-                for key in keys_of(np.frombuffer(h, "<u8"), np.frombuffer(w, np.uint8)).view(np.int64).tolist():
-                    yield (site, k1, k2, key)
-        return run
+    def keyed(pages: DataFrame) -> DataFrame:
+        def make():
+            return lambda rows: ((*page, keys_of(np.frombuffer(h, "<u8"), np.frombuffer(w, np.uint8)).view(np.int64)) for *page, h, w in rows)
+        found = map_rows(pages.select("host", "k1", "k2", "hashes", "words"), "host string, k1 bigint, k2 bigint, keys array<bigint>", make)
+        return found.select("host", "k1", "k2", F.explode("keys").alias("key"))
 
-    keyed = "host string, k1 bigint, k2 bigint, key bigint"
     of_busy = streams.join(busy, "host").select("host", "k1", "k2", "hashes", "words", F.xxhash64("hashes", "zones").alias("content"))
     n_pages = of_busy.select("host", "content").distinct().groupBy("host").agg(F.count("*").alias("n_pages"))
     once = of_busy.dropDuplicates(["host", "content"])          # map-side first: copies of one page are few rows
-    shared = saved(map_rows(once.select("host", "k1", "k2", "hashes", "words"), keyed, count)
-                   .groupBy("host", "key").agg(F.count("*").alias("held")).where("held > 1"), "html-shared")
-    known = (map_rows(of_busy.select("host", "k1", "k2", "hashes", "words"), keyed, count).join(checked_broadcast(shared), ["host", "key"])
+    shared = saved(keyed(once).groupBy("host", "key").agg(F.count("*").alias("held")).where("held > 1"), "html-shared")
+    known = (keyed(of_busy).join(checked_broadcast(shared), ["host", "key"])
              .groupBy("k1", "k2").agg(F.collect_list("key").alias("keys"), F.collect_list("held").alias("held")))
 
     dealt = (streams.join(busy, "host", "left").join(checked_broadcast(saved(n_pages, "html-counts")), "host", "left").join(known, ["k1", "k2"], "left")
