@@ -7,10 +7,10 @@ phrase is longer.  An interval of rows stands for all occurrences of a phrase; o
 all intervals by every word to the left (in the one transform) or to the right (in the other) and
 keeps both intervals in step, so their sizes are the counts.
 
-Counts are summed over the shards in three rounds: words; two words; three and four words.  A
-phrase can be frequent only if its parts are, so a round passes over what the round before found
-rare: a shard drops rare words from its text before it is indexed and extends no interval of rare
-pairs.  The frequent parts reach the shards as a Bloom filter of at most ``BLOOM_BITS`` bits.  It
+Counts are summed over the shards in three rounds: words; pairs of words, by a 64-bit hash alone,
+as most pairs are rare and need not be spelled out; phrases of two to four words.  A phrase can be
+frequent only if its parts are, so a round passes over what the round before found rare: a shard
+drops rare words from its text before it is indexed and extends no interval of rare pairs.  The frequent parts reach the shards as a Bloom filter of at most ``BLOOM_BITS`` bits.  It
 never misses a frequent part; wrongly passed parts cost time, and their phrases are dropped when
 the sums are known.  So counts are exact at any size.
 
@@ -170,26 +170,18 @@ class Index:
         return of, symbol, way.extend(symbol, low[of]), other[keep], n
 
 
-def _rotated(h):
-    """The bits of a 64-bit hash moved round by 21 places (a column or an array of unsigned numbers)."""
-    if isinstance(h, Column):
-        return F.shiftleft(h, 21).bitwiseOR(F.shiftrightunsigned(h, 43))
-    return (h << np.uint64(21)) | (h >> np.uint64(43))
-
-
 class Bloom:
-    """A set of (lang, phrase), phrases of one or two words, of bounded size: it may hold more than was put in,
-    never less.  A pair's hash is made of its words' hashes, so that a shard hashes each of its words once."""
+    """A set of 64-bit hashes of bounded size: it may hold more than was put in, never less.  Words are hashed with
+    their language; a pair's hash is made of its words' hashes, so that a shard hashes each of its words once."""
 
-    def __init__(self, phrases: DataFrame, max_bits: int = BLOOM_BITS):
-        n, bits = phrases.count(), 1 << 10
+    def __init__(self, hashes: DataFrame, max_bits: int = BLOOM_BITS):
+        """``hashes``: a column h, as ``hashes`` and ``pair`` give it."""
+        n, bits = hashes.count(), 1 << 10
         while bits < min(16 * n, max_bits):
             bits *= 2
-        word = lambda i: F.xxhash64(F.concat_ws("\n", "lang", F.get(F.split("phrase", " "), i)))
-        h = F.when(F.contains("phrase", F.lit(" ")), word(0).bitwiseXOR(_rotated(word(1)))).otherwise(word(0))
         low, high = F.col("h").bitwiseAND(0xFFFFFFFF), F.shiftrightunsigned("h", 32)
         at = F.explode(F.array(*[(low + i * high).bitwiseAND(bits - 1) for i in range(PROBES)])).alias("at")
-        words = (phrases.select(h.alias("h")).select(at).groupBy(F.shiftright("at", 6).alias("word"))
+        words = (hashes.select(at).groupBy(F.shiftright("at", 6).alias("word"))
                  .agg(F.expr("bit_or(shiftleft(1L, cast(at & 63 as int)))").alias("bits")).toArrow())
         self._bits = np.zeros(bits // 64, np.uint64)
         self._bits[words.column("word").to_numpy()] = words.column("bits").to_numpy().view(np.uint64)
@@ -199,10 +191,12 @@ class Bloom:
         head = lang.encode() + b"\n"
         return np.fromiter((xxhash.xxh64_intdigest(head + w, 42) for w in words.to_pylist()), np.uint64, len(words))
 
-    def holds(self, h: np.ndarray, second: np.ndarray | None = None) -> np.ndarray:
-        """Whether the words of these hashes, or the pairs of them and ``second``, may be in the set."""
-        if second is not None:
-            h = h ^ _rotated(second)
+    @staticmethod
+    def pair(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+        """The hashes of pairs of words out of the words' own."""
+        return first ^ ((second << np.uint64(21)) | (second >> np.uint64(43)))
+
+    def holds(self, h: np.ndarray) -> np.ndarray:
         low, high = h & np.uint64(0xFFFFFFFF), h >> np.uint64(32)
         out = np.ones(len(h), bool)
         for i in range(PROBES):
@@ -237,18 +231,19 @@ class Shard:
         yield self.words, count
         yield pa.array([None], pa.binary()), np.array([count.sum()])
 
-    def pair_counts(self, frequent: Bloom) -> Iterator[tuple[pa.Array, np.ndarray]]:
+    def pair_hashes(self, frequent: Bloom) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         index = self.index(frequent)
         if index.n_symbols > 1:
             pairs = index.left(index.words())
-            yield self.spell(pairs.symbols), pairs.count
+            yield Bloom.pair(*self.hashes[pairs.symbols.T - 1]).view(np.int64), pairs.count
 
     def long_counts(self, frequent: Bloom, frequent_pairs: Bloom) -> Iterator[tuple[pa.Array, np.ndarray]]:
         index = self.index(frequent)
         if index.n_symbols < 2:
             return
         pairs = index.left(index.words())
-        pairs = pairs.where(frequent_pairs.holds(*self.hashes[pairs.symbols.T - 1]))
+        pairs = pairs.where(frequent_pairs.holds(Bloom.pair(*self.hashes[pairs.symbols.T - 1])))
+        yield self.spell(pairs.symbols), pairs.count
         known = np.sort(pairs.symbols[:, 0] * index.n_symbols + pairs.symbols[:, 1])
         triples = index.right(pairs)
         triples = triples.where(np.isin(triples.symbols[:, 1] * index.n_symbols + triples.symbols[:, 2], known))
@@ -275,17 +270,30 @@ def _counts(rows: DataFrame, counts: Callable[[Shard], Iterator[tuple[pa.Array,
     return counted.groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
 
 
+def _pair_hashes(rows: DataFrame, known: Bloom) -> DataFrame:
+    """(h, f): the counts of pairs of words by a 64-bit hash, summed over the shards.  Pairs that share a hash are
+    counted together, so a frequent pair is never below its own count."""
+    def run(batches):
+        for batch in batches:
+            for at in range(batch.num_rows):
+                for h, f in Shard(*(c[at].as_py() for c in batch.columns)).pair_hashes(known):
+                    for b in range(0, len(h), 50_000):
+                        yield pa.RecordBatch.from_arrays([pa.array(h[b:b + 50_000]), pa.array(f[b:b + 50_000].astype(np.int64))], names=["h", "f"])
+
+    return rows.mapInArrow(run, "h bigint, f bigint").repartition("h").groupBy("h").agg(F.sum("f").alias("f"))
+
+
 def frequent_phrases(docs: DataFrame, least: int = LEAST, shard_words: int = SHARD_WORDS, bloom_bits: int = BLOOM_BITS) -> DataFrame:
     """(lang, phrase, m, f): all phrases of 1 to LONGEST words with at least ``least`` occurrences, and for
     each language one row of a null phrase with the number of all its words (m = 0)."""
     rows = saved(shards(docs, shard_words), "collocation-shards", maxRecordsPerFile=SHARDS_A_FILE)
     words = saved(_counts(rows, Shard.word_counts).where(f"f >= {least} or phrase is null"), "collocation-words")
-    known = Bloom(words.where("phrase is not null"), bloom_bits)
-    pairs = saved(_counts(rows, lambda s: s.pair_counts(known)).where(f"f >= {least}"), "collocation-pairs")
+    known = Bloom(words.where("phrase is not null").select(F.xxhash64(F.concat_ws("\n", "lang", "phrase")).alias("h")), bloom_bits)
+    pairs = saved(_pair_hashes(rows, known).where(f"f >= {least}").select("h"), "collocation-pairs")
     known_pairs = Bloom(pairs, bloom_bits)
     longer = _counts(rows, lambda s: s.long_counts(known, known_pairs)).where(f"f >= {least}")
     m = F.when(F.col("phrase").isNull(), 0).otherwise(F.length("phrase") - F.length(F.replace("phrase", F.lit(" "))) + 1)
-    return saved(words.union(pairs).union(longer).withColumn("m", m.cast("int")), "collocation-counts")
+    return saved(words.union(longer).withColumn("m", m.cast("int")), "collocation-counts")
 
 
 def _part(words: Column, start: Column, n: Column) -> Column:
@@ -320,7 +328,7 @@ def collocations(docs: DataFrame, least: int = LEAST, top: int = TOP, shard_word
     counts = frequent_phrases(docs, least, shard_words, bloom_bits)
     order = [F.col("score").desc(), F.col("a").desc(), F.col("phrase")]
     # a language may hold most phrases: the first of each share of its phrases, then the first of these
-    rows = scored(counts).where("kept").withColumn("share", F.pmod(F.xxhash64("phrase"), F.lit(256)))
+    rows = scored(counts).where("kept").withColumn("share", F.pmod(F.xxhash64("phrase"), F.lit(64)))
     rows = top_k_per(top_k_per(rows, ["lang", "share"], order, top).drop("rank"), ["lang"], order, top)
     n = counts.where("m = 0").select(F.col("lang").alias("_lang"), F.col("f").alias("n"))
     return rows.join(n, F.col("lang") == F.col("_lang")).select("lang", "rank", "phrase", "a", "l", "r", "n", "score")

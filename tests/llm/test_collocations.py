@@ -4,6 +4,7 @@ from collections import Counter
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from jobloom.llm import collocations as co
 from tests.llm.helpers import docs, edge_rows
@@ -90,12 +91,15 @@ def test_intervals_of_both_transforms():
 
 def test_bloom_never_misses(spark):
     import pyarrow as pa
-    rows = spark.createDataFrame([("en", f"w{i}") for i in range(2000)] + [("en", f"w{i} é{i}") for i in range(1000)], "lang string, phrase string")
     w, e = (co.Bloom.hashes("en", pa.array([f"{c}{i}".encode() for i in range(2000)], pa.binary())) for c in "wé")
+    pairs = co.Bloom.pair(w[:1000], e[:1000])
+    rows = spark.createDataFrame([("en", f"w{i}") for i in range(2000)], "lang string, phrase string")
+    rows = rows.select(F.xxhash64(F.concat_ws("\n", "lang", "phrase")).alias("h")).union(
+        spark.createDataFrame([(int(x),) for x in pairs.view("int64")], "h long"))
     for bits in (1 << 10, 1 << 26):
         b = co.Bloom(rows, bits)
-        assert b.holds(w).all() and b.holds(w[:1000], e[:1000]).all()
-    assert b.holds(e).mean() < 0.02 and b.holds(e[:1000], w[:1000]).mean() < 0.02 and b.holds(w[1000:], e[1000:]).mean() < 0.02
+        assert b.holds(w).all() and b.holds(pairs).all()
+    assert b.holds(e).mean() < 0.02 and b.holds(co.Bloom.pair(e[:1000], w[:1000])).mean() < 0.02
 
 
 def test_long_texts_are_cut_between_pieces(monkeypatch):

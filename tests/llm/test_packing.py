@@ -76,3 +76,28 @@ def test_edge_rows(spark):
     assert pk.pack_documents(d.limit(0)).count() == 0
     with_ids = pk.pieces(d, with_ids=True).where("doc_id = 9").first()
     assert len(with_ids.ids) == 4 * with_ids.length
+
+
+def test_against_a_plain_best_fit():
+    rng = np.random.default_rng(4)
+    for capacity, n in ((10, 30), (100, 200), (4096, 400)):
+        for _ in range(6):
+            lengths = rng.integers(1, capacity + 1, n).tolist()
+            bins, offsets, fill = pk.best_fit(lengths, capacity)
+            plain: list[int] = []
+            for x in sorted(lengths, reverse=True):                  # every bin is looked at
+                fits = [b for b, f in enumerate(plain) if f + x <= capacity]
+                if fits:
+                    plain[max(fits, key=plain.__getitem__)] += x
+                else:
+                    plain.append(x)
+            assert sorted(fill) == sorted(plain)
+            placed = {}
+            for b, o, x in zip(bins, offsets, lengths):
+                placed.setdefault(b, []).append((o, x))
+            for b, parts in placed.items():
+                at = 0
+                for o, x in sorted(parts):
+                    assert o == at
+                    at += x
+                assert at == fill[b] <= capacity

@@ -6,7 +6,7 @@ from jobloom.llm import decontaminate, packing, pii, quality, simhash
 from tests.conftest import SF_SMALL
 from tests.llm.helpers import docs, edge_rows
 
-OPERATORS = range(1, 11)
+OPERATORS = range(1, 14)
 
 
 def test_registered():

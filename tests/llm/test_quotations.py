@@ -39,3 +39,44 @@ def test_edge_rows(spark):
     assert len(out) == 7 and out[0].text == "first of a null turn" and out[1].text == ""
     assert [r.position for r in out if r.conv_id == 3] == [0, 1, 2, 3]
     assert run(spark, []) == []
+
+
+def test_against_all_message_pairs(spark):
+    """Every quoted passage held against every message of its conversation, by plain comparison of normalised text."""
+    import random
+    import re
+    rnd = random.Random(5)
+    lines = [f"this is line number {i} of the talk" for i in range(14)] + ["ok", "short", "thanks a lot, really"]
+
+    def norm(t):
+        return re.sub(r"[\W_]+", " ", t.lower()).strip()
+
+    def parts(t):
+        every = [t, *re.split(r"\n\s*\n", t), *t.split("\n")]
+        return list(dict.fromkeys(norm(p) for k, p in enumerate(every) if norm(p) and (k == 0 or len(norm(p)) >= q.LEAST_CHARS)))
+
+    rows = []
+    for conv in range(12):
+        for turn in range(rnd.randint(1, 9)):
+            body = [rnd.choice(lines) for _ in range(rnd.randint(1, 4))]
+            old = [t for c, _, _, t in rows if c == conv]
+            if old and rnd.random() < 0.7:
+                source = rnd.choice(old).split("\n")
+                body = [(">" * rnd.randint(1, 2) + " " + x.upper()) for x in source[:rnd.randint(1, len(source))] if not x.startswith(">")] + body
+            rows.append((conv, turn, "u", "\n".join(body)))
+    got = {(r.conv_id, r.turn): r for r in run(spark, rows)}
+    linked = 0
+    for conv, turn, _, text in rows:
+        talk = sorted((t, parts(q.parse(x)[0])) for c, t, _, x in rows if c == conv)
+        best, places = None, set()
+        for place, (level, passage) in enumerate(q.parse(text)[1]):
+            for rank, unit in enumerate(parts(passage)):
+                first = next((t for t, units in talk if unit in units), None)
+                if first is not None and first < turn:
+                    places.add(place)
+                    best = min(filter(None, [best, (level, rank, place, first)]))
+        r = got[conv, turn]
+        assert (r.by_quote, r.n_linked) == (best is not None, len(places))
+        assert r.reply_to == (best[3] if best else turn - 1 if turn else None)
+        linked += best is not None
+    assert linked > 15

@@ -55,3 +55,26 @@ def test_dictionary_saves_on_its_own_words():
     plain = tx.train_dictionary([("morning", 40), ("evening", 30)], 4096)
     s = tx.Scorer(toxic, plain, plain)
     assert s.saved("disgusting") > 2 and s.saved("worthless") > 2 and s.saved("morning") <= 0
+
+
+def test_scores_recomputed_from_the_dictionaries(spark):
+    """Each word's window compressed anew under both dictionaries, counted and weighed by hand."""
+    import math
+
+    import zstandard as zs
+    rows, labels = corpus(200)
+    scorer = tx.fit(docs(spark, rows), spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int"))
+    toxic, ordinary = scorer.dictionaries
+
+    def size(content, window):
+        d = zs.ZstdCompressionDict(content, dict_type=zs.DICT_TYPE_RAWCONTENT)
+        return len(zs.ZstdCompressor(level=tx.LEVEL, dict_data=d, write_checksum=False, write_content_size=False, write_dict_id=False).compress(window))
+
+    got = {r.doc_id: r.score for r in tx.score(docs(spark, rows[:40]), scorer).collect()}
+    for i, text in rows[:40]:
+        ws = tx.words(text)
+        saved = [size(ordinary, w) - size(toxic, w) for w in (tx.BEFORE + x.encode() + tx.AFTER for x in ws)]
+        reached = [sum(v >= s for v in saved) for s in tx.SAVINGS]
+        x = [math.log1p(min(c, 50)) for c in reached] + [math.log1p(100 * c / (len(ws) + 30)) for c in reached] + [1.0]
+        z = sum(a / s * w for a, s, w in zip(x, scorer.scale, scorer.weights))
+        assert abs(got[i] - 1 / (1 + math.exp(-max(-30, min(30, z))))) < 1e-9
