@@ -31,6 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .collocations import Bloom
 from .common import checked_broadcast, map_rows, saved
 
 PAGES_PER_SHARD = 500
@@ -354,17 +355,25 @@ def seeds(hashes: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray
     first, end = np.arange(n), np.searchsorted(total, total[:-1] + LONG_RUN_WORDS)
     last = np.arange(1, n + 1)
     back = np.searchsorted(total, total[1:] - LONG_RUN_WORDS, "right") - 1
-    runs = np.unique(np.concatenate([np.stack([first, end], 1)[end <= n], np.stack([back, last], 1)[back >= 0]]), axis=0)
-    key = (runs[:, 1] - runs[:, 0]).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    runs = np.unique(np.concatenate([(first * (n + 1) + end)[end <= n], (back * (n + 1) + last)[back >= 0]]))
+    first, end = np.divmod(runs, n + 1)
+    key = (end - first).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     for step in range(LONG_RUN_WORDS):          # a token has one word at least
-        open_ = np.flatnonzero(runs[:, 0] + step < runs[:, 1])
-        key[open_] = _key(key[open_] * np.uint64(5) + hashes[runs[open_, 0] + step])
-    return key, runs[:, 0], runs[:, 1]
+        open_ = np.flatnonzero(first + step < end)
+        if not len(open_):
+            break
+        key[open_] = _key(key[open_] * np.uint64(5) + hashes[first[open_] + step])
+    return key, first, end
+
+
+def token_keys(hashes: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """What tokens are counted under; one that is a long run by itself under its seed's key."""
+    return np.where(words >= LONG_RUN_WORDS, _key(np.uint64(0x9E3779B97F4A7C15 * 5 % (1 << 64)) + hashes), _key(hashes))
 
 
 def keys_of(hashes: np.ndarray, words: np.ndarray) -> np.ndarray:
     """What a page is counted under: its seeds and its tokens."""
-    return np.unique(np.concatenate([seeds(hashes, words)[0], _key(hashes)]))
+    return np.unique(np.concatenate([seeds(hashes, words)[0], token_keys(hashes, words)]))
 
 
 def _counts(keys: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -379,7 +388,7 @@ def furniture_of(pages: list[tuple[np.ndarray, np.ndarray, np.ndarray]], host: t
     ``pages`` are all of the host.  Pages with the same tokens count as one."""
     distinct: dict[bytes, int] = {}
     which = [distinct.setdefault(h.tobytes() + z.tobytes(), len(distinct)) for h, _, z in pages]
-    own = [pages[which.index(k)] for k in range(len(distinct))] if len(distinct) < len(pages) else pages
+    own = [pages[i] for i in np.unique(np.array(which, np.int64), return_index=True)[1].tolist()]
     if not own:
         return []
     keys, held, n_pages = host or (*_counts([keys_of(h, w) for h, w, _ in own]), len(own))
@@ -411,7 +420,7 @@ def furniture_of(pages: list[tuple[np.ndarray, np.ndarray, np.ndarray]], host: t
         np.add.at(cover, first[again], 1)
         np.subtract.at(cover, end[again], 1)
         c |= np.cumsum(cover)[:n] > 0
-        share = np.maximum(holders(_key(h)) - CHANCE, 0) / n_pages
+        share = np.maximum(holders(token_keys(h, w)) - CHANCE, 0) / n_pages
         inside, other = z == ARTICLE, z == ELSEWHERE
         gone = c & inside & (share >= NEARLY_ALL)
         if w[inside & ~gone].sum() < LEAST_UNIQUE_SHARE * w[inside].sum():
@@ -447,35 +456,35 @@ def extract(pages: DataFrame) -> DataFrame:
 
     streams = saved(map_rows(rows.select(host.alias("host"), "k1", "k2", "html"),
                              "host string, k1 bigint, k2 bigint, hashes binary, words binary, zones binary", read), "html-streams")
-    busy = (streams.groupBy("host").agg(F.count("*").alias("n")).where(f"n > {PAGES_PER_SHARD}")
-            .select("host", F.ceil(F.col("n") / PAGES_PER_SHARD).alias("shards")))
-    busy = checked_broadcast(saved(busy, "html-hosts"))
+    pages_of = streams.select("host", F.xxhash64("hashes", "zones").alias("content")).groupBy("host", "content").agg(F.count("*").alias("n"))
+    hosts = saved(pages_of.groupBy("host").agg(F.count("*").alias("n_pages"), F.ceil(F.sum("n") / PAGES_PER_SHARD).alias("shards")), "html-hosts")
 
-    # of a host in several shards: what its distinct pages hold, counted over all of them
-    def keyed(pages: DataFrame) -> DataFrame:
+    # what a host's distinct pages hold, counted over all of them
+    def keyed(pages: DataFrame, among: Bloom | None = None) -> DataFrame:
+        """(k1, k2, key): what each page is counted under, made one with its host; ``among`` leaves out most of the
+        keys that no other page holds."""
         def make():
-            return lambda rows: ((*page, keys_of(np.frombuffer(h, "<u8"), np.frombuffer(w, np.uint8)).view(np.int64)) for *page, h, w in rows)
-        found = map_rows(pages.select("host", "k1", "k2", "hashes", "words"), "host string, k1 bigint, k2 bigint, keys array<bigint>", make)
-        return found.select("host", "k1", "k2", F.explode("keys").alias("key"))
-
-    of_busy = streams.join(busy, "host").select("host", "k1", "k2", "hashes", "words", F.xxhash64("hashes", "zones").alias("content"))
-    n_pages = of_busy.select("host", "content").distinct().groupBy("host").agg(F.count("*").alias("n_pages"))
-    once = of_busy.dropDuplicates(["host", "content"])          # map-side first: copies of one page are few rows
-    shared = saved(keyed(once).groupBy("host", "key").agg(F.count("*").alias("held")).where("held > 1"), "html-shared")
-    known = (keyed(of_busy).join(checked_broadcast(shared), ["host", "key"])
+            def run(rows):
+                for site, k1, k2, h, w in rows:
+                    keys = keys_of(np.frombuffer(h, "<u8"), np.frombuffer(w, np.uint8)) ^ np.uint64(xxhash.xxh64_intdigest(site))
+                    yield (k1, k2, (keys if among is None else keys[among.holds(keys)]).view(np.int64))
+            return run
+        found = map_rows(pages.select("host", "k1", "k2", "hashes", "words"), "k1 bigint, k2 bigint, keys array<bigint>", make)
+        return found.select("k1", "k2", F.explode("keys").alias("key"))
+
+    once = streams.withColumn("content", F.xxhash64("hashes", "zones")).dropDuplicates(["host", "content"])   # map-side first: copies are few rows
+    shared = saved(keyed(once).groupBy("key").agg(F.count("*").alias("held")).where("held > 1"), "html-shared")
+    known = (keyed(streams, Bloom(shared.select(F.col("key").alias("h")))).join(checked_broadcast(shared), "key")
              .groupBy("k1", "k2").agg(F.collect_list("key").alias("keys"), F.collect_list("held").alias("held")))
 
-    dealt = (streams.join(busy, "host", "left").join(checked_broadcast(saved(n_pages, "html-counts")), "host", "left").join(known, ["k1", "k2"], "left")
-             .withColumn("shard", F.pmod("k1", F.coalesce("shards", F.lit(1)))))
+    dealt = (streams.join(checked_broadcast(hosts), "host").join(known, ["k1", "k2"], "left").withColumn("shard", F.pmod("k1", "shards")))
 
     def judge(group: pd.DataFrame) -> pd.DataFrame:
         group = group.drop_duplicates(["k1", "k2"]).sort_values(["k1", "k2"])
-        host = None
-        if not pd.isna(group.n_pages.iloc[0]):
-            lists = group[group["keys"].notna()]
-            flat = lambda c, t: np.concatenate([np.zeros(0, t), *lists[c]]).astype(t)
-            keys, at = np.unique(flat("keys", np.int64).view(np.uint64), return_index=True)
-            host = (keys, flat("held", np.int64)[at], int(group.n_pages.iloc[0]))
+        lists, site = group[group["keys"].notna()], np.uint64(xxhash.xxh64_intdigest(group.host.iloc[0]))
+        flat = lambda c, t: np.concatenate([np.zeros(0, t), *lists[c]]).astype(t)
+        keys, at = np.unique(flat("keys", np.int64).view(np.uint64) ^ site, return_index=True)
+        host = (keys, flat("held", np.int64)[at], int(group.n_pages.iloc[0]))
         gone = furniture_of([(np.frombuffer(h, "<u8"), np.frombuffer(w, np.uint8), np.frombuffer(z, np.uint8))
                              for h, w, z in zip(group.hashes, group.words, group.zones)], host)
         out = [(a, b, g.tobytes()) for a, b, g in zip(group.k1, group.k2, gone) if len(g)]
