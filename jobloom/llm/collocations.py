@@ -37,8 +37,8 @@ from .common import saved
 LEAST, LONGEST, TOP = 30, 4, 2000
 SCALE = 2_000_000
 INSIDE, WHOLE = 80, 100              # a phrase goes if a longer one has 80 of 100 of its occurrences
-SHARD_WORDS = 1 << 19
-SHARDS_A_FILE = 8            # so that a task is handed some MB at once
+SHARD_WORDS = 1 << 20
+SHARDS_A_FILE = 4            # so that a task is handed some MB at once
 SEGMENT = 4 << 20                    # bytes of a text that are split at once, cut where a piece ends
 BLOOM_BITS = 1 << 26
 PROBES = 3
