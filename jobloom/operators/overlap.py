@@ -164,18 +164,28 @@ def shared_counts(users: DataFrame, user_skill: DataFrame, job_skill: DataFrame,
     return fold_sets(user_sets(users, user_skill), job_sets(job_skill), dict.fromkeys(names, "bigint"), dict.fromkeys(names, 0), add, block_skills)
 
 
+def with_shared_skills(pairs: DataFrame, user_skill: DataFrame, job_skill: DataFrame) -> DataFrame:
+    """``pairs`` (user_id, job_id and any other columns, repeats included) with ``shared``, the distinct skills of both;
+    n_distinct and n_listed, the job's skills without and with repeats (null: none listed).
+
+    A pair is one row throughout: it takes the user's skills along to the job's, so nothing grows with a job's list."""
+    mine = user_skill.groupBy("user_id").agg(F.array_sort(F.collect_set("skill_id")).alias("_mine"))
+    wanted = job_skill.groupBy("job_id").agg(F.array_sort(F.collect_set("skill_id")).alias("_wanted"), F.count(F.lit(1)).alias("n_listed"))
+    return (pairs.join(mine, "user_id", "left").join(wanted, "job_id", "left")
+            .withColumn("shared", F.coalesce(F.array_intersect("_mine", "_wanted"), F.array().cast("array<bigint>")))
+            .withColumn("n_distinct", F.when(F.col("_wanted").isNotNull(), F.size("_wanted").cast("long"))).drop("_mine", "_wanted"))
+
+
+def listed_pct(shared: Column, n_listed: Column) -> Column:
+    """Apply-time match %: distinct common skills over the job's raw skill list length (duplicates counted)."""
+    return _pct(F.size(shared), n_listed)
+
+
 def overlap_apply(pairs: DataFrame, user_skill: DataFrame, job_skill: DataFrame) -> DataFrame:
     """Apply-time variant for given (user_id, job_id) pairs: distinct common skills over the
     job's raw skill list length (duplicates counted)."""
-    us = user_skill.select("user_id", "skill_id").distinct()
-    js_distinct = job_skill.select("job_id", "skill_id").distinct()
-    den = job_skill.groupBy("job_id").agg(F.count(F.lit(1)).alias("n_job_skills"))
-    p = pairs.select("user_id", "job_id").distinct()
-    common = (p.join(js_distinct, "job_id").join(us, ["user_id", "skill_id"])
-               .groupBy("user_id", "job_id").agg(F.count(F.lit(1)).alias("n_common")))
-    return (p.join(den, "job_id", "left").join(common, ["user_id", "job_id"], "left")
-             .select("user_id", "job_id",
-                     _pct(F.coalesce(F.col("n_common"), F.lit(0)), F.col("n_job_skills")).alias("overlap_pct")))
+    p = with_shared_skills(pairs.select("user_id", "job_id").distinct(), user_skill, job_skill)
+    return p.select("user_id", "job_id", listed_pct(F.col("shared"), F.col("n_listed")).alias("overlap_pct"))
 
 
 def overlap_card(users: DataFrame, shown: DataFrame, user_skill: DataFrame, job_skill: DataFrame) -> DataFrame:

@@ -180,16 +180,13 @@ def q_job_view_flags(spark, sf_dir):
     """Job page flags per (user, job) the user applied to: first application and its date
     ("Applied on ..."), and how many of the job's skills carry the user's check mark."""
     a = Ats(spark, sf_dir)
-    f = first_wins(a.ats_applications, ["applicant_id", "job_id"], [F.col("application_id")])
-    js = a.ats_job_skill.select("job_id", "skill_id").distinct()
-    us = a.ats_user_skill.select(F.col("user_id").alias("applicant_id"), "skill_id", F.lit(1).alias("has"))
-    chk = (f.select("applicant_id", "job_id").join(js, "job_id")
-            .join(us, ["applicant_id", "skill_id"], "left")
-            .groupBy("applicant_id", "job_id")
-            .agg(F.count(F.lit(1)).alias("n_job_skills"), F.count("has").alias("n_checked")))
-    return f.join(chk, ["applicant_id", "job_id"]).select(
-        "applicant_id", "job_id", F.col("application_id").alias("first_application_id"),
-        F.date_format("applied_date", "MMM dd, yyyy").alias("applied_on"), "n_job_skills", "n_checked")
+    apps = a.ats_applications.select(F.col("applicant_id").alias("user_id"), "job_id", "application_id", "applied_date")
+    f = first_wins(apps, ["user_id", "job_id"], [F.col("application_id")])
+    chk = ov.with_shared_skills(f.where("user_id is not null"), a.ats_user_skill, a.ats_job_skill).where("n_listed is not null")
+    return chk.select(
+        F.col("user_id").alias("applicant_id"), "job_id", F.col("application_id").alias("first_application_id"),
+        F.date_format("applied_date", "MMM dd, yyyy").alias("applied_on"), F.col("n_distinct").alias("n_job_skills"),
+        F.size("shared").cast("long").alias("n_checked"))
 
 
 @register("profile_applications", sql="""
@@ -208,15 +205,13 @@ left join den on den.job_id = x.job_id left join c on c.application_id = x.appli
 def q_profile_applications(spark, sf_dir):
     """A user's applications as the profile page lists them: job, date, integer %, status."""
     a = Ats(spark, sf_dir)
-    apps = a.ats_applications
-    pct = ov.overlap_apply(apps.select(F.col("applicant_id").alias("user_id"), "job_id"),
-                           a.ats_user_skill, a.ats_job_skill).withColumnRenamed("user_id", "applicant_id")
-    return (apps.join(pct, ["applicant_id", "job_id"], "left")
-                .join(a.ats_jobs.select("job_id", "title", "company", "location"), "job_id")
-                .select("application_id", "applicant_id", "title", "company", "location",
-                        F.date_format("applied_date", "MMM dd, yyyy").alias("applied_on"),
-                        F.floor(F.coalesce("overlap_pct", F.lit(0.0))).cast("long").alias("match_int"),
-                        "status"))
+    apps = a.ats_applications.withColumnRenamed("applicant_id", "user_id")
+    pairs = ov.with_shared_skills(apps, a.ats_user_skill, a.ats_job_skill)
+    return (pairs.join(a.ats_jobs.select("job_id", "title", "company", "location"), "job_id")
+                 .select("application_id", F.col("user_id").alias("applicant_id"), "title", "company", "location",
+                         F.date_format("applied_date", "MMM dd, yyyy").alias("applied_on"),
+                         F.floor(ov.listed_pct(F.col("shared"), F.col("n_listed"))).cast("long").alias("match_int"),
+                         "status"))
 
 
 SEARCH_Q, SEARCH_LOCATION = "blue", "nation_1"
@@ -449,6 +444,5 @@ def q_skill_intersect(spark, sf_dir):
     """Per application, the skills the user and the job share (set intersection, long form)."""
     a = Ats(spark, sf_dir)
     p = a.ats_application_rows.select(F.col("applicant_id").alias("user_id"), "job_id").distinct()
-    js = a.ats_job_skill.distinct()
-    return (p.join(js, "job_id").join(a.ats_user_skill, ["user_id", "skill_id"], "left_semi")
-             .select("user_id", "job_id", "skill_id"))
+    return (ov.with_shared_skills(p, a.ats_user_skill, a.ats_job_skill)
+              .select("user_id", "job_id", F.explode("shared").alias("skill_id")))

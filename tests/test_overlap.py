@@ -1,8 +1,14 @@
 """The overlap-% variants on a job whose skill list has a duplicate, and complete results."""
 
 import random
+import re
 
+import pytest
+
+import __spark_entry__ as E
 from jobloom.operators import overlap as ov
+from tests.conftest import SF_SMALL
+from tests.test_plans import plan_text
 
 
 def tables(spark, js, us, users, jobs):
@@ -29,6 +35,19 @@ def test_overlap_apply_without_common_skills(spark):
     assert got == {1: 0.0, 2: 0.0}       # no skills listed for job 2 -> 0, like the guard
 
 
+def test_shared_skills_of_pairs_keep_rows_and_repeats(spark):
+    js, us, _, _ = tables(spark, [(1, 10), (1, 10), (1, 20), (2, None)], [(7, 10), (7, 40), (8, None)], [], [])
+    pairs = spark.createDataFrame([(7, 1, 5), (7, 1, 6), (8, 1, 7), (None, 2, 8), (7, 3, 9), (9, None, 10)], "user_id long, job_id long, n long")
+    got = {r.n: (r.shared, r.n_distinct, r.n_listed) for r in ov.with_shared_skills(pairs, us, js).collect()}
+    assert got == {5: ([10], 2, 3), 6: ([10], 2, 3), 7: ([], 2, 3), 8: ([], 0, 1), 9: ([], None, None), 10: ([], None, None)}
+
+
+@pytest.mark.parametrize("name", ["job_view_flags", "profile_applications", "skill_intersect", "overlap_apply"])
+def test_applications_are_not_multiplied_by_skills(spark, name):
+    plan = plan_text(E.queries()[name](spark, SF_SMALL))
+    assert not re.search(r"(Left|Right) keys.*skill_id", plan)      # pairs met the skills one row each before
+
+
 def test_all_users_and_jobs_against_brute_force(spark):
     rnd = random.Random(2)
     wanted = {j: [rnd.randrange(8) for _ in range(rnd.randint(0, 4))] for j in range(30)}
