@@ -269,11 +269,6 @@ def search_texts(a: Ats):
     return a.ats_jobs.select(F.col("job_id").alias("id"), F.concat_ws(" ", "title", "company", "location").alias("text"))
 
 
-def _hits_per_search(searches, found):
-    n = found.groupBy("search_id").agg(F.count(F.lit(1)).alias("n_hits"), F.min("id").alias("first_id"))
-    return searches.select("search_id").join(n, "search_id", "left").withColumn("n_hits", F.coalesce("n_hits", F.lit(0)))
-
-
 @register("stored_searches_like", sql=f"""
 with {_SQL_SEARCHES}
 select search_id, count(id) as n_hits, min(id) as first_id
@@ -282,7 +277,7 @@ def q_stored_searches_like(spark, sf_dir):
     """Hits of all stored LIKE searches over all jobs, by their rarest three characters."""
     a = Ats(spark, sf_dir)
     searches = stored_searches(a)
-    return _hits_per_search(searches, se.search_like(searches, search_texts(a)))
+    return se.hits_per_search(searches, search_texts(a), se.search_like)
 
 
 @register("stored_searches_regex", sql="""
@@ -302,7 +297,7 @@ def q_stored_searches_regex(spark, sf_dir):
          .otherwise(F.concat(F.lit("^"), F.substring("title", 1, 5), F.lit("x*"))))
     searches = a.ats_jobs.select(k.alias("search_id"), q.alias("q"))
     texts = a.ats_jobs.select(k.alias("id"), F.concat_ws(" ", "title", "company").alias("text"))
-    return _hits_per_search(searches, se.search_regex(searches, texts))
+    return se.hits_per_search(searches, texts, se.search_regex)
 
 
 AS_OF = "2024-03-15 06:00:00"

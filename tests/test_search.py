@@ -44,6 +44,17 @@ def test_regex_searches(spark):
     assert got == direct and len(direct) > 300
 
 
+@pytest.mark.parametrize("search,test", [(se.search_like, "ilike(text, concat('%', q, '%'))"), (se.search_regex, "text rlike concat('(?i)', q)")])
+def test_hits_of_equal_searches_in_equal_texts(spark, search, test):
+    texts = corpus(4) * 3
+    s, t = frames(spark, [(i, x) for i, (_, x) in enumerate(texts)], ["blue", "red", "blue", "", None, "zzz", "a.b", "blue"])
+    want = {r.search_id: (r.n, r.first) for r in s.join(t, F.expr(test), "left").groupBy("search_id").agg(F.count("id").alias("n"), F.min("id").alias("first")).collect()}
+    pairs = []
+    got = {r.search_id: (r.n_hits, r.first_id) for r in se.hits_per_search(s, t, lambda a, b: pairs.append((a.count(), b.count())) or search(a, b)).collect()}
+    assert got == want and got[0] == got[2] and got[4] == (0, None)
+    assert pairs == [(5, len({x for _, x in texts if x is not None}))]          # each different pair is looked at once
+
+
 def test_postings_hold_only_asked_grams(spark):
     s, t = frames(spark, corpus(3), ["blue"])
     keys = se.like_keys(F.col("q"))
