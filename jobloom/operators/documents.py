@@ -43,22 +43,39 @@ def top_keywords(docs: DataFrame, id_col: str, text_col: str, k: int = 20) -> Da
 
 # -------------------------------------------------------------------- skills ---
 
+PUNCT = r"[!-/:-@\[-`{-~]"
+
+
 def candidate_phrases(docs: DataFrame, id_col: str, clean_col: str) -> DataFrame:
     """(id, phrase, first_pos): distinct 1-3-word phrases of the cleaned text that are not a stop
     word and contain no ASCII punctuation (candidates for fuzzy skills)."""
-    toks = tx.tokens(F.col(clean_col))
-    rows = docs.select(id_col, F.posexplode(toks).alias("i", "tok"), toks.alias("toks"))
-    phrases = rows.select(
-        id_col, "i",
-        F.explode(F.array(*[F.when(F.col("i") + n <= F.size("toks"),
-                                   F.array_join(F.slice("toks", F.col("i") + 1, n), " "))
-                            for n in (1, 2, 3)])).alias("phrase"))
-    punct = r"[!-/:-@\[-`{-~]"
+    # tokens become a column before they are read by place: an expression beside posexplode would run again for every token
+    toks = docs.select(id_col, tx.tokens(F.col(clean_col)).alias("toks")).where(F.size("toks") > 0)
+    of = lambda i, n: F.when(i + n <= F.size("toks"), F.array_join(F.slice("toks", i + 1, n), " "))
+    per_start = F.transform(F.sequence(F.lit(0), F.size("toks") - 1), lambda i: F.transform(
+        F.array(*[of(i, n) for n in (1, 2, 3)]), lambda p: F.struct(i.alias("i"), p.alias("phrase"))))
+    phrases = toks.select(id_col, F.explode(F.flatten(per_start)).alias("p")).select(id_col, "p.i", "p.phrase")
     ok = (F.col("phrase").isNotNull() & ~F.col("phrase").isin(*cat.ENGLISH_STOP_WORDS)
-          & ~F.col("phrase").rlike(punct))
+          & ~F.col("phrase").rlike(PUNCT))
     return (phrases.where(ok).groupBy(id_col, "phrase").agg(F.min("i").alias("first_pos")))
 
 
+def fuzzy_phrases(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, phrase, first_pos): the candidate phrases of the texts that are near a dictionary entry."""
+    # spread the texts first: an input of few files would be cleaned in as many tasks
+    cleaned = by_doc(docs.select(id_col, text_col), id_col).select(id_col, tx.clean_text(F.col(text_col)).alias("clean"))
+    cand = candidate_phrases(cleaned, id_col, "clean")
+    hits = fuzzy_dictionary_hits(cand).checkpoint(eager=True)
+    small = hits.limit(SMALL_HITS + 1).count() <= SMALL_HITS
+    return cand.join(F.broadcast(hits) if small else hits, "phrase", "left_semi").select(id_col, "phrase", "first_pos")
+
+
+def posting_years(docs: DataFrame, id_col: str, text_col: str, open_end_year: int) -> DataFrame:
+    """(id, years): the years of experience each text asks for."""
+    cleaned = by_doc(docs.select(id_col, text_col), id_col).select(id_col, tx.clean_text(F.col(text_col)).alias("clean"))
+    return cleaned.select(id_col, tx.posting_years(F.col("clean"), open_end_year).cast("long").alias("years"))
+
+
 SMALL_HITS = 200_000
 REPEATS = 3          # occurrences of a character that the letter bound tells apart
 
@@ -96,9 +113,6 @@ def fuzzy_dictionary_hits(phrases: DataFrame, threshold: float = 0.6, strict: bo
     return p.join(dic, near & keep, "left_semi").select("phrase")
 
 
-PUNCT = r"[!-/:-@\[-`{-~]"
-
-
 def _phrases_in_order(toks: Column) -> Column:
     """Distinct 1-3-word phrases of a token array in (start, length) order, without stop-word
     phrases or phrases with ASCII punctuation.  ``toks`` must be a column reference."""

@@ -59,7 +59,7 @@ def q_parse_postings(spark, sf_dir):
     a = Ats(spark, sf_dir)
     docs = a.ats_postings
     skills, kws, secs = _text_bundle(docs, "job_id")
-    years = docs.select("job_id", tx.posting_years(tx.clean_text(F.col("text")), OPEN_END_YEAR).alias("experience_years"))
+    years = dc.posting_years(docs, "job_id", "text", OPEN_END_YEAR).withColumnRenamed("years", "experience_years")
     out = _wide(docs, "job_id", {"skills": skills, "keywords": kws, "sections": secs}, {"experience_years": years})
     return out.withColumn("experience_years", F.col("experience_years").cast("long"))
 

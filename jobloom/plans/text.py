@@ -120,11 +120,7 @@ def q_fuzzy_phrase_skills(spark, sf_dir):
     """Candidate phrases (1-3 words, not a stop word, no punctuation) whose Levenshtein ratio
     to some dictionary entry is above 0.6."""
     a = Ats(spark, sf_dir)
-    cleaned = a.ats_postings.select("job_id", tx.clean_text(F.col("text")).alias("clean"))
-    cand = dc.candidate_phrases(cleaned, "job_id", "clean")
-    hits = dc.fuzzy_dictionary_hits(cand)
-    return cand.join(hits, "phrase", "left_semi").select(
-        "job_id", "phrase", F.col("first_pos").cast("long").alias("first_pos"))
+    return dc.fuzzy_phrases(a.ats_postings, "job_id", "text").withColumn("first_pos", F.col("first_pos").cast("long"))
 
 
 def sql_lines(src: str, id_col: str, text_col: str) -> str:
@@ -256,8 +252,7 @@ select job_id, cast({sql_jd_years('clean')} as bigint) as years from c""")
 def q_jd_years(spark, sf_dir, open_end_year: int = OPEN_END_YEAR):
     """Years a posting asks for: max stated 'N years ... experience', else summed month ranges."""
     a = Ats(spark, sf_dir)
-    c = tx.clean_text(F.col("text"))
-    return a.ats_postings.select("job_id", tx.posting_years(c, open_end_year).cast("long").alias("years"))
+    return dc.posting_years(a.ats_postings, "job_id", "text", open_end_year)
 
 
 def sql_titles(src: str, id_col: str, text_col: str, k: int = 5) -> str:

@@ -15,6 +15,7 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.partitioning import spread
 from ..operators.sequence import with_sequence
 from .tables import Tables
 
@@ -110,7 +111,9 @@ def ats_postings(t: Tables) -> DataFrame:
         F.lit("." + NL + NL + "Skills" + NL), F.col("p_name"), F.lit(NL), F.col("p_name"),
         F.lit(NL + "Contact hr"), _s(k), F.lit("@example.com or (555) 123-"),
         F.lpad(_s(k % 10000), 4, "0"), F.lit(NL + "https://jobs.example.com/"), _s(k))
-    return t.part.select(k.alias("job_id"), text.alias("text"))
+    # a part row is short and its text costs much more: dealt out first, or few files would mean few tasks
+    rows = spread(t.part.select("p_partkey", "p_size", "p_name"), "p_partkey")
+    return rows.select(k.alias("job_id"), text.alias("text"))
 
 
 def ats_resumes(t: Tables) -> DataFrame:

@@ -121,3 +121,24 @@ def test_phrase_index_agrees_with_one_regex_an_entry(spark):
         rows = df.select("t", tx.dictionary_skills("t", boundary=boundary).alias("got"), plain.alias("want")).collect()
         assert [r.got or [] for r in rows] == [r.want or [] for r in rows], boundary
         assert sum(len(r.want or []) for r in rows) > 500
+
+
+def test_texts_are_dealt_before_they_are_cleaned(spark):
+    from tests.conftest import SF_SMALL
+    import __spark_entry__ as E
+    assert E.queries()["jd_years"](spark, SF_SMALL).rdd.getNumPartitions() == 4      # one file was one task
+
+
+def test_tokens_are_cut_once_a_text(spark):
+    from jobloom.operators import documents as dc
+    df = spark.createDataFrame([(1, "gear red")], "id long, clean string")
+    plan = dc.candidate_phrases(df, "id", "clean")._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_extract_all" not in plan[:plan.rindex("Generate")]       # nothing of it is left for the exploded rows
+
+
+def test_candidate_phrases_of_short_texts(spark):
+    from jobloom.operators import documents as dc
+    df = spark.createDataFrame([(1, "gear red gear red"), (2, ""), (3, None), (4, "blue")], "id long, clean string")
+    got = {(r.id, r.phrase): r.first_pos for r in dc.candidate_phrases(df, "id", "clean").collect()}
+    assert got == {(1, "gear"): 0, (1, "gear red"): 0, (1, "gear red gear"): 0, (1, "red"): 1, (1, "red gear"): 1,
+                   (1, "red gear red"): 1, (4, "blue"): 0}
