@@ -21,8 +21,9 @@ BLOCK_SIZE = 4_000_000          # array entries of one block: some 50 MB in a ta
 
 
 def fold(rows: DataFrame, blocks: DataFrame, size: str, make: Callable[[pa.Table], object], step: Callable, state: dict[str, str],
-         start: dict, block_size: int = BLOCK_SIZE) -> DataFrame:
-    """``rows`` with the columns ``state`` after ``step(block, *row, *state) -> new state`` for every block.
+         start: dict, block_size: int = BLOCK_SIZE, whole: bool = False) -> DataFrame:
+    """``rows`` with the columns ``state`` after ``step(block, *row, *state) -> new state`` for every block; if ``whole``,
+    after ``step(block, batch) -> Arrow arrays of the new state`` for whole Arrow batches of rows.
 
     ``blocks`` has a long ``_key`` (a hash that spreads its rows) and ``size`` (the entries of a row); a block holds
     about ``block_size`` entries, and ``make`` turns its Arrow table into what ``step`` reads.  With more
@@ -42,6 +43,9 @@ def fold(rows: DataFrame, blocks: DataFrame, size: str, make: Callable[[pa.Table
 
         def run(batches, block=block):
             for batch in batches:
+                if whole:
+                    yield pa.RecordBatch.from_arrays([*batch.columns[:len(given)], *step(block, batch)], schema=batch.schema)
+                    continue
                 columns = [c.to_pylist() for c in batch.columns]
                 new = [step(block, *row) for row in zip(*columns)]
                 fields = list(batch.schema)[len(given):]

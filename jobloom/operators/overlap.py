@@ -4,27 +4,28 @@ Jobs with the same set of distinct skills overlap alike with every user, so user
 sets, not jobs.  The sets are dealt by hash into blocks of a bounded number of skills, each set
 whole in one block; the blocks are sent one after another to the users, whose rows stay where
 they are and carry their results along (their best sets, or counts), so no (user, set) row is
-ever shuffled.  Inside a block a prefix filter finds the sets: a set of n skills shares t percent
-with a user only if one of its n - ceil(t n) + 1 rarest skills is the user's, so a list of a skill's
-sets is cut where t, the user's k-th best so far or the bound of a label, can be reached no more,
-and what is found is verified on the whole sets.  Users and jobs that share no skill (0 %) come
+ever shuffled.  Inside a block all users of a batch are counted together: the posting lists of their
+skills are laid out as (user, set) numbers and sorted, so the time follows the skills they share
+and not the number of users times that of blocks.  Users and jobs that share no skill (0 %) come
 from counts and short fillers, not from pairs.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .folding import BLOCK_SIZE, fold
+from .folding import fold
 from .partitioning import spread
 from .topk import top_k_per
 
 MEDIUM, STRONG = 40, 70          # percent, fixed values of the labels
+BLOCK_SKILLS = 16_000_000        # skills of one block: some 100 MB in a task
+HITS = 2_000_000                 # common skills of users and sets that a task counts at a time
 
 
 def _pct(num: Column, den: Column) -> Column:
@@ -40,47 +41,62 @@ def job_sets(job_skill: DataFrame) -> DataFrame:
 
 
 class SkillSets:
-    """The sets of one block: their skills from rare to frequent, and for each skill the sets that hold
-    it by ``reach``, the share that sets can have in common whose rarest common skill this is."""
+    """The sets of one block as posting lists: for each skill the sets that hold it."""
 
     def __init__(self, rows: pa.Table):
         self.sid, self.n_jobs, self.first_job = (rows.column(c).to_numpy() for c in ("_key", "n_jobs", "first_job"))
         sets = rows.column("set").combine_chunks()
         self.n = np.diff(sets.offsets.to_numpy())
         self.skills, held = np.unique(sets.flatten().to_numpy(), return_inverse=True)
-        owner = np.repeat(np.arange(len(self.n)), self.n)
-        often = np.bincount(held, minlength=len(self.skills))
-        order = np.lexsort((held, often[held], owner))
-        self._held, self._at = held[order], np.cumsum(self.n) - self.n
-        place = np.arange(len(owner)) - self._at[owner]
-        reach = self.share(self.n[owner] - place, owner)
-        order = np.lexsort((-reach, self._held))
-        self._sets, self._ahead = owner[order].astype(np.int32), -reach[order]
-        self._ends = np.cumsum(often)
+        owner = np.repeat(np.arange(len(self.n), dtype=np.int32), self.n)
+        self._sets = owner[np.argsort(held, kind="stable")]
+        self._ends = np.cumsum(np.bincount(held, minlength=len(self.skills)))
 
     def share(self, common: np.ndarray, of: np.ndarray) -> np.ndarray:
         return common / self.n[of] * 100.0
 
+    def meet(self, users: pa.ListArray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(row, set, number of common skills) of all users and sets that share a skill, by row and set, for
+        some rows of ``users`` (distinct skills) at a time: the work grows with the skills shared, not with the block."""
+        skills = users.flatten().to_numpy(zero_copy_only=False)
+        if not len(skills) or not len(self.skills):
+            return
+        row = np.repeat(np.arange(len(users)), np.diff(users.offsets.to_numpy()))
+        at = np.minimum(np.searchsorted(self.skills, skills), len(self.skills) - 1)
+        known = self.skills[at] == skills
+        row, at = row[known], at[known]
+        begin = np.where(at > 0, self._ends[at - 1], 0)
+        size = self._ends[at] - begin
+        upto = np.cumsum(size)
+        i = 0
+        while i < len(row):
+            j = int(np.searchsorted(upto, upto[i] - size[i] + HITS, "right"))
+            if j < len(row):                                # whole rows, one at least
+                j = int(np.searchsorted(row, row[j], "left"))
+                if j <= i:
+                    j = int(np.searchsorted(row, row[i], "right"))
+            s, total = size[i:j], int(size[i:j].sum())
+            places = np.arange(total) + np.repeat(begin[i:j] - (np.cumsum(s) - s), s)
+            own = row[i:j] - row[i]
+            kind = np.uint32 if (int(own[-1]) + 1) * len(self.n) < 1 << 32 else np.int64
+            key = np.repeat((own * len(self.n)).astype(kind), s) + self._sets[places].astype(kind)
+            key.sort()
+            first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            r, found = np.divmod(key[first].astype(np.int64), len(self.n))
+            yield row[i] + r, found, np.diff(np.append(first, total))
+            i = j
+
     def common(self, skills: np.ndarray, least: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
-        """(set, number of common skills) of all sets that share a skill and at least ``least`` percent."""
-        at = np.searchsorted(self.skills, skills)
-        own = at[(at < len(self.skills)) & (self.skills[np.minimum(at, len(self.skills) - 1)] == skills)] if len(self.skills) else at[:0]
-        if not len(own):
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        lists = [slice(self._ends[s - 1] if s else 0, self._ends[s]) for s in own]
-        if least <= 0:
-            count = np.bincount(np.concatenate([self._sets[x] for x in lists]), minlength=len(self.n))
-            found = np.flatnonzero(count)
-            return found, count[found]
-        heads = [self._sets[x][:np.searchsorted(self._ahead[x], -least, "right")] for x in lists]
-        found = np.unique(np.concatenate(heads))
-        have = np.zeros(len(self.skills), np.int64)
-        have[own] = 1
-        n = self.n[found]
-        held = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(self._at[found], n)
-        count = np.add.reduceat(have[self._held[held]], np.cumsum(n) - n) if len(found) else n
-        keep = self.share(count, found) >= least
-        return found[keep], count[keep]
+        """(set, number of common skills) of all sets that share a skill and at least ``least`` percent with one user."""
+        for _, found, count in self.meet(pa.ListArray.from_arrays(pa.array([0, len(skills)], pa.int32()), pa.array(skills, pa.int64()))):
+            keep = self.share(count, found) >= least
+            return found[keep], count[keep]
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+
+def _starts(row: np.ndarray) -> np.ndarray:
+    """The places where a new row begins."""
+    return np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]])) if len(row) else np.zeros(0, np.int64)
 
 
 def user_sets(users: DataFrame, user_skill: DataFrame) -> DataFrame:
@@ -91,32 +107,50 @@ def user_sets(users: DataFrame, user_skill: DataFrame) -> DataFrame:
 
 
 def fold_sets(users: DataFrame, sets: DataFrame, state: dict[str, str], start: dict, step: Callable, block_skills: int) -> DataFrame:
-    """(user_id, *state) after ``step(block, skills, *state) -> new state`` over the distinct ``sets`` in blocks."""
+    """(user_id, *state) after ``step(block, batch) -> new state`` over the distinct ``sets`` in blocks."""
     distinct = sets.where("n_job_skills > 0").groupBy(F.col("sid").alias("_key"), "n_job_skills").agg(
         F.count(F.lit(1)).alias("n_jobs"), F.min("job_id").cast("long").alias("first_job"), F.first("set").cast("array<bigint>").alias("set"))
     rows = users.select("user_id", F.col("skills").cast("array<bigint>").alias("skills"))
-    return fold(rows, distinct.checkpoint(eager=True), "n_job_skills", SkillSets,
-                lambda block, _, skills, *old: step(block, np.array(skills, np.int64), *old), state, start, block_skills).drop("skills")
+    return fold(rows, distinct.checkpoint(eager=True), "n_job_skills", SkillSets, step, state, start, block_skills, whole=True).drop("skills")
 
 
-def top_overlap(users: DataFrame, jobs: DataFrame, user_skill: DataFrame, job_skill: DataFrame, k: int, block_skills: int = BLOCK_SIZE) -> DataFrame:
+def top_overlap(users: DataFrame, jobs: DataFrame, user_skill: DataFrame, job_skill: DataFrame, k: int, block_skills: int = BLOCK_SKILLS) -> DataFrame:
     """Top-k jobs of every user by (overlap % desc, job_id): |distinct common skills| / |distinct job
     skills| * 100.  Users with fewer than k overlapping jobs are filled with 0 % jobs by id."""
     sets = job_sets(job_skill).checkpoint(eager=True)
 
     # k sets ahead of a set hold k jobs ahead of all of its jobs: only the first k sets can matter
-    def best(block: SkillSets, skills: np.ndarray, kept: list[dict]):
-        least = kept[-1]["overlap_pct"] if len(kept) == k else 0.0
-        found, count = block.common(skills, least)
-        share = block.share(count, found)
-        if len(found) > k:
-            near = share >= np.partition(share, -k)[-k]
-            found, count, share = found[near], count[near], share[near]
-        order = np.lexsort((block.first_job[found], -share))[:k]
-        new = [dict(zip(("sid", "n_common", "n_job_skills", "first_job", "overlap_pct"), row)) for row in zip(
-            block.sid[found[order]].tolist(), count[order].tolist(), block.n[found[order]].tolist(),
-            block.first_job[found[order]].tolist(), share[order].tolist())]
-        return (sorted(kept + new, key=lambda s: (-s["overlap_pct"], s["first_job"]))[:k],)
+    names = ("sid", "n_common", "n_job_skills", "first_job", "overlap_pct")
+
+    def best(block: SkillSets, batch: pa.RecordBatch) -> list[pa.Array]:
+        kept = batch.column("best")
+        n_kept = np.diff(kept.offsets.to_numpy())
+        old = [np.repeat(np.arange(len(kept)), n_kept), *(c.to_numpy(zero_copy_only=False) for c in kept.flatten().flatten())]
+        least = np.zeros(len(kept))
+        full = np.flatnonzero(n_kept == k)
+        least[full] = old[-1][np.cumsum(n_kept)[full] - 1]
+        parts = [old]
+        for row, found, count in block.meet(batch.column("skills")):
+            share = block.share(count, found)
+            keep = share >= least[row]
+            row, found, count, share = row[keep], found[keep], count[keep], share[keep]
+            starts = _starts(row)
+            ends = np.append(starts[1:], len(row))
+            many = ends - starts > k
+            near = np.ones(len(row), bool)
+            for a, b in zip(starts[many].tolist(), ends[many].tolist()):
+                near[a:b] = share[a:b] >= np.partition(share[a:b], -k)[-k]
+            row, found, count, share = row[near], found[near], count[near], share[near]
+            parts.append([row, block.sid[found], count, block.n[found], block.first_job[found], share])
+        row, *fields = (np.concatenate(x) for x in zip(*parts))
+        order = np.lexsort((fields[3], -fields[4], row))
+        row, starts = row[order], _starts(row[order])
+        first = np.repeat(starts, np.diff(np.append(starts, len(row)))) if len(row) else starts
+        take = np.arange(len(row)) - first < k
+        n = np.bincount(row[take], minlength=len(kept))
+        of = kept.type.value_type
+        structs = pa.StructArray.from_arrays([pa.array(x[order][take], of.field(c).type) for c, x in zip(names, fields)], fields=list(of))
+        return [pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n)), pa.int32()), structs).cast(kept.type)]
 
     one = "struct<sid:bigint,n_common:bigint,n_job_skills:bigint,first_job:bigint,overlap_pct:double>"
     kept = fold_sets(user_sets(users, user_skill), sets, {"best": f"array<{one}>"}, {"best": []}, best, block_skills)
@@ -136,13 +170,15 @@ def top_overlap(users: DataFrame, jobs: DataFrame, user_skill: DataFrame, job_sk
     return top_k_per(top.unionByName(zero), ["user_id"], order, k)
 
 
-def bucket_counts(users: DataFrame, jobs: DataFrame, user_skill: DataFrame, job_skill: DataFrame, block_skills: int = BLOCK_SIZE) -> DataFrame:
-    """(user_id, bucket, n_jobs) over all users and all jobs; weak = all jobs - strong - medium, so
-    only overlaps of 40 % or more are looked for."""
-    def add(block: SkillSets, skills: np.ndarray, strong: int, medium: int):
-        found, count = block.common(skills, float(MEDIUM))
-        high = block.share(count, found) >= STRONG
-        return strong + int(block.n_jobs[found[high]].sum()), medium + int(block.n_jobs[found[~high]].sum())
+def bucket_counts(users: DataFrame, jobs: DataFrame, user_skill: DataFrame, job_skill: DataFrame, block_skills: int = BLOCK_SKILLS) -> DataFrame:
+    """(user_id, bucket, n_jobs) over all users and all jobs; weak = all jobs - strong - medium."""
+    def add(block: SkillSets, batch: pa.RecordBatch) -> list[pa.Array]:
+        strong, medium = (batch.column(c).to_numpy().copy() for c in ("strong", "medium"))
+        for row, found, count in block.meet(batch.column("skills")):
+            share = block.share(count, found)
+            for label, of in ((strong, share >= STRONG), (medium, (share >= MEDIUM) & (share < STRONG))):
+                np.add.at(label, row[of], block.n_jobs[found[of]])
+        return [pa.array(strong), pa.array(medium)]
 
     n_all = jobs.agg(F.count(F.lit(1)).alias("n_all"))
     rows = fold_sets(user_sets(users, user_skill), job_sets(job_skill), {"strong": "bigint", "medium": "bigint"}, {"strong": 0, "medium": 0}, add, block_skills)
@@ -153,12 +189,17 @@ def bucket_counts(users: DataFrame, jobs: DataFrame, user_skill: DataFrame, job_
             .where("n_jobs > 0"))
 
 
-def shared_counts(users: DataFrame, user_skill: DataFrame, job_skill: DataFrame, block_skills: int = BLOCK_SIZE) -> DataFrame:
+def shared_counts(users: DataFrame, user_skill: DataFrame, job_skill: DataFrame, block_skills: int = BLOCK_SKILLS) -> DataFrame:
     """(user_id, n_jobs_sharing, n_common_total, max_common) of every user, 0 for those without an overlap."""
-    def add(block: SkillSets, skills: np.ndarray, sharing: int, total: int, most: int):
-        found, count = block.common(skills)
-        jobs = block.n_jobs[found]
-        return sharing + int(jobs.sum()), total + int((jobs * count).sum()), max(most, int(count.max(initial=0)))
+    def add(block: SkillSets, batch: pa.RecordBatch) -> list[pa.Array]:
+        sharing, total, most = (batch.column(c).to_numpy().copy() for c in names)
+        for row, found, count in block.meet(batch.column("skills")):
+            starts, jobs = _starts(row), block.n_jobs[found]
+            own = row[starts]                                # a row is in one part only
+            sharing[own] += np.add.reduceat(jobs, starts)
+            total[own] += np.add.reduceat(jobs * count, starts)
+            most[own] = np.maximum(most[own], np.maximum.reduceat(count, starts))
+        return [pa.array(sharing), pa.array(total), pa.array(most)]
 
     names = ("n_jobs_sharing", "n_common_total", "max_common")
     return fold_sets(user_sets(users, user_skill), job_sets(job_skill), dict.fromkeys(names, "bigint"), dict.fromkeys(names, 0), add, block_skills)

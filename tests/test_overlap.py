@@ -112,3 +112,19 @@ def test_match_bucket(spark):
     df = spark.createDataFrame([(70.0,), (69.9,), (40.0,), (0.0,)], "p double")
     got = [r[0] for r in df.select(ov.match_bucket(df.p)).collect()]
     assert got == ["Strong Match", "Medium Match", "Medium Match", "Weak Match"]
+
+
+def test_hits_of_a_batch_are_counted_in_parts(spark, monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+    rnd = random.Random(8)
+    sets = [sorted(rnd.sample(range(30), rnd.randint(1, 8))) for _ in range(300)]
+    block = ov.SkillSets(pa.table({"_key": range(300), "n_jobs": [1] * 300, "first_job": range(300), "set": pa.array(sets, pa.list_(pa.int64()))}))
+    users = [rnd.sample(range(35), rnd.randint(0, 10)) for _ in range(80)] + [[], [99]]
+    want = {(u, i): c for u, mine in enumerate(users) for i, x in enumerate(sets) if (c := len(set(x) & set(mine)))}
+    for hits in (1, 500, 10**6):
+        monkeypatch.setattr(ov, "HITS", hits)
+        parts = list(block.meet(pa.array(users, pa.list_(pa.int64()))))
+        row, found, count = (np.concatenate(x).tolist() for x in zip(*parts))
+        assert dict(zip(zip(row, found), count)) == want and len(row) == len(want)
+        assert len(parts) == 1 if hits == 10**6 else len(parts) > 5
