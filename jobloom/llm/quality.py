@@ -3,8 +3,10 @@
 Every document gets rule statistics over its whole text.  Two base rules reject outright;
 for the rest an isolation forest over the statistics gives the mean path length over random
 splits: documents that few splits set apart have short paths, hence a high anomaly score.
-The forest is grown on a bounded sample of labelled rows (mostly accepted ones, so rejected
-kinds are rare in it) and the score threshold is calibrated on that sample's labels.
+Scales, forest and threshold come from all labelled rows: the quantiles that scale the features
+are found by counting every accepted row, each tree draws its own 256 rows (an isolation tree's
+size) out of all labelled ones, mostly accepted ones, so that rejected kinds are rare in it, and
+the threshold is calibrated on the scores of every labelled row.
 
 Defined cases: a null or empty text has no word and fails the base rules; ties and repeated
 rows get the same verdict; an empty table gives an empty result; without labelled rows of
@@ -20,11 +22,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, map_rows, sample_ids, text_rows
+from .common import WORD, emptied, map_rows, saved, text_rows
 
-SAMPLE_ROWS = 6000          # labelled rows the forest and its threshold may see at most
 TREES, LEAF_SAMPLE = 100, 256
-REJECTED_SHARE = 0.05       # share of rejected rows in the forest's sample
+REJECTED_SHARE = 0.05       # share of rejected rows in the trees
+BINS, ROUNDS = 1024, 3      # a quantile is narrowed down to one of so many bins, so many times
+SCORE_BINS = 1 << 14        # scores that the threshold may lie between
 FALSE_REJECT_COST = 20.0    # a wrongly rejected document weighs as much as so many missed ones
 SPREAD, FAR = 0.99, 10.0    # a feature's spread reaches to this quantile; beyond FAR spreads all is alike
 MIN_WORDS, MAX_REPEAT_PCT, WINDOW = 20, 30, 8
@@ -125,21 +128,26 @@ def _rest(n: int) -> float:
 
 
 def grow_forest(accepted: np.ndarray, rejected: np.ndarray, seed: int = 7) -> Forest:
-    """Isolation forest: each tree splits a sub-sample at uniformly random features and cuts.
-    The features are scaled by the accepted rows; both kinds of rows are split."""
+    """Isolation forest over the rows given, scaled by the accepted ones; each tree splits a sub-sample."""
+    x = np.concatenate([accepted, rejected])
+    rng = np.random.default_rng(seed)
+    size = min(LEAF_SAMPLE, len(x))
     middle = np.median(accepted, 0)
     low, high = np.quantile(accepted, [1 - SPREAD, SPREAD], axis=0)
+    return grow_trees([x[rng.choice(len(x), size, replace=False)] for _ in range(TREES)], middle, low, high, rng)
+
+
+def grow_trees(samples: list[np.ndarray], middle: np.ndarray, low: np.ndarray, high: np.ndarray, rng: np.random.Generator) -> Forest:
+    """A tree for each sample, split at uniformly random features and cuts of the scaled rows."""
     spread = np.maximum([middle - low, high - middle], 0.02)
-    x = scaled(np.concatenate([accepted, rejected]), middle, spread)
-    rng = np.random.default_rng(seed)
-    size = min(LEAF_SAMPLE, len(x))
+    size = max(map(len, samples))
     limit = int(np.ceil(np.log2(max(2, size))))
     nodes = 2 ** (limit + 1) + 1
-    feature = np.full((TREES, nodes), -1)
-    cut, path = np.zeros((TREES, nodes)), np.zeros((TREES, nodes))
-    child = np.zeros((TREES, nodes), np.int64)
-    for t in range(TREES):
-        todo, free = [(0, x[rng.choice(len(x), size, replace=False)], 0)], 1
+    feature = np.full((len(samples), nodes), -1)
+    cut, path = np.zeros((len(samples), nodes)), np.zeros((len(samples), nodes))
+    child = np.zeros((len(samples), nodes), np.int64)
+    for t, sample in enumerate(samples):
+        todo, free = [(0, scaled(sample, middle, spread), 0)], 1
         while todo:
             at, rows, depth = todo.pop()
             lo, hi = rows.min(0), rows.max(0)
@@ -157,13 +165,16 @@ def grow_forest(accepted: np.ndarray, rejected: np.ndarray, seed: int = 7) -> Fo
     return Forest(feature, cut, child, path, max(_rest(size), 1e-9), middle, spread)
 
 
-def calibrate(scores: np.ndarray, rejected: np.ndarray, cost: float = FALSE_REJECT_COST) -> float:
+def calibrate(scores: np.ndarray, rejected: np.ndarray, accepted: np.ndarray | None = None, cost: float = FALSE_REJECT_COST) -> float:
     """The threshold with the least rate of missed rows plus ``cost`` times that of wrongly
-    rejected rows: the middle of the gap between two neighbouring scores."""
+    rejected rows: the middle of the gap between two neighbouring scores.  ``rejected`` and ``accepted``
+    count the rows of each score; without ``accepted``, a score is one row, rejected or not."""
+    if accepted is None:
+        accepted = ~rejected
     order = np.argsort(-scores, kind="stable")
-    s, bad = scores[order], rejected[order]
+    s, bad, good = scores[order], rejected[order].astype(np.int64), accepted[order].astype(np.int64)
     missed = 1 - np.concatenate([[0], np.cumsum(bad)]) / max(1, bad.sum())
-    wrong = np.concatenate([[0], np.cumsum(~bad)]) / max(1, (~bad).sum())
+    wrong = np.concatenate([[0], np.cumsum(good)]) / max(1, good.sum())
     loss = missed + cost * wrong
     loss[1:-1][s[1:] == s[:-1]] = np.inf       # equal scores stay on one side
     k = int(np.argmin(loss))
@@ -172,37 +183,120 @@ def calibrate(scores: np.ndarray, rejected: np.ndarray, cost: float = FALSE_REJE
     return float((s[k - 1] + s[k]) / 2) if k < len(s) else float(s[-1])
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Forest | None:
-    """Grow and calibrate the forest on at most ``sample_rows`` labelled rows (documented bound:
-    their ids are broadcast and only their statistics reach the driver)."""
-    ids = sample_ids(labels.where("quality is not null").select("doc_id", "quality"), sample_rows)
-    rows = text_rows(docs).join(F.broadcast(ids), "doc_id").select("text", "quality")
-
+def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(f, bad, same) of every labelled row that passes the base rules, ``same`` being a hash of the row; texts are not
+    shuffled, only their features."""
     def make():
         def run(rows):
-            for text, quality in rows:
+            for doc_id, text in rows:
                 counts, feats = rule_stats(text)
                 if not base_failed(counts[0], counts[4]):
-                    yield (list(feats), quality)
+                    yield (doc_id, list(feats))
         return run
 
-    # an id may stand for many rows: which of them fit is decided by a hash of their statistics
-    got = map_rows(rows, "f array<double>, quality int", make).orderBy(F.xxhash64("f"), "f", "quality").limit(4 * sample_rows).collect()
-    bad = np.array([r.quality == 0 for r in got], bool)
-    if len(got) < 8 or bad.all() or not bad.any():
+    marks = labels.where("quality is not null and doc_id is not null").select("doc_id", (F.col("quality") == 0).alias("bad"))
+    return map_rows(text_rows(docs).where("doc_id is not null"), "doc_id bigint, f array<double>", make).join(marks, "doc_id").select(
+        "f", "bad", F.xxhash64("doc_id", "f").alias("same"))
+
+
+def quantiles(rows: DataFrame, shares: list[float]) -> np.ndarray:
+    """share x feature: of every feature the value below or at which so large a share of all rows lies, found by
+    counting the rows in bins and again inside the bin that holds the quantile (BINS ** ROUNDS bins in all)."""
+    n_features = len(rows.first().f)
+    n = rows.count()
+    ends = rows.agg(*[g(F.col("f")[i]) for g in (F.min, F.max) for i in range(n_features)]).first()
+    lo = np.tile(np.array(ends[:n_features], float), (len(shares), 1))
+    hi = np.tile(np.array(ends[n_features:], float), (len(shares), 1))
+    rank = np.array([max(1, int(np.ceil(q * n))) for q in shares])[:, None] * np.ones((1, n_features), np.int64)
+    schema = "q int, feature int, bin int, n bigint"
+    for _ in range(ROUNDS):
+        width = np.where(hi > lo, (hi - lo) / BINS, 1.0)
+
+        def run(batches, lo=lo, hi=hi, width=width):
+            total = np.zeros((len(shares), n_features, BINS + 1), np.int64)       # the first bin: below lo
+            for batch in batches:
+                x = batch.column(0).flatten().to_numpy().reshape(-1, n_features)
+                for q in range(len(shares)):
+                    at = np.clip(np.floor((x - lo[q]) / width[q]), 0, BINS - 1).astype(np.int64) + 1
+                    at[x < lo[q]] = 0
+                    for f in range(n_features):
+                        inside = x[:, f] <= hi[q, f]
+                        total[q, f] += np.bincount(at[inside, f], minlength=BINS + 1)
+            where = np.nonzero(total)
+            if len(where[0]):
+                yield pa.RecordBatch.from_arrays([*(pa.array(w.astype(np.int32)) for w in where), pa.array(total[where])], names=["q", "feature", "bin", "n"])
+
+        counted = np.zeros((len(shares), n_features, BINS + 1), np.int64)
+        for r in rows.select("f").mapInArrow(run, schema).groupBy("q", "feature", "bin").agg(F.sum("n").alias("n")).collect():
+            counted[r.q, r.feature, r.bin] = r.n
+        at = (np.cumsum(counted, axis=2) < rank[:, :, None]).sum(axis=2)          # the bin that holds the rank
+        at = np.clip(at - 1, 0, BINS - 1)
+        lo, hi = lo + at * width * (hi > lo), np.where(hi > lo, np.minimum(hi, lo + (at + 1) * width), hi)
+    return (lo + hi) / 2
+
+
+def tree_rows(rows: DataFrame, rejected_weight: float, n: int, size: int) -> list[np.ndarray]:
+    """For each tree ``size`` of all rows, drawn by a hash of the row and the tree; a rejected row is drawn
+    with a weight.  Rows beyond a bound that ``size`` rows stay below all but surely are left out at once."""
+    bound = min(1.0, (size + 12 * np.sqrt(size)) / max(n, 1))
+
+    def run(batches):
+        for batch in batches:
+            f = batch.column(0).flatten().to_numpy().reshape(batch.num_rows, -1)
+            bad = batch.column(1).to_numpy(zero_copy_only=False)
+            same = batch.column(2).to_numpy().view(np.uint64)
+            for t in range(TREES):
+                u = (_mix(same ^ _mix(np.full(1, t, np.int64)))) / np.float64(2 ** 64)
+                u[bad] /= max(rejected_weight, 1e-9)
+                at = np.flatnonzero(u <= bound)
+                if len(at):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), t, np.int32)), pa.array(u[at]), batch.column(0).take(pa.array(at))],
+                                                     names=["tree", "u", "f"])
+
+    got = rows.select("f", "bad", "same").mapInArrow(run, "tree int, u double, f array<double>").collect()
+    out = []
+    for t in range(TREES):
+        own = sorted((r.u, tuple(r.f)) for r in got if r.tree == t)[:size]
+        out.append(np.array([f for _, f in own]))
+    return [x for x in out if len(x)]
+
+
+def fit(docs: DataFrame, labels: DataFrame) -> Forest | None:
+    """Grow and calibrate the forest on all labelled rows.  What reaches the driver is bounded: counts by bin,
+    and the rows that the trees drew."""
+    rows = saved(labelled(docs, labels), "quality-labelled")
+    sizes = {r.bad: r["count"] for r in rows.groupBy("bad").count().collect()}
+    n_good, n_bad = sizes.get(False, 0), sizes.get(True, 0)
+    if n_good + n_bad < 8 or not n_good or not n_bad:
         return None
-    x = np.array([r.f for r in got])
-    order = np.lexsort((*x.T, bad))
-    x, bad = x[order], bad[order]
-    good = np.flatnonzero(~bad)
-    few = np.flatnonzero(bad)
-    take = max(1, min(len(few), int(len(good) * REJECTED_SHARE)))
-    few = few[np.linspace(0, len(few) - 1, take).astype(int)]
-    forest = grow_forest(x[good], x[few])
-    forest.threshold = calibrate(forest.score(x), bad)
+    low, middle, high = quantiles(rows.where("not bad"), [1 - SPREAD, 0.5, SPREAD])
+    weight = min(1.0, max(1.0, n_good * REJECTED_SHARE) / n_bad)
+    n = n_good + weight * n_bad
+    samples = tree_rows(rows, weight, int(n), min(LEAF_SAMPLE, max(8, int(n))))
+    forest = grow_trees(samples, middle, low, high, np.random.default_rng(7))
+    forest.threshold = threshold(rows, forest)
+    emptied(rows)
     return forest
 
 
+def threshold(rows: DataFrame, forest: Forest) -> float:
+    """``calibrate`` over every row of (f, bad), by their counts in SCORE_BINS bins of the score."""
+    def run(batches):
+        total = np.zeros((2, SCORE_BINS), np.int64)
+        for batch in batches:
+            f = batch.column(0).flatten().to_numpy().reshape(batch.num_rows, -1)
+            bad = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
+            np.add.at(total, (bad, np.minimum((forest.score(f) * SCORE_BINS).astype(np.int64), SCORE_BINS - 1)), 1)
+        at = np.flatnonzero(total.any(axis=0))
+        if len(at):
+            yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[0, at]), pa.array(total[1, at])], names=["bin", "good", "bad"])
+
+    got = rows.select("f", "bad").mapInArrow(run, "bin int, good bigint, bad bigint").groupBy("bin").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad")).collect()
+    got.sort(key=lambda r: -r.bin)
+    s = (np.array([r.bin for r in got]) + 0.5) / SCORE_BINS
+    return calibrate(s, np.array([r.bad for r in got]), np.array([r.good for r in got]))
+
+
 def base_failed(n_words: int, n_repeat_words: int) -> bool:
     return n_words < MIN_WORDS or 100 * n_repeat_words > MAX_REPEAT_PCT * n_words
 
