@@ -54,6 +54,9 @@ def _c(x) -> Column:
 # anchored at the start of a non-space run (where its leftmost match always begins) and a
 # look-ahead skips runs without '@' in one pass, instead of backtracking from every
 # position.  Same matches as RE_URL / RE_EMAIL / RE_PHONE on collapsed text.
+# A blank that stands alone is already what a run collapses to, so most matches of RE_SPACES change nothing:
+# only runs that begin with another white space, or go on after a blank, are replaced.
+RE_SPACES_CHANGED = "[" + WS[1:-1].replace(" ", "", 1) + "]" + WS + "*| " + WS + "+"
 RE_URL_COLLAPSED = r"http[^ ]+|www[^ ]+|https[^ ]+"
 RE_EMAIL_COLLAPSED = r"(?<![^ ])(?=[^ @]*@)[^ ]+@[^ ]+"
 RE_PHONE_COLLAPSED = r"\(?" + DIGIT + r"{3}\)?[-. ]?" + DIGIT + "{3}[-. ]?" + DIGIT + "{4}"
@@ -63,7 +66,7 @@ def clean_text(text) -> Column:
     """lower -> collapse newlines -> collapse whitespace -> drop URLs, e-mails, phone numbers."""
     t = F.lower(_c(text))
     t = F.regexp_replace(t, RE_NEWLINES, "\n")
-    t = F.regexp_replace(t, RE_SPACES, " ")
+    t = F.regexp_replace(t, RE_SPACES_CHANGED, " ")
     t = F.regexp_replace(t, RE_URL_COLLAPSED, "")
     t = F.regexp_replace(t, RE_EMAIL_COLLAPSED, "")
     return F.regexp_replace(t, RE_PHONE_COLLAPSED, "")

@@ -9,6 +9,10 @@ partitioning, so no further exchange is planned.
 
 from __future__ import annotations
 
+from collections import Counter
+from heapq import nlargest, nsmallest
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,9 +40,45 @@ def keyword_counts(docs: DataFrame, id_col: str, text_col: str, clean: bool = Tr
 
 
 def top_keywords(docs: DataFrame, id_col: str, text_col: str, k: int = 20) -> DataFrame:
-    """Top-k n-grams per document by count (ties by keyword)."""
-    kc = keyword_counts(docs, id_col, text_col)
-    return top_k_per(kc, [id_col], [F.col("count").desc(), F.col("keyword")], k)
+    """Top-k n-grams per document by count (ties by keyword).
+
+    The texts of an id are one group, whose n-grams are counted there: no row is formed, sorted or spilled for
+    an n-gram that is not among the first k."""
+    # stop words drop out in the helper below: a text's tokens travel as one string
+    toks = (by_doc(docs.select(id_col, text_col), id_col)
+            .select(id_col, F.array_join(tx.tokens(tx.clean_text(F.col(text_col))), " ").alias("toks"))
+            .groupBy(id_col).agg(_first_ngrams(k)(F.col("toks")).alias("first")))
+    first = toks.select(id_col, F.inline("first"))
+    return top_k_per(first, [id_col], [F.col("count").desc(), F.col("keyword")], k)
+
+
+def _first_ngrams(k: int):
+    """The first ``k`` 1-3-grams, by count and keyword, of the texts of a group (tokens joined by blanks)."""
+    stop = frozenset(cat.KEYWORD_STOP_WORDS)
+
+    def first(texts: pa.Array) -> list:
+        parts = [[w for w in (text.as_py() or "").split(" ") if w and w not in stop] for text in texts]
+        count = Counter()
+        for toks in parts:
+            count.update(toks)
+        if not count:
+            return []
+        # an n-gram is at most as frequent as its words: with k words ahead, those of rarer words do not matter
+        least = nlargest(k, count.values())[-1] if len(count) >= k else 1
+        often = {w for w, n in count.items() if n >= least}
+        for toks in parts:
+            known = [w in often for w in toks]
+            pairs = [(a, b) for a, b, x, y in zip(toks, toks[1:], known, known[1:]) if x and y]
+            count.update(map(" ".join, pairs))
+            count.update([f"{a} {b} {c}" for a, b, c, x, y, z in zip(toks, toks[1:], toks[2:], known, known[1:], known[2:]) if x and y and z])
+        least = nlargest(k, count.values())[-1]
+        sure = [(w, n) for w, n in count.items() if n > least]
+        # code points sort as their UTF-8 bytes do
+        ties = nsmallest(k - len(sure), (w for w, n in count.items() if n == least))
+        return [{"keyword": w, "count": n} for w, n in [*sure, *((w, least) for w in ties)]]
+
+    schema = "array<struct<keyword:string,count:bigint>>"
+    return F.arrow_udf(first, schema)
 
 
 # -------------------------------------------------------------------- skills ---

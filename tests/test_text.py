@@ -142,3 +142,26 @@ def test_candidate_phrases_of_short_texts(spark):
     got = {(r.id, r.phrase): r.first_pos for r in dc.candidate_phrases(df, "id", "clean").collect()}
     assert got == {(1, "gear"): 0, (1, "gear red"): 0, (1, "gear red gear"): 0, (1, "red"): 1, (1, "red gear"): 1,
                    (1, "red gear red"): 1, (4, "blue"): 0}
+
+
+def test_top_keywords_count_all_rows_of_an_id_and_form_no_row_for_a_rare_ngram(spark):
+    from collections import Counter
+    rows = [(1, "river mill river mill stone"), (1, "mill stone é " + " ".join(f"w{i}" for i in range(300))), (2, None), (3, ""), (None, "river boat"), (None, "boat")]
+    df = spark.createDataFrame(rows, "id bigint, text string").repartition(3)
+    want = {}
+    for i, text in rows:
+        t = [w for w in (text or "").split() if len(w) > 1]
+        want.setdefault(i, Counter()).update(" ".join(t[a:a + n]) for n in (1, 2, 3) for a in range(len(t) - n + 1))
+    want = {(i, r, w, n) for i, c in want.items() for r, (w, n) in enumerate(sorted(c.items(), key=lambda x: (-x[1], x[0]))[:20], 1)}
+    out = dc.top_keywords(df, "id", "text")
+    assert {(r.id, r["rank"], r.keyword, r["count"]) for r in out.collect()} == want
+    # the explosion of every n-gram is what spilled on larger tables
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "explode" not in plan.lower().replace("inline", "")
+
+
+def test_collapsing_only_what_changes_is_the_same(spark):
+    texts = [" a", "a  b", "a\t b", "a \n\u00a0 b ", "a b c", "\u3000x", "  ", "a \x85", "\x1c \x1d y"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    out = df.select(F.regexp_replace("t", tx.RE_SPACES, " ").alias("a"), F.regexp_replace("t", tx.RE_SPACES_CHANGED, " ").alias("b")).collect()
+    assert all(r.a == r.b for r in out)
