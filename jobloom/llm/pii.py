@@ -6,12 +6,14 @@ could be a card, a phone number or an address, and written-out e-mail addresses.
 score format and context features of each candidate; a threshold for each kind, calibrated on
 rows the trees have not seen, selects spans, best score first, that overlap nothing selected.
 
-The trees learn from a bounded sample of documents: base spans there, also rewritten into
+The trees learn from all documents: base spans there, also rewritten into
 other notations and run together with a neighbour, are positive; candidates that cut across
-them or stand for nothing are negative; look-alikes that pass a validator are left out.
+them or stand for nothing are negative; look-alikes that pass a validator are left out.  Equal
+learning rows are one with a weight; the sums that a level of a tree is split by, and the counts
+that the bins and thresholds come from, are taken over all of them by Spark.
 
 Defined cases: a null or empty text has no span; ties between candidates go to the earlier,
-then the longer one; repeated rows get the same spans; without a sample that holds both
+then the longer one; repeated rows get the same spans; without documents that hold both
 outcomes only base spans are returned; an empty table gives an empty result; other columns
 are kept by ``redact`` and not read elsewhere.
 """
@@ -27,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows, text_rows
+from .common import emptied, map_rows, saved, text_rows
 
 # fixed values: the kinds in their order, and the base patterns of the contract
 KINDS = ("email", "ip", "card", "phone")
@@ -40,8 +42,9 @@ EMAIL_NAME = re.compile(r"[A-Za-z0-9._%+-]+")
 CUES = ("call", "tel", "phone", "mobile", "fax", "contact", "mail", "card", "visa", "pay", "ip", "address", "from", "host")
 DECOYS = ("order", "invoice", "version", "release", "isbn", "ref", "ticket", "page", "id", "no.", "token", "password")
 
-SAMPLE_DOCS = 4000        # documents the trees may learn from at most
-SAMPLE_ROWS = 20_000      # candidates of these at most
+ROWS_A_TASK, MOST_TASKS = 50_000, 256      # of the learning rows; a task sends one array of sums a level
+LARGEST = 1000            # a feature's cuts lie up to here
+SCORE_BINS = 1 << 14      # scores that a threshold may lie between
 ROUNDS, DEPTH, BINS, RATE, LEAST_ROWS = 40, 3, 32, 0.3, 8
 PRECISION = 0.98          # a threshold must reach this on unseen rows
 RUN = re.compile(r"[+(]?[0-9][0-9().\x20/-]*")
@@ -171,50 +174,65 @@ class Boosted:
         return 1 / (1 + np.exp(-z))
 
 
-def boost(x: np.ndarray, y: np.ndarray) -> Boosted:
-    """Gradient boosting for the logistic loss; splits are sought over quantile bins."""
-    cuts = [np.unique(np.quantile(x[:, f], np.linspace(0, 1, BINS + 1)[1:-1])) for f in range(x.shape[1])]
-    binned = np.stack([np.searchsorted(c, x[:, f]) for f, c in enumerate(cuts)], 1)
-    bias = float(np.log((y.mean() + 1e-6) / (1 - y.mean() + 1e-6)))
-    z, trees, nodes = np.full(len(x), bias), [], 2 ** (DEPTH + 1) - 1
+def _walk(binned: np.ndarray, feature: np.ndarray, cut: np.ndarray, depth: int) -> np.ndarray:
+    """The node that each row reaches; a node without a split hands all rows to the left."""
+    at, rows = np.zeros(len(binned), np.int64), np.arange(len(binned))
+    for _ in range(depth):
+        f = feature[at]
+        at = 2 * at + 1 + ((f >= 0) & (binned[rows, np.maximum(f, 0)] > cut[at]))
+    return at
+
+
+def level_sums(binned: np.ndarray, y: np.ndarray, weight: np.ndarray, bias: float, trees: list, feature: np.ndarray, cut: np.ndarray,
+               level: int) -> np.ndarray:
+    """node x feature x bin x (gradient, second derivative, rows): sums over rows that have come to a level of a tree."""
+    z = np.full(len(binned), bias)
+    for f, c, value in trees:
+        z += value[_walk(binned, f, c, DEPTH)]
+    p = 1 / (1 + np.exp(-z))
+    g, h = weight * (y - p), weight * np.maximum(p * (1 - p), 1e-9)
+    node = _walk(binned, feature, cut, level) - (2 ** level - 1)
+    n, cells = binned.shape[1], 2 ** level * binned.shape[1] * BINS
+    cell = ((node[:, None] * n + np.arange(n)) * BINS + binned).ravel()
+    return np.stack([np.bincount(cell, np.repeat(v, n), cells) for v in (g, h, weight)], 1).reshape(2 ** level, n, BINS, 3)
+
+
+def grow(cuts: list[np.ndarray], share: float, sums) -> Boosted:
+    """Gradient boosting for the logistic loss; splits are sought over the bins between ``cuts``.
+    ``sums(bias, trees, feature, cut, level)`` are ``level_sums`` over all rows, ``share`` is that of outcome 1."""
+    bias = float(np.log((share + 1e-6) / (1 - share + 1e-6)))
+    trees, nodes = [], 2 ** (DEPTH + 1) - 1
     for _ in range(ROUNDS):
-        p = 1 / (1 + np.exp(-z))
-        g, h = y - p, np.maximum(p * (1 - p), 1e-9)
-        feature, cut, value = np.full(nodes, -1), np.zeros(nodes), np.zeros(nodes)
-        rows_of = {0: np.arange(len(x))}
-        for node in range(nodes):
-            rows = rows_of.pop(node, None)
-            if rows is None:
-                continue
-            gs, hs = g[rows].sum(), h[rows].sum()
-            value[node] = RATE * gs / (hs + 1.0)
-            best, where = 1e-6, None
-            if node < 2 ** DEPTH - 1 and len(rows) >= 2 * LEAST_ROWS:
+        feature, cut, value = np.full(nodes, -1), np.zeros(nodes, np.int64), np.zeros(nodes)
+        for level in range(DEPTH):
+            total = sums(bias, trees, feature, cut, level)
+            for j, own in enumerate(total):
+                node = 2 ** level - 1 + j
+                gs, hs, n = own[0].sum(0)
+                left, best = own[0].sum(0), 1e-6
                 for f, c in enumerate(cuts):
-                    if not len(c):
+                    if n < 2 * LEAST_ROWS or not len(c):
                         continue
-                    b = binned[rows, f]
-                    gl = np.cumsum(np.bincount(b, g[rows], len(c) + 1))[:-1]
-                    hl = np.cumsum(np.bincount(b, h[rows], len(c) + 1))[:-1]
-                    nl = np.cumsum(np.bincount(b, minlength=len(c) + 1))[:-1]
+                    gl, hl, nl = np.cumsum(own[f], 0)[:len(c)].T
                     gain = gl ** 2 / (hl + 1) + (gs - gl) ** 2 / (hs - hl + 1) - gs ** 2 / (hs + 1)
-                    gain[(nl < LEAST_ROWS) | (len(rows) - nl < LEAST_ROWS)] = 0
+                    gain[(nl < LEAST_ROWS) | (n - nl < LEAST_ROWS)] = 0
                     k = int(gain.argmax())
                     if gain[k] > best:
-                        best, where = gain[k], (f, k)
-            left = rows
-            if where:
-                feature[node], cut[node] = where[0], cuts[where[0]][where[1]]
-                go = binned[rows, where[0]] > where[1]
-                left, rows_of[2 * node + 2] = rows[~go], rows[go]
-            if node < 2 ** DEPTH - 1:
-                rows_of[2 * node + 1] = left          # a node without a split hands all rows to the left
-            else:
-                z[rows] += value[node]
-        inner = slice(0, 2 ** DEPTH - 1)
-        value[inner] = 0
+                        best, feature[node], cut[node] = gain[k], f, k
+                        left = np.array([gl[k], hl[k], nl[k]])
+                if level == DEPTH - 1:
+                    right = np.array([gs, hs, n]) - left
+                    value[2 * node + 1], value[2 * node + 2] = RATE * left[0] / (left[1] + 1), RATE * right[0] / (right[1] + 1)
         trees.append((feature, cut, value))
-    return Boosted(trees, bias, {})
+    real = [(f, np.array([cuts[i][k] if i >= 0 else 0.0 for i, k in zip(f, c)]), v) for f, c, v in trees]
+    return Boosted(real, bias, {})
+
+
+def boost(x: np.ndarray, y: np.ndarray) -> Boosted:
+    """``grow`` over rows in memory, with quantiles as cuts."""
+    cuts = [np.unique(np.quantile(x[:, f], np.linspace(0, 1, BINS + 1)[1:-1])) for f in range(x.shape[1])]
+    binned = np.stack([np.searchsorted(c, x[:, f]) for f, c in enumerate(cuts)], 1)
+    return grow(cuts, float(y.mean()), lambda *tree: level_sums(binned, y, np.ones(len(y)), *tree))
 
 
 # ---------------------------------------------------------------- learning rows
@@ -288,40 +306,98 @@ def _plausible(text: str, span: Span) -> bool:
     return kind == "card" and luhn(_digits(s)) or kind == "phone" and s[0] in "+(" or kind == "email"
 
 
-def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_rows: int = SAMPLE_ROWS) -> Boosted | None:
-    """Boosted trees from at most ``sample_docs`` documents that hold a digit or an at sign, chosen by
-    a hash of their ids, and at most ``sample_rows`` candidates in them (documented bounds)."""
-    ids = (docs.where("doc_id is not null and text rlike '[0-9@]'").select("doc_id")
-           .orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs).distinct())
-    rows = text_rows(docs).join(F.broadcast(ids), "doc_id")
+def _arrays(batch: pa.RecordBatch, *names: str) -> list[np.ndarray]:
+    """Columns of a batch of learning rows; the features as a matrix."""
+    out = []
+    for name in names:
+        c = batch.column(batch.schema.get_field_index(name))
+        out.append(c.flatten().to_numpy().reshape(batch.num_rows, -1) if name == "f" else c.to_numpy(zero_copy_only=False))
+    return out
+
 
+def learning_table(docs: DataFrame) -> DataFrame:
+    """(f, y, kind, unseen, weight): the learning rows of all documents, equal ones as one with their number."""
     def make():
         def run(rows):
             for doc_id, text in rows:
                 for f, y, kind in learning_rows(text or ""):
-                    yield ([float(v) for v in f], y, kind, doc_id)
+                    yield ([float(v) for v in f], y, kind, doc_id % 3 == 0)
         return run
-    got = (map_rows(rows, "f array<double>, y int, kind int, doc_id bigint", make)
-           .orderBy(F.xxhash64("doc_id"), "doc_id", "kind", "y", "f").limit(sample_rows).collect())
-    if not got:
-        return None
-    x, y = np.array([r.f for r in got]), np.array([r.y for r in got], float)
-    kind, unseen = np.array([r.kind for r in got]), np.array([r.doc_id % 3 == 0 for r in got])
-    if len(set(y[~unseen])) < 2 or not unseen.any():
+
+    rows = map_rows(text_rows(docs).where("doc_id is not null and text rlike '[0-9@]'"), "f array<double>, y int, kind int, unseen boolean", make)
+    return saved(rows.groupBy("f", "y", "kind", "unseen").agg(F.count("*").cast("double").alias("weight")), "pii-learning")
+
+
+def quantile_cuts(rows: DataFrame) -> list[np.ndarray]:
+    """For each feature the BINS - 1 quantiles over all rows by weight.  Values count up to LARGEST and in
+    thousandths (shares), so that what reaches the driver is bounded: counts of at most LARGEST values a feature."""
+    counted = (rows.select("weight", F.posexplode("f").alias("feature", "v"))
+               .groupBy("feature", F.least(F.round("v", 3), F.lit(float(LARGEST))).alias("v")).agg(F.sum("weight").alias("n")).collect())
+    cuts = []
+    for f in range(1 + max(r.feature for r in counted)):
+        v, n = np.array(sorted((r.v, r.n) for r in counted if r.feature == f)).T
+        at = np.searchsorted(np.cumsum(n), np.linspace(0, 1, BINS + 1)[1:-1] * n.sum())
+        cuts.append(np.unique(v[np.minimum(at, len(v) - 1)]))
+    return cuts
+
+
+def fit(docs: DataFrame) -> Boosted | None:
+    """Boosted trees and thresholds from all documents that hold a digit or an at sign."""
+    rows = learning_table(docs)
+    n = {(r.unseen, r.y): (r.n, r.rows) for r in rows.groupBy("unseen", "y").agg(F.sum("weight").alias("n"), F.count("*").alias("rows")).collect()}
+    if len([k for k in n if not k[0]]) < 2 or not any(unseen for unseen, _ in n):
         return None
-    model = boost(x[~unseen], y[~unseen])
-    score = model.score(x)
+    learn = rows.where("not unseen")
+    cuts = quantile_cuts(learn)
+
+    def bins(batches):
+        for batch in batches:
+            x, y, weight = _arrays(batch, "f", "y", "weight")
+            b = np.stack([np.searchsorted(c, x[:, f]) for f, c in enumerate(cuts)], 1)
+            yield pa.RecordBatch.from_arrays([pa.FixedSizeListArray.from_arrays(pa.array(b.astype(np.int8).ravel()), b.shape[1]).cast(pa.list_(pa.int8())),
+                                              pa.array(y.astype(np.int32)), pa.array(weight)], names=["f", "y", "weight"])
+
+    # rows that fall into the same bins are one; in order, so that sums round alike in every run
+    tasks = max(1, min(MOST_TASKS, sum(r for (unseen, _), (_, r) in n.items() if not unseen) // ROWS_A_TASK))
+    binned = saved(learn.select("f", "y", "weight").mapInArrow(bins, "f array<tinyint>, y int, weight double")
+                   .groupBy("f", "y").agg(F.sum("weight").alias("weight")).repartition(tasks, "f").sortWithinPartitions("f", "y"), "pii-binned")
+
+    def sums(bias, trees, feature, cut, level):
+        def run(batches):
+            total = 0
+            for batch in batches:
+                x, y, weight = _arrays(batch, "f", "y", "weight")
+                total = total + level_sums(x.astype(np.int64), y, weight, bias, trees, feature, cut, level)
+            if not isinstance(total, int):
+                yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()])], names=["sums"])
+        got = binned.mapInArrow(run, "sums binary").collect()
+        return sum(np.frombuffer(r.sums) for r in got).reshape(2 ** level, len(cuts), BINS, 3)
+
+    model = grow(cuts, n[False, 1][0] / (n[False, 0][0] + n[False, 1][0]), sums)
+
+    def scores(batches):
+        for batch in batches:
+            x, y, kind, weight = _arrays(batch, "f", "y", "kind", "weight")
+            at = np.minimum((model.score(x) * SCORE_BINS).astype(np.int32), SCORE_BINS - 1)
+            yield pa.RecordBatch.from_arrays([pa.array(kind), pa.array(at), pa.array(weight * y), pa.array(weight)], names=["kind", "bin", "right", "n"])
+
+    counted = (rows.where("unseen").mapInArrow(scores, "kind int, bin int, right double, n double")
+               .groupBy("kind", "bin").agg(F.sum("right").alias("right"), F.sum("n").alias("n")).collect())
     for k, name in enumerate(KINDS):
-        model.thresholds[name] = calibrate(score[unseen & (kind == k)], y[unseen & (kind == k)])
+        own = [r for r in counted if r.kind == k]
+        model.thresholds[name] = calibrate(*(np.array(c, float) for c in ([(r.bin + 0.5) / SCORE_BINS for r in own], [r.right for r in own], [r.n for r in own])))
+    for done in (rows, binned):
+        emptied(done)
     return model
 
 
-def calibrate(score: np.ndarray, y: np.ndarray) -> float:
-    """The lowest threshold of at least a half whose precision on these rows reaches PRECISION."""
+def calibrate(score: np.ndarray, y: np.ndarray, n: np.ndarray | None = None) -> float:
+    """The lowest threshold of at least a half whose precision on these rows reaches PRECISION; with ``n``, a score
+    stands for so many rows, ``y`` of which are right."""
     if not len(y) or not y.any():
         return 2.0
     order = np.argsort(-score, kind="stable")
-    s, right = score[order], np.cumsum(y[order]) / np.arange(1, len(y) + 1)
+    s, right = score[order], np.cumsum(y[order]) / np.cumsum(np.ones(len(y)) if n is None else n[order])
     last = np.append(s[1:] < s[:-1], True)          # equal scores are taken together
     ok = np.flatnonzero(last & (right >= PRECISION))
     if not len(ok):

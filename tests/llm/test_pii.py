@@ -97,3 +97,17 @@ def test_numbers_written_digit_by_digit_are_proposed():
     spans = set(pii.candidates(text))
     assert ("phone", 5, 5 + len(phone)) in spans and ("card", text.index(card), text.index(card) + len(card)) in spans
     assert len(pii.candidates("1 " * 5000)) <= 5000 * 15          # 19 digits bound a candidate
+
+
+def test_trees_learn_from_all_documents(spark):
+    """More documents than the former bound of 4000: every learning row is counted, and sums taken by tasks
+    grow the trees that plain numpy grows."""
+    d = sample(spark, 4500)
+    want = [(tuple(map(float, f)), y, kind, r.doc_id % 3 == 0) for r in d.collect() for f, y, kind in pii.learning_rows(r.text)]
+    rows = pii.learning_table(d.repartition(3)).collect()
+    assert sum(r.weight for r in rows) == len(want) and {(tuple(r.f), r.y, r.kind, r.unseen) for r in rows} == set(want)
+    x, y = np.array([w[0] for w in want if not w[3]]), np.array([w[1] for w in want if not w[3]], float)
+    got, plain = pii.fit(d.repartition(3)), pii.boost(x, y)
+    assert abs(got.bias - plain.bias) < 1e-9
+    assert ((got.score(x) > .5) == (plain.score(x) > .5)).mean() > .995
+    assert all((a[2] == b[2]).all() for a, b in zip(got.trees, pii.fit(d.repartition(5)).trees))
