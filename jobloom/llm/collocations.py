@@ -39,6 +39,7 @@ SCALE = 2_000_000
 INSIDE, WHOLE = 80, 100              # a phrase goes if a longer one has 80 of 100 of its occurrences
 SHARD_WORDS = 1 << 20
 SHARDS_A_FILE = 4            # so that a task is handed some MB at once
+PAIRS_AT_ONCE = 3 << 20      # pairs of words that a task sums before they are shuffled
 SEGMENT = 4 << 20                    # bytes of a text that are split at once, cut where a piece ends
 BLOOM_BITS = 1 << 26
 PROBES = 3
@@ -270,17 +271,37 @@ def _counts(rows: DataFrame, counts: Callable[[Shard], Iterator[tuple[pa.Array,
     return counted.groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
 
 
-def _pair_hashes(rows: DataFrame, known: Bloom) -> DataFrame:
-    """(h, f): the counts of pairs of words by a 64-bit hash, summed over the shards.  Pairs that share a hash are
-    counted together, so a frequent pair is never below its own count."""
+def _pair_rows(rows: DataFrame, known: Bloom) -> DataFrame:
+    """(h, f): the counts of pairs of words by a 64-bit hash, summed over shards of a task."""
     def run(batches):
+        held: list[tuple[np.ndarray, np.ndarray]] = []
         for batch in batches:
             for at in range(batch.num_rows):
-                for h, f in Shard(*(c[at].as_py() for c in batch.columns)).pair_hashes(known):
-                    for b in range(0, len(h), 50_000):
-                        yield pa.RecordBatch.from_arrays([pa.array(h[b:b + 50_000]), pa.array(f[b:b + 50_000].astype(np.int64))], names=["h", "f"])
+                held += Shard(*(c[at].as_py() for c in batch.columns)).pair_hashes(known)
+                if sum(len(h) for h, _ in held) >= PAIRS_AT_ONCE:
+                    yield from summed(held)
+                    held = []
+        yield from summed(held)
+
+    def summed(held):
+        """Pairs of several shards leave the task as one, in the order of their hashes."""
+        if not any(len(h) for h, _ in held):
+            return
+        h, f = (np.concatenate(x) for x in zip(*held))
+        order = np.argsort(h)
+        h, f = h[order], f[order].astype(np.int64)
+        first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+        h, f = h[first], np.add.reduceat(f, first)
+        for b in range(0, len(h), 50_000):
+            yield pa.RecordBatch.from_arrays([pa.array(h[b:b + 50_000]), pa.array(f[b:b + 50_000])], names=["h", "f"])
+
+    return rows.mapInArrow(run, "h bigint, f bigint")
 
-    return rows.mapInArrow(run, "h bigint, f bigint").repartition("h").groupBy("h").agg(F.sum("f").alias("f"))
+
+def _pair_hashes(rows: DataFrame, known: Bloom) -> DataFrame:
+    """(h, f): the counts of pairs of words by a 64-bit hash, summed over the shards.  Pairs that share a hash are
+    counted together, so a frequent pair is never below its own count."""
+    return _pair_rows(rows, known).repartition("h").groupBy("h").agg(F.sum("f").alias("f"))
 
 
 def frequent_phrases(docs: DataFrame, least: int = LEAST, shard_words: int = SHARD_WORDS, bloom_bits: int = BLOOM_BITS) -> DataFrame:

@@ -122,3 +122,15 @@ def test_edge_rows(spark):
     assert {tuple(r) for r in co.collocations(d, 3, 50).collect()} == brute(rows, 3, 50)
     assert co.collocations(d.limit(0)).collect() == []
     assert co.collocations(docs(spark, [(1, "..."), (2, None)]), 1).collect() == []
+
+
+def test_pairs_of_a_tasks_shards_leave_it_summed(spark):
+    """Many shards in one task: a pair is shuffled once for the task, not once for every shard."""
+    rows = [(i, "alpha beta gamma. beta gamma delta") for i in range(200)]
+    shards = co.saved(co.shards(docs(spark, rows).withColumn("lang", F.lit("en")).coalesce(1), 60), "test-shards").coalesce(1)
+    assert shards.count() > 10
+    words = spark.createDataFrame([("en", w) for w in ("alpha", "beta", "gamma", "delta")], "lang string, phrase string")
+    known = co.Bloom(words.select(F.xxhash64(F.concat_ws("\n", "lang", "phrase")).alias("h")))
+    counted = co._pair_hashes(shards, known)
+    assert sorted(r.f for r in counted.collect()) == [200, 200, 400]
+    assert co._pair_rows(shards, known).count() == 3
