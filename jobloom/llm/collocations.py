@@ -1,13 +1,13 @@
 """Phrase collocations mined from FM-indexes of word ids.
 
-Texts are cut into pieces and words; the words of a task's texts, by language, become shards of
-about ``SHARD_WORDS`` word ids, written once.  A shard's index is the Burrows-Wheeler transform
+Texts are cut into pieces and words; the words of a task's texts become shards of one language of
+about ``SHARD_WORDS`` word ids, written once; a task holds at most ``OPEN_SHARDS`` times that open.  A shard's index is the Burrows-Wheeler transform
 of its ids and that of the reversed ids, both in the order of the next four symbols, as no
 phrase is longer.  An interval of rows stands for all occurrences of a phrase; one step extends
 all intervals by every word to the left (in the one transform) or to the right (in the other) and
 keeps both intervals in step, so their sizes are the counts.
 
-Counts are summed over the shards in three rounds: words; pairs of words, by a 64-bit hash alone,
+Counts are summed over the shards in three rounds: words; pairs of words, by a hash alone,
 as most pairs are rare and need not be spelled out; phrases of two to four words.  A phrase can be
 frequent only if its parts are, so a round passes over what the round before found rare: a shard
 drops rare words from its text before it is indexed and extends no interval of rare pairs.  The frequent parts reach the shards as a Bloom filter of at most ``BLOOM_BITS`` bits.  It
@@ -38,11 +38,13 @@ LEAST, LONGEST, TOP = 30, 4, 2000
 SCALE = 2_000_000
 INSIDE, WHOLE = 80, 100              # a phrase goes if a longer one has 80 of 100 of its occurrences
 SHARD_WORDS = 1 << 20
+OPEN_SHARDS = 3              # a task's open shards hold this many times SHARD_WORDS at most
 SHARDS_A_FILE = 4            # so that a task is handed some MB at once
 PAIRS_AT_ONCE = 3 << 20      # pairs of words that a task sums before they are shuffled
 SEGMENT = 4 << 20                    # bytes of a text that are split at once, cut where a piece ends
 BLOOM_BITS = 1 << 26
 PROBES = 3
+PAIR_BITS = 40               # of a pair's hash; chance meetings only let a rare pair pass to the next round
 UNKNOWN = "und"
 
 # A-Z to lower case, signs between pieces to line feeds, the tab to a blank
@@ -81,15 +83,23 @@ def shards(docs: DataFrame, shard_words: int = SHARD_WORDS) -> DataFrame:
     """(lang, words, ids): the words of a shard, joined by line feeds, and its word ids (32 bits each)."""
     def run(batches):
         open_: dict[str, WordIds] = {}
-        held = 0
+        held: dict[str, int] = {}
+
+        def closed(lang):
+            del held[lang]
+            yield from _batches([open_.pop(lang).row(lang)])
+
+        # a shard is full by its own words, so that few short ones repeat the same phrases
         for batch in batches:
             for at in range(batch.num_rows):
                 lang, text = (c[at].as_py() for c in batch.columns)
-                held += open_.setdefault(lang, WordIds()).add(text)
-                if held >= shard_words:
-                    yield from _batches(ids.row(lang) for lang, ids in open_.items())
-                    open_, held = {}, 0
-        yield from _batches(ids.row(lang) for lang, ids in open_.items())
+                held[lang] = held.get(lang, 0) + open_.setdefault(lang, WordIds()).add(text)
+                if held[lang] >= shard_words:
+                    yield from closed(lang)
+                elif sum(held.values()) >= OPEN_SHARDS * shard_words:
+                    yield from closed(max(held, key=held.get))
+        for lang in list(open_):
+            yield from closed(lang)
 
     texts = docs.select(F.coalesce("lang", F.lit(UNKNOWN)).alias("lang"), "text").where("text <> ''")
     return texts.mapInArrow(run, "lang string, words binary, ids binary")
@@ -194,8 +204,8 @@ class Bloom:
 
     @staticmethod
     def pair(first: np.ndarray, second: np.ndarray) -> np.ndarray:
-        """The hashes of pairs of words out of the words' own."""
-        return first ^ ((second << np.uint64(21)) | (second >> np.uint64(43)))
+        """The hashes of pairs of words out of the words' own, PAIR_BITS of them."""
+        return (first ^ ((second << np.uint64(21)) | (second >> np.uint64(43)))) & np.uint64((1 << PAIR_BITS) - 1)
 
     def holds(self, h: np.ndarray) -> np.ndarray:
         low, high = h & np.uint64(0xFFFFFFFF), h >> np.uint64(32)
@@ -272,7 +282,7 @@ def _counts(rows: DataFrame, counts: Callable[[Shard], Iterator[tuple[pa.Array,
 
 
 def _pair_rows(rows: DataFrame, known: Bloom) -> DataFrame:
-    """(h, f): the counts of pairs of words by a 64-bit hash, summed over shards of a task."""
+    """(h, f): the counts of pairs of words by a hash, summed over shards of a task."""
     def run(batches):
         held: list[tuple[np.ndarray, np.ndarray]] = []
         for batch in batches:
@@ -299,7 +309,7 @@ def _pair_rows(rows: DataFrame, known: Bloom) -> DataFrame:
 
 
 def _pair_hashes(rows: DataFrame, known: Bloom) -> DataFrame:
-    """(h, f): the counts of pairs of words by a 64-bit hash, summed over the shards.  Pairs that share a hash are
+    """(h, f): the counts of pairs of words by a hash, summed over the shards.  Pairs that share a hash are
     counted together, so a frequent pair is never below its own count."""
     return _pair_rows(rows, known).repartition("h").groupBy("h").agg(F.sum("f").alias("f"))
 

@@ -134,3 +134,12 @@ def test_pairs_of_a_tasks_shards_leave_it_summed(spark):
     counted = co._pair_hashes(shards, known)
     assert sorted(r.f for r in counted.collect()) == [200, 200, 400]
     assert co._pair_rows(shards, known).count() == 3
+
+
+def test_shards_are_full_by_their_own_words(spark):
+    rows = [(("en", "de")[i % 2], "a b c d e f g h i j") for i in range(400)]
+    sizes = {}
+    for lang, _, ids in co.shards(frame(spark, rows).coalesce(1), 100).collect():
+        sizes.setdefault(lang, []).append(int(np.count_nonzero(np.frombuffer(ids, np.int32))))
+    assert {lang: sum(n) for lang, n in sizes.items()} == {"en": 2000, "de": 2000}
+    assert all(x >= 100 for n in sizes.values() for x in n)
