@@ -36,10 +36,10 @@ def q_encode_tfidf(spark, sf_dir):
     return model.transform(docs).select("doc_id", F.size("_words").cast("long").alias("n_terms"), "vector")
 
 
-def _fit(spark, a: Ats):
+def _fit(spark, a: Ats, counts):
     path = shared_dir(spark, "models", "relevance-" + uuid.uuid4().hex)
-    train = training_set(a).select("doc_id", "text", "label")
-    return rel.fit_relevance(train, "text", "label", path), train
+    train = counts.join(a.labels.select("doc_id", F.col("quality").alias("label")), "doc_id")
+    return rel.fit_relevance(train, "text", "label", path)
 
 
 @register("fit_relevance")
@@ -75,8 +75,11 @@ def q_encode_external(spark, sf_dir):
 
 
 def model_ranking(spark, a: Ats):
-    model, _ = _fit(spark, a)
-    scores = rel.score_relevance(model, a.documents.select("doc_id", "text"), "doc_id")
+    """Ranks of all documents by the fitted model; texts are cut once for the fit and the scores."""
+    counts = rel.term_counts(a.documents.select("doc_id", "text"), "text")
+    model = _fit(spark, a, counts)
+    # the ranking reads its input twice (range bounds, rows)
+    scores = rel.score_relevance(model, counts, "doc_id").checkpoint(eager=True)
     return rk.rank_by_score(scores.withColumnRenamed("p_yes", "score"), "doc_id")
 
 

@@ -83,3 +83,25 @@ def test_scores_from_the_saved_weights(spark, tmp_path):
         for i in r._tf.indices:
             df[int(i)] = df.get(int(i), 0) + 1
     assert all(abs(idf[i] - np.log((n + 1) / (k + 1))) < 1e-9 for i, k in df.items())
+
+
+def test_texts_are_cut_once_for_fit_and_scores(spark):
+    from types import SimpleNamespace
+
+    from jobloom.plans.relevance import model_ranking
+    train = _training(spark)
+    texts = train.select("doc_id", "text").localCheckpoint()
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+    docs = texts.mapInArrow(counted, "doc_id long, text string")
+    labels = train.where("doc_id < 120").select("doc_id", F.col("label").alias("quality"))
+    got = {r.doc_id: (r.rank, r.score) for r in model_ranking(spark, SimpleNamespace(documents=docs, labels=labels)).collect()}
+    assert read.value == 150
+    model = rel.fit_relevance(texts.join(labels, "doc_id").withColumnRenamed("quality", "label"), "text", "label")
+    want = {r.doc_id: r.p_yes for r in rel.score_relevance(model, texts, "doc_id").collect()}
+    assert set(got) == set(want) and all(abs(got[i][1] - want[i]) < 1e-6 for i in want)
+    assert [r for r, _ in sorted(got.values())] == list(range(150))
