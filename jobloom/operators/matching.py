@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scoring import experience_match_pct
 from .folding import BLOCK_SIZE, Postings, fold
-from .partitioning import spread
+from .partitioning import dealt
 from .sequence import with_sequence
 from .topk import top_k_per
 
@@ -158,7 +158,7 @@ def promising_lists(applicants: DataFrame, lists: DataFrame, k: int, block_size:
         return ([dict(zip(names, row)) for row in zip(*(x.tolist() for x in rows))],)
 
     one = "struct<lst:bigint,n:bigint,h:bigint,cents:bigint,first:bigint,last:bigint,sure:bigint>"
-    rows = spread(applicants.select("applicant_id", "y", "words", "applied"), "applicant_id")
+    rows = dealt(applicants.select("applicant_id", "y", "words", "applied"), "applicant_id")
     out = fold(rows, lists, "size", _Lists, step, {"kept": f"array<{one}>"}, {"kept": []}, block_size)
     return out.select("applicant_id", F.inline("kept")).select("applicant_id", "lst", "n", "h")
 
@@ -192,7 +192,7 @@ def best_people(lists: DataFrame, applicants: DataFrame, k: int, block_size: int
         return (out,)
 
     one = "struct<rkey:string,applicant_id:bigint,h:bigint,cents:bigint>"
-    rows = spread(lists.select("lst", "n", "words", "required"), "lst")
+    rows = dealt(lists.select("lst", "n", "words", "required"), "lst")
     out = fold(rows, applicants, "size", _People, step, {"top": f"array<{one}>"}, {"top": []}, block_size)
     return out.select("lst", F.inline("top")).select("lst", "rkey", "applicant_id", "h")
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def spread(df: DataFrame, *cols: str, num_partitions: int | None = None) -> DataFrame:
@@ -16,3 +17,13 @@ def spread(df: DataFrame, *cols: str, num_partitions: int | None = None) -> Data
     n = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
     return df.repartition(n, *cols)
 
+
+
+def dealt(df: DataFrame, *cols: str) -> DataFrame:
+    """Deal the rows of ``df`` anew for costly work on each of them, as many partitions as ``spread`` makes.
+
+    Where ``df`` is partitioned on ``cols`` already, as after a join, ``spread`` is planned away and AQE
+    coalesces the join's small output into few tasks; a hash of ``cols`` is a partitioning of its own.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    return df.repartition(n, F.xxhash64(*cols))

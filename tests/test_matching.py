@@ -4,6 +4,7 @@ import random
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from jobloom.functions import scoring as sc
 from jobloom.operators import fuzzy as fz
@@ -155,3 +156,20 @@ def test_only_promising_lists_are_formed(spark):
         mt.promising_lists = real
     assert got == {a: [0, 1] for a in range(5)}
     assert seen[0].count() == 10            # two of the 200 lists that share a skill, for each applicant
+
+
+def test_rows_joined_on_their_key_are_dealt_to_all_tasks(spark):
+    """The join that makes the rows is partitioned on their key already; its output is small, the work on it is not."""
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    words = spark.range(400).selectExpr("id as lst", "id % 50 as w").groupBy("lst").agg(F.collect_list("w").alias("words"))
+    required = spark.range(400).selectExpr("id as lst", "cast(id % 3 as double) as y").groupBy("lst").agg(
+        F.collect_set(F.struct(F.col("y").cast("string").alias("rkey"), F.col("y").alias("req_years"))).alias("required"))
+    lists = words.hint("merge").join(required, "lst").withColumn("n", F.lit(2))
+    people = spark.range(100).selectExpr("xxhash64(id) as _key", "id as _id", "double(id % 9) as y", "array(id % 50) as words", "1L as size")
+    top = mt.best_people(lists, people, 3)
+    assert top.rdd.getNumPartitions() == n > 1 and top.count() == 800
+    applicants = words.hint("merge").join(spark.range(400).selectExpr("id as lst", "double(id % 9) as y").groupBy("lst").agg(F.max("y").alias("y")), "lst")
+    applicants = applicants.withColumnRenamed("lst", "applicant_id").withColumn("applied", F.array().cast("array<bigint>"))
+    blocks = spark.range(50).selectExpr("id as _key", "2 as n", "array(id) as words", "1L as size", "1.0D as low", "false as any_null",
+                                        "id as first", "id as last")
+    assert mt.promising_lists(applicants, blocks, 3).rdd.getNumPartitions() == n
