@@ -9,7 +9,8 @@ table by an equi-join, and the complete distance is verified on the matches.
 
 Exact copies meet in one fingerprint before any join.  The lookup is an inner equi-join, whose
 skewed partitions Spark splits at run time, and what a task verifies leaves it as a spanning
-forest, so that no group is spelled out in pairs; no link is lost.
+forest, so that no group is spelled out in pairs; no link is lost.  Joins of fingerprints are
+merged at any size: none is broadcast, so the driver holds no table that grows with the documents.
 
 Defined cases: a null, empty or blank text has fingerprint zero and is linked like any other;
 rows with a null doc_id are fingerprinted and link others but never name a component (a
@@ -96,8 +97,9 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     probes = rows.select("fp", "seg", F.explode(balls).alias("x"), "val").select(
         "fp", "seg", F.col("val").bitwiseXOR(F.col("x")).alias("val"))
 
-    # an equi-join whose skewed partitions (segment values shared by many) Spark may split on either side
-    found = (probes.withColumnRenamed("fp", "a").join(rows.withColumnRenamed("fp", "b"), ["seg", "val"])
+    # an equi-join whose skewed partitions (segment values shared by many) Spark may split on either side; it is
+    # merged, as Spark sizes exploded rows like those before the explode and would broadcast them
+    found = (probes.withColumnRenamed("fp", "a").join(rows.withColumnRenamed("fp", "b").hint("merge"), ["seg", "val"])
              .where("a <> b").where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits))
     return forest(found.select("a", "b"))
 
@@ -112,10 +114,10 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX
         "fp", F.coalesce("least", F.lit(NO_ID) + F.pmod(F.xxhash64("fp"), F.lit(1 << 60))).alias("node")), "simhash-distinct")
     edges = links(known.select("fp"), max_bits)
     for end in ("a", "b"):
-        edges = edges.join(known.withColumnRenamed("fp", end), end).drop(end).withColumnRenamed("node", end)
+        edges = edges.join(known.withColumnRenamed("fp", end).hint("merge"), end).drop(end).withColumnRenamed("node", end)
     comp = connected_components(edges)
-    of_fp = known.join(comp, "node", "left").select("fp", F.coalesce("component", "node").alias("group_id"))
-    return fps.join(of_fp, "fp").select(
+    of_fp = known.join(comp.hint("merge"), "node", "left").select("fp", F.coalesce("component", "node").alias("group_id"))
+    return fps.join(of_fp.hint("merge"), "fp").select(
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"),
         F.when(F.col("group_id") < NO_ID, F.col("group_id")).alias("component_id"), "group_id")
 

@@ -100,3 +100,13 @@ def test_edge_rows_and_one_of_each_group(spark):
     two = docs(spark, [(1, PROSE), (1, "quite another text than that"), (2, PROSE), (0, "quite another text than that")])
     assert sorted(r.doc_id for r in sh.keep_one(two).collect()) == [0, 1]
     assert sh.near_duplicates(d.limit(0)).count() == 0 and sh.keep_one(d.limit(0)).count() == 0
+
+
+def test_no_table_that_grows_with_the_documents_is_broadcast(spark):
+    # Spark sizes exploded rows like those before the explode, and sent three rows of each fingerprint through the driver
+    fps = spark.range(0, 500).selectExpr("xxhash64(id) as fp")
+    found = sh.links(fps)
+    groups = sh.near_duplicates(docs(spark, corpus()))
+    for df in (found, groups):
+        df.collect()
+        assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
