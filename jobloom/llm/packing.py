@@ -197,7 +197,7 @@ def pack(rows: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         if moved is None:
             moved = step.select(F.col("item").alias("bin"), "up", "shift")
         else:           # bins placed before move along with the bin that holds them
-            moved = saved(moved.join(step.select(F.col("item").alias("up"), F.col("up").alias("new"), F.col("shift").alias("more")),
+            moved = saved(moved.join(step.select(F.col("item").alias("up"), F.col("up").alias("new"), F.col("shift").alias("more")).hint("merge"),
                                      "up", "left")
                           .select("bin", F.coalesce("new", "up").alias("up"),
                                   (F.col("shift") + F.coalesce("more", F.lit(0))).alias("shift")), "pack-moved")
@@ -209,7 +209,7 @@ def pack(rows: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     done = placed.where(f"fill >= {full}") if moved is not None else placed
     out = done.select(*keep, F.col("bin").alias("sequence_id"), "offset")
     if moved is not None:
-        out = out.union(placed.where(f"fill < {full}").join(moved, "bin").select(
+        out = out.union(placed.where(f"fill < {full}").join(moved.hint("merge"), "bin").select(
             *keep, F.col("up").alias("sequence_id"), (F.col("offset") + F.col("shift")).alias("offset")))
     return out
 
