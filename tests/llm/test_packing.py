@@ -105,7 +105,7 @@ def test_against_a_plain_best_fit():
 
 def test_places_of_bins_are_not_broadcast(spark):
     # their files are small beside the rows, so Spark would send more of them through the driver than it reckons
-    rows = spark.range(0, 3000).selectExpr("id as doc_id", "1 + id * 7919 % 1500 as length")
+    rows = spark.range(0, 300).selectExpr("id as doc_id", "2100 + id % 500 as length")
     out = pk.pack(rows)
     out.collect()
     assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
