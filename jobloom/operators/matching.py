@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scoring import experience_match_pct
+from ..session import release
 from .folding import BLOCK_SIZE, Postings, fold
 from .partitioning import dealt
 from .sequence import with_sequence
@@ -133,13 +134,14 @@ class _Lists:
 
 
 def promising_lists(applicants: DataFrame, lists: DataFrame, k: int, block_size: int = BLOCK_SIZE) -> DataFrame:
-    """(applicant_id, lst, n, h): of the lists with h > 0 positions matched, those whose best job may be among the
-    applicant's first k.  ``applicants``: applicant_id, y, words and applied (lists with a job applied to);
-    ``lists``: _key, n, words, size, low (the least required years), any_null, first and last (job ids).
+    """(applicant_id, y, lst, n, h, done): of the lists with h > 0 positions matched, those whose best job may be among the
+    applicant's first k, and the jobs of the list that were applied to.  ``applicants``: applicant_id, y, words, applied
+    (the list of each job applied to) and, unless none was, applied_jobs (these jobs); ``lists``: _key, n, words, size, low (the least required years), any_null, first
+    (the smallest job id) and last (an id that the list's best job does not exceed, whatever the applicant's years).
 
     The best job of a list that the applicant has not applied to is sure to be reached: once k lists are ahead of
     a list by score, or by id at the same score, none of its jobs matters."""
-    def step(block: _Lists, _, years, words, applied, kept):
+    def step(block: _Lists, _, years, words, applied, applied_jobs, kept):
         found, h = block.postings.count(np.array(words or [], np.int64))
         y, low = _or_nan(years), block.low[found]
         experience = np.maximum(np.where(np.isnan(low), 0.0, _experience(y, low)), np.where(block.any_null[found], 50.0, 0.0))
@@ -158,9 +160,13 @@ def promising_lists(applicants: DataFrame, lists: DataFrame, k: int, block_size:
         return ([dict(zip(names, row)) for row in zip(*(x.tolist() for x in rows))],)
 
     one = "struct<lst:bigint,n:bigint,h:bigint,cents:bigint,first:bigint,last:bigint,sure:bigint>"
-    rows = dealt(applicants.select("applicant_id", "y", "words", "applied"), "applicant_id")
+    none = F.array().cast("array<bigint>")
+    jobs = F.coalesce("applied_jobs", none) if "applied_jobs" in applicants.columns else none
+    rows = dealt(applicants.select("applicant_id", "y", "words", F.coalesce("applied", none).alias("applied"), jobs.alias("applied_jobs")), "applicant_id")
     out = fold(rows, lists, "size", _Lists, step, {"kept": f"array<{one}>"}, {"kept": []}, block_size)
-    return out.select("applicant_id", F.inline("kept")).select("applicant_id", "lst", "n", "h")
+    out = out.select("applicant_id", "y", F.arrays_zip("applied", "applied_jobs").alias("applied"), F.inline("kept"))
+    of_list = F.transform(F.filter("applied", lambda t: t["applied"] == F.col("lst")), lambda t: t["applied_jobs"])
+    return out.select("applicant_id", "y", "lst", "n", "h", of_list.alias("done"))
 
 
 class _People:
@@ -263,28 +269,27 @@ def top_k_jobs_by_list(applicant_skills: DataFrame, applicants: DataFrame, jobs:
     jb = jb.drop("skills")
     ap = applicants.select("applicant_id", F.col("years").alias("y"), _years_key(F.col("years")).alias("ykey")).checkpoint(eager=True)
     ex = None if excluded is None else excluded.select("applicant_id", "job_id").distinct().checkpoint(eager=True)
+    # a list's best job is the first of those with the least years, or of those without any
+    least = F.min(F.when(F.col("req_years").isNotNull(), F.struct("req_years", "job_id")))["job_id"]
     bounds = jb.groupBy("lst").agg(F.min("req_years").alias("low"), F.max(F.col("req_years").isNull()).alias("any_null"),
-                                   F.min("job_id").cast("long").alias("first"), F.max("job_id").cast("long").alias("last"))
+                                   F.min("job_id").cast("long").alias("first"),
+                                   F.greatest(least, F.min(F.when(F.col("req_years").isNull(), F.col("job_id")))).cast("long").alias("last"))
     lists = wanted.join(bounds, "lst").withColumn("size", F.size("words").cast("long")).withColumnRenamed("lst", "_key")
     people = ap.select("applicant_id", "y").join(own, "applicant_id", "left")
     if ex is None:
         people = people.withColumn("applied", F.array().cast("array<bigint>"))
     else:
-        done = (ex.join(jb.select("job_id", "lst"), "job_id").groupBy("applicant_id").agg(F.collect_set("lst").alias("applied")))
-        people = people.join(done, "applicant_id", "left")
+        pair = F.collect_list(F.struct("lst", F.col("job_id").cast("long").alias("job_id")))
+        done = ex.join(jb.select("job_id", "lst"), "job_id").groupBy("applicant_id").agg(pair.alias("pairs"))
+        people = people.join(done.select("applicant_id", F.col("pairs.lst").alias("applied"), F.col("pairs.job_id").alias("applied_jobs")),
+                             "applicant_id", "left")
     hits = promising_lists(people, lists, k, block_size).checkpoint(eager=True)
-    cand = hits.join(ap, "applicant_id")
-    if ex is not None:
-        x = (ex.join(jb.select("job_id", "lst"), "job_id")
-               .groupBy("applicant_id", "lst").agg(F.count(F.lit(1)).alias("x")))
-        depth_l = x.groupBy("lst").agg(F.max("x").alias("xmax"))
-        cand = cand.join(x, ["applicant_id", "lst"], "left").withColumn("x", F.coalesce("x", F.lit(0)))
-    else:
-        depth_l = jb.select("lst").distinct().withColumn("xmax", F.lit(0))
-        cand = cand.withColumn("x", F.lit(0))
+    release(hits.sparkSession)
+    cand = hits.withColumn("ykey", _years_key(F.col("y"))).withColumn("x", F.size("done"))
+    depth_l = cand.groupBy("lst").agg(F.max("x").alias("xmax"))
 
     # jobs of one (list, required years) tie and go by id: only the first k + xmax can be reached
-    reach = (jb.join(depth_l, "lst", "left").withColumn("xmax", F.coalesce("xmax", F.lit(0)))
+    reach = (jb.join(depth_l, "lst")
                .withColumn("_c", F.row_number().over(Window.partitionBy("lst", "rkey").orderBy("job_id")))
                .where(F.col("_c") <= F.lit(k) + F.col("xmax")).select("lst", "job_id", "req_years", "xmax"))
     met = cand.select("ykey", "y", "lst", "n", "h").distinct().join(reach, "lst")
@@ -299,19 +304,18 @@ def top_k_jobs_by_list(applicant_skills: DataFrame, applicants: DataFrame, jobs:
     # A list's first job bounds its scores; where the applicant applied to none of the list's jobs
     # that score is reached.  The k-th best reached is a floor: lists bounded below it are left out.
     best = ranked.where("lrank = 1").select("ykey", "lst", "h", F.col("match_score").alias("best"))
-    cand = cand.select("applicant_id", "ykey", "lst", "h", "x").join(best, ["ykey", "lst", "h"])
+    cand = cand.select("applicant_id", "ykey", "lst", "h", "x", "done").join(best, ["ykey", "lst", "h"])
     sure = top_k_per(cand.where("x = 0").select("applicant_id", "lst", "best"), ["applicant_id"], [F.col("best").desc()], k, "_r")
     floor = (sure.groupBy("applicant_id").agg(F.count(F.lit(1)).alias("_n"), F.min("best").alias("_floor"))
                  .where(F.col("_n") >= k).select("applicant_id", "_floor"))
     cand = cand.join(floor, "applicant_id", "left").where("_floor is null or best >= _floor")
-    rows = (cand.select("applicant_id", "ykey", "lst", "h", "x").join(ranked, ["ykey", "lst", "h"])
-                .where(F.col("lrank") <= F.lit(k) + F.col("x")))
-    if ex is not None:
-        rows = rows.join(ex, ["applicant_id", "job_id"], "left_anti")
+    rows = (cand.select("applicant_id", "ykey", "lst", "h", "x", "done").join(ranked, ["ykey", "lst", "h"])
+                .where((F.col("lrank") <= F.lit(k) + F.col("x")) & ~F.array_contains("done", F.col("job_id").cast("long"))))
     order = [F.col("match_score").desc(), F.col("item_id")]
     rows = rows.select(F.col("applicant_id").alias("group_id"), F.col("job_id").alias("item_id"),
                        "skills_match", "experience_match", "match_score")
     top = top_k_per(rows, ["group_id"], order, k).drop("rank").checkpoint(eager=True)
+    release(top.sparkSession)
 
     # a bound on what a job without a hit can score for an applicant
     b = jb.agg(F.min("req_years").alias("lo"), F.max(F.col("req_years").isNull()).alias("na"),

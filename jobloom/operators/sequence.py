@@ -23,8 +23,9 @@ def _num_partitions(df: DataFrame, n: int | None) -> int:
 
 
 def with_sequence(df: DataFrame, order_by: list, name: str, start: int = 1,
-                  num_partitions: int | None = None) -> DataFrame:
-    """Add ``name`` = 1-based (or ``start``-based) position of each row in ``order_by``."""
+                  num_partitions: int | None = None, keep: list[str] | None = None) -> DataFrame:
+    """Add ``name`` = 1-based (or ``start``-based) position of each row in ``order_by``; with ``keep`` only these
+    columns are written and stay."""
     cols = [F.col(c) if isinstance(c, str) else c for c in order_by]
     n = _num_partitions(df, num_partitions)
     # Range bounds are sampled from the input, whose row order inside shuffle blocks can
@@ -32,7 +33,8 @@ def with_sequence(df: DataFrame, order_by: list, name: str, start: int = 1,
     # partition holds.  A reliable checkpoint (to spark.checkpoint.dir) fixes the
     # partitions once, so counts and numbering read the same data, and a lost executor
     # re-reads the files instead of re-sampling.
-    ranged = df.repartitionByRange(n, *cols).sortWithinPartitions(*cols).checkpoint(eager=True)
+    ranged = df.repartitionByRange(n, *cols).sortWithinPartitions(*cols)
+    ranged = (ranged if keep is None else ranged.select(*keep)).checkpoint(eager=True)
     ranged = (ranged.withColumn("_seq_pid", F.spark_partition_id())
                     .withColumn("_seq_mid", F.monotonically_increasing_id()))
     # one count per partition (bounded by the partition count, not the data) -> offsets as a

@@ -10,6 +10,7 @@ from ..operators import matching as mt
 from ..functions import catalog as cat
 from ..operators.sequence import with_sequence
 from ..operators.topk import first_wins, last_wins, top_k_per
+from ..session import release
 from ..sources.fixtures import Ats
 from .registry import register
 
@@ -164,8 +165,10 @@ def mean_score(c: str):
 
 def application_scores(a: Ats) -> DataFrame:
     """Applications (with ids) and the match score of their (applicant, job) pair."""
-    s = scored_pairs(a, a.ats_application_rows).select("applicant_id", "job_id", "match_score")
-    return a.ats_applications.join(s, ["applicant_id", "job_id"])
+    apps = a.ats_applications            # numbered and written once; the pairs are read from there
+    s = scored_pairs(a, apps).select("applicant_id", "job_id", "match_score").checkpoint(eager=True)
+    release(s.sparkSession)
+    return apps.join(s, ["applicant_id", "job_id"])
 
 
 @register("job_applicants", sql=f"""
@@ -315,6 +318,7 @@ def q_applicant_report(spark, sf_dir, k: int = 3):
     summary = _status_summary(apps, "applicant_id")
     mean = apps.groupBy("applicant_id").agg(mean_score("match_score").alias("m"))
     rec = recommend_jobs(a, k)
+    release(spark)                      # what the ids and the recommendations shuffled, before the report does
     recs = rec.groupBy("applicant_id").agg(F.array_sort(F.collect_list(F.struct("rank", "job_id"))).alias("t")).select(
         "applicant_id", F.array_join(F.transform("t", lambda s: s["job_id"].cast("string")), ",").alias("recommended_jobs"))
     return (a.ats_applicants.select("applicant_id", F.col("name").alias("applicant_name"))

@@ -65,8 +65,8 @@ def _applications(t: Tables, with_ids: bool) -> DataFrame:
             F.split_part(F.lit(STATUSES_CSV), F.lit(","), (F.col("l_orderkey") % 7).cast("int") + 1).alias("status")]
     if not with_ids:
         return j.select(*cols)
-    j = with_sequence(j, ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"],
-                      "application_id")
+    j = with_sequence(j.drop("o_orderkey"), ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"],
+                      "application_id", keep=["l_orderkey", "l_partkey", "o_custkey", "o_orderdate"])
     return j.select("application_id", *cols)
 
 

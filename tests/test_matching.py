@@ -158,6 +158,24 @@ def test_only_promising_lists_are_formed(spark):
     assert seen[0].count() == 10            # two of the 200 lists that share a skill, for each applicant
 
 
+def test_lists_that_tie_over_the_same_ids_are_told_apart(spark):
+    """Lists of equal score whose ids interleave: their best jobs' ids decide, not their last ones."""
+    vocab = [["sql", f"w{i}"] for i in range(60)]
+    jobs = {j: (vocab[j % 60], (0.0, 3.0, 1.0)[j // 60 % 3]) for j in range(360)}
+    apps, years = {a: ["sql"] for a in range(3)}, {0: None, 1: 0.0, 2: 5.0}
+    excluded = {(0, 0), (1, 60), (1, 61), (2, 62)}
+    jdf, adf, ydf = _frames(spark, jobs, apps, years)
+    ex = spark.createDataFrame(sorted(excluded), "applicant_id long, job_id long")
+    seen, real = [], mt.promising_lists
+    try:
+        mt.promising_lists = lambda *a: seen.append(real(*a).checkpoint()) or seen[-1]
+        got = _per_group(mt.top_k_jobs_by_list(adf, ydf, jdf, 3, ex).collect())
+    finally:
+        mt.promising_lists = real
+    assert got == _best(_all_scores(apps, jobs, years), 3, 0, 1, excluded)
+    assert max(r["count"] for r in seen[0].groupBy("applicant_id").count().collect()) < 10      # 60 lists tie
+
+
 def test_rows_joined_on_their_key_are_dealt_to_all_tasks(spark):
     """The join that makes the rows is partitioned on their key already; its output is small, the work on it is not."""
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
